@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: A table is broadcast only if its stored size is below this many bytes.
 BROADCAST_BYTES = 32 << 20
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +33,12 @@ def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")  # the write's shuffle files are of no use once the table stands
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
