@@ -33,20 +33,27 @@ MIN_DOCS, MIN_SHARE, MIN_PRECISION = 3, 5e-4, 0.7
 PREFIXES = (3, 4, 5, 6, 7)
 #: Bound on the labelled documents that the chain and the document curve are fitted on (half of them toxic at most).
 CRF_DOCS = 6000
+#: The chain is fitted on so many sentences of those documents, of at most so many tokens.
+CRF_SENTENCES, CRF_TOKENS = 800, 64
+#: Longest chain in tokens.
+CHAIN = 256
 CACHE_WORDS = 300_000
-PARTITIONS = 48
 
 _TOKEN = re.compile(r"\S+")
 _EDGE = re.compile(r"^\W+|\W+$")
 _END = tuple(".!?")
 
 
+def _word(token: str) -> str:
+    if not (token[0].isalnum() and token[-1].isalnum()):
+        token = _EDGE.sub("", token)
+    return token.lower()
+
+
 def _features(token: str) -> list[str]:
     """A token's lexicon keys: the whole word, and its prefixes."""
-    word = _EDGE.sub("", token).lower()
-    if not word:
-        return []
-    return ["w" + word, *("p" + word[:n] for n in PREFIXES if len(word) > n)]
+    word = _word(token)
+    return ["w" + word, *["p" + word[:n] for n in PREFIXES if len(word) > n]] if word else []
 
 
 def _document_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,67 +102,96 @@ class Model:
     curve: np.ndarray
 
     def evidence(self, token: str) -> float:
-        return max((self.lexicon.get(k, 0.0) for k in _features(token)), default=0.0)
-
-    def marginals(self, evidence: np.ndarray) -> np.ndarray:
-        """Probability of the toxic state at each token of one sentence, by forward-backward in log space."""
-        unary = _unary(evidence) @ self.weights
-        return _forward_backward(unary, self.transitions)[0]
+        """The largest log-odds of the token's keys in the lexicon, else 0."""
+        word = _word(token)
+        if not word:
+            return 0.0
+        found, best = self.lexicon.get, 0.0
+        for key in ("w" + word, *["p" + word[:n] for n in PREFIXES if len(word) > n]):
+            best = found(key, 0.0) if found(key, 0.0) > best else best
+        return best
+
+    def marginals(self, sentences: list[np.ndarray]) -> list[np.ndarray]:
+        """Probability of the toxic state at each token of each sentence."""
+        unary, lengths = _padded(sentences, self.weights)
+        m = forward_backward(unary, lengths, self.transitions)[0]
+        return [row[:n] for row, n in zip(m, lengths)]
 
 
 def _unary(evidence: np.ndarray) -> np.ndarray:
-    near = np.zeros(len(evidence))
-    near[1:] += evidence[:-1]
-    near[:-1] += evidence[1:]
-    return np.stack([evidence, near, np.ones(len(evidence))], axis=1)
-
-
-def _forward_backward(unary: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(marginals of state 1, expected transition counts, log partition) of a chain whose state 1 scores ``unary``."""
-    n = len(unary)
-    f, b = np.zeros((n, 2)), np.zeros((n, 2))
-    f[0] = (0.0, unary[0])
-    for i in range(1, n):
-        f[i] = np.logaddexp(f[i - 1, 0] + trans[0], f[i - 1, 1] + trans[1])
-        f[i, 1] += unary[i]
-    for i in range(n - 2, -1, -1):
+    """Features of tokens (last axis): evidence, neighbours' evidence, bias."""
+    near = np.zeros_like(evidence)
+    near[..., 1:] += evidence[..., :-1]
+    near[..., :-1] += evidence[..., 1:]
+    return np.stack([evidence, near, np.ones_like(evidence)], axis=-1)
+
+
+def _pad(sentences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.array([len(s) for s in sentences])
+    out = np.zeros((len(sentences), lengths.max()))
+    for row, s in zip(out, sentences):
+        row[: len(s)] = s
+    return out, lengths
+
+
+def _padded(sentences: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    evidence, lengths = _pad(sentences)
+    return _unary(evidence) @ weights, lengths
+
+
+def forward_backward(unary: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(marginals of state 1, summed transition expectations, log partitions) of chains in log space.
+
+    ``unary[chains, steps]`` is the score of state 1 (state 0 scores 0); ``trans[from, to]``.
+    """
+    n, steps = unary.shape
+    f, b = np.zeros((steps, n, 2)), np.zeros((steps, n, 2))
+    f[0, :, 1] = unary[:, 0]
+    for i in range(1, steps):
+        f[i] = np.logaddexp(f[i - 1, :, :1] + trans[0], f[i - 1, :, 1:] + trans[1])
+        f[i, :, 1] += unary[:, i]
+    for i in range(steps - 2, -1, -1):
         nxt = b[i + 1].copy()
-        nxt[1] += unary[i + 1]
-        b[i] = np.logaddexp(trans[:, 0] + nxt[0], trans[:, 1] + nxt[1])
-    z = np.logaddexp(f[-1, 0], f[-1, 1])
-    pair = np.zeros((2, 2))
-    if n > 1:
-        nxt = b[1:].copy()
-        nxt[:, 1] += unary[1:]
-        pair = np.exp(f[:-1, :, None] + trans[None] + nxt[:, None, :] - z).sum(axis=0)
-    return np.exp(f[:, 1] + b[:, 1] - z), pair, float(z)
-
-
-def fit_chain(sentences: list[tuple[np.ndarray, np.ndarray]], steps: int = 80, rate: float = 0.3, ridge: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+        nxt[:, 1] += unary[:, i + 1]
+        step = np.logaddexp(trans[:, 0] + nxt[:, :1], trans[:, 1] + nxt[:, 1:])
+        b[i] = np.where((i + 1 < lengths)[:, None], step, 0.0)
+    last = f[lengths - 1, np.arange(n)]
+    z = np.logaddexp(last[:, 0], last[:, 1])
+    inside = np.arange(steps)[:, None] < lengths
+    marginal = np.where(inside, np.exp(np.minimum(f[:, :, 1] + b[:, :, 1] - z, 0.0)), 0.0)
+    nxt = b[1:].copy()
+    nxt[:, :, 1] += unary.T[1:]
+    pair = f[:-1, :, :, None] + trans + nxt[:, :, None, :] - z[:, None, None]
+    return marginal.T, np.where(inside[1:, :, None, None], np.exp(np.minimum(pair, 0.0)), 0.0).sum(axis=(0, 1)), z
+
+
+def fit_chain(sentences: list[tuple[np.ndarray, np.ndarray]], steps: int = 60, rate: float = 0.3, ridge: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood of ``(evidence, labels)`` sentences by full-batch adaptive gradient steps."""
+    evidence, lengths = _pad([e for e, _ in sentences])
+    labels, _ = _pad([y for _, y in sentences])
+    x, total = _unary(evidence), lengths.sum()
+    inside = np.arange(x.shape[1]) < lengths[:, None]
+    seen, state = np.zeros((2, 2)), labels.astype(int)
+    both = inside[:, 1:]
+    np.add.at(seen, (state[:, :-1][both], state[:, 1:][both]), 1)
     theta, square = np.zeros(7), np.full(7, 1e-8)
     theta[2] = -2.0
-    total = max(1, sum(len(e) for e, _ in sentences))
     for _ in range(steps):
+        p, pair, _ = forward_backward(x @ theta[:3], lengths, theta[3:].reshape(2, 2))
         grad = -ridge * theta
-        for evidence, labels in sentences:
-            x = _unary(evidence)
-            p, pair, _ = _forward_backward(x @ theta[:3], theta[3:].reshape(2, 2))
-            grad[:3] += (labels - p) @ x / total
-            seen = np.zeros((2, 2))
-            np.add.at(seen, (labels[:-1].astype(int), labels[1:].astype(int)), 1)
-            grad[3:] += ((seen - pair) / total).ravel()
+        grad[:3] += ((labels - p) * inside).ravel() @ x.reshape(-1, 3) / total
+        grad[3:] += ((seen - pair) / total).ravel()
         square += grad**2
         theta += rate * grad / np.sqrt(square)
     return theta[:3], theta[3:].reshape(2, 2)
 
 
 def split_sentences(tokens: list[str]) -> list[tuple[int, int]]:
-    """Token ranges that end at a token with closing punctuation."""
+    """Token ranges that end at a token with closing punctuation; longer ones are cut every ``CHAIN`` tokens."""
     ends = [i + 1 for i, t in enumerate(tokens) if t.endswith(_END)]
     if not ends or ends[-1] != len(tokens):
         ends.append(len(tokens))
-    return [(a, b) for a, b in zip([0, *ends], ends) if a < b]
+    return [(c, min(b, c + CHAIN)) for a, b in zip([0, *ends], ends) for c in range(a, b, CHAIN)]
 
 
 class Tagger:
@@ -177,7 +213,7 @@ class Tagger:
         if n not in self.quiet:
             if len(self.quiet) > 10_000:
                 self.quiet.clear()
-            m = self.model.marginals(np.zeros(n))
+            m = self.model.marginals([np.zeros(n)])[0]
             self.quiet[n] = float(m.sum()), float(m.max())
         return self.quiet[n]
 
@@ -188,14 +224,13 @@ class Tagger:
         if not any(values):
             loud = self._quiet(min(len(tokens), 50))[1] if tokens else 0.0
             return np.array([loud, 0.0, np.log1p(len(tokens)), 1.0]), []
-        found, loud, sum_ = [], 0.0, 0.0
-        for a, b in split_sentences(tokens):
-            if any(values[a:b]):
-                m = self.model.marginals(np.array(values[a:b]))
-                found += [(a + int(i), float(m[i])) for i in np.flatnonzero(m >= 0.5)]
-                loud, sum_ = max(loud, float(m.max())), sum_ + float(m.sum())
-            else:
-                loud = max(loud, self._quiet(b - a)[1])
+        parts = split_sentences(tokens)
+        evident = [(a, b) for a, b in parts if any(values[a:b])]
+        quiet = {b - a for a, b in parts} if len(evident) < len(parts) else set()
+        loud, sum_, found = max((self._quiet(n)[1] for n in quiet), default=0.0), 0.0, []
+        for (a, _), m in zip(evident, self.model.marginals([np.array(values[a:b]) for a, b in evident])):
+            found += [(a + int(i), float(m[i])) for i in np.flatnonzero(m >= 0.5)]
+            loud, sum_ = max(loud, float(m.max())), sum_ + float(m.sum())
         return np.array([loud, np.log1p(sum_), np.log1p(len(tokens)), 1.0]), found
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int]]]:
@@ -256,19 +291,21 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
         values, at = np.array(r.evidence), 0
         for n in r.lengths[1:]:
             e = values[at : at + n]
-            chain.append((e, ((e > 0) & (r.toxic == 1)).astype(float)))
+            if n <= CRF_TOKENS:
+                chain.append((e, ((e > 0) & (r.toxic == 1)).astype(float)))
             at += n
     chain += [(np.zeros(12), np.zeros(12))] * max(1, len(chain) // 4)
-    order = np.random.default_rng(0).permutation(len(chain))[:1500]
+    order = np.random.default_rng(0).permutation(len(chain))[:CRF_SENTENCES]
     weights, transitions = fit_chain([chain[i] for i in order])
     model = Model(lexicon, weights, transitions, np.zeros(4))
     tagger = Tagger(model)
     x, y = [], []
     for r in seen:
-        values, at, loud, sum_ = np.array(r.evidence), 0, tagger._quiet(min(r.lengths[0], 50))[1] if r.lengths[0] else 0.0, 0.0
-        for n in r.lengths[1:]:
-            m = model.marginals(values[at : at + n])
-            loud, sum_, at = max(loud, float(m.max())), sum_ + float(m.sum()), at + n
+        values, ends = np.array(r.evidence), np.cumsum(r.lengths[1:])
+        loud, sum_ = tagger._quiet(min(r.lengths[0], 50))[1] if r.lengths[0] else 0.0, 0.0
+        if len(ends):
+            for m in model.marginals([values[e - n : e] for e, n in zip(ends, r.lengths[1:])]):
+                loud, sum_ = max(loud, float(m.max())), sum_ + float(m.sum())
         x.append([loud, np.log1p(sum_), np.log1p(r.lengths[0]), 1.0])
         y.append(r.toxic)
     y = np.array(y, float)
