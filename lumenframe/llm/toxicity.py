@@ -194,19 +194,26 @@ def split_sentences(tokens: list[str]) -> list[tuple[int, int]]:
     return [(c, min(b, c + CHAIN)) for a, b in zip([0, *ends], ends) for c in range(a, b, CHAIN)]
 
 
+class _Memo(dict):
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        out = self[key] = self.make(key)
+        return out
+
+
 class Tagger:
     """Scores texts with a model; evidence is cached by token."""
 
     def __init__(self, model: Model):
-        self.model, self.cache, self.quiet = model, {}, {}
+        self.model, self.cache, self.quiet = model, _Memo(model.evidence), {}
 
     def _evidence(self, tokens: list[str]) -> list[float]:
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        for t in set(tokens) - cache.keys():
-            cache[t] = self.model.evidence(t)
-        return [cache[t] for t in tokens]
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        return list(map(self.cache.__getitem__, tokens))
 
     def _quiet(self, n: int) -> tuple[float, float]:
         """Sum and maximum of the marginals of a sentence of n tokens without evidence."""
