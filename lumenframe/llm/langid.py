@@ -15,6 +15,7 @@ repeated rows get equal answers; further columns are ignored. The score is the s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -96,8 +97,14 @@ class Encoder:
         return v / n if n else v
 
 
+@lru_cache(maxsize=1)
+def shared_encoder() -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder()
+
+
 def _bundle_languages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder, sums = Encoder(), {}
+    encoder, sums = shared_encoder(), {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             v = encoder.text_vector(text.as_py())
@@ -124,7 +131,7 @@ def train_prototypes(labelled: DataFrame, text_col: str = "text", lang_col: str
 
 def _predict(names: list[str], matrix: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder()
+        encoder = shared_encoder()
         for batch in batches:
             langs, scores = [], []
             for text in batch.column(batch.num_columns - 1):

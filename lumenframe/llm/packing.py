@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.tokens import PieceEncoder, public_path
+from lumenframe.llm.tokens import shared_encoder
 from lumenframe.plans.storage import materialize
 
 LENGTH = 4096
@@ -84,11 +84,9 @@ class CurveOrder:
 
 def _tokenise(path: str, borders: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = order = None
+        encoder = shared_encoder(path)
+        order = CurveOrder(encoder.vocab)
         for batch in batches:
-            if encoder is None:
-                encoder = PieceEncoder(public_path(path) if "/" not in path else path)
-                order = CurveOrder(encoder.vocab)
             end = np.array([END_ID], encoder.dtype)
             ids = [np.concatenate([encoder.encode(t.as_py()), end]) for t in batch.column(1)]
             if not ids:

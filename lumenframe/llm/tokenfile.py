@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.tokens import PieceEncoder, public_path
+from lumenframe.llm.tokens import shared_encoder
 from lumenframe.plans.storage import materialize, scratch_path
 
 END_ID = 2
@@ -85,9 +85,8 @@ def read_block(blob: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 def _tokenise(path: str, borders: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        encoder = shared_encoder(path)
         for batch in batches:
-            encoder = encoder or PieceEncoder(public_path(path) if "/" not in path else path)
             end = np.array([END_ID], encoder.dtype)
             ids = [np.concatenate([encoder.encode(t.as_py()), end]).tobytes() for t in batch.column(1)]
             docs = batch.column(0)
@@ -165,7 +164,7 @@ def write_token_file(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     borders = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    encoder = PieceEncoder(public_path(tokenizer) if "/" not in tokenizer else tokenizer)
+    encoder = shared_encoder(tokenizer)
     width = encoder.dtype.itemsize
     tokens = rows.mapInArrow(_tokenise(tokenizer, sorted(set(borders))), "bucket int, doc_id long, ids binary")
     tokens = tokens.repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "ids")

@@ -12,6 +12,7 @@ import os
 import re
 import unicodedata
 from array import array
+from functools import lru_cache
 
 import numpy as np
 
@@ -20,7 +21,7 @@ WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 # The word pattern of byte-level BPE.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pieces a worker keeps.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 400_000
 
 
 def public_path(name: str) -> str:
@@ -105,3 +106,9 @@ class PieceEncoder:
             if len(cache) > CACHE_PIECES:
                 cache.clear()
         return np.frombuffer(b"".join(map(self.of_piece.__getitem__, self.pieces.findall(text))), self.dtype)
+
+
+@lru_cache(maxsize=2)
+def shared_encoder(name: str) -> PieceEncoder:
+    """The encoder of a vocabulary file (a public name or a path), kept between the tasks of a Python worker."""
+    return PieceEncoder(name if "/" in name else public_path(name))
