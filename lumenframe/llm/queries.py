@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import langid, linededup, packing, pii, simhash, tokenfile, toxicity
+from lumenframe.llm import decontam, langid, linededup, orderminhash, packing, pii, simhash, tokenfile, toxicity
 from lumenframe.llm.tables import table
 
 
@@ -27,6 +27,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.digest(found)
+
+
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderminhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -41,6 +50,8 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_decontamination": op2_decontamination,
+    "op3_order_minhash": op3_order_minhash,
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op6_pii": op6_pii,
@@ -51,4 +62,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": linededup.SQL,
+    "op2_decontamination": decontam.SQL,
 }
