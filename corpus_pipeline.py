@@ -1,15 +1,56 @@
-"""Corpus pipeline (stages are added as their operators land)."""
+"""The corpus pipeline: language ID, line dedup, SimHash near-dedup, benchmark decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; every stage but the last returns the
+columns of ``documents``. ``ORACLE_SQL`` is None: hyperdimensional profiles and XXH64 have no SQL form; the tests hold
+the stages against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from lumenframe.llm import decontam, langid, linededup, packing, simhash
+from lumenframe.llm.tables import table
+from lumenframe.plans.storage import materialize
+
 ORACLE_SQL = None
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language (no text or no letter)."""
+    return langid.known_language(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes boilerplate lines of each source; all documents stay. ``n_chars`` follows the text where it was right before."""
+    from pyspark.sql import functions as F
+
+    cleaned = linededup.site_line_dedup(docs)
+    count = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cleaned.select(*(count.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each near-duplicate group."""
+    return simhash.one_per_group(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents contaminated by the benchmark."""
+    return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", pack)]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages on ``documents``; each result is written as Parquet in the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

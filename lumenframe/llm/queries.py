@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import decontam, langid, linededup, orderminhash, packing, pii, simhash, tokenfile, toxicity
+from lumenframe.llm import decontam, langid, linededup, orderminhash, packing, pagetext, pii, simhash, tokenfile, toxicity
 from lumenframe.llm.tables import table
 
 
@@ -23,6 +23,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
+    "op8_page_text": op8_page_text,
     "op9_simhash": op9_simhash,
     "op10_token_file": op10_token_file,
 }
