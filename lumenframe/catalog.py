@@ -5,8 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenframe.functions import geometry as G
+from lumenframe.functions import scalars as S
+from lumenframe.functions.vectors import cosine, l2_norm
+from lumenframe.operators import cluster, dedup, detect, identity, ingest, metrics, store, text
+from lumenframe.operators.search import knn_join
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,8 +40,314 @@ select query_id, vec_id, round(score, 6) as score, cast(rk as int) as rank from
 """
 )
 def knn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lumenframe.operators.search import knn_join
-
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     wanted = vectors.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
     return knn_join(wanted, vectors, k=10, exclude_self=True).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- derived tables, the same in both engines ----
+
+_DET = """det as (select 'img_' || cast(l_orderkey as varchar) image_id,
+  cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 as int) box_index,
+  cast(l_partkey % 10 as int) class_id, (25 + (l_partkey * 7 + l_suppkey * 13) % 75) / 100 confidence,
+  (l_partkey % 50) / 100 x1, (l_suppkey % 50) / 100 y1, (l_partkey % 50) / 100 + l_quantity / 100 x2, (l_suppkey % 50) / 100 + (1 + l_partkey % 40) / 100 y2,
+  l_partkey % 500 vec_id from lineitem)"""
+_IMG = """img as (select 'img_' || cast(o_orderkey as varchar) image_id, cast(320 + o_custkey % 1600 as int) width, cast(240 + o_orderkey % 1200 as int) height from orders)"""
+_CAT = "case when class_id = 0 then 'person' when class_id in (2, 3, 5, 7, 8) then 'vehicle' else 'other' end"
+_CEN = """s as (select label cid, i, avg(embedding[i]::double) x from embeddings, unnest(range(1, 65)) t(i) group by label, i),
+  n as (select cid, sqrt(sum(x * x)) nn from s group by cid), c as (select s.cid, list(x / nn order by i) v from s join n using (cid) group by s.cid)"""
+_ASG = f"""with {_CEN}, a as (select vec_id, cid cluster_id, 1 - list_inner_product(embedding::double[], v) / sqrt(list_inner_product(embedding::double[], embedding::double[])) dist from embeddings, c),
+  asg as (select vec_id, cluster_id, dist cluster_distance from (select *, row_number() over (partition by vec_id order by dist, cluster_id) r from a) where r = 1)"""
+_DUP = """dup as (select doc_id image_id, h, case when n > 1 then 'dup_' || h[1:12] end duplicate_group_id, case when n > 1 then doc_id = first end is_duplicate_primary,
+  case when n > 1 then case when doc_id = first then 1.0::double else (doc_id % 97) / 100 end end duplicate_score
+  from (select doc_id, sha256(text) h, count(*) over (partition by text) n, min(doc_id) over (partition by text) first from documents))"""
+
+
+def _detections(spark: SparkSession, d: str) -> DataFrame:
+    li = _read(spark, d, "lineitem")
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    return li.select(
+        F.concat(F.lit("img_"), F.col("l_orderkey").cast("string")).alias("image_id"), (F.row_number().over(order) - 1).alias("box_index"), (F.col("l_partkey") % 10).cast("int").alias("class_id"),
+        F.expr("(25 + (l_partkey * 7 + l_suppkey * 13) % 75) / 100").alias("confidence"), F.expr("(l_partkey % 50) / 100").alias("x1"), F.expr("(l_suppkey % 50) / 100").alias("y1"),
+        F.expr("(l_partkey % 50) / 100 + l_quantity / 100").alias("x2"), F.expr("(l_suppkey % 50) / 100 + (1 + l_partkey % 40) / 100").alias("y2"), F.expr("l_partkey % 500").alias("vec_id"),
+    )
+
+
+def _images(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "orders").select(F.concat(F.lit("img_"), F.col("o_orderkey").cast("string")).alias("image_id"), F.expr("cast(320 + o_custkey % 1600 as int)").alias("width"), F.expr("cast(240 + o_orderkey % 1200 as int)").alias("height"))
+
+
+def _centroids(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.mean_centroids(_read(spark, d, "embeddings"))
+
+
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.assign(_read(spark, d, "embeddings"), _centroids(spark, d))
+
+
+def _duplicates(spark: SparkSession, d: str) -> DataFrame:
+    docs = _read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    groups = docs.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    rows = docs.join(groups, "h", "left")
+    grouped = F.col("n").isNotNull()
+    return rows.select(
+        F.col("doc_id").alias("image_id"), "h", F.when(grouped, F.concat(F.lit("dup_"), F.substring("h", 1, 12))).alias("duplicate_group_id"), F.when(grouped, F.col("doc_id") == F.col("first")).alias("is_duplicate_primary"),
+        F.when(grouped, F.when(F.col("doc_id") == F.col("first"), 1.0).otherwise(F.expr("(doc_id % 97) / 100"))).alias("duplicate_score"),
+    )
+
+
+def _faces(spark: SparkSession, d: str) -> DataFrame:
+    """Face rows: a vector's label is its person; one label in ten has none."""
+    e = _read(spark, d, "embeddings")
+    return e.select(F.concat(F.lit("face_"), F.col("vec_id").cast("string")).alias("face_id"), F.when(F.col("label") > 0, F.concat(F.lit("person_"), F.col("label").cast("string"))).alias("person_id"),
+                    F.when(F.col("vec_id") % 3 == 0, F.concat(F.lit("Name "), F.col("label").cast("string"))).alias("person_name"), F.expr("((vec_id * 37) % 101) / 100").alias("confidence"), (F.col("vec_id") % 7 == 0).alias("is_reference"))
+
+
+_FACE = """face as (select 'face_' || cast(vec_id as varchar) face_id, case when label > 0 then 'person_' || cast(label as varchar) end person_id,
+  case when vec_id % 3 = 0 then 'Name ' || cast(label as varchar) end person_name, ((vec_id * 37) % 101) / 100 confidence, vec_id % 7 = 0 is_reference from embeddings)"""
+
+_KNN = """select q.vec_id query_id, d.vec_id, d.label, (1 + list_cosine_similarity(q.embedding::double[], d.embedding::double[])) / 2 score from embeddings q join embeddings d on q.vec_id < 5 and q.vec_id <> d.vec_id"""
+
+
+def _queries_of(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+
+
+# ---- vector search ----
+
+
+@query(f"select query_id, vec_id, round(score, 6) score, cast(r as int) rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) r from ({_KNN}) where label in (1, 2, 3)) where r <= 5")
+def knn_prefilter(spark, d):
+    """Filter first, then top-k."""
+    out = knn_join(_queries_of(spark, d), _read(spark, d, "embeddings"), k=5, exclude_self=True, pre_filter=F.col("label").isin(1, 2, 3))
+    return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"select query_id, vec_id, round(score, 6) score, cast(r as int) rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) r from ({_KNN})) where r <= 20 and label in (1, 2, 3) and score >= 0.55")
+def knn_postfilter(spark, d):
+    """Top-k first, then filter and least score: fewer than k rows may stay."""
+    out = knn_join(_queries_of(spark, d), _read(spark, d, "embeddings"), k=20, exclude_self=True, post_filter=F.col("label").isin(1, 2, 3), min_score=0.55)
+    return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("select b.vec_id, round((1 + list_cosine_similarity(a.embedding::double[], b.embedding::double[])) / 2, 6) score from embeddings a join embeddings b on a.vec_id = 3 and b.vec_id <> 3 where (1 + list_cosine_similarity(a.embedding::double[], b.embedding::double[])) / 2 >= 0.6 order by score desc, b.vec_id limit 10")
+def find_duplicates(spark, d):
+    return dedup.find_duplicates(3, _read(spark, d, "embeddings"), 0.6).select("vec_id", F.round("score", 6).alias("score"))
+
+
+_EDGE = "select a.vec_id a, b.vec_id b, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) score from embeddings a join embeddings b on a.vec_id < b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= "
+
+
+@query(f"select a, b, round(score, 6) score from ({_EDGE} 0.35)")
+def similarity_join(spark, d):
+    return dedup.similarity_edges(_read(spark, d, "embeddings"), 0.35).select("a", "b", F.round("score", 6).alias("score"))
+
+
+_COMP = f"""with recursive e as ({_EDGE} 0.4), u as (select a, b from e union select b, a from e),
+  reach as (select vec_id a, vec_id b from embeddings union select r.a, u.b from reach r join u on r.b = u.a),
+  comp as (select a face, min(b) component from reach group by a), sz as (select component, count(*) size from comp group by component)"""
+
+
+@query(_COMP + " select face, component, size, case when size >= 2 then 'person_' || sha256(cast(component as varchar))[1:12] end person_id from comp join sz using (component)")
+def auto_cluster_faces(spark, d):
+    """Connected components of the similarity graph."""
+    return identity.cluster_faces(_read(spark, d, "embeddings"), 0.4)
+
+
+@query(_COMP + " select count(distinct case when size >= 2 then component end) persons_created, count(case when size >= 2 then 1 end) faces_assigned, count(case when size < 2 then 1 end) singletons from comp join sz using (component)")
+def face_cluster_summary(spark, d):
+    return identity.cluster_summary(identity.cluster_faces(_read(spark, d, "embeddings"), 0.4))
+
+
+@query()
+def greedy_duplicate_groups(spark, d):
+    """Offline greedy grouping; tested against the sequential scan."""
+    edges = dedup.similarity_edges(_read(spark, d, "embeddings"), 0.4)
+    return dedup.label_groups(dedup.greedy_groups(edges), edges)
+
+
+# ---- clusters ----
+
+
+@query(_ASG + " select vec_id, cast(cluster_id as int) cluster_id, round(cluster_distance, 6) cluster_distance from asg")
+def assign_clusters(spark, d):
+    return _assigned(spark, d).select("vec_id", "cluster_id", F.round("cluster_distance", 6).alias("cluster_distance"))
+
+
+@query(_ASG + " select cast(cluster_id as int) cluster_id, count(*) count, round(avg(cluster_distance), 6) avg_distance, round(min(cluster_distance), 6) min_distance from asg group by cluster_id order by count desc, cluster_id limit 10000")
+def cluster_stats(spark, d):
+    return cluster.cluster_stats(_assigned(spark, d)).withColumns({c: F.round(c, 6) for c in ("avg_distance", "min_distance")})
+
+
+@query(_ASG + """, z as (select c.cid, count(asg.vec_id) n from c left join asg on asg.cluster_id = c.cid group by c.cid), t as (select count(*) n_clusters, sum(n)::bigint n_vectors, sum(n) / count(*) avg_size,
+  coalesce(min(case when n > 0 then n end), 0) min_size, coalesce(max(n), 0) max_size, count(case when n = 0 then 1 end) empty_clusters from z),
+  r as (select *, round(max_size / min_size, 6) imbalance, round(empty_clusters / n_clusters, 6) empty_ratio, round((n_vectors - 400) / 400, 6) growth_ratio from t)
+  select * exclude (avg_size), round(avg_size, 6) avg_size, case when imbalance > 10 then 'imbalance' when empty_ratio > 0.1 then 'empty' when growth_ratio > 0.5 then 'growth' else 'balanced' end reason,
+  imbalance > 10 or empty_ratio > 0.1 or growth_ratio > 0.5 needs_rebalance from r""")
+def cluster_balance(spark, d):
+    out = cluster.check_balance(_assigned(spark, d), _centroids(spark, d), trained_on=400)
+    return out.withColumns({c: F.round(c, 6) for c in ("avg_size", "imbalance", "empty_ratio", "growth_ratio")})
+
+
+@query(_ASG + ", z as (select cast(cluster_id as int) cluster_id, count(*) size from asg group by cluster_id having count(*) >= 20) select cluster_id, size, count(*) over () total_albums from z order by size desc, cluster_id limit 100")
+def albums(spark, d):
+    return cluster.albums(_assigned(spark, d), min_size=20)
+
+
+@query(_ASG + " select vec_id, cast(cluster_id as int) cluster_id, round(cluster_distance, 6) cluster_distance from asg where cluster_id = 3 order by asg.cluster_distance, vec_id limit 10 offset 10")
+def cluster_members(spark, d):
+    return cluster.members(_assigned(spark, d), 3, page=1, size=10).withColumn("cluster_distance", F.round("cluster_distance", 6))
+
+
+_PROBE = f"""with {_CEN}, p as (select vec_id query_id, cid cluster_id, row_number() over (partition by vec_id order by list_cosine_similarity(embedding::double[], v) desc, cid) r from embeddings, c where vec_id < 5)"""
+
+
+@query(_PROBE + " select query_id, cast(cluster_id as int) cluster_id, cast(r as int) rank from p where r <= 3")
+def cluster_probe(spark, d):
+    out = cluster.probe(_queries_of(spark, d), _centroids(spark, d), 3)
+    return out.select("query_id", F.col("cluster_id").cast("int").alias("cluster_id"), "rank")
+
+
+@query()
+def train_clusters(spark, d):
+    """k-means model: one row a centroid."""
+    return cluster.train(_read(spark, d, "embeddings"), n_clusters=10, max_iter=10)
+
+
+# ---- exact duplicates and groups ----
+
+
+@query(f"with {_DUP} select duplicate_group_id, count(*) member_count, coalesce(cast(min(case when is_duplicate_primary then image_id end) as varchar), '') primary_id from dup where duplicate_group_id is not null group by 1 having count(*) >= 2 order by 2 desc, 1 limit 10 offset 5")
+def duplicate_groups(spark, d):
+    out = dedup.list_groups(_duplicates(spark, d).withColumn("image_id", F.col("image_id").cast("string")), page=0, size=15).offset(5)
+    return out
+
+
+@query(f"with {_DUP} select count(*) total, count(duplicate_group_id) grouped, count(*) - count(duplicate_group_id) ungrouped, count(distinct duplicate_group_id) num_groups, round(count(duplicate_group_id) / count(distinct duplicate_group_id), 6) avg_group_size from dup")
+def duplicate_stats(spark, d):
+    return dedup.duplicate_stats(_duplicates(spark, d)).withColumn("avg_group_size", F.round("avg_group_size", 6))
+
+
+@query(f"with {_DUP}, g as (select max(duplicate_group_id) k from dup) select image_id, is_duplicate_primary, round(duplicate_score, 6) duplicate_score from dup, g where duplicate_group_id = k order by is_duplicate_primary desc, duplicate_score desc, image_id limit 1000")
+def duplicate_group_members(spark, d):
+    rows = _duplicates(spark, d)
+    key = rows.agg(F.max("duplicate_group_id")).first()[0]
+    return dedup.group_members(rows, key).select("image_id", "is_duplicate_primary", F.round("duplicate_score", 6).alias("duplicate_score"))
+
+
+@query(f"""with {_DUP}, g as (select duplicate_group_id k, image_id p from dup where is_duplicate_primary order by duplicate_group_id limit 1),
+  nxt as (select image_id from dup, g where duplicate_group_id = k and image_id <> p order by duplicate_score desc, image_id limit 1)
+  select dup.image_id, case when dup.image_id <> g.p then duplicate_group_id end duplicate_group_id, case when dup.image_id = g.p then null when dup.image_id in (select image_id from nxt) then true else is_duplicate_primary end is_duplicate_primary from dup, g where duplicate_group_id = k""")
+def remove_from_group(spark, d):
+    rows = _duplicates(spark, d)
+    head = rows.where("is_duplicate_primary").orderBy("duplicate_group_id").first()
+    ids = rows.where(F.col("duplicate_group_id") == head.duplicate_group_id).select("image_id")
+    out = dedup.remove_from_group(rows, head.image_id)
+    return out.join(ids, "image_id", "left_semi").select("image_id", "duplicate_group_id", "is_duplicate_primary")
+
+
+@query(f"""with {_DUP}, g as (select duplicate_group_id k, row_number() over (order by duplicate_group_id) r from (select distinct duplicate_group_id from dup where duplicate_group_id is not null)),
+  f as (select k from g where r = 1) select image_id, f.k duplicate_group_id, case when r = 1 then is_duplicate_primary else false end is_duplicate_primary from dup join g on duplicate_group_id = g.k, f where r <= 3""")
+def merge_groups(spark, d):
+    rows = _duplicates(spark, d)
+    keys = [r[0] for r in rows.where("duplicate_group_id is not null").select("duplicate_group_id").distinct().orderBy("duplicate_group_id").limit(3).collect()]
+    return dedup.merge_groups(rows, keys).where(F.col("duplicate_group_id") == keys[0]).select("image_id", "duplicate_group_id", "is_duplicate_primary")
+
+
+@query("select n.doc_id image_id, min(o.doc_id) existing_id from documents n left join documents o on sha256(n.text) = sha256(o.text) and o.doc_id % 2 = 0 where n.doc_id % 2 = 1 group by n.doc_id")
+def hash_lookup(spark, d):
+    docs = _read(spark, d, "documents").select(F.col("doc_id").alias("image_id"), F.sha2("text", 256).alias("imohash"))
+    return dedup.hash_lookup(docs.where("image_id % 2 = 1"), docs.where("image_id % 2 = 0")).select("image_id", "existing_id")
+
+
+@query("select doc_id image_id from documents where doc_id % 2 = 1 and sha256(text) not in (select sha256(text) from documents where doc_id % 2 = 0)")
+def hash_to_process(spark, d):
+    docs = _read(spark, d, "documents").select(F.col("doc_id").alias("image_id"), F.sha2("text", 256).alias("imohash"))
+    return dedup.to_process(docs.where("image_id % 2 = 1"), docs.where("image_id % 2 = 0")).select("image_id")
+
+
+# ---- persons ----
+
+
+@query(f"with {_FACE}, g as (select person_id, count(*) face_count, max(confidence) m from face where person_id is not null group by 1) select g.person_id, face_count, f.face_id reference_face_id, f.person_name from g join lateral (select face_id, person_name from face where face.person_id = g.person_id and confidence = m order by face_id limit 1) f on true order by face_count desc, g.person_id limit 100")
+def persons(spark, d):
+    return identity.list_persons(_faces(spark, d))
+
+
+@query(f"with {_FACE} select face_id, round(confidence, 6) confidence from face where person_id = 'person_4' order by face.confidence desc, face_id limit 20")
+def person_faces(spark, d):
+    return identity.person_faces(_faces(spark, d), "person_4", 20).select("face_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"with {_FACE} select case when person_id in ('person_2', 'person_3') then 'person_1' else person_id end person_id, case when person_id in ('person_2', 'person_3') then person_id end merged_from, count(*) n from face group by 1, 2")
+def merge_persons(spark, d):
+    return identity.merge_persons(_faces(spark, d), ["person_2", "person_3"], "person_1").groupBy("person_id", "merged_from").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_FACE} select face_id, case when person_id = 'person_5' then 'person_' || face_id else person_id end person_id, case when coalesce(person_id, '') = 'person_5' then null else person_name end person_name from face")
+def dissolve_person(spark, d):
+    return identity.delete_person(_faces(spark, d), "person_5", dissolve=True).select("face_id", "person_id", "person_name")
+
+
+@query(f"with {_FACE} select face_id, case when face_id = 'face_7' then 'person_9' else person_id end person_id, case when face_id = 'face_7' then false else is_reference end is_reference, case when face_id = 'face_7' then person_id end previous_person_id from face")
+def reassign_face(spark, d):
+    return identity.reassign(_faces(spark, d), "face_7", "person_9").select("face_id", "person_id", "is_reference", "previous_person_id")
+
+
+@query("select a.vec_id a, b.vec_id b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) similarity, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.2 is_match from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 where a.vec_id < 50")
+def verify_faces(spark, d):
+    e = _read(spark, d, "embeddings")
+    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
+    similarity, match = identity.verify(F.col("va"), F.col("vb"), 0.2)
+    return a.where("a < 50").join(b, F.col("b") == F.col("a") + 1).select("a", "b", similarity, match)
+
+
+# ---- routing and ingest ----
+
+
+@query(f"with {_DET} select {_CAT} category, class_id, case class_id when 0 then 'person' when 2 then 'car' when 3 then 'motorcycle' when 5 then 'bus' when 7 then 'truck' when 8 then 'boat' else 'class_' || cast(class_id as varchar) end class_name, count(*) n, round(avg(confidence), 6) confidence from det group by 1, 2, 3")
+def route_detections(spark, d):
+    x = _detections(spark, d)
+    return x.groupBy(S.category(F.col("class_id")).alias("category"), "class_id", S.class_name(F.col("class_id")).alias("class_name")).agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
+
+
+@query(f"with {_DET} select count(distinct image_id) images, count(case when {_CAT} = 'person' then 1 end) people, count(case when {_CAT} = 'vehicle' then 1 end) vehicles, count(case when {_CAT} = 'other' then 1 end) skipped from det")
+def ingest_counters(spark, d):
+    return ingest.counters(_detections(spark, d))
+
+
+@query(f"with {_DET}, v as (select *, row_number() over (partition by image_id order by box_index) - 1 n from det where {_CAT} = 'vehicle') select image_id, box_index, image_id || '_box_' || cast(box_index as varchar) detection_id from v where n = 1")
+def nth_vehicle(spark, d):
+    out = ingest.nth_of_category(_detections(spark, d), "vehicle", 1)
+    return out.select("image_id", "box_index", S.ordinal_id(F.col("image_id"), "box", F.col("box_index")).alias("detection_id"))
+
+
+@query(f"""with {_DET}, {_IMG}, v as (select image_id, count(*) n from det where {_CAT} = 'vehicle' group by 1), p as (select image_id, count(*) n from det where {_CAT} = 'person' group by 1)
+  select img.image_id, coalesce(v.n, 0) vehicles, coalesce(p.n, 0) people, coalesce(v.n, 0) + coalesce(p.n, 0) num_detections from img left join v using (image_id) left join p using (image_id)""")
+def image_summary(spark, d):
+    branches = ingest.route(_detections(spark, d))
+    return ingest.image_summary(_images(spark, d), {"vehicles": branches["vehicles"], "people": branches["people"]}).drop("indexed_in")
+
+
+@query("select 'conv_' || cast(conv_id as varchar) || '_ocr_' || cast(i - 1 as varchar) ocr_id, t[i] \"text\" from (select conv_id, list(text order by turn) t from conversations group by conv_id), unnest(range(1, least(len(t), 4) + 1)) u(i) where trim(t[i]) <> ''")
+def ocr_rows(spark, d):
+    """Text arrays of images to rows; the scores have four entries, so the zip stops there."""
+    c = _read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    four = F.array(*(F.lit(x) for x in (0.9, 0.8, 0.7, 0.6)))
+    arrays = c.select(F.concat(F.lit("conv_"), F.col("conv_id").cast("string")).alias("image_id"), F.col("t.text").alias("texts"), F.transform("t", lambda x: F.array(F.lit(0.0))).alias("boxes"), four.alias("det_scores"), four.alias("rec_scores"))
+    return ingest.explode_ocr(arrays).select("ocr_id", "text")
+
+
+@query(f"with {_DET} select image_id, box_index, round(confidence, 6) confidence from det where confidence >= 0.9 and x1 >= 0 and y1 >= 0 and x2 <= 1 and y2 <= 1 and trunc(x2 * 640) > trunc(x1 * 640) and trunc(y2 * 480) > trunc(y1 * 480)")
+def valid_confident_boxes(spark, d):
+    ok = G.valid_box(*(F.col(c) for c in ("x1", "y1", "x2", "y2")), F.lit(640), F.lit(480))
+    return _detections(spark, d).where((F.col("confidence") >= 0.9) & ok).select("image_id", "box_index", F.round("confidence", 6).alias("confidence"))
+
+
+@query("select o_orderkey, case when e > 0 and p > 0 then 'partial' when e > 0 then 'error' else 'success' end status from (select o_orderkey, o_orderkey % 3 e, o_custkey % 2 p from orders)")
+def batch_status(spark, d):
+    return _read(spark, d, "orders").select("o_orderkey", ingest.batch_status(F.col("o_custkey") % 2, F.col("o_orderkey") % 3).alias("status"))
