@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,16 +29,34 @@ def greedy_nms(boxes: np.ndarray, scores: np.ndarray, threshold: float, order: n
     return keep
 
 
+def _within_groups(rows: DataFrame, keys: list[str], pick: Callable[[list[dict]], list[int]]) -> DataFrame:
+    """Rows of bounded groups that ``pick`` chooses (by place in the group).
+
+    Groups travel as one array a row, so many small groups share an Arrow batch.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    packed = rows.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("group"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("group")
+            chosen = [[group[i] for i in pick(group)] for group in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(chosen, batch.schema.field(at).type)], schema=batch.schema)
+
+    return packed.mapInArrow(run, packed.schema).select(*keys, F.inline("group")).select(*rows.columns)
+
+
 def nms(detections: DataFrame, threshold: float = 0.4, min_score: float = 0.0, per_class: bool = True, cap: int = 300) -> DataFrame:
     """Greedy suppression in each image (and class). One image's boxes are a bounded group: the detector gives at most a few hundred."""
     rows = detections.where(F.col("confidence") >= min_score)
     keys = ["image_id", "class_id"] if per_class else ["image_id"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("box_index").reset_index(drop=True)
-        return pdf.iloc[greedy_nms(pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf.confidence.to_numpy(float), threshold)]
+    def pick(group: list[dict]) -> list[int]:
+        places = sorted(range(len(group)), key=lambda i: group[i]["box_index"])
+        boxes = np.array([[group[i][c] for c in ("x1", "y1", "x2", "y2")] for i in places], float)
+        return [places[k] for k in greedy_nms(boxes, np.array([group[i]["confidence"] for i in places], float), threshold)]
 
-    kept = rows.groupBy(*keys).applyInPandas(run, rows.schema)
+    kept = _within_groups(rows, keys, pick)
     order = W.partitionBy("image_id").orderBy(F.desc("confidence"), "box_index")
     return kept.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= cap).drop("_r")
 
@@ -51,17 +71,16 @@ def match_detections(reference: DataFrame, test: DataFrame, threshold: float = 0
     box = lambda p: tuple(F.col(f"{p}_{c}") for c in ("x1", "y1", "x2", "y2"))
     pairs = a.join(b, ["image_id", "class_id"]).withColumn("iou", iou(box("r"), box("t"))).where(F.col("iou") >= threshold).select("image_id", "ref", "test", "iou", F.abs(F.col("r_confidence") - F.col("t_confidence")).alias("gap"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for ref, group in pdf.sort_values(["ref", "iou", "test"], ascending=[True, False, True]).groupby("ref", sort=True):
-            for row in group.itertuples():
-                if row.test not in used:
-                    used.add(row.test)
-                    out.append(row.Index)
-                    break
-        return pdf.loc[out]
-
-    return pairs.groupBy("image_id").applyInPandas(run, pairs.schema)
+    def pick(group: list[dict]) -> list[int]:
+        seen, used, out = set(), set(), []
+        for i in sorted(range(len(group)), key=lambda i: (group[i]["ref"], -group[i]["iou"], group[i]["test"])):
+            if group[i]["ref"] not in seen and group[i]["test"] not in used:
+                seen.add(group[i]["ref"])
+                used.add(group[i]["test"])
+                out.append(i)
+        return out
+
+    return _within_groups(pairs, ["image_id"], pick)
 
 
 def comparison_metrics(matches: DataFrame, n_reference: int, n_test: int) -> DataFrame:

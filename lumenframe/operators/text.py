@@ -20,9 +20,12 @@ def tokens(text: Column) -> Column:
 def ngrams(toks: Column, low: int = 2, high: int = 4) -> Column:
     """Character n-grams of each token; a token shorter than n has none of that length."""
 
+    def of_length(t: Column, n: int) -> Column:
+        starts = F.when(F.length(t) >= n, F.sequence(F.lit(1), F.length(t) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(t, i, F.lit(n)))
+
     def of(t: Column) -> Column:
-        parts = [F.transform(F.when(F.length(t) >= n, F.sequence(F.lit(1), F.length(t) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i, n=n: F.substring(t, i, F.lit(n))) for n in range(low, high + 1)]
-        return F.concat(*parts)
+        return F.concat(*(of_length(t, n) for n in range(low, high + 1)))
 
     return F.flatten(F.transform(toks, of))
 
