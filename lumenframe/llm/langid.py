@@ -180,5 +180,6 @@ def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` without the documents that have no language (no text, or no letter)."""
     held = F.coalesce(fold(F.col(id_col), 4) == 2, F.lit(False))
     prototypes = train_prototypes(docs.where(~held), text_col, lang_col)
-    named = predict_language(docs, prototypes, text_col)
-    return named.where(F.col("lang_pred") != UNKNOWN).select(*(named[c] for c in docs.columns))
+    safe = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(docs.columns)))  # own columns may be named like the result's
+    named = predict_language(safe, prototypes, f"k{docs.columns.index(text_col)}").where(F.col("lang_pred") != UNKNOWN)
+    return named.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)))

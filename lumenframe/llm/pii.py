@@ -39,6 +39,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: What an unseen identifier looks like: a token with at least three digits, or one with an at sign between word characters.
 _LIKE = re.compile(r"(?=(?:[^0-9]*[0-9]){3})[A-Za-z0-9+(\[#][\w.()/+#-]{3,}|\w[\w.+-]*@\w[\w.-]*")
+_MARKED = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _OUTSIDE = "\"'([{<>}]),;:!?."
 
@@ -161,12 +162,13 @@ def _slot_batches(patterns: frozenset):
                 taken = None
                 for key, start, token in _slots(text, patterns):
                     skip, bare = _bare(token)
-                    if not _LIKE.fullmatch(bare):
+                    if not _MARKED.search(token):
                         found[key, ""] += 1
                         continue
                     taken = base_spans(text) if taken is None else taken
-                    if not any(s < start + skip + len(bare) and start + skip < e for s, _, e in taken):
-                        found[key, hashlib.blake2b(bare.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()] += 1
+                    if any(s < start + len(token) and start < e for s, _, e in taken):
+                        continue  # a seed; counted with the seeds
+                    found[key, hashlib.blake2b(bare.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest() if _LIKE.fullmatch(bare) else ""] += 1
             keys = list(found)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], ["pattern", "instance", "n"])
 
