@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenframe.catalog import _DET, _IMG, _detections, _images, _read, query
+from lumenframe.catalog import _ASG, _DET, _IMG, _KNN, _assigned, _centroids, _detections, _images, _queries_of, _read, query
 from lumenframe.functions import geometry as G
 from lumenframe.functions import scalars as S
 from lumenframe.functions.vectors import l2_norm
-from lumenframe.operators import detect, metrics, store, text
+from lumenframe.operators import cluster, dedup, detect, metrics, search, store, text
 
 # ---- full text ----
 
@@ -328,3 +328,77 @@ def encode_contents(spark, d):
     from lumenframe.plans.embed import HashEncoder, encode
 
     return encode(_read(spark, d, "pages"), "page_id", "html", HashEncoder)
+
+
+# ---- probing, routing, ingest-time groups, operations ----
+
+@query(f"""{_ASG}, pr as (select vec_id query_id, cid cluster_id, row_number() over (partition by vec_id order by list_cosine_similarity(embedding::double[], v) desc, cid) r from embeddings, c where vec_id < 5),
+  k as (select z.query_id, z.vec_id, z.score, row_number() over (partition by z.query_id order by z.score desc, z.vec_id) rk from ({_KNN}) z join asg using (vec_id) join pr on pr.query_id = z.query_id and pr.cluster_id = asg.cluster_id and pr.r <= 3)
+  select query_id, vec_id, round(score, 6) score, cast(rk as int) rank from k where rk <= 5""")
+def ivf_search(spark, d):
+    items = _read(spark, d, "embeddings").join(_assigned(spark, d).select("vec_id", "cluster_id"), "vec_id")
+    probes = cluster.probe(_queries_of(spark, d), _centroids(spark, d), 3).select("query_id", F.col("cluster_id").cast("int").alias("cluster_id"))
+    return search.ivf_search(_queries_of(spark, d), items, probes, 5).withColumn("score", F.round("score", 6))
+
+
+@query(f"""select query_id, tbl as "table", vec_id, round(score, 6) score, cast(r as int) rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) r from (
+  select *, case when query_id = 0 then 'people' when query_id in (2, 3) then 'vehicles' else 'global' end tbl from ({_KNN})) where tbl = 'global' or tbl = 'people' and label = 0 or tbl = 'vehicles' and label in (2, 3, 5, 7, 8)) where r <= 4""")
+def routed_search(spark, d):
+    e = _read(spark, d, "embeddings")
+    queries = _queries_of(spark, d).withColumn("category", S.category(F.when(F.col("query_id") == 0, 0).when(F.col("query_id").isin(2, 3), 2).otherwise(9)))
+    tables = {"people": e.where("label = 0"), "vehicles": e.where(F.col("label").isin(2, 3, 5, 7, 8)), "global": e}
+    return search.routed_search(queries, tables, 4, exclude_self=True).withColumn("score", F.round("score", 6))
+
+
+@query("""with old as (select *, case when vec_id % 4 = 0 then 'g' || vec_id end g from embeddings where vec_id >= 20), n as (select a.vec_id q, o.vec_id, o.g, (1 + list_cosine_similarity(a.embedding::double[], o.embedding::double[])) / 2 s from embeddings a, old o where a.vec_id < 20),
+  r as (select *, row_number() over (partition by q order by s desc, vec_id) k from n), t as (select * from r where k <= 10 and s >= 0.62),
+  b as (select q, min_by(vec_id, k) mate, min_by(g, k) filter (where g is not null) f, max(s) top from t group by q), fr as (select *, row_number() over (partition by mate order by q) z from b where f is null),
+  h as (select *, 'dup_' || sha256(cast(q as varchar))[1:12] g from fr where z = 1)
+  select q id, f duplicate_group_id, false is_duplicate_primary, round(top, 6) duplicate_score from b where f is not null union all select q, g, true, 1.0 from h union all select mate, g, false, round(top, 6) from h""")
+def ingest_groups(spark, d):
+    e = _read(spark, d, "embeddings")
+    indexed = e.where("vec_id >= 20").withColumn("duplicate_group_id", F.when(F.col("vec_id") % 4 == 0, F.concat(F.lit("g"), F.col("vec_id").cast("string"))))
+    return dedup.assign_to_groups(e.where("vec_id < 20"), indexed, 0.62).withColumn("duplicate_score", F.round("duplicate_score", 6))
+
+
+@query("with l as (select user_id, ts, event_id, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) g from (select user_id, ts, min(event_id) event_id from events group by user_id, ts)) select user_id, event_id from l where g is null or g >= 21600000000")
+def rebalance_cooldown(spark, d):
+    runs = _read(spark, d, "events").groupBy("user_id", "ts").agg(F.min("event_id").alias("event_id"))
+    return metrics.cooled_down(runs, 6.0, "user_id").select("user_id", "event_id")
+
+
+@query("select o_orderkey, least(0.1 * pow(2.0, o_custkey % 8), 5.0) delay from orders")
+def retry_delays(spark, d):
+    return _read(spark, d, "orders").select("o_orderkey", metrics.retry_delay(F.col("o_custkey") % 8).alias("delay"))
+
+
+@query()
+def cache_replay(spark, d):
+    """TTL cache on a request log; tested against a sequential cache."""
+    return metrics.cache_replay(_read(spark, d, "events"), 3600.0, "user_id")
+
+
+@query("select 'documents' as \"table\", count(*) total_documents from documents union all select 'embeddings', count(*) from embeddings union all select 'pages', count(*) from pages")
+def table_stats(spark, d):
+    return metrics.table_stats({n: _read(spark, d, n) for n in ("documents", "embeddings", "pages")})
+
+
+@query("with t as (select event_type, ts, event_id, event_id * 3 p from (select *, row_number() over (partition by event_type, ts order by event_id) z from events) where z = 1) select event_type, event_id, round(coalesce((p - lag(p) over w) / ((epoch_us(ts) - lag(epoch_us(ts)) over w) / 1e6), 0), 6) interval_rate from t window w as (partition by event_type order by ts)")
+def interval_rates(spark, d):
+    one = W.partitionBy("event_type", "ts").orderBy("event_id")
+    ticks = _read(spark, d, "events").withColumn("z", F.row_number().over(one)).where("z = 1").withColumn("processed", F.col("event_id") * 3)
+    return metrics.interval_rates(ticks, series="event_type").select("event_type", "event_id", F.round("interval_rate", 6).alias("interval_rate"))
+
+
+@query("select doc_id from documents where text = (select min(text) from documents where length(text) > 100)")
+def exact_text(spark, d):
+    docs = _read(spark, d, "documents")
+    wanted = docs.where(F.length("text") > 100).agg(F.min("text").alias("wanted"))
+    return docs.join(F.broadcast(wanted), F.col("text") == F.col("wanted"), "left_semi").select("doc_id")
+
+
+@query()
+def detection_comparison(spark, d):
+    det = _detections(spark, d)
+    shifted = det.withColumn("x1", F.col("x1") + 0.02)
+    return detect.comparison_metrics(detect.match_detections(det, shifted), det.count(), shifted.count())

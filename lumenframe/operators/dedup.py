@@ -129,3 +129,26 @@ def merge_groups(rows: DataFrame, groups: list[str]) -> DataFrame:
         raise ValueError("merging takes two groups at least")
     moved = F.col(GROUP).isin(groups[1:])
     return rows.withColumn(PRIMARY, F.when(moved, False).otherwise(F.col(PRIMARY))).withColumn(GROUP, F.when(moved, groups[0]).otherwise(F.col(GROUP)))
+
+
+def assign_to_groups(incoming: DataFrame, indexed: DataFrame, threshold: float = 0.99, k: int = 10, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """Group changes for newly arrived items against the indexed ones: ``id, duplicate_group_id, is_duplicate_primary, duplicate_score``.
+
+    Among the k best neighbours with search score >= threshold, the first that has a group gives it to the new item;
+    otherwise a group is made of the new item (primary) and its best neighbour. Items of one batch don't see each other;
+    run batches in order. If two new items take the same neighbour, the smaller id does.
+    """
+    from lumenframe.operators.search import knn_join
+
+    wanted = incoming.select(F.col(id_col).alias("query_id"), F.col(vec).alias("query_vec"))
+    near = knn_join(wanted, indexed, k, min_score=threshold, exclude_self=True, item_id=id_col, item_vec=vec)
+    grouped = F.col(GROUP).isNotNull()
+    best = near.groupBy("query_id").agg(
+        F.min_by(F.struct(id_col, "score"), "rank").alias("first"), F.min_by(GROUP, F.when(grouped, F.col("rank"))).alias("found"), F.max("score").alias("top")
+    )
+    joins = best.where(F.col("found").isNotNull()).select(F.col("query_id").alias("id"), F.col("found").alias(GROUP), F.lit(False).alias(PRIMARY), F.col("top").alias(SCORE))
+    fresh = best.where(F.col("found").isNull()).withColumn("mate", F.col("first")[id_col])
+    fresh = fresh.withColumn("_r", F.row_number().over(W.partitionBy("mate").orderBy("query_id"))).where("_r = 1").withColumn(GROUP, stable_id("dup_", F.col("query_id")))
+    heads = fresh.select(F.col("query_id").alias("id"), GROUP, F.lit(True).alias(PRIMARY), F.lit(1.0).alias(SCORE))
+    mates = fresh.select(F.col("mate").alias("id"), GROUP, F.lit(False).alias(PRIMARY), F.col("top").alias(SCORE))
+    return joins.unionByName(heads).unionByName(mates)

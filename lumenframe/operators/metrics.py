@@ -85,3 +85,41 @@ def interval_rates(ticks: DataFrame, ts: str = "ts", processed: str = "processed
     w = W.partitionBy(series).orderBy(ts)
     seconds = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp"))) / 1e6
     return ticks.withColumn("interval_rate", ratio(F.col(processed) - F.lag(processed).over(w), seconds))
+
+
+def cooled_down(runs: DataFrame, min_hours: float, key: str = "index_name", ts: str = "ts") -> DataFrame:
+    """Runs that come at least ``min_hours`` after the one before (the first always does)."""
+    before = F.lag(ts).over(W.partitionBy(key).orderBy(ts))
+    hours = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / 3.6e9
+    return runs.withColumn("hours_since", hours).where(F.col("hours_since").isNull() | (F.col("hours_since") >= min_hours))
+
+
+def cache_replay(requests: DataFrame, ttl_seconds: float, key: str = "key", ts: str = "ts") -> DataFrame:
+    """``hit`` of each request if entries live ``ttl_seconds`` from their last write: a miss writes, a hit does not.
+
+    Requests within the TTL of a key's last miss are hits. The chain of misses of one key is sequential, so it is folded
+    over the key's request times, a bounded state of two numbers a step.
+    """
+    times = F.array_sort(F.collect_list(F.unix_micros(F.col(ts).cast("timestamp"))))
+    start = F.struct(F.lit(None).cast("long").alias("written"), F.lit(0).cast("long").alias("hits"))
+
+    def step(acc, t):
+        fresh = F.coalesce(t - acc["written"] <= int(ttl_seconds * 1_000_000), F.lit(False))
+        return F.struct(F.when(fresh, acc["written"]).otherwise(t).alias("written"), (acc["hits"] + F.when(fresh, 1).otherwise(0)).alias("hits"))
+
+    folded = requests.groupBy(key).agg(F.count("*").alias("requests"), F.aggregate(times, start, step, lambda acc: acc["hits"]).alias("hits"))
+    return folded.withColumn("hit_rate", ratio(F.col("hits"), F.col("requests")))
+
+
+def retry_delay(attempt: Column, base: float = 0.1, most: float = 5.0) -> Column:
+    """Seconds before a retry: base x 2^attempt, at most ``most`` (jitter is the caller's)."""
+    return F.least(base * F.pow(F.lit(2.0), attempt), F.lit(most))
+
+
+def table_stats(tables: dict[str, DataFrame]) -> DataFrame:
+    """``table, total_documents`` of each table, in one union."""
+    out = None
+    for name, df in tables.items():
+        part = df.agg(F.count("*").alias("total_documents")).select(F.lit(name).alias("table"), "total_documents")
+        out = part if out is None else out.unionByName(part)
+    return out
