@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenframe.functions.scalars import stable_id
-from lumenframe.functions.vectors import cosine
-from lumenframe.plans.storage import materialize
+from lumenframe.functions.vectors import cosine, l2_normalize
+from lumenframe.plans.storage import broadcast_if_small, materialize
+
+#: Block pairs in one Arrow batch.
+BLOCK_ROWS = 64
 
 GROUP, PRIMARY, SCORE = "duplicate_group_id", "is_duplicate_primary", "duplicate_score"
 
@@ -24,31 +32,52 @@ def to_process(incoming: DataFrame, indexed: DataFrame, hash_col: str = "imohash
     return incoming.join(indexed.select(hash_col), hash_col, "left_anti")
 
 
-def similarity_edges(items: DataFrame, threshold: float, id_col: str = "vec_id", vec: str = "embedding", block: int = 2048, limit: float = 1.0) -> DataFrame:
+def similarity_edges(items: DataFrame, threshold: float, id_col: str = "vec_id", vec: str = "embedding", block: int = 128) -> DataFrame:
     """``(a, b, score)`` with a < b and raw cosine >= threshold, exactly.
 
-    Unit vectors within a threshold differ little along any direction: by Cauchy-Schwarz, |a.r - b.r| <= |a - b| =
-    sqrt(2 - 2 threshold) for a unit direction r. Vectors are cut into bands of that width along one fixed direction;
-    only equal or adjacent bands can hold a pair, so the join is on band keys and not on all pairs. A hot band is spread by
-    AQE's skew join.
+    Unit vectors within a threshold differ little along any direction: |x.r - y.r| <= |x - y| = sqrt(2 - 2 threshold) for
+    a unit direction r. Vectors are cut into bands of that width along one fixed direction; only equal or adjacent
+    bands can hold a pair. A band is dealt to blocks of about ``block`` vectors, and pairs of blocks meet by a join on the
+    band; a matrix product scores them, so a dense band is many small tasks and only pairs over the threshold come out.
+    Zero vectors have no cosine and no pairs.
     """
-    import math
-
-    from lumenframe.functions.vectors import dot, l2_normalize
-
     width = max(math.sqrt(max(0.0, 2 - 2 * threshold)), 1e-6) * (1 + 1e-9)
+    items.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BLOCK_ROWS)  # a row holds two blocks of vectors
     base = items.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), l2_normalize(F.col(vec)).alias("v"))
     # direction with pseudo-random signs: sum of +-x / sqrt(n)
     signed = F.transform("v", lambda x, i: F.when(F.pmod(F.xxhash64(i), F.lit(2)) == 0, x).otherwise(-x))
     along = F.aggregate(signed, F.lit(0.0), lambda acc, x: acc + x) / F.sqrt(F.greatest(F.size("v"), F.lit(1)).cast("double"))
-    base = base.withColumn("band", F.floor(along / width).cast("int"))
-    left = base.select(F.col("id").alias("x"), F.col("v").alias("vx"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    right = base.select(F.col("id").alias("y"), F.col("v").alias("vy"), "band", F.col("band").alias("by"))
-    left = left.withColumn("bx", F.col("band"))
-    # A pair in one band is met once (both at band); a pair in adjacent bands is met by the lower one's second copy.
-    pairs = left.join(right, "band").where("x <> y")
-    scored = pairs.withColumn("score", dot(F.col("vx"), F.col("vy"))).where(F.col("score") >= threshold)
-    return scored.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score").groupBy("a", "b").agg(F.max("score").alias("score"))
+    base = materialize(base.withColumn("band", F.floor(along / width).cast("int")), "vectors")
+    counts = base.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    dealt = base.join(broadcast_if_small(materialize(counts, "bands")), "band").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    blocks = materialize(dealt.groupBy("band", "part").agg(F.collect_list(F.struct("id", "v")).alias("rows")), "blocks")
+    left = blocks.select(F.explode(F.array("band", F.col("band") + 1)).alias("key"), F.col("band").alias("lb"), F.col("part").alias("lp"), F.col("rows").alias("left"))
+    right = blocks.select(F.col("band").alias("key"), F.col("part").alias("rp"), F.col("rows").alias("right"))
+    pairs = left.join(right, "key").where("lb < key or lp <= rp").select("left.id", "left.v", F.col("right.id").alias("rid"), F.col("right.v").alias("rv"), (F.col("lb") == F.col("key")).alias("near"), (F.col("lp") == F.col("rp")).alias("same"))
+    kind = base.schema["id"].dataType.simpleString()
+    id_type = base.schema["id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        for batch in batches:
+            out_a, out_b, out_s = [], [], []
+            for ids, vs, rids, rvs, near, same in zip(*(batch.column(i) for i in range(6))):
+                ids, rids = ids.as_py(), rids.as_py()
+                x = vs.values.flatten().to_numpy().reshape(len(ids), -1)
+                y = rvs.values.flatten().to_numpy().reshape(len(rids), -1)
+                scores = x @ y.T
+                for i, j in zip(*np.nonzero(scores >= threshold)):
+                    a, b = ids[i], rids[j]
+                    if a == b or near.as_py() and same.as_py() and a > b:  # one block against itself
+                        continue
+                    out_a.append(min(a, b))
+                    out_b.append(max(a, b))
+                    out_s.append(float(scores[i, j]))
+            kind_ = to_arrow_type(id_type)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, kind_), pa.array(out_b, kind_), pa.array(out_s, pa.float64())], ["a", "b", "score"])
+
+    return pairs.mapInArrow(run, f"a {kind}, b {kind}, score double")
 
 
 def find_duplicates(query_id, items: DataFrame, threshold: float, k: int = 10, id_col: str = "vec_id", vec: str = "embedding", self_slot: bool = False) -> DataFrame:
