@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.langid import fold
+from lumenframe.plans.storage import broadcast_if_small, materialize
 
 #: A lexicon entry needs this many toxic training documents, this share of them, and this share of its documents toxic.
 MIN_DOCS, MIN_SHARE, MIN_PRECISION = 3, 5e-4, 0.7
@@ -338,8 +339,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     marks = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1) and label_id is not null")
     marks = marks.groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    marks = broadcast_if_small(materialize(marks, "labels"))
     labelled = rows.where(~F.col("held_out")).join(marks, F.col("doc_id") == F.col("label_id")).select("toxic", "text")
-    model = train(labelled)
+    model = train(materialize(labelled, "labelled"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     out = rows.mapInArrow(_score(model), f"doc_id {kind}, held_out boolean, score double, spans string")
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
