@@ -53,8 +53,9 @@ def rarest_terms(docs: DataFrame, windows: DataFrame, text_col: str = "text") ->
     slots = windows.select("wid", F.posexplode("terms").alias("offset", "term"))
     vocabulary = materialize(slots.select("term").distinct(), "test-terms")
     tokens = docs.select(F.explode(words(F.col(text_col))).alias("term")).join(broadcast_if_small(vocabulary), "term")
-    counts = tokens.groupBy("term").agg(F.count("*").alias("n"))
-    ranked = slots.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counts = materialize(tokens.groupBy("term").agg(F.count("*").alias("n")), "test-term-counts")
+    # Broadcast below the limit: a frequent term stands in many windows, which a join by term would gather in one task.
+    ranked = slots.join(broadcast_if_small(counts), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     order = W.partitionBy("wid").orderBy("n", "offset")
     return ranked.withColumn("rank", F.row_number().over(order)).where("rank <= 2").select("wid", "term", "offset", "rank")
 
