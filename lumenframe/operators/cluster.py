@@ -48,7 +48,8 @@ def train(vectors: DataFrame, n_clusters: int | None = None, default: int = 1024
 def _with_scores(vectors: DataFrame, centroids: DataFrame, vec: str) -> DataFrame:
     if centroids.limit(MAX_CENTROIDS + 1).count() > MAX_CENTROIDS:
         raise ValueError(f"more than {MAX_CENTROIDS} centroids")
-    return vectors.join(F.broadcast(centroids.select("cluster_id", "centroid"))).withColumn("ip", dot(l2_normalize(F.col(vec)), F.col("centroid")))
+    unit = vectors.withColumn("_unit", l2_normalize(F.col(vec)))
+    return unit.join(F.broadcast(centroids.select("cluster_id", "centroid"))).withColumn("ip", dot(F.col("_unit"), F.col("centroid")))
 
 
 def assign(vectors: DataFrame, centroids: DataFrame, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
