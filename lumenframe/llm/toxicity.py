@@ -57,40 +57,56 @@ def _features(token: str) -> list[str]:
     return ["w" + word, *["p" + word[:n] for n in PREFIXES if len(word) > n]] if word else []
 
 
-def _document_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document frequencies of features by label, combined in each task's batches."""
-    cache: dict[str, list[str]] = {}
-    for batch in batches:
-        counts = (Counter(), Counter())
-        for toxic, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            keys: set[str] = set()
-            for token in set(value.as_py().split()):
-                if token not in cache:
-                    cache[token] = _features(token)
-                keys.update(cache[token])
-            counts[toxic].update(keys)
-        keys = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([counts[1][k] for k in keys], pa.int64()), pa.array([counts[0][k] for k in keys], pa.int64())], ["feature", "toxic", "clean"])
+def _document_features(label: int, wanted: frozenset | None = None):
+    """Document frequencies of features; of ``wanted`` ones only, and then once a task, as that set is bounded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, list[str]] = {}
+        counts: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            keys = list(counts)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([counts[k] for k in keys], pa.int64())], ["feature", "n"])
+
+        for batch in batches:
+            for toxic, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if toxic != label:
+                    continue
+                if len(cache) > CACHE_WORDS:
+                    cache.clear()
+                keys: set[str] = set()
+                for token in set(value.as_py().split()):
+                    if token not in cache:
+                        found = _features(token)
+                        cache[token] = found if wanted is None else [k for k in found if k in wanted]
+                    keys.update(cache[token])
+                counts.update(keys)
+            if wanted is None:
+                yield rows()
+                counts.clear()
+        if wanted is not None:
+            yield rows()
+
+    return run
 
 
 def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], int, int]:
     """``train(toxic, text)`` -> log-odds of features that lean toxic, and the numbers of toxic and clean documents.
 
-    Clean documents are counted only for features of toxic ones, so what is shuffled follows the toxic documents.
+    A feature needs ``MIN_SHARE`` of the toxic documents, so there are at most (features a document) / MIN_SHARE of them;
+    clean documents are counted for those alone.
     """
     sizes = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return {}, n1, n0
-    schema = "feature string, toxic long, clean long"
     least = max(MIN_DOCS, int(np.ceil(MIN_SHARE * n1)))
-    toxic = train.where("toxic = 1").mapInArrow(_document_features, schema).groupBy("feature").agg(F.sum("toxic").alias("t")).where(F.col("t") >= least)
-    clean = train.where("toxic = 0").mapInArrow(_document_features, schema).groupBy("feature").agg(F.sum("clean").alias("c"))
-    both = toxic.join(clean, "feature", "left").select("feature", "t", F.coalesce("c", F.lit(0)).alias("c"))
-    rows = both.where(F.col("t") / n1 >= MIN_PRECISION / (1 - MIN_PRECISION) * F.col("c") / n0).collect()
-    return {r.feature: float(np.log((r.t + 0.5) / (n1 + 1)) - np.log((r.c + 0.5) / (n0 + 1))) for r in rows}, n1, n0
+    count = lambda label, wanted=None: train.where(F.col("toxic") == label).select("toxic", "text").mapInArrow(_document_features(label, wanted), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    toxic = {r.feature: r.n for r in count(1).where(F.col("n") >= least).collect()}
+    clean = {r.feature: r.n for r in count(0, frozenset(toxic)).collect()}
+    odds = MIN_PRECISION / (1 - MIN_PRECISION)
+    leaning = {k: (t, clean.get(k, 0)) for k, t in toxic.items() if t / n1 >= odds * clean.get(k, 0) / n0}
+    return {k: float(np.log((t + 0.5) / (n1 + 1)) - np.log((c + 0.5) / (n0 + 1))) for k, (t, c) in leaning.items()}, n1, n0
 
 
 @dataclass
