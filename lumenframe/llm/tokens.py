@@ -20,8 +20,8 @@ import numpy as np
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 # The word pattern of byte-level BPE.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct pieces a worker keeps.
-CACHE_PIECES = 400_000
+#: Distinct pieces and words a worker keeps; words cost most to encode, pieces are put together from them.
+CACHE_PIECES, CACHE_WORDS = 200_000, 800_000
 
 
 def public_path(name: str) -> str:
@@ -81,7 +81,9 @@ class PieceEncoder:
         self.of_piece = _Cache(self._piece)
 
     def _word(self, word: str) -> bytes:
-        if not (word.isascii() and word.isalnum()):
+        if word.isascii() and word[1:].isalnum() and word[0] == " ":
+            word = self.alphabet[32] + word[1:]
+        elif not (word.isascii() and word.isalnum()):
             word = word.encode("utf-8").decode("latin-1").translate(self.alphabet)
         return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
 
@@ -102,8 +104,8 @@ class PieceEncoder:
             return np.zeros(0, self.dtype)
         if self.pieces is None:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
-        for cache in (self.of_piece, self.of_word):
-            if len(cache) > CACHE_PIECES:
+        for cache, most in ((self.of_piece, CACHE_PIECES), (self.of_word, CACHE_WORDS)):
+            if len(cache) > most:
                 cache.clear()
         return np.frombuffer(b"".join(map(self.of_piece.__getitem__, self.pieces.findall(text))), self.dtype)
 
