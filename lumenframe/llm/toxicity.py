@@ -241,34 +241,47 @@ class Tagger:
             self.quiet[n] = float(m.sum()), float(m.max())
         return self.quiet[n]
 
-    def aggregate(self, text: str | None) -> tuple[np.ndarray, list[tuple[int, float]]]:
-        """Document features (loudest marginal, log sum over evidence, log length, 1) and (token index, marginal) of evident sentences."""
-        tokens = (text or "").split()
-        values = self._evidence(tokens)
-        if not any(values):
-            loud = self._quiet(min(len(tokens), 50))[1] if tokens else 0.0
-            return np.array([loud, 0.0, np.log1p(len(tokens)), 1.0]), []
-        parts = split_sentences(tokens)
-        evident = [(a, b) for a, b in parts if any(values[a:b])]
-        quiet = {b - a for a, b in parts} if len(evident) < len(parts) else set()
-        loud, sum_, found = max((self._quiet(n)[1] for n in quiet), default=0.0), 0.0, []
-        for (a, _), m in zip(evident, self.model.marginals([np.array(values[a:b]) for a, b in evident])):
-            found += [(a + int(i), float(m[i])) for i in np.flatnonzero(m >= 0.5)]
-            loud, sum_ = max(loud, float(m.max())), sum_ + float(m.sum())
-        return np.array([loud, np.log1p(sum_), np.log1p(len(tokens)), 1.0]), found
-
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, int]]]:
-        """Document probability and the offsets (code points) of toxic tokens."""
+    def score_all(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, int]]]]:
+        """Document probability and the offsets (code points) of toxic tokens, for each text.
+
+        The evident sentences of all texts are run through the chain together, alike lengths side by side.
+        """
         if not self.model.lexicon:
-            return 0.0, []
-        x, found = self.aggregate(text)
-        spans = []
-        if found:
-            places = [m.span() for m in re.finditer(r"\S+", text)]
-            tokens = text.split()
-            if len(places) == len(tokens):
-                spans = [places[i] for i, _ in found]
-        return float(1 / (1 + np.exp(-np.clip(x @ self.model.curve, -30, 30)))), spans
+            return [(0.0, []) for _ in texts]
+        features, chains = np.zeros((len(texts), 4)), []
+        for d, text in enumerate(texts):
+            tokens = (text or "").split()
+            values = self._evidence(tokens)
+            features[d, 2:] = np.log1p(len(tokens)), 1.0
+            if not any(values):
+                features[d, 0] = self._quiet(min(len(tokens), 50))[1] if tokens else 0.0
+                continue
+            for a, b in split_sentences(tokens):
+                if any(values[a:b]):
+                    chains.append((b - a, d, a, np.array(values[a:b])))
+                else:
+                    features[d, 0] = max(features[d, 0], self._quiet(b - a)[1])
+        chains.sort(key=lambda c: c[:3])
+        found: dict[int, list[int]] = {}
+        at = 0
+        while at < len(chains):
+            part = chains[at : at + max(1, 100_000 // chains[min(at + 500, len(chains) - 1)][0])]
+            at += len(part)
+            for (_, d, a, _), m in zip(part, self.model.marginals([c[3] for c in part])):
+                features[d, 0] = max(features[d, 0], float(m.max()))
+                features[d, 1] += float(m.sum())
+                if m.max() >= 0.5:
+                    found.setdefault(d, []).extend(a + int(i) for i in np.flatnonzero(m >= 0.5))
+        features[:, 1] = np.log1p(features[:, 1])
+        scores = 1 / (1 + np.exp(-np.clip(features @ self.model.curve, -30, 30)))
+        out = []
+        for d, text in enumerate(texts):
+            spans = []
+            if d in found:
+                places = [m.span() for m in re.finditer(r"\S+", text)]
+                spans = [places[i] for i in sorted(found[d])] if len(places) == len(text.split()) else []
+            out.append((float(scores[d]), spans))
+        return out
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50, ridge: float = 0.05) -> np.ndarray:
@@ -342,7 +355,7 @@ def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(model)
         for batch in batches:
-            got = [tagger.score(t.as_py()) for t in batch.column(2)]
+            got = tagger.score_all(batch.column(2).to_pylist())
             spans = [",".join(f"{a}:{b}" for a, b in s) for _, s in got]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p for p, _ in got], pa.float64()), pa.array(spans, pa.string())], ["doc_id", "held_out", "score", "spans"])
 
