@@ -3,6 +3,11 @@
 A line's frequency on a site is the number of the site's pages that hold it divided by the site's pages. Lines over
 ``max_ratio`` are boilerplate and are dropped from every page of that site.
 
+With ``passages``, lines of ``LONG_WORDS`` words and more, which don't repeat by chance, are counted over the whole corpus
+too: one that stands on ``MIN_PAGES`` pages goes, if those pages are unlike ones. Copies of a page repeat its lines among
+the same lines, so a passage must have different neighbours, or pages with different first and last lines, for half of its
+pages.
+
 Defined results: null text stays null (0 lines); blank lines are never counted nor dropped; a line is compared without
 its outer spaces; a null host is a site of its own; each row is a page, so repeated rows count again; a page whose every
 line is boilerplate is a repeated page, not a page with boilerplate, and keeps its text (near-duplicate removal is for
@@ -11,6 +16,8 @@ those); an empty table gives an empty table; further columns pass through untouc
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +26,9 @@ from lumenframe.plans.storage import BROADCAST_BYTES, materialize, stored_bytes
 MAX_RATIO = 0.025
 MIN_PAGES = 5
 SALT = 32
+#: Words of a line that is counted over all sites, and the share of its pages that must be unlike.
+LONG_WORDS, UNLIKE = 9, 0.5
+BUCKETS = 4096
 
 
 def _key(line: Column) -> Column:
@@ -49,7 +59,55 @@ def boilerplate_lines(docs: DataFrame, host_col: str = "source", text_col: str =
     return over.groupBy("host_key").agg(F.collect_set("k").alias("bad"))
 
 
-def site_line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def _long(line: Column) -> Column:
+    return F.size(F.split(F.trim(line), r"\s+")) >= LONG_WORDS
+
+
+def _bare_lines(body: Column) -> Column:
+    return F.filter(_lines(body), lambda x: F.trim(x) != "")
+
+
+def repeated_passages(docs: DataFrame, text_col: str = "text", min_pages: int = MIN_PAGES) -> DataFrame:
+    """``(k)``: keys of the long lines that stand on at least ``min_pages`` unlike pages of any site.
+
+    The distinct counts first group by (key, surroundings), so a passage on many pages is spread by its surroundings.
+    """
+    pages = docs.select(F.transform(_bare_lines(F.col(text_col)), lambda x: F.struct(F.trim(x).alias("line"), F.xxhash64(F.trim(x)).alias("h"))).alias("ls")).withColumn("page", F.monotonically_increasing_id())
+    beside = lambda i: F.get("ls.h", i)
+    around = F.transform("ls", lambda x, i: F.struct(x["line"].alias("line"), F.xxhash64(beside(i - 1), beside(i + 1), F.isnull(beside(i - 1))).alias("near")))
+    one = F.transform(F.filter(around, lambda x: _long(x["line"])), lambda x: F.struct(_key(x["line"]).alias("k"), x["near"].alias("near")))
+    ends = F.xxhash64(beside(F.lit(0)), beside(F.size("ls") - 1))
+    uses = pages.select("page", ends.alias("ends"), F.explode(one).alias("u")).select("page", "ends", "u.k", "u.near")
+    uses = uses.groupBy("page", "k").agg(F.first("ends").alias("ends"), F.min("near").alias("near"))  # a page counts once
+    counts = uses.groupBy("k").agg(F.count("*").alias("df"), F.count_distinct("near").alias("near"), F.count_distinct("ends").alias("ends"))
+    return counts.where((F.col("df") >= min_pages) & (F.greatest("near", "ends") >= UNLIKE * F.col("df"))).select("k")
+
+
+def _with_passages(rows: DataFrame, docs: DataFrame, text_col: str, min_pages: int) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """``rows`` with the passages they need, and the test whether a line is one.
+
+    A set below the limit is one broadcast row of buckets; a larger one is joined to the pages that hold its lines.
+    """
+    found = materialize(repeated_passages(docs, text_col, min_pages), "passages")
+    if stored_bytes(found) * 4 <= BROADCAST_BYTES:
+        bucket = lambda k: F.pmod(k["h1"], F.lit(BUCKETS)).cast("int")
+        lists = F.map_from_entries(F.collect_list(F.struct("b", "ks")))
+        by = found.groupBy(bucket(F.col("k")).alias("b")).agg(F.collect_list("k").alias("ks")).agg(lists.alias("m"))
+        table = by.select(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.try_element_at("m", i)).alias("passages"))
+        return rows.join(F.broadcast(table)), lambda x: _long(x) & F.coalesce(F.array_contains(F.get("passages", bucket(_key(x))), _key(x)), F.lit(False))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
+    page = lambda body: F.struct(F.xxhash64(body).alias("p1"), F.xxhash64(F.lit("page"), body).alias("p2"))
+    body = F.col(text_col)
+    keys = F.array_distinct(F.transform(F.filter(_bare_lines(body), _long), _key))
+    held = docs.select(page(body).alias("page"), F.explode(keys).alias("k")).distinct().withColumn("cut", F.pmod(F.xxhash64("page"), F.lit(SALT)).cast("int"))
+    sets = held.join(found.withColumn("cut", salts), ["k", "cut"]).groupBy("page").agg(F.collect_list("k").alias("passages"))
+    rows = rows.withColumn("page", page(F.col("body"))).withColumn("cut", F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int"))
+    return rows.join(sets.withColumn("cut", salts), ["page", "cut"], "left"), lambda x: F.coalesce(F.array_contains("passages", _key(x)), F.lit(False))
+
+
+def site_line_dedup(
+    docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, passages: bool = False
+) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text_col``, plus ``n_lines`` and ``n_dropped`` (long).
 
     The pages themselves are not shuffled while the boilerplate table is below the broadcast limit; beyond it the join
@@ -62,11 +120,12 @@ def site_line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "
     else:
         salted = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("body"), F.lit(SALT)).cast("int")).join(salted, ["host_key", "salt"], "left")
+    rows, repeated = _with_passages(rows, docs, text_col, min_pages) if passages else (rows, lambda x: F.lit(False))
     rows = rows.withColumn("lines", _lines(F.col("body")))
-    kept = F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains("bad", _key(x)))
-    rows = rows.withColumn("kept", F.when(F.col("bad").isNull(), F.col("lines")).otherwise(kept))
+    kept = F.filter("lines", lambda x: (F.trim(x) == "") | ~(F.coalesce(F.array_contains("bad", _key(x)), F.lit(False)) | repeated(x)))
+    rows = rows.withColumn("kept", kept)
     rows = rows.withColumn("whole", ~F.exists("kept", lambda x: F.trim(x) != ""))
-    text = F.when(F.col("whole") | F.col("bad").isNull(), F.col("body")).otherwise(F.array_join("kept", "\n"))
+    text = F.when(F.col("whole"), F.col("body")).otherwise(F.array_join("kept", "\n"))
     n_lines = F.coalesce(F.size(F.filter("lines", lambda x: F.trim(x) != "")), F.lit(0))
     dropped = F.when(F.col("whole") | F.col("lines").isNull(), 0).otherwise(F.size("lines") - F.size("kept"))
     out = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]

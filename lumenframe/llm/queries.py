@@ -15,6 +15,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.site_line_dedup(docs).select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
+def op1_line_dedup_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Besides a site's lines also the long ones that repeat over all sites; ``op1_line_dedup`` is held to its SQL."""
+    docs = table(spark, sf_dir, "documents")
+    return linededup.site_line_dedup(docs, passages=True).select("doc_id", "source", "text", "n_lines", "n_dropped")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -54,6 +60,7 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op1_line_dedup_passages": op1_line_dedup_passages,
     "op2_decontamination": op2_decontamination,
     "op3_order_minhash": op3_order_minhash,
     "op4_language_id": op4_language_id,

@@ -45,3 +45,20 @@ def test_salted_join_beyond_the_broadcast_limit_gives_the_same(spark, monkeypatc
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert linededup.site_line_dedup(df).collect() == []
+
+
+def test_long_passages_go_across_sites_but_copies_stay(spark, monkeypatch):
+    said = lambda tag, n=60: " ".join(f"{tag}w{j}" for j in range(n))
+    rows = [(i, f"{said(f'own{i}')}\n{said('notice')}\n{said('second')}\n{said('third')}\n{said(f'end{i}')}\nshort line", f"s{i}") for i in range(8)]
+    rows += [(20 + i, f"{said('head')}\n{said('copied')}\n{said('tail')}", f"s{i}") for i in range(8)]  # copies
+    rows += [(40 + i, f"{said('a')}\n{said('b')}\n{said('c')}\n{said('d')}\nedit {i if i < 2 else 9}", f"s{i}") for i in range(8)]  # near copies
+    rows += [(60 + i, f"{said('rare')}\nbody {i}", f"s{i}") for i in range(4)] + [(70, None, "s0"), (71, said("notice"), "s1"), (72, "", None)]
+    rows += [(80, "\n".join(f"{said('again')}\nx{j}" for j in range(9)), "s0")]  # often, but on one page
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    planted = {said(x) for x in ("notice", "second", "third")}
+    want = {i: t if i == 71 or t is None else "\n".join(x for x in t.split("\n") if x not in planted) for i, t, _ in rows}
+    for limit in (linededup.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(linededup, "BROADCAST_BYTES", limit)
+        got = linededup.site_line_dedup(df, passages=True).collect()
+        assert len(got) == len(rows) and {r.doc_id: r.text for r in got} == want
+        assert {r.n_dropped for r in got if r.doc_id < 8} == {3}
