@@ -177,9 +177,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the documents that have no language (no text, or no letter)."""
+    """``docs`` without the documents that have no language (no text, or no letter).
+
+    Without a labelled row to train on no language can be told, and only the letters decide.
+    """
     held = F.coalesce(fold(F.col(id_col), 4) == 2, F.lit(False))
     prototypes = train_prototypes(docs.where(~held), text_col, lang_col)
+    if not prototypes:
+        return docs.where(F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)))
     safe = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(docs.columns)))  # own columns may be named like the result's
     named = predict_language(safe, prototypes, f"k{docs.columns.index(text_col)}").where(F.col("lang_pred") != UNKNOWN)
     return named.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -36,6 +36,17 @@ def test_no_labels_and_empty_table(spark):
     assert langid.identify(df.limit(0)).collect() == []
 
 
+def test_stage_keeps_texts_when_no_row_can_train(spark):
+    import corpus_pipeline
+
+    rows = [(i, t, None) for i, t in enumerate(["abc", "çà", "", "12 !?", None, "12 b"])]
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    for docs, want in ((rows, [0, 1, 5]), ([(held, "abc", "xx")], [held])):  # no label; the only label held out
+        df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+        got = corpus_pipeline.language_id(spark, df, "")
+        assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == want
+
+
 def test_trigram_vectors_are_bound_and_bundled():
     import numpy as np
 
