@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenframe.catalog import _ASG, _DET, _IMG, _KNN, _assigned, _centroids, _detections, _images, _queries_of, _read, query
+from lumenframe.catalog import _ASG, _DET, _IMG, _KNN, ORACLES, _assigned, _centroids, _detections, _images, _queries_of, _read, query
 from lumenframe.functions import geometry as G
 from lumenframe.functions import scalars as S
 from lumenframe.functions.vectors import l2_norm
-from lumenframe.operators import cluster, dedup, detect, metrics, search, store, text
+from lumenframe.operators import cluster, dedup, detect, identity, metrics, search, store, text
 
 # ---- full text ----
 
@@ -402,3 +402,65 @@ def detection_comparison(spark, d):
     det = _detections(spark, d)
     shifted = det.withColumn("x1", F.col("x1") + 0.02)
     return detect.comparison_metrics(detect.match_detections(det, shifted), det.count(), shifted.count())
+
+
+# ---- the searches over their whole job: every vector whose id is divisible by 50, every pair, every text ----
+
+def _each50(name: str) -> str:
+    """The SQL of a search, for the ids divisible by 50."""
+    return ORACLES[name].replace("vec_id < 5", "vec_id % 50 = 0")
+
+
+def _queries50(spark, d):
+    return _read(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+
+
+@query(_each50("knn_search"))
+def knn_search_each50(spark, d):
+    out = search.knn_blocks(_queries50(spark, d), _read(spark, d, "embeddings"), 10, exclude_self=True)
+    return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(_each50("knn_prefilter"))
+def knn_prefilter_each50(spark, d):
+    out = search.knn_blocks(_queries50(spark, d), _read(spark, d, "embeddings"), 5, exclude_self=True, pre_filter=F.col("label").isin(1, 2, 3))
+    return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(_each50("knn_postfilter"))
+def knn_postfilter_each50(spark, d):
+    out = search.knn_blocks(_queries50(spark, d), _read(spark, d, "embeddings"), 20, exclude_self=True, post_filter=F.col("label").isin(1, 2, 3), min_score=0.55)
+    return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"select query_id, vec_id, round(score, 6) score from (select *, row_number() over (partition by query_id order by score desc, vec_id) r from ({_KNN.replace('vec_id < 5', 'vec_id % 50 = 0')})) where r <= 10 and score >= 0.6")
+def find_duplicates_each50(spark, d):
+    return search.knn_blocks(_queries50(spark, d), _read(spark, d, "embeddings"), 10, exclude_self=True, min_score=0.6).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query(_each50("cluster_probe"))
+def cluster_probe_each50(spark, d):
+    return cluster.probe(_queries50(spark, d), _centroids(spark, d), 3).select("query_id", F.col("cluster_id").cast("int").alias("cluster_id"), "rank")
+
+
+@query(_each50("routed_search").replace("when query_id = 0 then", "when query_id % 3 = 0 then").replace("when query_id in (2, 3) then", "when query_id % 3 = 1 then"))
+def routed_search_each50(spark, d):
+    e = _read(spark, d, "embeddings")
+    queries = _queries50(spark, d).withColumn("category", S.category(F.when(F.col("query_id") % 3 == 0, 0).when(F.col("query_id") % 3 == 1, 2).otherwise(9)))
+    tables = {"people": e.where("label = 0"), "vehicles": e.where(F.col("label").isin(2, 3, 5, 7, 8)), "global": e}
+    return search.routed_search(queries, tables, 4, exclude_self=True).withColumn("score", F.round("score", 6))
+
+
+@query(ORACLES["verify_faces"].replace(" where a.vec_id < 50", ""))
+def verify_faces_all(spark, d):
+    e = _read(spark, d, "embeddings")
+    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
+    similarity, match = identity.verify(F.col("va"), F.col("vb"), 0.2)
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", similarity, match)
+
+
+@query()
+def highlight_all(spark, d):
+    """Every document; DuckDB's word boundary knows ASCII letters only."""
+    rows = _read(spark, d, "documents").withColumn("h", text.highlight(F.col("text"), "idiot"))
+    return rows.where(F.contains("h", F.lit("<em>"))).select("doc_id", F.expr("(length(h) - length(replace(h, '<em>', ''))) div 4").alias("n"))
