@@ -9,6 +9,15 @@ from lumenframe.operators import search
 SF = "/root/testdata/sf0.01"
 
 
+@pytest.mark.parametrize("sf_dir", [SF, "/root/testdata/sf0.1"])
+def test_ivf_recall_on_the_ids_divisible_by_50(spark, sf_dir):
+    q = catalog.QUERIES
+    truth = {(r.query_id, r.vec_id) for r in q["knn_search_each50"](spark, sf_dir).where("rank <= 5").collect()}
+    found = {(r.query_id, r.vec_id) for r in q["ivf_search_each50"](spark, sf_dir).collect()}
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 50 = 0").count()
+    assert len(truth) == 5 * n and len(truth & found) >= 0.9 * len(truth)
+
+
 def test_query_sets_beyond_the_bound_are_searched_in_blocks(spark, monkeypatch):
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
     queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
@@ -24,7 +33,7 @@ def test_whole_searches_equal_their_sql(spark):
     db = duckdb.connect()
     db.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
     names = [n for n in catalog.QUERIES if n.endswith(("_each50", "verify_faces_all"))]
-    assert len(names) == 7
+    assert len(names) == 8
     for name in names:
         df = catalog.QUERIES[name](spark, SF)
         key = lambda r: tuple(round(x, 4) if isinstance(x, float) else x for x in r)
