@@ -9,8 +9,9 @@ Before that, what never is an article goes by its markup: scripts, styles, forms
 and elements whose class, id or role names an advert, notice, menu, sidebar or reader comments. If there is an
 ``article`` or ``main`` element, the one with most text is the page's content.
 
-The induction reads at most ``CANDIDATES`` pages a host (smallest hashes), a bound for the template, not for the pages
-that are extracted. Templates are joined by host: broadcast below the checked limit, salted beyond it.
+The aligned pages are the first unlike ones of a host in the order of their hashes, copies aside: a look at the
+``CANDIDATES`` smallest hashes finds them for most hosts, and passes over all pages of the others find the rest. Templates
+are joined by host: broadcast below the checked limit, salted beyond it.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own without a template if it has too
 few pages; unclosed elements end with their parent; repeated rows are kept; further columns are ignored.
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 
 from lumenframe.plans.storage import BROADCAST_BYTES, materialize, stored_bytes
 
+#: Different pages of a host that are looked at before all of its pages are.
 CANDIDATES = 12
-#: Aligned pages of a host, and how many are needed for a template.
+#: Aligned pages of a host, and how many are needed for a template and must share a block.
 REFERENCES, LEAST = 5, 3
 #: Two pages that share more of their text than this are copies.
 COPY = 0.9
@@ -278,30 +280,53 @@ def tree_match(a: Shape, b: Shape) -> tuple[float, list[tuple[Shape, Shape]]]:
     return own + score[-1][-1], pairs
 
 
-def induce(pages: list[str]) -> list[str]:
-    """Keys (place and text) of the template's blocks, from pages of one host; empty with too few different pages."""
-    trees, seen = [], []
-    for page in pages:
-        root, inside = content_root(parse(page))
-        found = blocks(root, inside)
-        mine = {t: len(t) for _, t in found}
-        size = sum(mine.values())
-        # a copy, or a near copy, of a page that is aligned already says nothing about the template
-        if found and all(sum(n for t, n in mine.items() if t in other) <= COPY * min(size, sum(other.values())) for other in seen):
+def _texts(found: list[tuple[str, str]]) -> dict[str, int]:
+    return {t: len(t) for _, t in found}
+
+
+def _found(page: str) -> list[tuple[str, str]]:
+    root, inside = content_root(parse(page))
+    return blocks(root, inside)
+
+
+def unlike(mine: dict[str, int], others: list[dict[str, int]]) -> bool:
+    """Whether the page has text and is no copy, or near copy, of the others; copies say nothing about the template."""
+    size = sum(mine.values())
+    return size > 0 and all(sum(n for t, n in mine.items() if t in other) <= COPY * min(size, sum(other.values())) for other in others)
+
+
+def references(pages: list[str]) -> list[int]:
+    """The places of the first ``REFERENCES`` pages that are unlike those before."""
+    out, seen = [], []
+    for i, page in enumerate(pages):
+        mine = _texts(_found(page))
+        if unlike(mine, seen):
             seen.append(mine)
-            trees.append(shape(found))
-        if len(trees) == REFERENCES:
+            out.append(i)
+        if len(out) == REFERENCES:
             break
+    return out
+
+
+def induce(pages: list[str]) -> list[str]:
+    """Keys (place and text) of the template's blocks, from pages of one host; empty with too few different pages.
+
+    A block is template if most of the pages, and ``LEAST`` at least, have it; so one odd page hides nothing.
+    """
+    trees = [shape(_found(pages[i])) for i in references(pages)]
     if len(trees) < LEAST:
         return []
-    votes: dict[int, int] = {}
+    votes: dict[int, set[int]] = {}
     places: dict[int, Shape] = {}
-    for other in trees[1:]:
-        for x, y in tree_match(trees[0], other)[1]:
-            if x.text and x.text == y.text:
-                votes[id(x)] = votes.get(id(x), 0) + 1
-                places[id(x)] = x
-    return sorted({f"{x.label}{_digest(x.text)}" for i, x in places.items() if votes[i] == len(trees) - 1})
+    for i, one in enumerate(trees):
+        for j in range(i + 1, len(trees)):
+            for x, y in tree_match(one, trees[j])[1]:
+                if x.text and x.text == y.text:
+                    for node, other in ((x, j), (y, i)):
+                        votes.setdefault(id(node), set()).add(other)
+                        places[id(node)] = node
+    need = max(LEAST, len(trees) // 2 + 1)
+    return sorted({f"{x.label}{_digest(x.text)}" for i, x in places.items() if len(votes[i]) + 1 >= need})
 
 
 def main_text(html: str | None, template: frozenset | set = frozenset()) -> str:
@@ -315,16 +340,81 @@ def _host():
     return F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)), F.lit(""))
 
 
+def _beside(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """``rows(host, html, ...)`` with the columns of ``found(host, ...)``."""
+    if stored_bytes(found) * 4 <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(found), "host", how)
+    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALT)).cast("int")).join(salted, ["host", "salt"], how)
+
+
+def _next_unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each host the page with the smallest hashes that is unlike its references, among the task's rows."""
+    known: dict = {}
+    best: dict = {}
+    for batch in batches:
+        for host, h1, h2, html, refs in zip(*(batch.column(i) for i in range(5))):
+            host, at = host.as_py(), (h1.as_py(), h2.as_py())
+            if host in best and best[host][0] <= at:
+                continue
+            if host not in known:
+                if len(known) > 1000:
+                    known.clear()
+                known[host] = [_texts(_found(r)) for r in refs.as_py()]
+            page = html.as_py()
+            if unlike(_texts(_found(page)), known[host]):
+                best[host] = (at, page)
+        if len(best) > 1000:
+            yield _best(best)
+            best.clear()
+    yield _best(best)
+
+
+def _best(best: dict) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+    rows = [(host, *at, page) for host, (at, page) in best.items()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["host", "h1", "h2", "html"])
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """``(host, template)`` of hosts that have one; ``pages(url, html)``."""
-    order = W.partitionBy("host").orderBy(F.xxhash64("html"), "html")
-    few = pages.where(F.length("html") > 0).select(_host().alias("host"), "html").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CANDIDATES)
+    """``(host, template)`` of hosts that have one; ``pages(url, html)``.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = induce(list(pdf.sort_values("rank").html))
-        return pd.DataFrame({"host": [pdf.host.iloc[0]] if keys else [], "template": [keys] if keys else []}, dtype=object)
+    The references are those of a scan over all pages of the host by hash. Each pass after the first finds the next one
+    of every host that still lacks some, so there are at most ``REFERENCES`` passes, and a pass keeps one page a host.
+    """
+    full = pages.where(F.length("html") > 0).select(_host().alias("host"), F.xxhash64("html").alias("h1"), F.xxhash64(F.lit("page"), F.col("html")).alias("h2"), "html")
+    keys = full.select("host", "h1", "h2").distinct()
+    order = W.partitionBy("host").orderBy("h1", "h2")
+    few = materialize(keys.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CANDIDATES + 1), "page-candidates")
+    first = few.where(F.col("rank") <= CANDIDATES)
+    first = F.broadcast(first) if stored_bytes(few) * 4 <= BROADCAST_BYTES else first
+    picked = full.join(first.select("host", "h1", "h2"), ["host", "h1", "h2"], "left_semi").groupBy("host", "h1", "h2").agg(F.min("html").alias("html"))
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        htmls = list(pdf.sort_values(["h1", "h2"]).html)
+        return pd.DataFrame({"host": [pdf.host.iloc[0]], "refs": [[htmls[i] for i in references(htmls)]]}, dtype=object)
+
+    refs = picked.groupBy("host").applyInPandas(choose, "host string, refs array<string>")
+    larger = few.where(F.col("rank") > CANDIDATES).select("host", F.lit(True).alias("larger"))
+    state = refs.join(larger, "host", "left")
+    state = materialize(state.select("host", "refs", (F.col("larger").isNotNull() & (F.size("refs") < REFERENCES)).alias("open")), "page-references")
+    for _ in range(REFERENCES):
+        lacking = state.where("open").select("host", "refs")
+        if lacking.isEmpty():
+            break
+        lacking = materialize(lacking, "page-lacking")
+        rows = _beside(full, lacking, "inner").select("host", "h1", "h2", "html", "refs")
+        new = rows.mapInArrow(_next_unlike, "host string, h1 long, h2 long, html string").groupBy("host").agg(F.min(F.struct("h1", "h2", "html")).alias("new"))
+        grown = state.join(new.select("host", F.col("new.html").alias("html")), "host", "left")
+        more = F.when(F.col("html").isNull(), F.col("refs")).otherwise(F.concat("refs", F.array("html")))
+        state = materialize(grown.select("host", more.alias("refs"), (F.col("open") & F.col("html").isNotNull() & (F.size(more) < REFERENCES)).alias("open")), "page-references")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(host, keys) for host, r in zip(batch.column(0).to_pylist(), batch.column(1)) if (keys := induce(r.as_py()))]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([k for _, k in found], pa.list_(pa.string()))], ["host", "template"])
 
-    return few.groupBy("host").applyInPandas(run, "host string, template array<string>")
+    return state.select("host", "refs").repartition(SALT, "host").mapInArrow(run, "host string, template array<string>")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,10 +435,6 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     found = materialize(templates(rows.select("url", "html")), "page-templates")
     rows = rows.withColumn("host", _host())
-    if stored_bytes(found) * 4 <= BROADCAST_BYTES:
-        rows = rows.join(F.broadcast(found), "host", "left")
-    else:
-        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALT)).cast("int")).join(salted, ["host", "salt"], "left")
+    rows = _beside(rows, found, "left")
     kind = rows.schema["page_id"].dataType.simpleString()
     return rows.select("page_id", "url", "host", "html", "template").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")

@@ -49,3 +49,20 @@ def test_query_over_hosts(spark, monkeypatch):
         by = {r.page_id: r.text for r in got}
         assert by[20].startswith("Daily Site") and by[21] == by[22] == ""
     assert P.extract_pages(df.limit(0)).collect() == []
+
+
+def test_one_odd_page_hides_no_template_block():
+    pages = [page(k, f"<p>story {k} goes on.</p>") for k in range(4)]
+    for odd in range(5):
+        template = frozenset(P.induce([*pages[:odd], "<p>moved away</p>", *pages[odd:]]))
+        assert P.main_text(pages[2], template) == "Title 2\nstory 2 goes on."
+
+
+def test_copies_do_not_hide_the_unlike_pages_of_a_host(spark):
+    body = lambda k: "".join(f"<p>text {k} part {j} with its own words.</p>" for j in range(40))
+    rows = [(k, "http://a.example/", page(k % 4, body(k % 4))) for k in range(60)]  # 15 copies of each
+    rows += [(100 + k, "http://b.example/", page(9, body(9) + f"<p>n{k}</p>")) for k in range(60)]  # near copies
+    rows += [(200 + k, "http://b.example/", page(k, body(k))) for k in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in P.extract_pages(df).collect()}
+    assert len(got) == len(rows) and all("part 39" in t and "Daily Site" not in t and "All rights" not in t for t in got.values())
