@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -38,7 +39,7 @@ CANDIDATES = 12
 REFERENCES, LEAST = 5, 3
 #: Two pages that share more of their text than this are copies.
 COPY = 0.9
-#: Children of one node that an alignment looks at on each side; longer lists are aligned in their first part only.
+#: Lists whose lengths multiply to more than the square of this are cut at equal subtrees before they are aligned.
 ALIGNED_CHILDREN = 400
 #: Depth down to which inner nodes are aligned; deeper blocks hang below it.
 DEPTH = 60
@@ -217,10 +218,11 @@ def content_root(root: Node) -> tuple[Node, bool]:
 class Shape:
     """A tree for alignment: labels, own text, children that hold text somewhere."""
 
-    __slots__ = ("label", "text", "children", "size")
+    __slots__ = ("label", "text", "children", "size", "same")
 
     def __init__(self, label: str, text: str, children: list):
         self.label, self.text, self.children = label, text, children
+        self.same = _digest("\0".join([label, text, *(c.same for c in children)]))
         self.size = 1 + sum(c.size for c in children)
 
 
@@ -249,10 +251,71 @@ def tree_match(a: Shape, b: Shape) -> tuple[float, list[tuple[Shape, Shape]]]:
     """
     if a.label != b.label:
         return 0.0, []
-    own = 1.0 + (0.5 if a.text and a.text == b.text else 0.0)
-    xs, ys = a.children[:ALIGNED_CHILDREN], b.children[:ALIGNED_CHILDREN]
+    score, pairs = 1.0 + (0.5 if a.text and a.text == b.text else 0.0), [(a, b)]
+    todo = [(a.children, b.children)]
+    while todo:
+        xs, ys = todo.pop()
+        head, most = 0, min(len(xs), len(ys))
+        while head < most and xs[head].same == ys[head].same:
+            head += 1
+        tail = 0
+        while tail < most - head and xs[-1 - tail].same == ys[-1 - tail].same:
+            tail += 1
+        twins = [*zip(xs[:head], ys[:head]), *zip(xs[len(xs) - tail :], ys[len(ys) - tail :])]
+        xs, ys = xs[head : len(xs) - tail], ys[head : len(ys) - tail]
+        if len(xs) * len(ys) <= ALIGNED_CHILDREN**2:
+            more, found = _align(xs, ys)
+            score += more
+            pairs += found
+        else:
+            at = _anchors([x.same for x in xs], [y.same for y in ys])
+            if at:
+                twins += [(xs[i], ys[j]) for i, j in at]
+                ends = [(-1, -1), *at, (len(xs), len(ys))]
+                todo += [(xs[i + 1 : k], ys[j + 1 : n]) for (i, j), (k, n) in zip(ends, ends[1:]) if k - i > 1 and n - j > 1]
+            else:  # nothing equal in here, but nodes with equal labels may hold equal parts
+                for i, j in _anchors([x.label for x in xs], [y.label for y in ys]):
+                    more, found = tree_match(xs[i], ys[j])
+                    score += more
+                    pairs += found
+        while twins:
+            x, y = twins.pop()
+            score += 1.5 if x.text else 1.0
+            pairs.append((x, y))
+            twins += zip(x.children, y.children)
+    return score, pairs
+
+
+def _anchors(xs: list[str], ys: list[str]) -> list[tuple[int, int]]:
+    """The longest rising run of pairs of equal keys, the n-th use of a key with its n-th use; linear in memory."""
+
+    def numbered(keys: list[str]) -> list[tuple[str, int]]:
+        uses: dict[str, int] = {}
+        out = []
+        for k in keys:
+            uses[k] = uses.get(k, 0) + 1
+            out.append((k, uses[k]))
+        return out
+
+    place = {k: j for j, k in enumerate(numbered(ys))}
+    met = [(i, place[k]) for i, k in enumerate(numbered(xs)) if k in place]
+    last: list[int] = []  # by length of the run: its smallest end
+    ends: list[int] = []
+    before = []
+    for n, (_, j) in enumerate(met):
+        at = bisect_left(last, j)
+        before.append(ends[at - 1] if at else -1)
+        last[at : at + 1], ends[at : at + 1] = [j], [n]
+    run, n = [], ends[-1] if ends else -1
+    while n >= 0:
+        run.append(met[n])
+        n = before[n]
+    return run[::-1]
+
+
+def _align(xs: list[Shape], ys: list[Shape]) -> tuple[float, list[tuple[Shape, Shape]]]:
     if not xs or not ys:
-        return own, [(a, b)]
+        return 0.0, []
     score = [[0.0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
     step: dict = {}
     for i, x in enumerate(xs, 1):
@@ -267,7 +330,7 @@ def tree_match(a: Shape, b: Shape) -> tuple[float, list[tuple[Shape, Shape]]]:
             score[i][j] = best
             if how is not None:
                 step[i, j] = how
-    pairs, i, j = [(a, b)], len(xs), len(ys)
+    pairs, i, j = [], len(xs), len(ys)
     while i and j:
         how = step.get((i, j))
         if how is None:
@@ -277,7 +340,7 @@ def tree_match(a: Shape, b: Shape) -> tuple[float, list[tuple[Shape, Shape]]]:
         else:
             pairs += how
             i, j = i - 1, j - 1
-    return own + score[-1][-1], pairs
+    return score[-1][-1], pairs
 
 
 def _texts(found: list[tuple[str, str]]) -> dict[str, int]:

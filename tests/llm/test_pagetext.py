@@ -66,3 +66,14 @@ def test_copies_do_not_hide_the_unlike_pages_of_a_host(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in P.extract_pages(df).collect()}
     assert len(got) == len(rows) and all("part 39" in t and "Daily Site" not in t and "All rights" not in t for t in got.values())
+
+
+def test_template_blocks_after_long_lists_are_matched():
+    pages = [page(k, "".join(f"<p>story {k} part {j} goes on.</p><p>again</p>" for j in range(700 if k < 2 else 2))) for k in range(5)]
+    template = frozenset(P.induce(pages))
+    for k in range(5):
+        text = P.main_text(pages[k], template)
+        assert "All rights" not in text and "Daily Site" not in text and f"story {k} part 1 goes on." in text
+    few, many = ([P.shape([("body/div", f"own {k} {j}") for j in range(n)] + [("body/div", "the end"), ("body/div", f"date {k}")]) for k in (1, 2)] for n in (3, 900))
+    for a, b in (few, many):
+        assert ("the end", "the end") in [(x.text, y.text) for x, y in P.tree_match(a, b)[1]]
