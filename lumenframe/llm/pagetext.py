@@ -6,8 +6,8 @@ all aligned pages are template; slots that vary are content. Each page of the ho
 wherever the same text stands at the same place in its tree.
 
 Before that, what never is an article goes by its markup: scripts, styles, forms, navigation, headers, footers, asides,
-and elements whose class, id or role names an advert, notice, menu, sidebar or reader comments. If there is an
-``article`` or ``main`` element, the one with most text is the page's content.
+and elements whose class, id or role names an advert, notice, menu, sidebar or reader comments. If there are
+``article`` or ``main`` elements with text, all of the outermost ones are the page's content.
 
 The aligned pages are the first unlike ones of a host in the order of their hashes, copies aside: a look at the
 ``CANDIDATES`` smallest hashes finds them for most hosts, and passes over all pages of the others find the rest. Templates
@@ -198,21 +198,15 @@ def blocks(root: Node, inside: bool = False) -> list[tuple[str, str]]:
 
 
 def content_root(root: Node) -> tuple[Node, bool]:
-    """The article (or main) element with most text outside dropped elements, else the page."""
-    best, size = None, 0
-    for wanted in ("article", "main"):
-        todo = [root]
-        while todo:
-            node = todo.pop()
-            if node.tag == wanted:
-                n = sum(len(t) for _, t in blocks(node, True))
-                if n > size:
-                    best, size = node, n
-                continue
+    """The outermost main and article elements outside dropped ones, in page order; without text in them the page."""
+    found, todo = Node("#root", False, "#root"), [root]
+    while todo:
+        node = todo.pop()
+        if node.tag in ("article", "main"):
+            found.children.append(node)
+        else:
             todo.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.drop)
-        if best is not None:
-            return best, True
-    return root, False
+    return (found, True) if blocks(found, True) else (root, False)
 
 
 class Shape:

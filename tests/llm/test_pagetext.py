@@ -77,3 +77,9 @@ def test_template_blocks_after_long_lists_are_matched():
     few, many = ([P.shape([("body/div", f"own {k} {j}") for j in range(n)] + [("body/div", "the end"), ("body/div", f"date {k}")]) for k in (1, 2)] for n in (3, 900))
     for a, b in (few, many):
         assert ("the end", "the end") in [(x.text, y.text) for x, y in P.tree_match(a, b)[1]]
+
+
+def test_all_articles_and_main_around_them_are_content():
+    html = "<p>top</p><main><h1>Title</h1><p>Intro</p><article><p>one is the longest</p></article><article hidden><p>no</p></article><article><p>two</p></article></main><article><p>three</p></article><p>end</p>"
+    assert P.main_text(html) == "Title\nIntro\none is the longest\ntwo\nthree"
+    assert P.main_text("<article></article><main> </main><p>page") == "page"
