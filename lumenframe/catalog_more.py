@@ -361,6 +361,14 @@ def ingest_groups(spark, d):
     return dedup.assign_to_groups(e.where("vec_id < 20"), indexed, 0.62).withColumn("duplicate_score", F.round("duplicate_score", 6))
 
 
+@query()
+def ingest_groups_in_order(spark, d):
+    """Each item also sees those before it; ``ingest_groups`` is held to its SQL."""
+    e = _read(spark, d, "embeddings")
+    indexed = e.where("vec_id >= 20").withColumn("duplicate_group_id", F.when(F.col("vec_id") % 4 == 0, F.concat(F.lit("g"), F.col("vec_id").cast("string"))))
+    return dedup.ingest_in_order(e.where("vec_id < 20"), indexed, 0.62).withColumn("duplicate_score", F.round("duplicate_score", 6))
+
+
 @query("with l as (select user_id, ts, event_id, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) g from (select user_id, ts, min(event_id) event_id from events group by user_id, ts)) select user_id, event_id from l where g is null or g >= 21600000000")
 def rebalance_cooldown(spark, d):
     runs = _read(spark, d, "events").groupBy("user_id", "ts").agg(F.min("event_id").alias("event_id"))

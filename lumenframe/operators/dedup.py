@@ -181,3 +181,50 @@ def assign_to_groups(incoming: DataFrame, indexed: DataFrame, threshold: float =
     heads = fresh.select(F.col("query_id").alias("id"), GROUP, F.lit(True).alias(PRIMARY), F.lit(1.0).alias(SCORE))
     mates = fresh.select(F.col("mate").alias("id"), GROUP, F.lit(False).alias(PRIMARY), F.col("top").alias(SCORE))
     return joins.unionByName(heads).unionByName(mates)
+
+
+def ingest_in_order(incoming: DataFrame, indexed: DataFrame, threshold: float = 0.99, k: int = 10, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """Group changes as if the items of a batch were ingested one by one by id; the columns of :func:`assign_to_groups`.
+
+    An item sees the indexed items and the smaller ids of its batch, with the groups they have by then: it joins the
+    group of the first of its k best neighbours that has one, else it makes a group with the best. Only items that are
+    linked depend on each other, so the fold runs per component, over at most k links (ids and scores) an item.
+    """
+    from lumenframe.operators.search import knn_blocks
+    from lumenframe.plans.components import connected_components
+
+    kind = incoming.schema[id_col].dataType.simpleString()
+    wanted = incoming.select(F.col(id_col).alias("query_id"), F.col(vec).alias("query_vec"))
+    known = indexed.select(id_col, vec, GROUP)
+    fresh = incoming.select(id_col, vec, F.lit(None).cast("string").alias(GROUP))
+    options = {"min_score": threshold, "item_id": id_col, "item_vec": vec}
+    links = knn_blocks(wanted, known, k, exclude_self=True, **options).unionByName(knn_blocks(wanted, fresh, k, earlier=True, **options))
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+    links = links.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    links = materialize(links.select(F.col("query_id").alias("a"), F.col(id_col).alias("b"), "score", "rank", F.col(GROUP).alias("had")), "ingest-links")
+    parts = connected_components(links.select("a", "b"))
+    node, part = parts.columns[:2]
+    dealt = links.join(parts.select(F.col(node).alias("a"), F.col(part).alias("part")), "a")
+
+    def fold(pdf):
+        import pandas as pd
+
+        had = {b: g for b, g in zip(pdf.b, pdf.had) if isinstance(g, str)}
+        made: dict = {}  # id -> the item that made its group
+        out = []
+        for a, near in pdf.sort_values(["a", "rank"]).groupby("a", sort=True):
+            ids, scores = list(near.b), list(near.score)
+            into = next((b for b in ids if b in had or b in made), None)
+            if into is None:
+                made[a] = made[ids[0]] = a
+                out += [(a, None, a, True, 1.0), (ids[0], None, a, False, scores[0])]
+                continue
+            if into in had:
+                had[a] = had[into]
+            else:
+                made[a] = made[into]
+            out.append((a, had.get(a), made.get(a), False, scores[0]))
+        return pd.DataFrame(out, columns=["id", "had", "maker", PRIMARY, SCORE], dtype=object)
+
+    done = dealt.groupBy("part").applyInPandas(fold, f"id {kind}, had string, maker {kind}, {PRIMARY} boolean, {SCORE} double")
+    return done.select("id", F.coalesce("had", stable_id("dup_", F.col("maker"))).alias(GROUP), PRIMARY, SCORE)

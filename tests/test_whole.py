@@ -1,10 +1,12 @@
+import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lumenframe import catalog, catalog_more  # noqa: F401
-from lumenframe.operators import search
+from lumenframe.operators import dedup, search
 
 SF = "/root/testdata/sf0.01"
 
@@ -48,3 +50,32 @@ def test_highlight_takes_all_documents(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     want = {i: n for i, t in docs.items() if (n := len(re.findall(r"\bidiot\b", t or "", re.I)))}
     assert {r.doc_id: r.n for r in catalog.QUERIES["highlight_all"](spark, SF).collect()} == want
+
+
+def test_ingest_equals_the_sequential_fold(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 8))
+    data = {}
+    for i in range(60):
+        v = centres[i % 6] + 0.12 * rng.normal(size=8)
+        data[i if i < 40 else i + 60] = [float(x) for x in v / np.linalg.norm(v)]  # 40 new, 20 indexed
+    groups = {i: (f"g{i}" if i % 6 == 4 else None) for i in data if i >= 100}
+    unit = {i: np.float32(v).astype(float) / np.linalg.norm(np.float32(v).astype(float)) for i, v in data.items()}
+    have, want = dict(groups), {}
+    for a in sorted(i for i in data if i < 100):
+        near = sorted((-(1 + unit[a] @ unit[b]) / 2, b) for b in have)[:10]
+        near = [(-s, b) for s, b in near if -s >= 0.97]
+        have[a] = None
+        if near:
+            got = next((have[b] for _, b in near if have[b]), None)
+            have[a] = got or "dup_" + hashlib.sha256(str(a).encode()).hexdigest()[:12]
+            want[a] = (have[a], not got, near[0][0] if got else 1.0)
+            if not got:
+                have[near[0][1]] = have[a]
+                want[near[0][1]] = (have[a], False, near[0][0])
+    new = spark.createDataFrame([(i, v) for i, v in data.items() if i < 100], "vec_id long, embedding array<float>")
+    old = spark.createDataFrame([(i, v, groups[i]) for i, v in data.items() if i >= 100], "vec_id long, embedding array<float>, duplicate_group_id string")
+    rows = dedup.ingest_in_order(new, old, 0.97).collect()
+    got = {r.id: (r.duplicate_group_id, r.is_duplicate_primary, pytest.approx(r.duplicate_score, abs=1e-6)) for r in rows}
+    assert len(rows) == len(want) > 20 and {g[0] for g in want.values()} == {g[0] for g in got.values()} and want == got
+    print("ids with a change before:", len({r.id for r in dedup.assign_to_groups(new, old, 0.97).collect()}), "after:", len(got))
