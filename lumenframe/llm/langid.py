@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.tables import small_batches
+
 DIM = 1024
 TRAIN_PER_LANG = 4000
 TEMPERATURE = 0.05
@@ -120,7 +122,7 @@ def train_prototypes(labelled: DataFrame, text_col: str = "text", lang_col: str
     if not counts:
         return {}
     picked = rows.sampleBy("lang", {k: min(1.0, per_lang / n) for k, n in counts.items()}, seed=11)
-    parts = picked.repartition(TRAIN_TASKS).mapInArrow(_bundle_languages, "lang string, vector array<double>").collect()
+    parts = picked.repartition(TRAIN_TASKS).mapInArrow(small_batches(_bundle_languages), "lang string, vector array<double>").collect()
     sums: dict[str, np.ndarray] = {}
     for r in sorted(parts, key=lambda r: (r.lang, r.vector[:4])):
         sums[r.lang] = sums.get(r.lang, 0) + np.array(r.vector)
@@ -160,7 +162,7 @@ def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text_co
     fields = [F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]
     rows = docs.select(*fields, F.col(text_col).cast("string").alias("the_text"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    out = rows.mapInArrow(_predict(names, matrix), f"{schema}, lang_pred string, score double")
+    out = rows.mapInArrow(small_batches(_predict(names, matrix)), f"{schema}, lang_pred string, score double")
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
 
 

@@ -5,8 +5,9 @@ Hilbert key, so that neighbours on the curve have similar vocabulary. Documents
 are cut every ``length`` tokens; the rest at the end is cut into powers of two. No sequence needs padding.
 
 Plan: one tokenisation; one shuffle of 16-bit ids to range buckets of the curve; a running sum in each bucket; the
-buckets' totals (one number a bucket) go through the driver. Bucket borders come from a documented sample of
-``SAMPLE_PER_BUCKET`` documents a bucket; they balance tasks and don't affect the order.
+buckets' totals (one number a bucket) go through the driver. There are as many buckets as the text's size asks for, one a
+task. Their borders come from a documented sample of ``SAMPLE_PER_BUCKET`` documents a bucket, weighted by tokens; they
+balance tasks and don't affect the order.
 
 Defined results: null or empty text is the end id alone; repeated rows are packed each; ties on the curve are ordered
 by a hash of the id, the id and the ids' bytes; an empty table gives no piece; further columns are ignored.
@@ -23,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.tokens import shared_encoder
+from lumenframe.llm.tables import ranges, small_batches
 from lumenframe.plans.storage import materialize
 
 LENGTH = 4096
 END_ID = 2
 HASHED = 256
 DIMS, BITS = 3, 16
-SAMPLE_PER_BUCKET = 20
-BUCKETS_PER_PARTITION = 4
+SAMPLE_PER_BUCKET = 40
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -93,7 +94,7 @@ def _tokenise(path: str, borders: np.ndarray | None):
                 continue
             keys = order.keys(np.stack([order.vector(x) for x in ids]), batch.column(0).to_pylist())
             if borders is None:
-                yield pa.RecordBatch.from_arrays([pa.array(keys)], ["okey"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([len(x) for x in ids], pa.int64())], ["okey", "n"])
                 continue
             buckets = np.searchsorted(borders, keys, side="right").astype(np.int32)
             wide = [x.astype("<u2") if encoder.dtype.itemsize == 2 else x for x in ids]
@@ -155,19 +156,28 @@ def _cut(base: dict[int, int], total: int, length: int):
     return run
 
 
+def even_borders(sample: list[tuple[int, int]], buckets: int) -> np.ndarray:
+    """Keys that cut the sampled ``(key, tokens)`` into ``buckets`` ranges of about the same tokens."""
+    if not sample:
+        return np.zeros(0, np.int64)
+    keys, tokens = (np.array(x, np.int64) for x in zip(*sorted(sample)))
+    ends = np.cumsum(tokens)
+    at = np.searchsorted(ends, ends[-1] * np.arange(1, buckets) / buckets)
+    return np.unique(keys[at])
+
+
 def packed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     """Stored table ``(bucket, start, doc_id, n, ids)``: documents with their ids (little-endian) along the curve."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = min(1.0, SAMPLE_PER_BUCKET * buckets / max(1, docs.count()))
-    keys = rows.sample(fraction=share, seed=1).mapInArrow(_tokenise(tokenizer, None), "okey long")
-    sample = np.sort(np.array([r.okey for r in keys.collect()], dtype=np.int64))
-    borders = np.unique(sample[:: max(1, len(sample) // buckets)][1:])
-    rows = rows.mapInArrow(_tokenise(tokenizer, borders), f"bucket int, okey long, doc_id {kind}, n long, ids binary")
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "okey", "doc_id", "ids")
-    return materialize(rows.mapInArrow(_running, f"bucket int, start long, doc_id {kind}, n long, ids binary"), "packing")
+    n, buckets = ranges(rows, "text")
+    share = min(1.0, SAMPLE_PER_BUCKET * buckets / max(1, n))
+    keys = rows.sample(fraction=share, seed=1).mapInArrow(small_batches(_tokenise(tokenizer, None)), "okey long, n long")
+    borders = even_borders([(r.okey, r.n) for r in keys.collect()], buckets)
+    rows = rows.mapInArrow(small_batches(_tokenise(tokenizer, borders)), f"bucket int, okey long, doc_id {kind}, n long, ids binary")
+    rows = rows.repartitionById(len(borders) + 1, "bucket").sortWithinPartitions("bucket", "okey", "doc_id", "ids")
+    return materialize(rows.mapInArrow(small_batches(_running), f"bucket int, start long, doc_id {kind}, n long, ids binary"), "packing")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", length: int = LENGTH) -> DataFrame:
@@ -178,4 +188,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     base, total = {}, 0
     for bucket, tokens in totals:
         base[bucket], total = total, total + tokens
-    return stored.mapInArrow(_cut(base, total, length), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return stored.mapInArrow(small_batches(_cut(base, total, length)), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

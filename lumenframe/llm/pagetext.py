@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenframe.llm.tables import small_batches
 from lumenframe.plans.storage import BROADCAST_BYTES, materialize, stored_bytes
 
 #: Different pages of a host that are looked at before all of its pages are.
@@ -718,7 +719,7 @@ def templates(pages: DataFrame) -> DataFrame:
             break
         lacking = materialize(lacking, "page-lacking")
         rows = _beside(full, lacking, "inner").select("host", "h1", "h2", "html", "refs")
-        new = rows.mapInArrow(_next_unlike, "host string, h1 long, h2 long, html string").groupBy("host").agg(F.min(F.struct("h1", "h2", "html")).alias("new"))
+        new = rows.mapInArrow(small_batches(_next_unlike), "host string, h1 long, h2 long, html string").groupBy("host").agg(F.min(F.struct("h1", "h2", "html")).alias("new"))
         grown = state.join(new.select("host", F.col("new.html").alias("html")), "host", "left")
         more = F.when(F.col("html").isNull(), F.col("refs")).otherwise(F.concat("refs", F.array("html")))
         state = materialize(grown.select("host", more.alias("refs"), (F.col("open") & F.col("html").isNotNull() & (F.size(more) < REFERENCES)).alias("open")), "page-references")
@@ -730,7 +731,7 @@ def templates(pages: DataFrame) -> DataFrame:
             kinds = (pa.string(), pa.string(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], ["host", "wrapper", "constant"])
 
-    return state.select("host", "refs").repartition(SALT, "host").mapInArrow(run, "host string, wrapper string, constant array<string>")
+    return state.select("host", "refs").repartition(SALT, "host").mapInArrow(small_batches(run), "host string, wrapper string, constant array<string>")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -757,4 +758,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     rows = rows.withColumn("host", _host())
     rows = _beside(rows, found, "left")
     kind = rows.schema["page_id"].dataType.simpleString()
-    return rows.select("page_id", "url", "host", "html", "wrapper", "constant").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long, by_wrapper boolean")
+    return rows.select("page_id", "url", "host", "html", "wrapper", "constant").mapInArrow(small_batches(_extract), f"page_id {kind}, url string, text string, n_chars long, by_wrapper boolean")

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.tables import small_batches
 from lumenframe.plans.components import connected_components
 from lumenframe.plans.storage import broadcast_if_small, materialize
 
@@ -59,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(doc_id, fp)``; fp is the signed view of the 64 bits."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_fingerprint_batches, f"doc_id {kind}, fp long")
+    return rows.mapInArrow(small_batches(_fingerprint_batches), f"doc_id {kind}, fp long")
 
 
 def _pair_masks() -> np.ndarray:
@@ -202,9 +203,9 @@ def near_links(prints: DataFrame, threshold: int = THRESHOLD, chunk: int = CHUNK
     if not 0 <= threshold <= 3:
         raise ValueError("the covering of two 32-bit halves finds up to 3 differing bits")
     fps = prints.select("fp")
-    hot = fps.mapInArrow(_home_batches, "anchor long").groupBy("anchor").count().where(F.col("count") > chunk)
+    hot = fps.mapInArrow(small_batches(_home_batches), "anchor long").groupBy("anchor").count().where(F.col("count") > chunk)
     hot = materialize(hot.select("anchor", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")), "hot-anchors")
-    rows = fps.mapInArrow(_anchor_batches, "anchor long, fp long, home boolean")
+    rows = fps.mapInArrow(small_batches(_anchor_batches), "anchor long, fp long, home boolean")
     rows = rows.join(broadcast_if_small(hot), "anchor", "left")
     chunks = F.coalesce("chunks", F.lit(1))
     own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
@@ -212,7 +213,7 @@ def near_links(prints: DataFrame, threshold: int = THRESHOLD, chunk: int = CHUNK
     rows = rows.select("anchor", "fp", "home", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
     rows = rows.select("anchor", "chunk", "fp", (F.col("home") & (F.col("chunk") == F.col("own"))).alias("home"))
     rows = rows.repartition("anchor", "chunk").sortWithinPartitions("anchor", "chunk", F.desc("home"))
-    return rows.select("anchor", "chunk", "fp", "home").mapInArrow(_link_batches(threshold), "a long, b long").distinct()
+    return rows.select("anchor", "chunk", "fp", "home").mapInArrow(small_batches(_link_batches(threshold)), "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:

@@ -1,13 +1,34 @@
-"""Input tables of the queries and the session settings that Arrow stages need."""
+"""Input tables of the queries, and what Arrow stages over whole texts share."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: whole texts are passed, so a batch is kept small.
+#: Rows that an Arrow stage looks at together; Spark bounds the bytes of a batch itself.
 ARROW_ROWS = 1000
+#: Text of one range of a shuffled table, and the most ranges.
+RANGE_BYTES, MAX_RANGES = 24 << 20, 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_batches(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = ARROW_ROWS):
+    """``run`` over slices of its batches, so that what it builds for a batch stays small; no session setting is needed."""
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+    return again
+
+
+def ranges(docs: DataFrame, text_col: str) -> tuple[int, int]:
+    """(rows, ranges to shuffle ``docs`` to): as many as give each about ``RANGE_BYTES`` of text, and one a shuffle partition at least."""
+    total = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(text_col)).alias("bytes")).first()
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return total.n, min(MAX_RANGES, max(least, -(-(total.bytes or 0) // RANGE_BYTES)))

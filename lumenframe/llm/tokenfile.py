@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm.tokens import shared_encoder
+from lumenframe.llm.tables import ranges, small_batches
 from lumenframe.plans.storage import materialize, scratch_path
 
 END_ID = 2
 MAGIC = b"LFV1"
 #: A block is closed once it holds so many ids.
 BLOCK_IDS = 1 << 18
-BUCKETS_PER_PARTITION = 4
 
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
@@ -156,24 +156,23 @@ def _encode(width: int, rank: np.ndarray):
 def write_token_file(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json") -> None:
     """Encode whole texts and write ``path/blocks`` and ``path/dictionary``.
 
-    One tokenisation and one shuffle of 16-bit ids to doc_id ranges; the ranges are percentiles of doc_id. The driver sees
-    the range borders and one count for each entry of the vocabulary.
+    One tokenisation and one shuffle of 16-bit ids to doc_id ranges; the ranges are percentiles of doc_id, one a task, as many as
+    the text's size asks for. The driver sees the range borders and one count for each entry of the vocabulary.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _, n = ranges(rows, "text")
     borders = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
     encoder = shared_encoder(tokenizer)
     width = encoder.dtype.itemsize
-    tokens = rows.mapInArrow(_tokenise(tokenizer, sorted(set(borders))), "bucket int, doc_id long, ids binary")
-    tokens = tokens.repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "ids")
+    tokens = rows.mapInArrow(small_batches(_tokenise(tokenizer, sorted(set(borders)))), "bucket int, doc_id long, ids binary")
+    tokens = tokens.repartitionById(n + 1, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "ids")
     blocks = materialize(tokens.mapInArrow(_blocks(width), "bucket int, start long, docs array<long>, lengths array<long>, ids binary"), "token-blocks")
-    counts = blocks.select("ids").mapInArrow(_count(width), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = blocks.select("ids").mapInArrow(small_batches(_count(width)), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     order = [r.id for r in sorted(counts, key=lambda r: (-r.n, r.id))]
     rank = np.zeros(encoder.vocab, "<u4")
     rank[order] = np.arange(len(order))
-    blocks.mapInArrow(_encode(width, rank), "bucket int, start long, n long, block binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    blocks.mapInArrow(small_batches(_encode(width, rank)), "bucket int, start long, n long, block binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(order)], "rank int, id int").coalesce(1).write.parquet(f"{path}/dictionary")
 
 
@@ -194,8 +193,7 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                 parts = [ids[e - n : e].tobytes() for e, n in zip(ends, lengths)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(base[bucket] + start + ends - lengths), pa.array(lengths), pa.array(parts, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
-    return blocks.select("bucket", "start", "block").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.select("bucket", "start", "block").mapInArrow(small_batches(decode), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_digest(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:

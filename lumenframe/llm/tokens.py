@@ -52,7 +52,7 @@ class _Cache(dict):
 
 
 class PieceEncoder:
-    """``encode(text)`` gives the ids of ``Tokenizer.encode(text, add_special_tokens=False)``; special-token strings in a text are ordinary text."""
+    """``encode(text)`` gives the ids of ``Tokenizer.encode(text, add_special_tokens=False)``; texts that hold an added token go to the library whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -60,7 +60,6 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.vocab = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.vocab <= 1 << 16 else np.dtype("<u4")
@@ -68,10 +67,14 @@ class PieceEncoder:
         self.alphabet = _byte_alphabet()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        plain = all(not t.get("normalized") for t in spec.get("added_tokens", []))  # else they are sought in the normalised text
         before, pre = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
         parts = pre.get("pretokenizers", [])
         self.words = self.pieces = None
-        if before is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
+        if not plain:
+            pass
+        elif before is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             self.pieces = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
             self.words, self.lower = regex.compile(BYTE_LEVEL_PATTERN), False
         elif before and [x["type"] for x in before.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in parts] == ["Split", "ByteLevel"] and parts[0]["invert"]:
@@ -102,7 +105,7 @@ class PieceEncoder:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, self.dtype)
-        if self.pieces is None:
+        if self.pieces is None or any(t in text for t in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
         for cache, most in ((self.of_piece, CACHE_PIECES), (self.of_word, CACHE_WORDS)):
             if len(cache) > most:

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from lumenframe.llm import packing, tokenfile
 from lumenframe.llm.tokens import PieceEncoder, public_path
 
-ODD = ["a\x1cb .\x1c. x  y   z  ", "İstanbul ΣΑΣ ΟΔΟΣ Σ", "it's I'LL we’ve '' 's", "日本語 テスト", "é café", "<|endoftext|> a<|endoftext|>b", " \n\n x\n", "١٢٣ ½ ² ªº", "́ a ́b", "a,b. c;d!e?f:g", " lead", "", None]
+ODD = ["a\x1cb .\x1c. x  y   z  ", "İstanbul ΣΑΣ ΟΔΟΣ Σ", "it's I'LL we’ve '' 's", "日本語 テスト", "é café", "<|endoftext|> a<|endoftext|>b", "hello <|endoftext|> there", "end <|endoftext|>", "<|startoftext|>x y<|startoftext|> \n<|ENDOFTEXT|>", "é<|endoftext|>日 <|endof text|>", " \n\n x\n", "١٢٣ ½ ² ªº", "́ a ́b", "a,b. c;d!e?f:g", " lead", "", None]
 
 
 def texts():
@@ -19,7 +19,6 @@ def texts():
 
 def reference(name):
     t = Tokenizer.from_file(public_path(name))
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -31,6 +30,28 @@ def test_pieces_equal_the_library(name):
         assert ours.encode(t).tolist() == encode(t)
 
 
+def test_random_unicode_equals_the_library():
+    rng = random.Random(3)
+    pools = ["abc XYZ.,'\n\t", "éßÄöñç àù", "日本語テスト한국어", "\u0301\u0308\u200d\ufe0f", "😀👩🏽‍🚀", "０１２ⅣⅫ½²", "אבגעربي", "<|endoftext|>"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        encode, ours = reference(name), PieceEncoder(public_path(name))
+        for _ in range(400):
+            pool = "".join(rng.sample(pools, 3))
+            t = "".join(rng.choices([*pool, "<|endoftext|>", " "], k=rng.randint(1, 60)))
+            assert ours.encode(t).tolist() == encode(t), t
+
+
+def test_borders_even_out_tokens():
+    rng = random.Random(2)
+    sample = [(rng.randrange(1 << 40), rng.choice([1, 10, 1000])) for _ in range(3000)]
+    borders = packing.even_borders(sample, 10)
+    sums = [0] * 10
+    for k, n in sample:
+        sums[int(np.searchsorted(borders, k, side="right"))] += n
+    assert len(borders) == 9 and max(sums) < 1.1 * sum(sums) / 10
+    assert packing.even_borders([], 4).tolist() == [] and packing.even_borders([(5, 1)], 4).tolist() == [5]
+
+
 def test_variable_length_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 5, 1000):
