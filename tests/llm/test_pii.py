@@ -61,5 +61,105 @@ def test_patterns_find_unseen_identifiers_and_leave_clean_text(spark):
         assert (got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone) == tuple(sum(k == x[1] for x in base) for k in range(4))
 
 
+def graph_of(texts):
+    """Edges and slot totals of texts by plain loops over their tokens."""
+    edges, totals = {}, {}
+    for t in texts:
+        base = brute(t)
+        words = [m[0] for m in pii._TOKEN.finditer(t or "")] + ["\n"]
+        codes, prefixes = pii._Codes(), pii._Prefixes()
+        clean = [0 if w == "\n" else codes[w] for w in words]
+        for i, w in enumerate(words):
+            if w == "\n":
+                continue
+            left = clean[max(0, i - 3) : i]
+            for key in {("3", *left) if len(left) == 3 and 0 not in left else None, ("2", *left[-2:]) if len(left) > 1 and 0 not in left[-2:] else None,
+                        ("5", left[-1], clean[i + 1]) if left and left[-1] and clean[i + 1] else None, ("7", prefixes[w]) if prefixes[w] else None} - {None}:
+                totals[key] = totals.get(key, 0) + 1
+        for m in pii._mentions(t or "", base, codes, prefixes):
+            for p in m["patterns"]:
+                e = edges.setdefault((p["h"], m["instance"]), [m["kind"], m["seed"], 0])
+                e[2] += 1
+    return edges, totals
+
+
+def brute_accepted(edges, totals, least, confidence, rounds):
+    belief, kinds, good = {}, {}, {}
+    for _ in range(rounds):
+        score = {}
+        for (h, x), (kind, seed, n) in edges.items():
+            b = 1.0 if seed else belief.get(x, 0.0)
+            s = score.setdefault(h, [0.0, 0, 0, {}])
+            s[0] += n * b
+            s[1] += n
+            s[2] += b >= confidence
+            k = kind if seed else kinds.get(x, -1)
+            s[3][k] = s[3].get(k, 0.0) + n * b
+        good = {}
+        for h, (w, n, seeds, by) in score.items():
+            c = w / max(n, totals.get(h, 0))
+            if seeds >= least and c >= confidence:
+                good[h] = (max(by, key=lambda k: (by[k], -k)), c)
+        belief, kinds = {}, {}
+        reached = {}
+        for (h, x), (_, seed, _) in edges.items():
+            if not seed and h in good:
+                reached.setdefault(x, []).append(good[h])
+        for x, found in reached.items():
+            rest = 1.0
+            for _, c in found:
+                rest *= 1 - min(c, 0.999)
+            belief[x], kinds[x] = 1 - rest, max(found, key=lambda f: (f[1], -f[0]))[0]
+    return good
+
+
+def secrets(rng):
+    hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    word = lambda: rng.choice(["lorem", "ipsum", "dolor", "sit", "amet"])
+    docs = [f"{word()} {word()} token = \"{hexes(40)}\" {word()}" for _ in range(30)]
+    docs += [f"{word()} password={hexes(18)} {word()}" for _ in range(30)]
+    docs += [f"{word()} {word()} AKIA{''.join(rng.choices('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', k=16))} {word()}" for _ in range(30)]
+    docs += [f"{word()} password=letmein{n} ok" for n in (123, 4567)]
+    docs += [f"{word()} code {rng.randint(1000, 9999)} {word()} {word()}" for _ in range(40)] + ["", None, "password=", "token = \"\""]
+    return docs
+
+
+def test_secrets_are_found_by_their_contexts(spark):
+    docs = secrets(random.Random(5))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(df).collect()}
+    assert len(got) == len(docs)
+    for i, t in enumerate(docs):
+        planted = bool(t) and re.search("token = .[0-9a-f]|password=.|AKIA", t) is not None
+        assert (got[i].n_found == 1 and got[i].spans.startswith("secret:")) if planted else got[i].spans == "", t
+        assert got[i].n_spans == got[i].n_found + got[i].n_email + got[i].n_ip + got[i].n_card + got[i].n_phone
+
+
+def test_pattern_scores_equal_brute_force(spark):
+    docs = secrets(random.Random(7)) + [f"mail me at {n}x@y.zz or phone: +1 555 {n}00 1234 today" for n in range(100, 130)] + ["phone: 555-12-34 x"] * 3 + ["and phone: rings"] * 5
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    graph = pii.pattern_graph(pii.scan(df), 3)
+    totals = {r.h: r.slots for r in pii.slot_totals(df, graph).collect()}
+    edges, by_words = graph_of(docs)
+    kept = {}
+    for (h, x), e in edges.items():
+        kept.setdefault(h, {})[x] = e
+    kept = {(h, x): e for h, xs in kept.items() if len(xs) >= 3 for x, e in xs.items()}
+    assert {(r.h, r.instance): [r.kind, r.seed, r.n] for r in graph.collect()} == kept
+    assert sorted(totals.values()) == sorted(n for k, n in by_words.items() if n and hashed(k) in {h for h, _ in kept})
+    for least, confidence, rounds in ((3, 0.6, 3), (5, 0.3, 1), (4, 0.8, 2)):
+        want = brute_accepted(kept, totals, least, confidence, rounds)
+        got = {r.h: (r.kind, r.confidence) for r in pii.accepted_patterns(graph, spark.createDataFrame(list(totals.items()), "h long, slots long"), least, confidence, rounds).collect()}
+        assert got.keys() == want.keys() and want
+        assert all(got[h][0] == want[h][0] and abs(got[h][1] - want[h][1]) < 1e-9 for h in want)
+
+
+def hashed(key):
+    kind, codes = key[0], [int(c) for c in key[1:]]
+    by = {"3": (pii._A, pii._B, pii._C), "2": (pii._B, pii._C), "5": (pii._D, pii._E), "7": (pii._F,)}[kind]
+    h = (sum(int(m) * c for m, c in zip(by, codes)) + int(kind)) % 2**64
+    return h - 2**64 if h >= 2**63 else h
+
+
 def test_empty_table(spark):
     assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).collect() == []
