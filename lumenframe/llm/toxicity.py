@@ -1,13 +1,19 @@
 """Toxic spans by a linear-chain conditional random field, aggregated to document scores.
 
-Only documents carry labels, so tokens are labelled from them: a token of a toxic training document is toxic if its word
-or one of its prefixes is found almost only in toxic documents (``learn_lexicon``, counted over all training rows). The
-chain (two states, one sentence long) has the token's and its neighbours' lexicon evidence as features and is fitted by
-maximum likelihood on at most ``CRF_DOCS`` training documents. Forward-backward marginals of the toxic state give the
-offending offsets; their sum and maximum and the document's length give the document's probability by a logistic
-curve fitted on the same documents.
+A token's state is toxic or clean. Its features are its own and its neighbours': the word, its first three to seven and
+last three characters, its shape, and the words beside it, hashed to ``2^BITS`` weights. Only documents carry labels, so
+the tokens' states are latent: a document is toxic if any of its tokens is, and a share ``NOISE`` of the documents
+without a toxic token is labelled toxic all the same. The chain is fitted by the gradient of that likelihood: with P0 the
+probability that all tokens are clean, which is the inverse of the partition functions of its sentences, a clean
+document's features count by their expectation, and a toxic one's by what they gain over it if not all tokens are clean.
+Both come from forward-backward.
 
-A sentence without any evidence has the chain's own marginals, which depend on its length alone.
+Marginals of the toxic state give the offending offsets. 1 - P0, the largest marginal, their sum and the document's
+length give the document's probability by a logistic curve, which is fitted on documents that the chain wasn't.
+
+One bound: the model is fitted on at most ``FIT_DOCS`` labelled documents of at most ``FIT_TOKENS`` tokens (half of them toxic
+at most, at random, with weights that undo the choice). Those texts and the weights are all that the driver sees. Every
+document is scored whole, in chains of a sentence, or of ``CHAIN`` tokens where a sentence is longer.
 
 Defined results: null or empty text has no token and gets the score of its length, zero; labels other than 0 and 1 and
 null labels are left out of training; without both labels in training every score is 0; if a document has several
@@ -17,9 +23,9 @@ labels the largest counts once; repeated rows get equal scores; further columns
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,20 +33,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.langid import fold
+from lumenframe.llm.tables import small_batches
 from lumenframe.plans.storage import broadcast_if_small, materialize
 
-#: A lexicon entry needs this many toxic training documents, this share of them, and this share of its documents toxic.
-MIN_DOCS, MIN_SHARE, MIN_PRECISION = 3, 5e-4, 0.7
+#: Bound on the labelled documents that the model is fitted on, and on their length.
+FIT_DOCS, FIT_TOKENS = 4000, 3000
+#: Hashed weights, and the fitted documents a feature needs.
+BITS, LEAST_DOCS = 19, 4
 PREFIXES = (3, 4, 5, 6, 7)
-#: Bound on the labelled documents that the chain and the document curve are fitted on (half of them toxic at most).
-CRF_DOCS = 6000
-#: The chain is fitted on so many sentences of those documents, of at most so many tokens.
-CRF_SENTENCES, CRF_TOKENS = 800, 64
+NOISE = 0.03
+STEPS, RATE, RIDGE = 40, 0.35, 0.15
 #: Longest chain in tokens.
 CHAIN = 256
 CACHE_WORDS = 300_000
 
-_TOKEN = re.compile(r"\S+")
 _EDGE = re.compile(r"^\W+|\W+$")
 _END = tuple(".!?")
 
@@ -51,156 +57,84 @@ def _word(token: str) -> str:
     return token.lower()
 
 
-def _features(token: str) -> list[str]:
-    """A token's lexicon keys: the whole word, and its prefixes."""
-    word = _word(token)
-    return ["w" + word, *["p" + word[:n] for n in PREFIXES if len(word) > n]] if word else []
-
-
-def _document_features(label: int, wanted: frozenset | None = None):
-    """Document frequencies of features; of ``wanted`` ones only, and then once a task, as that set is bounded."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, list[str]] = {}
-        counts: Counter = Counter()
-
-        def rows() -> pa.RecordBatch:
-            keys = list(counts)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([counts[k] for k in keys], pa.int64())], ["feature", "n"])
-
-        for batch in batches:
-            for toxic, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if toxic != label:
-                    continue
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
-                keys: set[str] = set()
-                for token in set(value.as_py().split()):
-                    if token not in cache:
-                        found = _features(token)
-                        cache[token] = found if wanted is None else [k for k in found if k in wanted]
-                    keys.update(cache[token])
-                counts.update(keys)
-            if wanted is None:
-                yield rows()
-                counts.clear()
-        if wanted is not None:
-            yield rows()
+def _shape(token: str) -> str:
+    marks = "!" if token[-1] in "!?" else ""
+    if token.isupper() and len(token) > 1:
+        return "S" + "A" + marks
+    return "S" + ("9" if any(c.isdigit() for c in token) else "a" if token[0].islower() else "T") + marks
 
-    return run
 
+def features(token: str) -> list[int]:
+    """Hashed features of a token itself."""
+    word = _word(token)
+    keys = ["w" + word, "s" + word[-3:], _shape(token), *["p" + word[:n] for n in PREFIXES if len(word) > n]] if word else [_shape(token)]
+    return [crc32(k.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for k in keys]
 
-def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], int, int]:
-    """``train(toxic, text)`` -> log-odds of features that lean toxic, and the numbers of toxic and clean documents.
 
-    A feature needs ``MIN_SHARE`` of the toxic documents, so there are at most (features a document) / MIN_SHARE of them;
-    clean documents are counted for those alone.
-    """
-    sizes = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n1 or not n0:
-        return {}, n1, n0
-    least = max(MIN_DOCS, int(np.ceil(MIN_SHARE * n1)))
-    count = lambda label, wanted=None: train.where(F.col("toxic") == label).select("toxic", "text").mapInArrow(_document_features(label, wanted), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    toxic = {r.feature: r.n for r in count(1).where(F.col("n") >= least).collect()}
-    clean = {r.feature: r.n for r in count(0, frozenset(toxic)).collect()}
-    odds = MIN_PRECISION / (1 - MIN_PRECISION)
-    leaning = {k: (t, clean.get(k, 0)) for k, t in toxic.items() if t / n1 >= odds * clean.get(k, 0) / n0}
-    return {k: float(np.log((t + 0.5) / (n1 + 1)) - np.log((c + 0.5) / (n0 + 1))) for k, (t, c) in leaning.items()}, n1, n0
+def beside(token: str) -> tuple[int, int]:
+    """Hashed features that a token lends to the one after it, and to the one before it."""
+    word = _word(token).encode("utf-8", "surrogatepass")
+    return crc32(b"<" + word) & ((1 << BITS) - 1), crc32(b">" + word) & ((1 << BITS) - 1)
 
 
 @dataclass
 class Model:
-    """Lexicon, chain weights [token evidence, neighbour evidence, bias], transitions[2, 2] and the document curve."""
+    """Hashed weights, bias of the toxic state, transitions[2, 2] (clean to clean scores 0) and the document curve; no weights: nothing learnt."""
 
-    lexicon: dict[str, float]
     weights: np.ndarray
+    bias: float
     transitions: np.ndarray
     curve: np.ndarray
 
-    def evidence(self, token: str) -> float:
-        """The largest log-odds of the token's keys in the lexicon, else 0."""
-        word = _word(token)
-        if not word:
-            return 0.0
-        found, best = self.lexicon.get, 0.0
-        for key in ("w" + word, *["p" + word[:n] for n in PREFIXES if len(word) > n]):
-            best = found(key, 0.0) if found(key, 0.0) > best else best
-        return best
-
-    def marginals(self, sentences: list[np.ndarray]) -> list[np.ndarray]:
-        """Probability of the toxic state at each token of each sentence."""
-        unary, lengths = _padded(sentences, self.weights)
-        m = forward_backward(unary, lengths, self.transitions)[0]
-        return [row[:n] for row, n in zip(m, lengths)]
-
-
-def _unary(evidence: np.ndarray) -> np.ndarray:
-    """Features of tokens (last axis): evidence, neighbours' evidence, bias."""
-    near = np.zeros_like(evidence)
-    near[..., 1:] += evidence[..., :-1]
-    near[..., :-1] += evidence[..., 1:]
-    return np.stack([evidence, near, np.ones_like(evidence)], axis=-1)
-
-
-def _pad(sentences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(s) for s in sentences])
-    out = np.zeros((len(sentences), lengths.max()))
-    for row, s in zip(out, sentences):
-        row[: len(s)] = s
-    return out, lengths
-
-
-def _padded(sentences: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    evidence, lengths = _pad(sentences)
-    return _unary(evidence) @ weights, lengths
-
 
-def forward_backward(unary: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(marginals of state 1, summed transition expectations, log partitions) of chains in log space.
+def forward_backward(unary: np.ndarray, lengths: np.ndarray, trans: np.ndarray, each: bool | None = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """(marginals of state 1, transition expectations, log partitions) of chains; expectations are summed, of ``each`` chain, or left out (None).
 
-    ``unary[chains, steps]`` is the score of state 1 (state 0 scores 0); ``trans[from, to]``.
+    ``unary[chains, steps]`` is the score of state 1 (state 0 scores 0); ``trans[from, to]``. The recursions run on the ratios
+    of the two states' sums, which need no logarithms.
     """
-    n, steps = unary.shape
-    f, b = np.zeros((steps, n, 2)), np.zeros((steps, n, 2))
-    f[0, :, 1] = unary[:, 0]
+    (e00, e01), (e10, e11) = np.exp(np.clip(trans, -30, 30))
+    x = np.exp(np.clip(np.ascontiguousarray(unary.T), -30, 30))
+    steps, n = x.shape
+    r, q, grown = np.empty_like(x), np.ones_like(x), np.zeros(n)
+    r[0] = x[0]
     for i in range(1, steps):
-        f[i] = np.logaddexp(f[i - 1, :, :1] + trans[0], f[i - 1, :, 1:] + trans[1])
-        f[i, :, 1] += unary[:, i]
+        under = e00 + r[i - 1] * e10
+        r[i] = x[i] * (e01 + r[i - 1] * e11) / under
+        grown += np.where(i < lengths, np.log(under), 0.0)
     for i in range(steps - 2, -1, -1):
-        nxt = b[i + 1].copy()
-        nxt[:, 1] += unary[:, i + 1]
-        step = np.logaddexp(trans[:, 0] + nxt[:, :1], trans[:, 1] + nxt[:, 1:])
-        b[i] = np.where((i + 1 < lengths)[:, None], step, 0.0)
-    last = f[lengths - 1, np.arange(n)]
-    z = np.logaddexp(last[:, 0], last[:, 1])
+        ahead = x[i + 1] * q[i + 1]
+        q[i] = np.where(i + 1 < lengths, (e10 + e11 * ahead) / (e00 + e01 * ahead), 1.0)
+    z = grown + np.log1p(r[lengths - 1, np.arange(n)])
     inside = np.arange(steps)[:, None] < lengths
-    marginal = np.where(inside, np.exp(np.minimum(f[:, :, 1] + b[:, :, 1] - z, 0.0)), 0.0)
-    nxt = b[1:].copy()
-    nxt[:, :, 1] += unary.T[1:]
-    pair = f[:-1, :, :, None] + trans + nxt[:, :, None, :] - z[:, None, None]
-    return marginal.T, np.where(inside[1:, :, None, None], np.exp(np.minimum(pair, 0.0)), 0.0).sum(axis=(0, 1)), z
-
-
-def fit_chain(sentences: list[tuple[np.ndarray, np.ndarray]], steps: int = 60, rate: float = 0.3, ridge: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum likelihood of ``(evidence, labels)`` sentences by full-batch adaptive gradient steps."""
-    evidence, lengths = _pad([e for e, _ in sentences])
-    labels, _ = _pad([y for _, y in sentences])
-    x, total = _unary(evidence), lengths.sum()
-    inside = np.arange(x.shape[1]) < lengths[:, None]
-    seen, state = np.zeros((2, 2)), labels.astype(int)
-    both = inside[:, 1:]
-    np.add.at(seen, (state[:, :-1][both], state[:, 1:][both]), 1)
-    theta, square = np.zeros(7), np.full(7, 1e-8)
-    theta[2] = -2.0
-    for _ in range(steps):
-        p, pair, _ = forward_backward(x @ theta[:3], lengths, theta[3:].reshape(2, 2))
-        grad = -ridge * theta
-        grad[:3] += ((labels - p) * inside).ravel() @ x.reshape(-1, 3) / total
-        grad[3:] += ((seen - pair) / total).ravel()
-        square += grad**2
-        theta += rate * grad / np.sqrt(square)
-    return theta[:3], theta[3:].reshape(2, 2)
+    odds = r * q
+    marginal = np.where(inside, odds / (1 + odds), 0.0).T
+    if each is None:
+        return marginal, None, z
+    ahead = x[1:] * q[1:]
+    parts = [np.full_like(ahead, e00), e01 * ahead, r[:-1] * e10, r[:-1] * e11 * ahead]
+    share = np.where(inside[1:], 1 / sum(parts), 0.0)
+    pair = np.stack([(p * share).sum(axis=0) for p in parts], axis=-1).reshape(n, 2, 2)
+    return marginal, pair if each else pair.sum(axis=0), z
+
+
+def _pad(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.array([len(r) for r in rows])
+    out = np.zeros((len(rows), lengths.max()))
+    for row, r in zip(out, rows):
+        row[: len(r)] = r
+    return out, lengths
+
+
+def _chunks(lengths: np.ndarray, cells: int = 200_000) -> Iterator[np.ndarray]:
+    """Places of chains, alike lengths together, so many that padded they have about ``cells`` cells."""
+    order = np.argsort(lengths, kind="stable")
+    ordered, start = lengths[order], 0
+    for most in (4, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, CHAIN):
+        end = int(np.searchsorted(ordered, most, side="right"))
+        for at in range(start, end, cells // most):
+            yield order[at : min(end, at + cells // most)]
+        start = end
 
 
 def split_sentences(tokens: list[str]) -> list[tuple[int, int]]:
@@ -221,65 +155,159 @@ class _Memo(dict):
         return out
 
 
+class Sample:
+    """Fitted documents as word numbers and sentences, with the hashed features of each word."""
+
+    def __init__(self, documents: list[list[str]]):
+        words: dict[str, int] = {}
+        self.tokens = np.array([words.setdefault(t, len(words)) for d in documents for t in d], np.int64)
+        sizes = np.array([len(d) for d in documents], np.int64)
+        self.document = np.repeat(np.arange(len(documents)), sizes)
+        self.starts, self.lengths, self.owner, at = [], [], [], 0
+        for d, tokens in enumerate(documents):
+            for a, b in split_sentences(tokens) if tokens else []:
+                self.starts.append(at + a)
+                self.lengths.append(b - a)
+                self.owner.append(d)
+            at += len(tokens)
+        self.starts, self.lengths, self.owner = (np.array(x, np.int64) for x in (self.starts, self.lengths, self.owner))
+        own = [features(w) for w in words]
+        self.of_word = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        self.own = np.array([f for x in own for f in x], np.int64)
+        self.near = np.array([beside(w) for w in words], np.int64).reshape(-1, 2)
+        inside = np.ones(len(self.tokens), bool)
+        inside[self.starts] = False
+        self.has_left = inside
+        self.has_right = np.append(inside[1:], False) if len(inside) else inside
+        self.n = len(documents)
+
+    def unary(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        word = np.bincount(self.of_word, weights[self.own], len(self.near)) + bias
+        left, right = weights[self.near[:, 0]], weights[self.near[:, 1]]
+        out = word[self.tokens]
+        out[1:] += left[self.tokens[:-1]] * self.has_left[1:]
+        out[:-1] += right[self.tokens[1:]] * self.has_right[:-1]
+        return out
+
+    def gradient(self, per_token: np.ndarray) -> np.ndarray:
+        """What a gradient by token is for each hashed weight."""
+        n = len(self.near)
+        word = np.bincount(self.tokens, per_token, n)
+        left = np.bincount(self.tokens[:-1], per_token[1:] * self.has_left[1:], n)
+        right = np.bincount(self.tokens[1:], per_token[:-1] * self.has_right[:-1], n)
+        size = 1 << BITS
+        return np.bincount(self.own, word[self.of_word], size) + np.bincount(self.near[:, 0], left, size) + np.bincount(self.near[:, 1], right, size)
+
+    def frequent(self, least: int = LEAST_DOCS) -> np.ndarray:
+        """Which hashed weights have features in at least ``least`` documents."""
+        pairs = np.unique(self.document << 32 | self.tokens)
+        count = np.bincount(pairs & 0xFFFFFFFF, minlength=len(self.near))  # documents a word
+        size = 1 << BITS
+        return (np.bincount(self.own, count[self.of_word], size) + np.bincount(self.near.ravel(), np.repeat(count, 2), size)) >= least
+
+    def run(self, unary: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(marginals by token, expected transitions by sentence, log partitions by sentence)."""
+        marginal, z, moves = np.zeros(len(unary)), np.zeros(len(self.starts)), np.zeros((len(self.starts), 2, 2))
+        for at in _chunks(self.lengths):
+            grid = self.starts[at, None] + np.arange(self.lengths[at].max())
+            inside = np.arange(grid.shape[1]) < self.lengths[at, None]
+            padded = np.where(inside, unary[np.minimum(grid, len(unary) - 1)], 0.0)
+            m, moves[at], z[at] = forward_backward(padded, self.lengths[at], trans, True)
+            marginal[grid[inside]] = m[inside]
+        return marginal, moves, z
+
+    def summary(self, marginal: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Curve features of the documents."""
+        top, sums = np.zeros(self.n), np.bincount(self.document, marginal, self.n)
+        np.maximum.at(top, self.document, marginal)
+        return curve_features(np.bincount(self.owner, z, self.n), top, sums, np.bincount(self.document, minlength=self.n))
+
+
+def curve_features(z: np.ndarray, top: np.ndarray, sums: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Log-odds that any token is toxic, the largest marginal, and the logs of their sum and of the length."""
+    odds = np.log(np.maximum(np.expm1(np.minimum(z, 50.0)), 1e-9))
+    return np.stack([np.clip(odds, -12, 12) / 4, top, np.log1p(sums), np.log1p(tokens), np.ones_like(top)], axis=-1)
+
+
+def document_gradients(z: np.ndarray, labels: np.ndarray, noise: float = NOISE) -> np.ndarray:
+    """How much a document's expected features count in the gradient of its label's log likelihood; ``z`` = -log P0."""
+    p0 = np.exp(-z)
+    return np.where(labels == 1, (1 - noise) * p0 / (1 - (1 - noise) * p0), -1.0)
+
+
+def fit_chain(sample: Sample, labels: np.ndarray, weight: np.ndarray, steps: int = STEPS, rate: float = RATE, ridge: float = RIDGE) -> tuple[np.ndarray, float, np.ndarray]:
+    """Maximum likelihood of the documents' labels by full-batch adaptive gradient steps: weights, bias, transitions."""
+    size = 1 << BITS
+    live = sample.frequent()
+    theta = np.zeros(size + 4)
+    theta[size] = -6.0
+    square = np.full(size + 4, 1e-6)
+    for _ in range(steps):
+        trans = np.append(0.0, theta[size + 1 :]).reshape(2, 2)
+        marginal, moves, z = sample.run(sample.unary(theta[:size], theta[size]), trans)
+        pull = document_gradients(np.bincount(sample.owner, z, sample.n), labels) * weight
+        by_token = marginal * pull[sample.document]
+        grad = np.empty(size + 4)
+        grad[:size] = sample.gradient(by_token) * live
+        grad[size] = by_token.sum()
+        grad[size + 1 :] = (moves * pull[sample.owner][:, None, None]).sum(axis=0).ravel()[1:]
+        grad -= ridge * np.append(theta[:size], [0.0, *theta[size + 1 :]])
+        square += grad**2
+        theta += rate * grad / np.sqrt(square)
+    return theta[:size] * live, float(theta[size]), np.append(0.0, theta[size + 1 :]).reshape(2, 2)
+
+
 class Tagger:
-    """Scores texts with a model; evidence is cached by token."""
+    """Scores texts with a model; scores of words are cached."""
 
     def __init__(self, model: Model):
-        self.model, self.cache, self.quiet = model, _Memo(model.evidence), {}
-
-    def _evidence(self, tokens: list[str]) -> list[float]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        return list(map(self.cache.__getitem__, tokens))
-
-    def _quiet(self, n: int) -> tuple[float, float]:
-        """Sum and maximum of the marginals of a sentence of n tokens without evidence."""
-        if n not in self.quiet:
-            if len(self.quiet) > 10_000:
-                self.quiet.clear()
-            m = self.model.marginals([np.zeros(n)])[0]
-            self.quiet[n] = float(m.sum()), float(m.max())
-        return self.quiet[n]
+        self.model = model
+        w = model.weights
+        self.own = _Memo(lambda t: float(w[features(t)].sum()) + model.bias)
+        self.left, self.right = (_Memo(lambda t, k=k: float(w[beside(t)[k]])) for k in (0, 1))
+
+    def unary(self, tokens: list[str]) -> np.ndarray:
+        if len(self.own) > CACHE_WORDS:
+            for memo in (self.own, self.left, self.right):
+                memo.clear()
+        n = len(tokens)
+        return np.stack([np.fromiter(map(memo.__getitem__, tokens), float, n) for memo in (self.own, self.left, self.right)])
 
     def score_all(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, int]]]]:
-        """Document probability and the offsets (code points) of toxic tokens, for each text.
-
-        The evident sentences of all texts are run through the chain together, alike lengths side by side.
-        """
-        if not self.model.lexicon:
+        """Document probability and the offsets (code points) of toxic tokens, for each text; chains of all texts run together."""
+        if not len(self.model.weights):
             return [(0.0, []) for _ in texts]
-        features, chains = np.zeros((len(texts), 4)), []
-        for d, text in enumerate(texts):
-            tokens = (text or "").split()
-            values = self._evidence(tokens)
-            features[d, 2:] = np.log1p(len(tokens)), 1.0
-            if not any(values):
-                features[d, 0] = self._quiet(min(len(tokens), 50))[1] if tokens else 0.0
-                continue
-            for a, b in split_sentences(tokens):
-                if any(values[a:b]):
-                    chains.append((b - a, d, a, np.array(values[a:b])))
-                else:
-                    features[d, 0] = max(features[d, 0], self._quiet(b - a)[1])
-        chains.sort(key=lambda c: c[:3])
+        documents = [(t or "").split() for t in texts]
+        sizes = np.array([len(d) for d in documents])
+        owner, chains, places = [], [], []
+        for d, tokens in enumerate(documents):
+            if tokens:
+                own, left, right = self.unary(tokens)
+                for a, b in split_sentences(tokens):
+                    u = own[a:b].copy()
+                    u[1:] += left[a : b - 1]
+                    u[:-1] += right[a + 1 : b]
+                    owner.append(d)
+                    places.append(a)
+                    chains.append(u)
+        owner, lengths = np.array(owner, np.int64), np.array([len(c) for c in chains], np.int64)
+        z, top, sums = np.zeros(len(chains)), np.zeros(len(texts)), np.zeros(len(texts))
         found: dict[int, list[int]] = {}
-        at = 0
-        while at < len(chains):
-            part = chains[at : at + max(1, 100_000 // chains[min(at + 500, len(chains) - 1)][0])]
-            at += len(part)
-            for (_, d, a, _), m in zip(part, self.model.marginals([c[3] for c in part])):
-                features[d, 0] = max(features[d, 0], float(m.max()))
-                features[d, 1] += float(m.sum())
-                if m.max() >= 0.5:
-                    found.setdefault(d, []).extend(a + int(i) for i in np.flatnonzero(m >= 0.5))
-        features[:, 1] = np.log1p(features[:, 1])
-        scores = 1 / (1 + np.exp(-np.clip(features @ self.model.curve, -30, 30)))
+        for at in _chunks(lengths):
+            unary, n = _pad([chains[i] for i in at])
+            m, _, z[at] = forward_backward(unary, n, self.model.transitions, None)
+            np.maximum.at(top, owner[at], m.max(axis=1))
+            np.add.at(sums, owner[at], m.sum(axis=1))
+            for i, j in zip(*np.nonzero(m >= 0.5)):
+                found.setdefault(int(owner[at[i]]), []).append(places[at[i]] + int(j))
+        x = curve_features(np.bincount(owner, z, len(texts)), top, sums, sizes)
+        scores = 1 / (1 + np.exp(-np.clip(x @ self.model.curve, -30, 30)))
         out = []
         for d, text in enumerate(texts):
             spans = []
             if d in found:
-                places = [m.span() for m in re.finditer(r"\S+", text)]
-                spans = [places[i] for i in sorted(found[d])] if len(places) == len(text.split()) else []
+                at = [m.span() for m in re.finditer(r"\S+", text)]
+                spans = [at[i] for i in sorted(found[d])] if len(at) == len(documents[d]) else []
             out.append((float(scores[d]), spans))
         return out
 
@@ -297,58 +325,31 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50
     return w
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", docs: int = CRF_DOCS) -> Model:
-    """Fit on ``labelled``; at most ``docs`` documents of it reach the driver, for the chain and the curve."""
+def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", docs: int = FIT_DOCS, tokens: int = FIT_TOKENS) -> Model:
+    """Fit on at most ``docs`` documents of ``labelled`` with at most ``tokens`` tokens each."""
     rows = labelled.select(F.col(label_col).cast("int").alias("toxic"), F.col(text_col).cast("string").alias("text")).where("toxic in (0, 1) and text is not null")
-    lexicon, n1, n0 = learn_lexicon(rows)
-    none = Model({}, np.zeros(3), np.zeros((2, 2)), np.zeros(4))
-    if not lexicon:
-        return none
-    take1, take0 = min(n1, docs // 2), min(n0, docs - docs // 2)
-    picked = rows.sampleBy("toxic", {1: take1 / n1, 0: take0 / n0}, seed=3)
-    probe = Model(lexicon, np.array([1.0, 0.0, -1.0]), np.zeros((2, 2)), np.zeros(4))
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts as token evidence: that is all that training needs."""
-        tagger = Tagger(probe)
-        for batch in batches:
-            lengths, evidence = [], []
-            for value in batch.column(1):
-                tokens = value.as_py().split()
-                values = tagger._evidence(tokens)
-                parts = split_sentences(tokens)
-                loud = [(a, b) for a, b in parts if any(values[a:b])]
-                lengths.append([len(tokens), *(b - a for a, b in loud)])
-                evidence.append([v for a, b in loud for v in values[a:b]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.list_(pa.int64())), pa.array(evidence, pa.list_(pa.float64()))], ["toxic", "lengths", "evidence"])
-
-    seen = sorted(picked.mapInArrow(digest, "toxic int, lengths array<long>, evidence array<double>").collect())
-    chain = []
-    for r in seen:
-        values, at = np.array(r.evidence), 0
-        for n in r.lengths[1:]:
-            e = values[at : at + n]
-            if n <= CRF_TOKENS:
-                chain.append((e, ((e > 0) & (r.toxic == 1)).astype(float)))
-            at += n
-    chain += [(np.zeros(12), np.zeros(12))] * max(1, len(chain) // 4)
-    order = np.random.default_rng(0).permutation(len(chain))[:CRF_SENTENCES]
-    weights, transitions = fit_chain([chain[i] for i in order])
-    model = Model(lexicon, weights, transitions, np.zeros(4))
-    tagger = Tagger(model)
-    x, y = [], []
-    for r in seen:
-        values, ends = np.array(r.evidence), np.cumsum(r.lengths[1:])
-        loud, sum_ = tagger._quiet(min(r.lengths[0], 50))[1] if r.lengths[0] else 0.0, 0.0
-        if len(ends):
-            for m in model.marginals([values[e - n : e] for e, n in zip(ends, r.lengths[1:])]):
-                loud, sum_ = max(loud, float(m.max())), sum_ + float(m.sum())
-        x.append([loud, np.log1p(sum_), np.log1p(r.lengths[0]), 1.0])
-        y.append(r.toxic)
-    y = np.array(y, float)
-    weight = np.where(y == 1, n1 / max(1, (y == 1).sum()), n0 / max(1, (y == 0).sum()))
-    model.curve = _fit_curve(np.array(x), y, weight * len(y) / weight.sum())
-    return model
+    rows = rows.where(F.size(F.split("text", r"\s+")) <= tokens)
+    sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    if not n1 or not n0:
+        return Model(np.zeros(0), 0.0, np.zeros((2, 2)), np.zeros(5))
+    take1 = min(n1, docs // 2)
+    take0 = min(n0, docs - take1)
+    drawn = rows.withColumn("draw", F.xxhash64("text", F.lit(3)))
+    picked = sorted((r.toxic, r.draw, r.text) for label, k in ((1, take1), (0, take0)) for r in drawn.where(F.col("toxic") == label).orderBy("draw", "text").limit(k).collect())
+    labels = np.array([r[0] for r in picked], float)
+    documents = [r[2].split() for r in picked]
+    weight = np.where(labels == 1, n1 / take1, n0 / take0)
+    weight *= len(labels) / weight.sum()
+    part = np.random.default_rng(0).permutation(len(labels))
+    chain, held = (part, part) if len(labels) < 40 else (part[len(part) // 4 :], part[: len(part) // 4])
+    if len({*labels[chain]}) < 2 or len({*labels[held]}) < 2:
+        chain = held = part
+    sample = Sample([documents[i] for i in chain])
+    weights, bias, transitions = fit_chain(sample, labels[chain], weight[chain])
+    sample = Sample([documents[i] for i in held])
+    marginal, _, z = sample.run(sample.unary(weights, bias), transitions)
+    return Model(weights, bias, transitions, _fit_curve(sample.summary(marginal, z), labels[held], weight[held]))
 
 
 def _score(model: Model):
@@ -372,5 +373,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     labelled = rows.where(~F.col("held_out")).join(marks, F.col("doc_id") == F.col("label_id")).select("toxic", "text")
     model = train(materialize(labelled, "labelled"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(_score(model), f"doc_id {kind}, held_out boolean, score double, spans string")
+    out = rows.mapInArrow(small_batches(_score(model), 500), f"doc_id {kind}, held_out boolean, score double, spans string")
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")

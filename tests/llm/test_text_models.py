@@ -95,7 +95,7 @@ def scored(spark):
         labels.append((i, int(bad)))
     rows += [(900, None), (901, ""), (902, "you vile person " + "w1 " * 50_000), (903, "w1 w2"), (903, "w1 w2")]
     labels += [(0, None), (1, 0), (2, 7), (None, 1)]
-    d = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, toxic string").drop("toxic")
+    d = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, toxic string")
     out = toxicity.toxicity(d, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
     return {r.doc_id: r for r in out}, dict(rows), len(rows), len(out)
 
@@ -117,3 +117,60 @@ def test_one_label_only_and_empty(spark):
     labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
     assert toxicity.toxicity(d, labels).first().score == 0.0
     assert toxicity.toxicity(d.limit(0), labels.limit(0)).collect() == []
+
+
+def test_chain_gradient_is_the_likelihoods(monkeypatch):
+    """Finite differences of the documents' log likelihood, with P0 by enumeration in a small chain."""
+    import numpy as np
+
+    monkeypatch.setattr(toxicity, "BITS", 6)
+    documents = [["a", "Vile", "b."], ["c", "d."], ["b", "a.", "c", "Vile"], ["d"]]
+    labels = np.array([1.0, 0.0, 1.0, 0.0])
+    sample = toxicity.Sample(documents)
+    rng = np.random.default_rng(2)
+    w, bias, trans = rng.normal(size=64), -0.5, np.array([[0.0, 0.3], [-0.2, 0.7]])
+
+    def likelihood(w, bias, trans):
+        u = sample.unary(w, bias)
+        out = 0.0
+        for d, y in enumerate(labels):
+            z = 0.0
+            for s, n in zip(sample.starts[sample.owner == d], sample.lengths[sample.owner == d]):
+                paths = [[(k >> i) & 1 for i in range(n)] for k in range(2**n)]
+                z += np.log(sum(np.exp(sum(u[s + i] * v for i, v in enumerate(p)) + sum(trans[a, b] for a, b in zip(p, p[1:]))) for p in paths))
+            out += np.log(1 - (1 - toxicity.NOISE) * np.exp(-z)) if y else np.log(1 - toxicity.NOISE) - z
+        return out
+
+    marginal, moves, z = sample.run(sample.unary(w, bias), trans)
+    pull = toxicity.document_gradients(np.bincount(sample.owner, z, sample.n), labels)
+    grad = sample.gradient(marginal * pull[sample.document])
+    for k in np.flatnonzero(grad)[:12]:
+        step = np.zeros(64)
+        step[k] = 1e-5
+        assert np.isclose(grad[k], (likelihood(w + step, bias, trans) - likelihood(w - step, bias, trans)) / 2e-5, atol=1e-5)
+    assert np.isclose((marginal * pull[sample.document]).sum(), (likelihood(w, bias + 1e-5, trans) - likelihood(w, bias - 1e-5, trans)) / 2e-5, atol=1e-5)
+    step = np.array([[0, 0], [0, 1e-5]])
+    assert np.isclose((moves * pull[sample.owner][:, None, None]).sum(axis=0)[1, 1], (likelihood(w, bias, trans + step) - likelihood(w, bias, trans - step)) / 2e-5, atol=1e-5)
+
+
+def test_batch_scores_equal_single_ones():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(rng.normal(size=1 << toxicity.BITS), -2.0, np.array([[0.0, 0.1], [0.2, 0.5]]), rng.normal(size=5))
+    texts = [" ".join(rng.choice(list("abcdef"), n)) + "." for n in (1, 3, 40, 700)] + [None, "", " a  b. c! "]
+    tagger = toxicity.Tagger(model)
+    every = tagger.score_all(texts)
+    for t, (score, spans) in zip(texts, every):
+        (one, own), = toxicity.Tagger(model).score_all([t])
+        assert np.isclose(one, score) and own == spans and all(not any(c.isspace() for c in t[a:b]) for a, b in spans)
+
+
+def test_held_out_auc_is_over_a_lexicons(spark):
+    """0.951 is what the largest log-odds of a document's words reaches on these held-out rows."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg({"toxic": "max"}).toDF("doc_id", "y")
+    got = toxicity.toxicity(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).where("held_out").join(labels, "doc_id").toPandas()
+    ranks, n = got.score.rank(), got.y.sum()
+    assert (ranks[got.y == 1].sum() - n * (n + 1) / 2) / (n * (len(got) - n)) > 0.97
+    assert got.predicted[got.y == 1].mean() > 0.85 and got.predicted[got.y == 0].mean() < 0.01
