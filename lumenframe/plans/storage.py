@@ -5,18 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A table is broadcast only if its stored size is below this many bytes.
+#: A table is broadcast only if its rows take less than this many bytes.
 BROADCAST_BYTES = 32 << 20
+#: Bytes that a row, and an array or a string in it, take besides their values.
+ROW_BYTES, VALUE_BYTES = 32, 16
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one where it is unset in local mode (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="lumenframe-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -47,9 +52,35 @@ def stored_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def _width(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value in memory."""
+    if isinstance(kind, T.StructType):
+        return sum((_width(value[f.name], f.dataType) for f in kind.fields), F.lit(VALUE_BYTES))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType, T.MapType)):
+            return F.coalesce(F.aggregate(value, F.lit(0).cast("long"), lambda n, x: n + _width(x, kind.elementType)), F.lit(0)) + VALUE_BYTES
+        return F.greatest(F.size(value), F.lit(0)) * 8 + VALUE_BYTES
+    if isinstance(kind, T.MapType):
+        return _width(F.map_entries(value), T.ArrayType(T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])))
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + VALUE_BYTES
+    return F.lit(8)
+
+
+def memory_bytes(df: DataFrame) -> int:
+    """What the rows of ``df`` take in memory: their number times their widths, measured over all of them."""
+    row = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(ROW_BYTES))
+    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
+
+
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a materialised table may be broadcast. Its stored size, which is free to read, rules out the large ones."""
+    return stored_bytes(df) <= limit and memory_bytes(df) <= limit
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast if the stored size of a materialised table is below ``limit``, else leave it to a shuffle join."""
-    return F.broadcast(df) if stored_bytes(df) * 4 <= limit else df
+    """Hint a broadcast if a materialised table's rows take less than ``limit``, else leave it to a shuffle join."""
+    return F.broadcast(df) if fits_broadcast(df, limit) else df
 
 
 def drop_scratch(spark: SparkSession) -> None:
