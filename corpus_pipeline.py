@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; every stage but the last returns the
 columns of ``documents``. ``ORACLE_SQL`` is None: hyperdimensional profiles and XXH64 have no SQL form; the tests hold
 the stages against brute force.
+
+Defined results: null, empty and letterless texts go in the first stage; null sources are a site of their own; of rows
+with the same text, and of repeated ids, one stays; null ids are kept like any other; an empty table gives no piece;
+further columns pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (no text or no letter)."""
+    """Drops documents in no learnt language: without a letter, or predicted to be unlike all of them. A null ``lang`` becomes the predicted one."""
     return langid.known_language(docs)
 
 
