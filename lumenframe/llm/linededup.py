@@ -21,14 +21,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.plans.storage import BROADCAST_BYTES, materialize, stored_bytes
+from lumenframe.plans.storage import BROADCAST_BYTES, fits_broadcast, materialize
 
 MAX_RATIO = 0.025
 MIN_PAGES = 5
 SALT = 32
 #: Words of a line that is counted over all sites, and the share of its pages that must be unlike.
 LONG_WORDS, UNLIKE = 9, 0.5
-BUCKETS = 4096
+BUCKETS, HOST_BUCKETS = 4096, 64
 
 
 def _key(line: Column) -> Column:
@@ -46,7 +46,7 @@ def _host(host: Column) -> Column:
 
 
 def boilerplate_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``(host_key, bad)``: per site the keys of its boilerplate lines.
+    """``(host_key, bad)``: per site the keys of its boilerplate lines, in ``HOST_BUCKETS`` lists by key, so that a line is sought in one.
 
     Counting is one map-side-combined shuffle of (host, 128-bit key); a hot site is spread by its line keys. The set of
     one site has at most (mean lines per page) / max_ratio entries, as each entry is on max_ratio of the pages.
@@ -56,7 +56,9 @@ def boilerplate_lines(docs: DataFrame, host_col: str = "source", text_col: str =
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("body")), lambda x: F.trim(x) != ""), _key))
     counts = pages.select("host_key", F.explode(keys).alias("k")).groupBy("host_key", "k").agg(F.count("*").alias("df")).where(F.col("df") >= min_pages)
     over = counts.join(totals, "host_key").where(F.col("df") > F.lit(max_ratio) * F.col("pages"))
-    return over.groupBy("host_key").agg(F.collect_set("k").alias("bad"))
+    by = over.groupBy("host_key", F.pmod(F.col("k.h1"), F.lit(HOST_BUCKETS)).cast("int").alias("b")).agg(F.collect_set("k").alias("ks"))
+    by = by.groupBy("host_key").agg(F.map_from_entries(F.collect_list(F.struct("b", "ks"))).alias("m"))
+    return by.select("host_key", F.transform(F.sequence(F.lit(0), F.lit(HOST_BUCKETS - 1)), lambda i: F.try_element_at("m", i)).alias("bad"))
 
 
 def _long(line: Column) -> Column:
@@ -89,7 +91,7 @@ def _with_passages(rows: DataFrame, docs: DataFrame, text_col: str, min_pages: i
     A set below the limit is one broadcast row of buckets; a larger one is joined to the pages that hold its lines.
     """
     found = materialize(repeated_passages(docs, text_col, min_pages), "passages")
-    if stored_bytes(found) * 4 <= BROADCAST_BYTES:
+    if fits_broadcast(found, BROADCAST_BYTES):
         bucket = lambda k: F.pmod(k["h1"], F.lit(BUCKETS)).cast("int")
         lists = F.map_from_entries(F.collect_list(F.struct("b", "ks")))
         by = found.groupBy(bucket(F.col("k")).alias("b")).agg(F.collect_list("k").alias("ks")).agg(lists.alias("m"))
@@ -115,14 +117,15 @@ def site_line_dedup(
     """
     bad = materialize(boilerplate_lines(docs, host_col, text_col, max_ratio, min_pages), "boilerplate")
     rows = docs.select(F.struct("*").alias("row"), _host(F.col(host_col)).alias("host_key"), F.col(text_col).alias("body"))
-    if stored_bytes(bad) * 4 <= BROADCAST_BYTES:
+    if fits_broadcast(bad, BROADCAST_BYTES):
         rows = rows.join(F.broadcast(bad), "host_key", "left")
     else:
         salted = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("body"), F.lit(SALT)).cast("int")).join(salted, ["host_key", "salt"], "left")
     rows, repeated = _with_passages(rows, docs, text_col, min_pages) if passages else (rows, lambda x: F.lit(False))
     rows = rows.withColumn("lines", _lines(F.col("body")))
-    kept = F.filter("lines", lambda x: (F.trim(x) == "") | ~(F.coalesce(F.array_contains("bad", _key(x)), F.lit(False)) | repeated(x)))
+    listed = lambda x: F.coalesce(F.array_contains(F.get("bad", F.pmod(_key(x)["h1"], F.lit(HOST_BUCKETS)).cast("int")), _key(x)), F.lit(False))
+    kept = F.filter("lines", lambda x: (F.trim(x) == "") | ~(listed(x) | repeated(x)))
     rows = rows.withColumn("kept", kept)
     rows = rows.withColumn("whole", ~F.exists("kept", lambda x: F.trim(x) != ""))
     text = F.when(F.col("whole"), F.col("body")).otherwise(F.array_join("kept", "\n"))
