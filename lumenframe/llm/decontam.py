@@ -5,7 +5,7 @@
 3. Offset-adjusted lists: a posting of a window's rarest term at ``pos`` puts the window's start at ``pos - offset``; the
    list is intersected with the one of the second rarest term on (document, window, start). ``slop`` widens the second to
    a proximity search.
-4. What survives is checked word by word against the document, and the hits are laid over each other.
+4. What survives is checked against the document's words (by 128 bits of their hash), and the hits are laid over each other.
 
 A frequent passage costs postings in proportion to its occurrences; no two documents are ever paired. The test items'
 tables are broadcast below the checked limit and shuffled beyond it. The documents' text moves only in step 4, and
@@ -86,6 +86,10 @@ def candidates(index: DataFrame, anchors: DataFrame, slop: int = 0) -> DataFrame
     return both.unionByName(alone).distinct()
 
 
+def _hash(phrase: Column) -> tuple[Column, Column]:
+    return F.xxhash64(phrase), F.xxhash64(F.lit("window"), phrase)
+
+
 def _covered(hits: Column) -> Column:
     """Number of words under intervals ``struct(start, len)``."""
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
@@ -107,16 +111,19 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     terms = materialize(anchors.select("term").distinct(), "anchor-terms")
     index = postings(docs, terms, id_col, text_col)
     found = candidates(index, anchors, slop).join(broadcast_if_small(windows.select("wid", "item_ids", "terms", "phrase")), "wid")
-    entry = F.struct("start", F.size("terms").alias("len"), "item_ids", "terms", "phrase")
+    # A candidate carries 128 bits of its window's words; the words themselves are needed for proximity alone.
+    told = [F.col("terms")] if slop else [c.alias(f"h{i}") for i, c in enumerate(_hash(F.col("phrase")))]
+    entry = F.struct(F.col("start").cast("int").alias("start"), F.size("terms").alias("len"), "item_ids", *told)
     per_doc = materialize(found.groupBy("doc_id").agg(F.collect_list(entry).alias("cands")).withColumnRenamed("doc_id", "cand_id"), "candidates")
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), words(F.col(text_col)).alias("w"))
-    rows = rows.join(broadcast_if_small(per_doc), F.col("own_id").eqNullSafe(F.col("cand_id")), "left")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), F.col(text_col).alias("body"))
+    rows = rows.join(broadcast_if_small(per_doc), F.col("own_id").eqNullSafe(F.col("cand_id")), "left").withColumn("w", words(F.col("body")))
 
     def stands(c: Column) -> Column:
         if slop:
             span = F.slice(F.col("w"), F.greatest(c["start"] + 1 - slop, F.lit(1)), c["len"] + 2 * slop)
             return F.size(F.array_except(c["terms"], span)) == 0
-        return F.array_join(F.slice(F.col("w"), c["start"] + 1, c["len"]), " ") == c["phrase"]
+        h0, h1 = _hash(F.array_join(F.slice(F.col("w"), c["start"] + 1, c["len"]), " "))
+        return (h0 == c["h0"]) & (h1 == c["h1"])
 
     rows = rows.withColumn("hits", F.filter("cands", stands))
     spans = F.transform("hits", lambda c: F.struct(F.greatest(c["start"], F.lit(0)).alias("start"), c["len"].alias("len")))
