@@ -28,6 +28,9 @@ DIM = 1024
 TRAIN_PER_LANG = 4000
 TEMPERATURE = 0.05
 UNKNOWN = "und"
+#: A text of at least so many different trigrams whose best cosine is below this is in none of the learnt languages. Shorter
+#: texts can't be told from chance: the cosine of unrelated texts has spread 1 / 32.
+MIN_COSINE, MIN_TRIGRAMS = 0.1, 60
 #: Trigram vectors a worker keeps (4 KB each).
 CACHE_TRIGRAMS = 20_000
 TRAIN_TASKS = 24
@@ -92,9 +95,11 @@ class Encoder:
 
     def text_vector(self, text: str | None) -> np.ndarray | None:
         grams = self.trigrams(text)
-        if grams is None:
-            return None
-        v = self.bundle(grams[0], np.sqrt(grams[1]).astype(np.float32))
+        return None if grams is None else self.vector(*grams)
+
+    def vector(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The unit vector of trigrams with counts."""
+        v = self.bundle(codes, np.sqrt(counts).astype(np.float32))
         n = np.linalg.norm(v)
         return v / n if n else v
 
@@ -135,24 +140,30 @@ def _predict(names: list[str], matrix: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder()
         for batch in batches:
-            langs, scores = [], []
+            langs, scores, cosines, sizes = [], [], [], []
             for text in batch.column(batch.num_columns - 1):
-                v = encoder.text_vector(text.as_py()) if names else None
-                if v is None:
+                grams = encoder.trigrams(text.as_py()) if names else None
+                if grams is None:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
+                    cosines.append(0.0)
+                    sizes.append(0)
                     continue
+                v = encoder.vector(*grams)
                 cos = matrix @ v
                 best = int(np.argmax(cos))
                 langs.append(names[best])
                 scores.append(float(1 / np.exp((cos - cos[best]) / TEMPERATURE).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
+                cosines.append(float(cos[best]))
+                sizes.append(len(grams[0]))
+            new = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(cosines, pa.float64()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*batch.schema.names[:-1], "lang_pred", "score", "cosine", "trigrams"])
 
     return run
 
 
 def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (default: all) with ``lang_pred`` and ``score``; one pass, no shuffle.
+    """The columns ``keep`` of ``docs`` (default: all) with ``lang_pred``, ``score``, ``cosine`` and ``trigrams``; one pass, no shuffle.
 
     Kept columns travel as one struct, so names that clash with the result's replace nothing inside.
     """
@@ -162,8 +173,8 @@ def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text_co
     fields = [F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]
     rows = docs.select(*fields, F.col(text_col).cast("string").alias("the_text"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    out = rows.mapInArrow(small_batches(_predict(names, matrix)), f"{schema}, lang_pred string, score double")
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
+    out = rows.mapInArrow(small_batches(_predict(names, matrix)), f"{schema}, lang_pred string, score double, cosine double, trigrams long")
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score", "cosine", "trigrams")
 
 
 def fold(id_col: Column, folds: int) -> Column:
@@ -175,18 +186,25 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     held = F.coalesce(fold(F.col(id_col), 4) == 2, F.lit(False))
     prototypes = train_prototypes(docs.where(~held), text_col, lang_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
-    return predict_language(rows, prototypes, keep=["doc_id", "held_out"])
+    return predict_language(rows, prototypes, keep=["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the documents that have no language (no text, or no letter).
+def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: list[str] | None = None) -> DataFrame:
+    """``docs`` in one of the learnt languages (of ``languages``, if given); a null ``lang`` becomes the predicted one.
 
-    Without a labelled row to train on no language can be told, and only the letters decide.
+    Dropped are texts without a letter, texts predicted to be in another language, and texts of ``MIN_TRIGRAMS`` and more
+    whose cosine with every prototype is below ``MIN_COSINE``. Without a labelled row to train on no language can be told,
+    and only the letters decide.
     """
     held = F.coalesce(fold(F.col(id_col), 4) == 2, F.lit(False))
     prototypes = train_prototypes(docs.where(~held), text_col, lang_col)
     if not prototypes:
         return docs.where(F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)))
     safe = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(docs.columns)))  # own columns may be named like the result's
-    named = predict_language(safe, prototypes, f"k{docs.columns.index(text_col)}").where(F.col("lang_pred") != UNKNOWN)
-    return named.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)))
+    named = predict_language(safe, prototypes, f"k{docs.columns.index(text_col)}")
+    named = named.where((F.col("lang_pred") != UNKNOWN) & ((F.col("trigrams") < MIN_TRIGRAMS) | (F.col("cosine") >= MIN_COSINE)))
+    if languages is not None:
+        named = named.where(F.col("lang_pred").isin(languages))
+    kept = {c: F.col(f"k{i}") for i, c in enumerate(docs.columns)}
+    kept[lang_col] = F.coalesce(kept[lang_col], F.col("lang_pred").cast(docs.schema[lang_col].dataType))
+    return named.select(*(x.alias(c) for c, x in kept.items()))

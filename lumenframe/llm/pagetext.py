@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenframe.llm.tables import small_batches
-from lumenframe.plans.storage import BROADCAST_BYTES, materialize, stored_bytes
+from lumenframe.plans.storage import BROADCAST_BYTES, fits_broadcast, materialize
 
 #: Different pages of a host that are looked at before all of its pages are.
 CANDIDATES = 12
@@ -657,7 +657,7 @@ def _host():
 
 def _beside(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
     """``rows(host, html, ...)`` with the columns of ``found(host, ...)``."""
-    if stored_bytes(found) * 4 <= BROADCAST_BYTES:
+    if fits_broadcast(found, BROADCAST_BYTES):
         return rows.join(F.broadcast(found), "host", how)
     salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     return rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALT)).cast("int")).join(salted, ["host", "salt"], how)
@@ -702,7 +702,7 @@ def templates(pages: DataFrame) -> DataFrame:
     order = W.partitionBy("host").orderBy("h1", "h2")
     few = materialize(keys.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CANDIDATES + 1), "page-candidates")
     first = few.where(F.col("rank") <= CANDIDATES)
-    first = F.broadcast(first) if stored_bytes(few) * 4 <= BROADCAST_BYTES else first
+    first = F.broadcast(first) if fits_broadcast(few, BROADCAST_BYTES) else first
     picked = full.join(first.select("host", "h1", "h2"), ["host", "h1", "h2"], "left_semi").groupBy("host", "h1", "h2").agg(F.min("html").alias("html"))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -30,6 +30,51 @@ def test_languages_are_told_apart_and_folds_hold(spark):
     assert kept.columns == df.columns and {900, 901, 902}.isdisjoint({r.doc_id for r in kept.collect()}) and kept.count() == len(rows) - 3
 
 
+def test_predictions_equal_cosines_by_hand(spark):
+    """Prototypes and predictions again, with plain loops over trigrams."""
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = [(k, t, lang) for k, (lang, t) in enumerate((lang, t) for lang in ALPHABETS for t in texts(rng, lang, 12))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    letter = langid.Encoder()
+
+    def vector(text):
+        chars = " " + "".join(c if c.isalpha() else " " for c in text.lower()).strip() + " "
+        while "  " in chars:
+            chars = chars.replace("  ", " ")
+        count = {}
+        for i in range(len(chars) - 2):
+            count[chars[i : i + 3]] = count.get(chars[i : i + 3], 0) + 1
+        v = sum(n**0.5 * np.roll(letter.sign(ord(g[0])), 2) * np.roll(letter.sign(ord(g[1])), 1) * letter.sign(ord(g[2])) for g, n in count.items())
+        return v / np.linalg.norm(v)
+
+    sums = {}
+    for i, t, lang in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            sums[lang] = sums.get(lang, 0) + vector(t)
+    unit = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+    mean = sum(unit.values()) / len(unit)
+    protos = {k: (v - mean) / np.linalg.norm(v - mean) for k, v in unit.items()}
+    got = {r.doc_id: r for r in langid.identify(df).collect()}
+    for i, t, _ in rows:
+        cos = {k: float(p @ vector(t)) for k, p in protos.items()}
+        best = max(cos, key=cos.get)
+        score = 1 / sum(np.exp((c - cos[best]) / langid.TEMPERATURE) for c in cos.values())
+        assert got[i].lang_pred == best and abs(got[i].score - score) < 1e-3
+
+
+def test_known_language_rejects_other_languages_and_fills_labels(spark):
+    rng = random.Random(6)
+    rows = [(k, t, lang) for k, (lang, t) in enumerate((lang, t) for lang in ALPHABETS for t in texts(rng, lang, 40))]
+    other = " ".join("".join(rng.choices("бвгдёжзийклмноп", k=rng.randint(3, 9))) for _ in range(80))
+    rows += [(900, other, None), (901, texts(rng, "xx", 1)[0], None), (902, "б", None), (903, None, "xx"), (903, None, "xx")]
+    df = spark.createDataFrame([(i, t, lang, "c", 1.0) for i, t, lang in rows], "doc_id long, text string, lang string, lang_pred string, cosine double")
+    got = {r.doc_id: r for r in langid.known_language(df).collect()}
+    assert got.keys() == {i for i, _, _ in rows} - {900, 903} and got[901].lang == "xx" and got[0].lang_pred == "c"
+    assert {r.lang for r in langid.known_language(df, languages=["yy"]).collect()} == {"yy"}
+
+
 def test_no_labels_and_empty_table(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert langid.identify(df).first().lang_pred == "und"
