@@ -22,9 +22,13 @@ labels the largest counts once; repeated rows get equal scores; further columns
 
 from __future__ import annotations
 
+import pickle
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -118,14 +122,6 @@ def forward_backward(unary: np.ndarray, lengths: np.ndarray, trans: np.ndarray,
     return marginal, pair if each else pair.sum(axis=0), z
 
 
-def _pad(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(r) for r in rows])
-    out = np.zeros((len(rows), lengths.max()))
-    for row, r in zip(out, rows):
-        row[: len(r)] = r
-    return out, lengths
-
-
 def _chunks(lengths: np.ndarray, cells: int = 200_000) -> Iterator[np.ndarray]:
     """Places of chains, alike lengths together, so many that padded they have about ``cells`` cells."""
     order = np.argsort(lengths, kind="stable")
@@ -137,22 +133,41 @@ def _chunks(lengths: np.ndarray, cells: int = 200_000) -> Iterator[np.ndarray]:
         start = end
 
 
-def split_sentences(tokens: list[str]) -> list[tuple[int, int]]:
-    """Token ranges that end at a token with closing punctuation; longer ones are cut every ``CHAIN`` tokens."""
-    ends = [i + 1 for i, t in enumerate(tokens) if t.endswith(_END)]
-    if not ends or ends[-1] != len(tokens):
-        ends.append(len(tokens))
-    return [(c, min(b, c + CHAIN)) for a, b in zip([0, *ends], ends) for c in range(a, b, CHAIN)]
-
-
-class _Memo(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        out = self[key] = self.make(key)
-        return out
+def sentences(ends: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and documents of the chains: a sentence ends where ``ends`` says and with its document; longer ones are cut every ``CHAIN`` tokens."""
+    last = ends.copy()
+    last[np.cumsum(sizes)[sizes > 0] - 1] = True
+    stops = np.flatnonzero(last) + 1
+    starts = np.append(0, stops[:-1]) if len(stops) else stops
+    pieces = -(-(stops - starts) // CHAIN)
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    cut = np.repeat(starts, pieces) + CHAIN * nth
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return cut, np.minimum(np.repeat(stops, pieces) - cut, CHAIN), owner[cut] if len(owner) else cut
+
+
+def unary_scores(ids: np.ndarray, starts: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Scores of the toxic state by token: its word's own, and what its neighbours in the chain lend it."""
+    out = own[ids]
+    inside = np.ones(len(ids), bool)
+    inside[starts] = False
+    out[1:] += np.where(inside[1:], left[ids[:-1]], 0.0)
+    out[:-1] += np.where(inside[1:], right[ids[1:]], 0.0)
+    return out
+
+
+def run_chains(starts: np.ndarray, lengths: np.ndarray, unary: np.ndarray, trans: np.ndarray, moves: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(marginals by token, expected transitions by chain, log partitions by chain)."""
+    marginal, z, moved = np.zeros(len(unary)), np.zeros(len(starts)), np.zeros((len(starts) if moves else 0, 2, 2))
+    for at in _chunks(lengths):
+        grid = starts[at, None] + np.arange(lengths[at].max())
+        inside = np.arange(grid.shape[1]) < lengths[at, None]
+        padded = np.where(inside, unary[np.minimum(grid, len(unary) - 1)], 0.0)
+        m, pair, z[at] = forward_backward(padded, lengths[at], trans, True if moves else None)
+        if moves:
+            moved[at] = pair
+        marginal[grid[inside]] = m[inside]
+    return marginal, moved, z
 
 
 class Sample:
@@ -163,38 +178,26 @@ class Sample:
         self.tokens = np.array([words.setdefault(t, len(words)) for d in documents for t in d], np.int64)
         sizes = np.array([len(d) for d in documents], np.int64)
         self.document = np.repeat(np.arange(len(documents)), sizes)
-        self.starts, self.lengths, self.owner, at = [], [], [], 0
-        for d, tokens in enumerate(documents):
-            for a, b in split_sentences(tokens) if tokens else []:
-                self.starts.append(at + a)
-                self.lengths.append(b - a)
-                self.owner.append(d)
-            at += len(tokens)
-        self.starts, self.lengths, self.owner = (np.array(x, np.int64) for x in (self.starts, self.lengths, self.owner))
+        ends = np.array([w.endswith(_END) for w in words], bool)
+        self.starts, self.lengths, self.owner = sentences(ends[self.tokens], sizes)
         own = [features(w) for w in words]
         self.of_word = np.repeat(np.arange(len(own)), [len(x) for x in own])
         self.own = np.array([f for x in own for f in x], np.int64)
         self.near = np.array([beside(w) for w in words], np.int64).reshape(-1, 2)
-        inside = np.ones(len(self.tokens), bool)
-        inside[self.starts] = False
-        self.has_left = inside
-        self.has_right = np.append(inside[1:], False) if len(inside) else inside
+        self.has_left = np.ones(len(self.tokens), bool)
+        self.has_left[self.starts] = False
         self.n = len(documents)
 
     def unary(self, weights: np.ndarray, bias: float) -> np.ndarray:
         word = np.bincount(self.of_word, weights[self.own], len(self.near)) + bias
-        left, right = weights[self.near[:, 0]], weights[self.near[:, 1]]
-        out = word[self.tokens]
-        out[1:] += left[self.tokens[:-1]] * self.has_left[1:]
-        out[:-1] += right[self.tokens[1:]] * self.has_right[:-1]
-        return out
+        return unary_scores(self.tokens, self.starts, word, weights[self.near[:, 0]], weights[self.near[:, 1]])
 
     def gradient(self, per_token: np.ndarray) -> np.ndarray:
         """What a gradient by token is for each hashed weight."""
         n = len(self.near)
         word = np.bincount(self.tokens, per_token, n)
         left = np.bincount(self.tokens[:-1], per_token[1:] * self.has_left[1:], n)
-        right = np.bincount(self.tokens[1:], per_token[:-1] * self.has_right[:-1], n)
+        right = np.bincount(self.tokens[1:], per_token[:-1] * self.has_left[1:], n)
         size = 1 << BITS
         return np.bincount(self.own, word[self.of_word], size) + np.bincount(self.near[:, 0], left, size) + np.bincount(self.near[:, 1], right, size)
 
@@ -206,15 +209,7 @@ class Sample:
         return (np.bincount(self.own, count[self.of_word], size) + np.bincount(self.near.ravel(), np.repeat(count, 2), size)) >= least
 
     def run(self, unary: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(marginals by token, expected transitions by sentence, log partitions by sentence)."""
-        marginal, z, moves = np.zeros(len(unary)), np.zeros(len(self.starts)), np.zeros((len(self.starts), 2, 2))
-        for at in _chunks(self.lengths):
-            grid = self.starts[at, None] + np.arange(self.lengths[at].max())
-            inside = np.arange(grid.shape[1]) < self.lengths[at, None]
-            padded = np.where(inside, unary[np.minimum(grid, len(unary) - 1)], 0.0)
-            m, moves[at], z[at] = forward_backward(padded, self.lengths[at], trans, True)
-            marginal[grid[inside]] = m[inside]
-        return marginal, moves, z
+        return run_chains(self.starts, self.lengths, unary, trans)
 
     def summary(self, marginal: np.ndarray, z: np.ndarray) -> np.ndarray:
         """Curve features of the documents."""
@@ -257,61 +252,66 @@ def fit_chain(sample: Sample, labels: np.ndarray, weight: np.ndarray, steps: int
     return theta[:size] * live, float(theta[size]), np.append(0.0, theta[size + 1 :]).reshape(2, 2)
 
 
+class _Rows(dict):
+    """Row numbers of words in a table of their scores: own, lent to the next, lent to the one before, whether a sentence ends."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.weights, self.bias, self.table = array("d", model.weights), model.bias, np.zeros((1024, 4))
+
+    def __missing__(self, token: str) -> int:
+        n, w = len(self), self.weights
+        if n == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        after, before = beside(token)
+        self.table[n] = sum([w[f] for f in features(token)], self.bias), w[after], w[before], token.endswith(_END)
+        self[token] = n
+        return n
+
+
 class Tagger:
     """Scores texts with a model; scores of words are cached."""
 
     def __init__(self, model: Model):
-        self.model = model
-        w = model.weights
-        self.own = _Memo(lambda t: float(w[features(t)].sum()) + model.bias)
-        self.left, self.right = (_Memo(lambda t, k=k: float(w[beside(t)[k]])) for k in (0, 1))
-
-    def unary(self, tokens: list[str]) -> np.ndarray:
-        if len(self.own) > CACHE_WORDS:
-            for memo in (self.own, self.left, self.right):
-                memo.clear()
-        n = len(tokens)
-        return np.stack([np.fromiter(map(memo.__getitem__, tokens), float, n) for memo in (self.own, self.left, self.right)])
+        self.model, self.rows = model, _Rows(model)
 
     def score_all(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, int]]]]:
         """Document probability and the offsets (code points) of toxic tokens, for each text; chains of all texts run together."""
         if not len(self.model.weights):
             return [(0.0, []) for _ in texts]
+        if len(self.rows) > CACHE_WORDS:
+            self.rows = _Rows(self.model)
         documents = [(t or "").split() for t in texts]
-        sizes = np.array([len(d) for d in documents])
-        owner, chains, places = [], [], []
-        for d, tokens in enumerate(documents):
-            if tokens:
-                own, left, right = self.unary(tokens)
-                for a, b in split_sentences(tokens):
-                    u = own[a:b].copy()
-                    u[1:] += left[a : b - 1]
-                    u[:-1] += right[a + 1 : b]
-                    owner.append(d)
-                    places.append(a)
-                    chains.append(u)
-        owner, lengths = np.array(owner, np.int64), np.array([len(c) for c in chains], np.int64)
-        z, top, sums = np.zeros(len(chains)), np.zeros(len(texts)), np.zeros(len(texts))
-        found: dict[int, list[int]] = {}
-        for at in _chunks(lengths):
-            unary, n = _pad([chains[i] for i in at])
-            m, _, z[at] = forward_backward(unary, n, self.model.transitions, None)
-            np.maximum.at(top, owner[at], m.max(axis=1))
-            np.add.at(sums, owner[at], m.sum(axis=1))
-            for i, j in zip(*np.nonzero(m >= 0.5)):
-                found.setdefault(int(owner[at[i]]), []).append(places[at[i]] + int(j))
-        x = curve_features(np.bincount(owner, z, len(texts)), top, sums, sizes)
+        sizes = np.array([len(d) for d in documents], np.int64)
+        ids = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(documents)), np.int64, int(sizes.sum()))
+        own, left, right, ends = self.rows.table.T
+        starts, lengths, owner = sentences(ends[ids] > 0, sizes)
+        marginal, _, z = run_chains(starts, lengths, unary_scores(ids, starts, own, left, right), self.model.transitions, False)
+        document, firsts = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes) - sizes
+        top = np.zeros(len(texts))
+        if len(ids):
+            top[sizes > 0] = np.maximum.reduceat(marginal, firsts[sizes > 0])
+        x = curve_features(np.bincount(owner, z, len(texts)), top, np.bincount(document, marginal, len(texts)), sizes)
         scores = 1 / (1 + np.exp(-np.clip(x @ self.model.curve, -30, 30)))
+        found: dict[int, list[int]] = {}
+        for i in np.flatnonzero(marginal >= 0.5).tolist():
+            found.setdefault(int(document[i]), []).append(i)
         out = []
         for d, text in enumerate(texts):
             spans = []
             if d in found:
                 at = [m.span() for m in re.finditer(r"\S+", text)]
-                spans = [at[i] for i in sorted(found[d])] if len(at) == len(documents[d]) else []
+                spans = [at[i - firsts[d]] for i in found[d]] if len(at) == sizes[d] else []
             out.append((float(scores[d]), spans))
         return out
 
 
+@lru_cache(maxsize=1)
+def _kept_tagger(raw: bytes) -> Tagger:
+    """The tagger of a model, kept with its cache between the tasks of a Python worker."""
+    return Tagger(pickle.loads(raw))
+
+
 def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50, ridge: float = 0.05) -> np.ndarray:
     """Weighted logistic regression by Newton steps."""
     w = np.zeros(x.shape[1])
@@ -335,26 +335,33 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
         return Model(np.zeros(0), 0.0, np.zeros((2, 2)), np.zeros(5))
     take1 = min(n1, docs // 2)
     take0 = min(n0, docs - take1)
-    drawn = rows.withColumn("draw", F.xxhash64("text", F.lit(3)))
-    picked = sorted((r.toxic, r.draw, r.text) for label, k in ((1, take1), (0, take0)) for r in drawn.where(F.col("toxic") == label).orderBy("draw", "text").limit(k).collect())
+    drawn = rows.withColumn("draw", F.xxhash64("text", F.monotonically_increasing_id(), F.lit(3)))  # copies are drawn one by one
+    picked = []
+    for label, k, n in ((1, take1, n1), (0, take0, n0)):
+        share = min(1.0, (1.2 * k + 50) / n)  # a few more than wanted reach the driver, whatever the table's size
+        some = drawn.where((F.col("toxic") == label) & (F.pmod("draw", F.lit(1 << 30)) < int(share * (1 << 30))))
+        picked += sorted((r.toxic, r.draw, r.text) for r in some.collect())[:k]
+    take1, take0 = sum(r[0] == 1 for r in picked), sum(r[0] == 0 for r in picked)
     labels = np.array([r[0] for r in picked], float)
     documents = [r[2].split() for r in picked]
     weight = np.where(labels == 1, n1 / take1, n0 / take0)
     weight *= len(labels) / weight.sum()
     part = np.random.default_rng(0).permutation(len(labels))
-    chain, held = (part, part) if len(labels) < 40 else (part[len(part) // 4 :], part[: len(part) // 4])
-    if len({*labels[chain]}) < 2 or len({*labels[held]}) < 2:
-        chain = held = part
-    sample = Sample([documents[i] for i in chain])
-    weights, bias, transitions = fit_chain(sample, labels[chain], weight[chain])
+    fitted, held = (part, part) if len(labels) < 40 else (part[len(part) // 4 :], part[: len(part) // 4])
+    if len({*labels[fitted]}) < 2 or len({*labels[held]}) < 2:
+        fitted = held = part
+    sample = Sample([documents[i] for i in fitted])
+    weights, bias, transitions = fit_chain(sample, labels[fitted], weight[fitted])
     sample = Sample([documents[i] for i in held])
     marginal, _, z = sample.run(sample.unary(weights, bias), transitions)
     return Model(weights, bias, transitions, _fit_curve(sample.summary(marginal, z), labels[held], weight[held]))
 
 
 def _score(model: Model):
+    raw = pickle.dumps(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(model)
+        tagger = _kept_tagger(raw)
         for batch in batches:
             got = tagger.score_all(batch.column(2).to_pylist())
             spans = [",".join(f"{a}:{b}" for a, b in s) for _, s in got]
