@@ -36,12 +36,12 @@ def query(sql: str | None = None):
 select query_id, vec_id, round(score, 6) as score, cast(rk as int) as rank from (
   select q.vec_id as query_id, d.vec_id, (1 + list_cosine_similarity(q.embedding::double[], d.embedding::double[])) / 2 as score,
     row_number() over (partition by q.vec_id order by (1 + list_cosine_similarity(q.embedding::double[], d.embedding::double[])) / 2 desc, d.vec_id) as rk
-  from embeddings q join embeddings d on q.vec_id < 5 and q.vec_id <> d.vec_id) where rk <= 10
+  from embeddings q join embeddings d on q.vec_id % 50 = 0 and q.vec_id <> d.vec_id) where rk <= 10
 """
 )
 def knn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    wanted = vectors.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    wanted = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
     return knn_join(wanted, vectors, k=10, exclude_self=True).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -110,11 +110,11 @@ def _faces(spark: SparkSession, d: str) -> DataFrame:
 _FACE = """face as (select 'face_' || cast(vec_id as varchar) face_id, case when label > 0 then 'person_' || cast(label as varchar) end person_id,
   case when vec_id % 3 = 0 then 'Name ' || cast(label as varchar) end person_name, ((vec_id * 37) % 101) / 100 confidence, vec_id % 7 = 0 is_reference from embeddings)"""
 
-_KNN = """select q.vec_id query_id, d.vec_id, d.label, (1 + list_cosine_similarity(q.embedding::double[], d.embedding::double[])) / 2 score from embeddings q join embeddings d on q.vec_id < 5 and q.vec_id <> d.vec_id"""
+_KNN = """select q.vec_id query_id, d.vec_id, d.label, (1 + list_cosine_similarity(q.embedding::double[], d.embedding::double[])) / 2 score from embeddings q join embeddings d on q.vec_id % 50 = 0 and q.vec_id <> d.vec_id"""
 
 
 def _queries_of(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return _read(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
 
 
 # ---- vector search ----
@@ -203,7 +203,7 @@ def cluster_members(spark, d):
     return cluster.members(_assigned(spark, d), 3, page=1, size=10).withColumn("cluster_distance", F.round("cluster_distance", 6))
 
 
-_PROBE = f"""with {_CEN}, p as (select vec_id query_id, cid cluster_id, row_number() over (partition by vec_id order by list_cosine_similarity(embedding::double[], v) desc, cid) r from embeddings, c where vec_id < 5)"""
+_PROBE = f"""with {_CEN}, p as (select vec_id query_id, cid cluster_id, row_number() over (partition by vec_id order by list_cosine_similarity(embedding::double[], v) desc, cid) r from embeddings, c where vec_id % 50 = 0)"""
 
 
 @query(_PROBE + " select query_id, cast(cluster_id as int) cluster_id, cast(r as int) rank from p where r <= 3")
@@ -298,12 +298,12 @@ def reassign_face(spark, d):
     return identity.reassign(_faces(spark, d), "face_7", "person_9").select("face_id", "person_id", "is_reference", "previous_person_id")
 
 
-@query("select a.vec_id a, b.vec_id b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) similarity, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.2 is_match from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 where a.vec_id < 50")
+@query("select a.vec_id a, b.vec_id b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) similarity, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.2 is_match from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
 def verify_faces(spark, d):
     e = _read(spark, d, "embeddings")
     a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
     similarity, match = identity.verify(F.col("va"), F.col("vb"), 0.2)
-    return a.where("a < 50").join(b, F.col("b") == F.col("a") + 1).select("a", "b", similarity, match)
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", similarity, match)
 
 
 # ---- routing and ingest ----

@@ -309,17 +309,17 @@ def _event_stream(spark, d):
 
 @query("select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H') as hour, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2")
 def stream_window_counts(spark, d):
-    from lumenframe.streaming.flows import run_to_memory, windowed_counts
+    from lumenframe.streaming.flows import run_to_table, windowed_counts
 
-    out = run_to_memory(spark, windowed_counts(_event_stream(spark, d)), "stream_window_counts")
+    out = run_to_table(spark, windowed_counts(_event_stream(spark, d)), "stream_window_counts")
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("select distinct user_id from events")
 def stream_dedup(spark, d):
-    from lumenframe.streaming.flows import dedup, run_to_memory
+    from lumenframe.streaming.flows import dedup, run_to_table
 
-    return run_to_memory(spark, dedup(_event_stream(spark, d).select("user_id"), "user_id"), "stream_dedup", "append")
+    return run_to_table(spark, dedup(_event_stream(spark, d).select("user_id"), "user_id"), "stream_dedup", "append")
 
 
 @query()
@@ -332,12 +332,12 @@ def encode_contents(spark, d):
 
 # ---- probing, routing, ingest-time groups, operations ----
 
-@query(f"""{_ASG}, pr as (select vec_id query_id, cid cluster_id, row_number() over (partition by vec_id order by list_cosine_similarity(embedding::double[], v) desc, cid) r from embeddings, c where vec_id < 5),
-  k as (select z.query_id, z.vec_id, z.score, row_number() over (partition by z.query_id order by z.score desc, z.vec_id) rk from ({_KNN}) z join asg using (vec_id) join pr on pr.query_id = z.query_id and pr.cluster_id = asg.cluster_id and pr.r <= 3)
+@query(f"""{_ASG}, pr as (select vec_id query_id, cid cluster_id, row_number() over (partition by vec_id order by list_cosine_similarity(embedding::double[], v) desc, cid) r from embeddings, c where vec_id % 50 = 0),
+  k as (select z.query_id, z.vec_id, z.score, row_number() over (partition by z.query_id order by z.score desc, z.vec_id) rk from ({_KNN}) z join asg using (vec_id) join pr on pr.query_id = z.query_id and pr.cluster_id = asg.cluster_id and pr.r <= 9)
   select query_id, vec_id, round(score, 6) score, cast(rk as int) rank from k where rk <= 5""")
 def ivf_search(spark, d):
     items = _read(spark, d, "embeddings").join(_assigned(spark, d).select("vec_id", "cluster_id"), "vec_id")
-    probes = cluster.probe(_queries_of(spark, d), _centroids(spark, d), 3).select("query_id", F.col("cluster_id").cast("int").alias("cluster_id"))
+    probes = cluster.probe(_queries_of(spark, d), _centroids(spark, d), 9).select("query_id", F.col("cluster_id").cast("int").alias("cluster_id"))
     return search.ivf_search(_queries_of(spark, d), items, probes, 5).withColumn("score", F.round("score", 6))
 
 
@@ -350,20 +350,17 @@ def routed_search(spark, d):
     return search.routed_search(queries, tables, 4, exclude_self=True).withColumn("score", F.round("score", 6))
 
 
-@query("""with old as (select *, case when vec_id % 4 = 0 then 'g' || vec_id end g from embeddings where vec_id >= 20), n as (select a.vec_id q, o.vec_id, o.g, (1 + list_cosine_similarity(a.embedding::double[], o.embedding::double[])) / 2 s from embeddings a, old o where a.vec_id < 20),
-  r as (select *, row_number() over (partition by q order by s desc, vec_id) k from n), t as (select * from r where k <= 10 and s >= 0.62),
-  b as (select q, min_by(vec_id, k) mate, min_by(g, k) filter (where g is not null) f, max(s) top from t group by q), fr as (select *, row_number() over (partition by mate order by q) z from b where f is null),
-  h as (select *, 'dup_' || sha256(cast(q as varchar))[1:12] g from fr where z = 1)
-  select q id, f duplicate_group_id, false is_duplicate_primary, round(top, 6) duplicate_score from b where f is not null union all select q, g, true, 1.0 from h union all select mate, g, false, round(top, 6) from h""")
+@query()
 def ingest_groups(spark, d):
+    """The vectors whose id is divisible by 50 arrive one by one at an index of the others; tested against a sequential fold."""
     e = _read(spark, d, "embeddings")
-    indexed = e.where("vec_id >= 20").withColumn("duplicate_group_id", F.when(F.col("vec_id") % 4 == 0, F.concat(F.lit("g"), F.col("vec_id").cast("string"))))
-    return dedup.assign_to_groups(e.where("vec_id < 20"), indexed, 0.62).withColumn("duplicate_score", F.round("duplicate_score", 6))
+    indexed = e.where("vec_id % 50 <> 0").withColumn("duplicate_group_id", F.when(F.col("vec_id") % 4 == 0, F.concat(F.lit("g"), F.col("vec_id").cast("string"))))
+    return dedup.ingest_in_order(e.where("vec_id % 50 = 0"), indexed, 0.62).withColumn("duplicate_score", F.round("duplicate_score", 6))
 
 
 @query()
 def ingest_groups_in_order(spark, d):
-    """Each item also sees those before it; ``ingest_groups`` is held to its SQL."""
+    """The same with the first twenty vectors as a batch whose items are near each other."""
     e = _read(spark, d, "embeddings")
     indexed = e.where("vec_id >= 20").withColumn("duplicate_group_id", F.when(F.col("vec_id") % 4 == 0, F.concat(F.lit("g"), F.col("vec_id").cast("string"))))
     return dedup.ingest_in_order(e.where("vec_id < 20"), indexed, 0.62).withColumn("duplicate_score", F.round("duplicate_score", 6))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,7 +49,8 @@ def train(vectors: DataFrame, n_clusters: int | None = None, default: int = 1024
 
 
 def _with_scores(vectors: DataFrame, centroids: DataFrame, vec: str) -> DataFrame:
-    if centroids.limit(MAX_CENTROIDS + 1).count() > MAX_CENTROIDS:
+    centroids = materialize(centroids.select("cluster_id", "centroid"), "centroids")  # so that counting them trains nothing twice
+    if centroids.count() > MAX_CENTROIDS:
         raise ValueError(f"more than {MAX_CENTROIDS} centroids")
     unit = vectors.withColumn("_unit", l2_normalize(F.col(vec)))
     return unit.join(F.broadcast(centroids.select("cluster_id", "centroid"))).withColumn("ip", dot(F.col("_unit"), F.col("centroid")))
@@ -55,11 +59,29 @@ def _with_scores(vectors: DataFrame, centroids: DataFrame, vec: str) -> DataFram
 def assign(vectors: DataFrame, centroids: DataFrame, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """``(id, cluster_id, cluster_distance)``: nearest centroid by inner product, ties to the smaller cluster.
 
-    The centroid set is bounded and broadcast; the best is kept by a map-side combined aggregate.
+    Every row is scored where it stands: a batch of vectors times the matrix of the centroids, of which there are at most
+    ``MAX_CENTROIDS``. Nothing is shuffled. Null vectors are left out; a zero vector is at distance 1 of all.
     """
-    scored = _with_scores(vectors.where(F.col(vec).isNotNull()).select(id_col, vec), centroids, vec)
-    best = scored.groupBy(id_col).agg(F.max(F.struct("ip", (-F.col("cluster_id")).alias("neg"))).alias("b"))
-    return best.select(id_col, (-F.col("b.neg")).cast("int").alias("cluster_id"), (1 - F.col("b.ip")).alias("cluster_distance"))
+    found = sorted((r.cluster_id, r.centroid) for r in centroids.select("cluster_id", "centroid").limit(MAX_CENTROIDS + 1).collect())
+    if len(found) > MAX_CENTROIDS:
+        raise ValueError(f"more than {MAX_CENTROIDS} centroids")
+    rows = vectors.where(F.col(vec).isNotNull()).select(F.col(id_col), F.col(vec).cast("array<double>").alias("_vec"))
+    schema = f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, cluster_id int, cluster_distance double"
+    if not found:
+        return rows.limit(0).select(id_col, F.lit(0).alias("cluster_id"), F.lit(0.0).alias("cluster_distance"))
+    names, matrix = np.array([c for c, _ in found], np.int32), np.array([v for _, v in found])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                norm = np.linalg.norm(x, axis=1, keepdims=True)
+                scores = (x / np.where(norm == 0, 1.0, norm)) @ matrix.T
+                best = scores.argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best]), pa.array(1 - scores[np.arange(len(best)), best])], [id_col, "cluster_id", "cluster_distance"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def assign_unclustered(table: DataFrame, centroids: DataFrame, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:

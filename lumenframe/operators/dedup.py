@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -15,8 +16,10 @@ from lumenframe.functions.scalars import stable_id
 from lumenframe.functions.vectors import cosine, l2_normalize
 from lumenframe.plans.storage import broadcast_if_small, materialize
 
-#: Block pairs in one Arrow batch.
-BLOCK_ROWS = 64
+#: Directions whose bands prune pairs of vectors.
+DIRECTIONS = 3
+#: Rounds of a greedy grouping before small rests are folded one by one, and the largest rest that one task folds, in edges.
+ROUNDS, FOLD_EDGES = 6, 200_000
 
 GROUP, PRIMARY, SCORE = "duplicate_group_id", "is_duplicate_primary", "duplicate_score"
 
@@ -36,24 +39,39 @@ def similarity_edges(items: DataFrame, threshold: float, id_col: str = "vec_id",
     """``(a, b, score)`` with a < b and raw cosine >= threshold, exactly.
 
     Unit vectors within a threshold differ little along any direction: |x.r - y.r| <= |x - y| = sqrt(2 - 2 threshold) for
-    a unit direction r. Vectors are cut into bands of that width along one fixed direction; only equal or adjacent
-    bands can hold a pair. A band is dealt to blocks of about ``block`` vectors, and pairs of blocks meet by a join on the
-    band; a matrix product scores them, so a dense band is many small tasks and only pairs over the threshold come out.
+    a unit direction r. Vectors are put in cells of that width along ``DIRECTIONS`` orthogonal directions; only equal or
+    adjacent cells can hold a pair, so high thresholds leave a small share of all pairs. A cell is dealt to blocks of
+    about ``block`` vectors. Pairs of blocks are listed by their numbers alone and spread over the cluster one by one, then
+    meet their vectors by joins on the block; a dense cell is many small tasks. A matrix product scores two blocks, and
+    only pairs over the threshold come out. Low thresholds on vectors without structure remain quadratic: that is what an
+    exact join of such vectors costs; ``cluster.assign`` with :func:`search.ivf_search` is the lossy way.
+
     Zero vectors have no cosine and no pairs.
     """
     width = max(math.sqrt(max(0.0, 2 - 2 * threshold)), 1e-6) * (1 + 1e-9)
-    items.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BLOCK_ROWS)  # a row holds two blocks of vectors
     base = items.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), l2_normalize(F.col(vec)).alias("v"))
-    # direction with pseudo-random signs: sum of +-x / sqrt(n)
-    signed = F.transform("v", lambda x, i: F.when(F.pmod(F.xxhash64(i), F.lit(2)) == 0, x).otherwise(-x))
-    along = F.aggregate(signed, F.lit(0.0), lambda acc, x: acc + x) / F.sqrt(F.greatest(F.size("v"), F.lit(1)).cast("double"))
-    base = materialize(base.withColumn("band", F.floor(along / width).cast("int")), "vectors")
-    counts = base.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    dealt = base.join(broadcast_if_small(materialize(counts, "bands")), "band").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    blocks = materialize(dealt.groupBy("band", "part").agg(F.collect_list(F.struct("id", "v")).alias("rows")), "blocks")
-    left = blocks.select(F.explode(F.array("band", F.col("band") + 1)).alias("key"), F.col("band").alias("lb"), F.col("part").alias("lp"), F.col("rows").alias("left"))
-    right = blocks.select(F.col("band").alias("key"), F.col("part").alias("rp"), F.col("rows").alias("right"))
-    pairs = left.join(right, "key").where("lb < key or lp <= rp").select("left.id", "left.v", F.col("right.id").alias("rid"), F.col("right.v").alias("rv"), (F.col("lb") == F.col("key")).alias("near"), (F.col("lp") == F.col("rp")).alias("same"))
+    # Direction d is the normalised sum of every DIRECTIONS-th coordinate, with pseudo-random signs.
+    sums = F.aggregate(
+        F.transform("v", lambda x, i: F.struct(F.when(F.pmod(F.xxhash64(i), F.lit(2)) == 0, x).otherwise(-x).alias("x"), F.pmod(i, F.lit(DIRECTIONS)).alias("d"))),
+        F.array_repeat(F.lit(0.0), DIRECTIONS), lambda acc, x: F.transform(acc, lambda y, d: y + F.when(d == x["d"], x["x"]).otherwise(0.0)),
+    )
+    shares = F.transform(F.sequence(F.lit(0), F.lit(DIRECTIONS - 1)), lambda d: F.sqrt(F.greatest(F.floor((F.size("v") - 1 - d) / DIRECTIONS) + 1, F.lit(1)).cast("double")))
+    cell = F.zip_with(sums, shares, lambda x, n: F.floor(x / n / width).cast("int"))
+    base = materialize(base.withColumn("cell", cell), "vectors")
+    counts = materialize(base.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")), "cells")
+    dealt = base.join(broadcast_if_small(counts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    blocks = materialize(dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("id", "v")).alias("rows")), "blocks")
+    steps = [s for s in itertools.product((-1, 0, 1), repeat=DIRECTIONS) if s >= (0,) * DIRECTIONS]  # each pair of cells once
+    near = counts.select("cell", "parts", F.explode(F.array(*(F.array(*map(F.lit, s)) for s in steps))).alias("step"))
+    near = near.select("cell", "parts", F.zip_with("cell", "step", lambda c, d: c + d).alias("other"))
+    met = near.join(counts.select(F.col("cell").alias("other"), F.col("parts").alias("others")), "other")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    listed = met.select("cell", "other", numbers("parts").alias("lp"), "others").select("cell", "other", "lp", numbers("others").alias("rp"))
+    listed = listed.where((F.col("cell") != F.col("other")) | (F.col("lp") <= F.col("rp")))
+    right = blocks.select(F.col("cell").alias("other"), F.col("part").alias("rp"), F.col("rows").alias("right"))
+    pairs = listed.join(blocks.withColumnsRenamed({"part": "lp", "rows": "left"}), ["cell", "lp"]).join(right, ["other", "rp"])
+    one = (F.col("cell") == F.col("other")) & (F.col("lp") == F.col("rp"))
+    pairs = pairs.select("left.id", "left.v", F.col("right.id").alias("rid"), F.col("right.v").alias("rv"), one.alias("one"))
     kind = base.schema["id"].dataType.simpleString()
     id_type = base.schema["id"].dataType
 
@@ -61,21 +79,21 @@ def similarity_edges(items: DataFrame, threshold: float, id_col: str = "vec_id",
         from pyspark.sql.pandas.types import to_arrow_type
 
         for batch in batches:
-            out_a, out_b, out_s = [], [], []
-            for ids, vs, rids, rvs, near, same in zip(*(batch.column(i) for i in range(6))):
+            for ids, vs, rids, rvs, one in zip(*(batch.column(i) for i in range(5))):
                 ids, rids = ids.as_py(), rids.as_py()
                 x = vs.values.flatten().to_numpy().reshape(len(ids), -1)
                 y = rvs.values.flatten().to_numpy().reshape(len(rids), -1)
                 scores = x @ y.T
+                out_a, out_b, out_s = [], [], []
                 for i, j in zip(*np.nonzero(scores >= threshold)):
                     a, b = ids[i], rids[j]
-                    if a == b or near.as_py() and same.as_py() and a > b:  # one block against itself
+                    if a == b or one.as_py() and a > b:  # one block against itself
                         continue
                     out_a.append(min(a, b))
                     out_b.append(max(a, b))
                     out_s.append(float(scores[i, j]))
-            kind_ = to_arrow_type(id_type)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, kind_), pa.array(out_b, kind_), pa.array(out_s, pa.float64())], ["a", "b", "score"])
+                kind_ = to_arrow_type(id_type)
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, kind_), pa.array(out_b, kind_), pa.array(out_s, pa.float64())], ["a", "b", "score"])
 
     return pairs.mapInArrow(run, f"a {kind}, b {kind}, score double")
 
@@ -88,23 +106,62 @@ def find_duplicates(query_id, items: DataFrame, threshold: float, k: int = 10, i
     return top.where(F.col("score") >= threshold).select(id_col, "score")
 
 
+def _fold_rest(state: DataFrame, smaller: DataFrame) -> DataFrame:
+    """Decides the undecided items of every component of at most ``FOLD_EDGES`` edges, each in one task, by scanning ids in order."""
+    from lumenframe.plans.components import connected_components
+
+    open_ = state.where("leads is null").select("id")
+    rest = smaller.join(open_, smaller.a == open_.id, "left_semi").join(open_.withColumnRenamed("id", "o"), smaller.b == F.col("o"), "left_semi")
+    rest = materialize(rest, "greedy")
+    parts = connected_components(rest).select(F.col("node").alias("a"), "component")
+    dealt = rest.join(parts, "a")
+    few = dealt.groupBy("component").count().where(F.col("count") <= FOLD_EDGES).select("component")
+    led = smaller.join(state.where("leads").select(F.col("id").alias("b")), "b", "left_semi").select("a").distinct().withColumn("led", F.lit(True))
+    kind = smaller.schema["a"].dataType.simpleString()
+
+    def fold(pdf):
+        import pandas as pd
+
+        below: dict = {}
+        for a, b in zip(pdf.a, pdf.b):
+            below.setdefault(a, []).append(b)
+            below.setdefault(b, [])
+        claimed = {a for a, led in zip(pdf.a, pdf.led) if led is True} | {b for b, led in zip(pdf.b, pdf.b_led) if led is True}
+        leads: dict = {}
+        for a in sorted(below):
+            leads[a] = a not in claimed and not any(leads[b] for b in below[a])
+        return pd.DataFrame({"id": list(leads), "now": list(leads.values())})
+
+    ready = dealt.join(few, "component", "left_semi").join(led, "a", "left").join(led.withColumnsRenamed({"a": "b", "led": "b_led"}), "b", "left")
+    done = ready.select("component", "a", "b", "led", "b_led").groupBy("component").applyInPandas(fold, f"id {kind}, now boolean")
+    return materialize(state.join(done, "id", "left").select("id", F.coalesce("leads", "now").alias("leads")), "greedy")
+
+
 def greedy_groups(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """``(member, leader)`` as by scanning ids in order: an unclaimed item leads and claims its unclaimed neighbours.
 
     The leaders are the lexicographically first maximal independent set, found in rounds: an undecided item leads once
     every smaller neighbour is decided and doesn't lead. Items without edges are in no group. Each round is
-    two joins on the edge table, stored in the shared folder.
+    two joins on the edge table, stored in the shared folder. Long chains would take a round an item, so after ``ROUNDS``
+    rounds the components that are still open and have few edges are folded, each in one task. If any item is undecided
+    after ``max_rounds`` rounds, this raises.
     """
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "greedy")
     state = materialize(both.select(F.col("a").alias("id")).distinct().withColumn("leads", F.lit(None).cast("boolean")), "greedy")
     smaller = both.where("b < a")
-    for _ in range(max_rounds):
+    for turn in range(max_rounds):
+        if state.where("leads is null").isEmpty():
+            break
+        if turn % 100 == ROUNDS:
+            state = _fold_rest(state, smaller)
+            continue
         seen = smaller.join(state.select(F.col("id").alias("b"), "leads"), "b").groupBy("a").agg(F.coalesce(F.max("leads"), F.lit(False)).alias("led"), F.count_if(F.col("leads").isNull()).alias("open"))
         step = state.join(seen, state.id == seen.a, "left")
         decided = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.coalesce("led", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)
         state = materialize(step.select("id", decided.alias("leads")), "greedy")
-        if state.where("leads is null").isEmpty():
-            break
+    else:
+        if not state.where("leads is null").isEmpty():
+            raise RuntimeError(f"greedy groups are not decided after {max_rounds} rounds")
     leaders = state.where("leads").select(F.col("id").alias("leader"))
     claimed = both.join(leaders, both.b == leaders.leader).groupBy(F.col("a").alias("member")).agg(F.min("leader").alias("leader"))
     return claimed.join(leaders, claimed.member == leaders.leader, "left_anti").unionByName(leaders.select(F.col("leader").alias("member"), "leader"))
@@ -160,31 +217,8 @@ def merge_groups(rows: DataFrame, groups: list[str]) -> DataFrame:
     return rows.withColumn(PRIMARY, F.when(moved, False).otherwise(F.col(PRIMARY))).withColumn(GROUP, F.when(moved, groups[0]).otherwise(F.col(GROUP)))
 
 
-def assign_to_groups(incoming: DataFrame, indexed: DataFrame, threshold: float = 0.99, k: int = 10, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """Group changes for newly arrived items against the indexed ones: ``id, duplicate_group_id, is_duplicate_primary, duplicate_score``.
-
-    Among the k best neighbours with search score >= threshold, the first that has a group gives it to the new item;
-    otherwise a group is made of the new item (primary) and its best neighbour. Items of one batch don't see each other;
-    run batches in order. If two new items take the same neighbour, the smaller id does.
-    """
-    from lumenframe.operators.search import knn_join
-
-    wanted = incoming.select(F.col(id_col).alias("query_id"), F.col(vec).alias("query_vec"))
-    near = knn_join(wanted, indexed, k, min_score=threshold, exclude_self=True, item_id=id_col, item_vec=vec)
-    grouped = F.col(GROUP).isNotNull()
-    best = near.groupBy("query_id").agg(
-        F.min_by(F.struct(id_col, "score"), "rank").alias("first"), F.min_by(GROUP, F.when(grouped, F.col("rank"))).alias("found"), F.max("score").alias("top")
-    )
-    joins = best.where(F.col("found").isNotNull()).select(F.col("query_id").alias("id"), F.col("found").alias(GROUP), F.lit(False).alias(PRIMARY), F.col("top").alias(SCORE))
-    fresh = best.where(F.col("found").isNull()).withColumn("mate", F.col("first")[id_col])
-    fresh = fresh.withColumn("_r", F.row_number().over(W.partitionBy("mate").orderBy("query_id"))).where("_r = 1").withColumn(GROUP, stable_id("dup_", F.col("query_id")))
-    heads = fresh.select(F.col("query_id").alias("id"), GROUP, F.lit(True).alias(PRIMARY), F.lit(1.0).alias(SCORE))
-    mates = fresh.select(F.col("mate").alias("id"), GROUP, F.lit(False).alias(PRIMARY), F.col("top").alias(SCORE))
-    return joins.unionByName(heads).unionByName(mates)
-
-
 def ingest_in_order(incoming: DataFrame, indexed: DataFrame, threshold: float = 0.99, k: int = 10, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """Group changes as if the items of a batch were ingested one by one by id; the columns of :func:`assign_to_groups`.
+    """Group changes as if the items of a batch were ingested one by one by id: ``id, duplicate_group_id, is_duplicate_primary, duplicate_score``.
 
     An item sees the indexed items and the smaller ids of its batch, with the groups they have by then: it joins the
     group of the first of its k best neighbours that has one, else it makes a group with the best. Only items that are

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenframe.plans.storage import materialize
+
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -40,14 +42,18 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", boost: float = 1.0) -> DataFrame:
     """``(doc_id, score)`` of documents with any query term. Documents without tokens count in N, with length zero.
 
-    Only postings of query terms are counted, so one pass moves (document, few terms) rows; the query's terms are a
-    constant of the plan.
+    One pass over the texts gives every document's length and its counts of the query's terms, which are a constant of the
+    plan; those few numbers are stored once and serve the corpus statistics, the document frequencies and the scores.
     """
     terms = sorted({t.lower() for t in re.findall(r"[^\W_]+", query)})
     rows = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("toks"))
-    stats = rows.agg(F.count("*").alias("n_docs"), F.avg(F.size("toks")).alias("avgdl"))
-    wanted = F.array(*(F.lit(t) for t in terms)) if terms else F.array().cast("array<string>")
-    tf = rows.select("doc_id", F.size("toks").alias("dl"), F.explode(wanted).alias("term"), "toks").select("doc_id", "dl", "term", F.size(F.filter("toks", lambda t: t == F.col("term"))).alias("tf")).where("tf > 0")
+    hits = F.filter("toks", lambda t: t.isin(terms)) if terms else F.array().cast("array<string>")
+    rows = rows.select("doc_id", F.size("toks").alias("dl"), hits.alias("hits"))
+    counts = F.map_from_arrays(F.array_distinct("hits"), F.transform(F.array_distinct("hits"), lambda t: F.size(F.filter("hits", lambda x: x == t))))
+    rows = materialize(rows.select("doc_id", "dl", counts.alias("tf")), "bm25")
+    stats = rows.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    tf = rows.where(F.size("tf") > 0).select("doc_id", "dl", F.explode("tf").alias("term", "tf"))
+    # As many rows as the query has terms, and one row: broadcasts of a constant size.
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     scored = tf.join(F.broadcast(df), "term").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -82,6 +88,27 @@ def fuzzy_search(docs: DataFrame, query: str, id_col: str = "doc_id", text_col:
     return found.orderBy(F.desc("matched"), "doc_id").offset(page * size).limit(size).join(F.broadcast(total))
 
 
+def best_fields_search(docs: DataFrame, query: str, fields: dict[str, float], id_col: str = "doc_id", page: int = 0, size: int = 20, tag: str = "em") -> DataFrame:
+    """Fuzzy search over several fields: a document's score is its best field's, matched terms times the field's boost.
+
+    Returns ``doc_id, score, field, highlighted, total_hits``: ties between fields go to the one named first; the best field's
+    exact terms are marked; ``total_hits`` counts before paging.
+    """
+    terms = [t.lower() for t in re.findall(r"[^\W_]+", query)]
+    scored = [(sum((fuzzy_match(F.col(f), t).cast("int") for t in terms), F.lit(0)) * boost, f) for f, boost in fields.items()]
+    best = F.greatest(*(s for s, _ in scored), F.lit(0.0)).cast("double")
+    field, marked = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for s, f in reversed(scored):
+        text = F.coalesce(F.col(f), F.lit(""))
+        for t in dict.fromkeys(terms):
+            text = F.regexp_replace(text, rf"(?iu)\b({re.escape(t)})\b", f"<{tag}>$1</{tag}>")
+        hit = s.cast("double") == best
+        field, marked = F.when(hit, F.lit(f)).otherwise(field), F.when(hit, text).otherwise(marked)
+    found = docs.select(F.col(id_col).alias("doc_id"), best.alias("score"), field.alias("field"), marked.alias("highlighted")).where("score > 0")
+    total = found.agg(F.count("*").alias("total_hits"))
+    return found.orderBy(F.desc("score"), "doc_id").offset(page * size).limit(size).join(F.broadcast(total))
+
+
 def collapse(rows: DataFrame, key: str, score: str = "score", id_col: str = "doc_id", top_k: int = 10) -> DataFrame:
     """Best row of each key, then the best ``top_k`` of those."""
     order = W.partitionBy(key).orderBy(F.desc(score), id_col)

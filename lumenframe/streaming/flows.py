@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lumenframe.plans.storage import scratch_path
+
 
 def read_table(spark: SparkSession, path: str, schema, files_per_trigger: int = 64) -> DataFrame:
     """A Parquet folder as a stream, with bounded micro-batches."""
@@ -37,8 +39,20 @@ def ingest(stream: DataFrame, handle, checkpoint: str, name: str = "ingest") ->
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).queryName(name).start()
 
 
-def run_to_memory(spark: SparkSession, stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Process what is available and return the result table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """Process what is available and return the result table, which the batches write to the shared folder.
+
+    With ``complete`` every batch is the whole result, and the last one counts; with ``append`` all of them do. A batch that
+    comes again after a failure replaces what it wrote.
+    """
+    path = scratch_path(spark, name)
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).queryName(name).start()
     query.awaitTermination()
-    return spark.table(name)
+    found = spark.read.schema(stream.schema.add("epoch", "long")).parquet(f"{path}/rows")
+    if mode == "complete":
+        found = found.where(F.col("epoch") == found.agg(F.max("epoch")).first()[0])
+    return found.drop("epoch")

@@ -78,4 +78,3 @@ def test_ingest_equals_the_sequential_fold(spark):
     rows = dedup.ingest_in_order(new, old, 0.97).collect()
     got = {r.id: (r.duplicate_group_id, r.is_duplicate_primary, pytest.approx(r.duplicate_score, abs=1e-6)) for r in rows}
     assert len(rows) == len(want) > 20 and {g[0] for g in want.values()} == {g[0] for g in got.values()} and want == got
-    print("ids with a change before:", len({r.id for r in dedup.assign_to_groups(new, old, 0.97).collect()}), "after:", len(got))
