@@ -87,3 +87,51 @@ def ocr_input(width: Column, height: Column) -> tuple[Column, Column]:
 def distance_to_box(cx: Column, cy: Column, left: Column, top: Column, right: Column, bottom: Column) -> tuple:
     """Anchor distances to corners."""
     return cx - left, cy - top, cx + right, cy + bottom
+
+
+def distance_to_points(cx: Column, cy: Column, offsets: list[Column]) -> list[tuple[Column, Column]]:
+    """Key points from offsets ``dx, dy`` in turn, as seen from an anchor centre."""
+    return [(cx + offsets[i], cy + offsets[i + 1]) for i in range(0, len(offsets), 2)]
+
+
+def center_crop(width: Column, height: Column, size: int = 256) -> dict[str, Column]:
+    """Shortest edge resized to ``size`` (sizes cut to whole pixels), then the window in the middle."""
+    scale = F.lit(size) / F.least(width, height)
+    w, h = F.floor(width * scale), F.floor(height * scale)
+    return {"new_width": w, "new_height": h, "crop_x": F.floor((w - size) / 2), "crop_y": F.floor((h - size) / 2)}
+
+
+def shrink_to(width: Column, height: Column, most: int = 1920) -> dict[str, Column]:
+    """The longest edge brought down to ``most``, never up; halves go to the even side."""
+    scale = F.least(F.lit(most) / F.greatest(width, height), F.lit(1.0))
+    return {"new_width": F.bround(width * scale).cast("int"), "new_height": F.bround(height * scale).cast("int")}
+
+
+def valid_size(width: Column, height: Column, least: int = 16, most: int = 16384) -> Column:
+    """Both edges within the limits of a decodable image; an unknown edge is not."""
+    return F.coalesce(F.least(width, height) >= least, F.lit(False)) & F.coalesce(F.greatest(width, height) <= most, F.lit(False)) & width.isNotNull() & height.isNotNull()
+
+
+def needs_resize(width: Column, height: Column, most: int = 1024, model: int = 640) -> Column:
+    """Larger than ``most``, and not below what a model takes."""
+    longest = F.greatest(width, height)
+    return (longest > most) & (longest >= model)
+
+
+def quad_box(xs: list[Column], ys: list[Column], width: Column, height: Column) -> list[Column]:
+    """Axis-aligned box of a quadrilateral, as shares of the image."""
+    return [F.least(*xs) / width, F.least(*ys) / height, F.greatest(*xs) / width, F.greatest(*ys) / height]
+
+
+def quad_crop(xs: list[Column], ys: list[Column]) -> dict[str, Column]:
+    """Whole-pixel size of a text crop (the longer of opposite edges), whether it is 3 pixels at least, and turned if it is tall."""
+    edge = lambda i, j: F.sqrt(F.pow(xs[i] - xs[j], 2) + F.pow(ys[i] - ys[j], 2))
+    w, h = F.floor(F.greatest(edge(0, 1), edge(2, 3))), F.floor(F.greatest(edge(0, 3), edge(1, 2)))
+    return {"crop_width": w, "crop_height": h, "kept": (w >= 3) & (h >= 3), "turned": (w >= 3) & (h >= 3) & (h >= 1.5 * w)}
+
+
+def unclip_box(x1: Column, y1: Column, x2: Column, y2: Column, scale_x: Column, scale_y: Column, ratio: float = 1.5, least: float = 3.0) -> dict[str, Column]:
+    """A text box after its contour: grown on all sides by area x ratio / perimeter, scaled to the image; ``kept`` if its short side is long enough."""
+    w, h = x2 - x1, y2 - y1
+    grow = F.coalesce(w * h * ratio / F.nullif(2 * (w + h), F.lit(0.0)), F.lit(0.0))
+    return {"x1": (x1 - grow) * scale_x, "y1": (y1 - grow) * scale_y, "x2": (x2 + grow) * scale_x, "y2": (y2 + grow) * scale_y, "kept": (F.least(w, h) >= least) & (F.least(w, h) + 2 * grow >= least + 2)}

@@ -70,3 +70,32 @@ def route_template(path: Column) -> Column:
     """Metric label of an unmatched path: its first two segments."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
     return F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, 2), "/"))
+
+
+# Class names of the detector by number.
+COCO = (
+    "person", "bicycle", "car", "motorcycle", "airplane", "bus", "train", "truck", "boat", "traffic light", "fire hydrant", "stop sign", "parking meter", "bench", "bird", "cat",
+    "dog", "horse", "sheep", "cow", "elephant", "bear", "zebra", "giraffe", "backpack", "umbrella", "handbag", "tie", "suitcase", "frisbee", "skis", "snowboard", "sports ball",
+    "kite", "baseball bat", "baseball glove", "skateboard", "surfboard", "tennis racket", "bottle", "wine glass", "cup", "fork", "knife", "spoon", "bowl", "banana", "apple",
+    "sandwich", "orange", "broccoli", "carrot", "hot dog", "pizza", "donut", "cake", "chair", "couch", "potted plant", "bed", "dining table", "toilet", "tv", "laptop", "mouse",
+    "remote", "keyboard", "cell phone", "microwave", "oven", "toaster", "sink", "refrigerator", "book", "clock", "vase", "scissors", "teddy bear", "hair drier", "toothbrush",
+)
+
+
+def detector_class(class_id: Column) -> Column:
+    """Name of a detector class; ``class_<n>`` for a number without one, null for null."""
+    named = F.get(F.array(*(F.lit(c) for c in COCO)), F.when(class_id.between(0, len(COCO) - 1), class_id))
+    return F.coalesce(named, F.concat(F.lit("class_"), class_id.cast("string")))
+
+
+def full_text(texts: Column) -> Column:
+    """Texts of an image in their order, joined by spaces; null texts are skipped."""
+    return F.array_join(texts, " ")
+
+
+def sampled_hash(content: Column, sample: int = 16 << 10, whole: int = 128 << 10) -> Column:
+    """Key of a content: the whole of a small one, else its size with ``sample`` bytes from its head, middle and tail. Hex of SHA-256."""
+    size = F.octet_length(content)
+    piece = lambda at: F.substring(content, at.cast("int"), F.lit(sample))
+    parts = F.concat(size.cast("string").cast("binary"), piece(F.lit(1)).cast("binary"), piece(F.floor(F.length(content) / 2) + 1).cast("binary"), piece(F.greatest(F.length(content) - sample + 1, F.lit(1))).cast("binary"))
+    return F.when(size < whole, F.sha2(content.cast("binary"), 256)).otherwise(F.sha2(parts, 256))

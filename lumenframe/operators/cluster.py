@@ -141,3 +141,34 @@ def maintenance(rows: DataFrame, centroids: DataFrame, trained_on: int, pattern:
     growth, pause = PATTERNS[pattern]
     ready = hours_since is None or hours_since >= pause
     return check_balance(rows, centroids, trained_on, growth).withColumn("due", F.col("needs_rebalance") & F.lit(ready))
+
+
+def save_model(centroids: DataFrame, root: str, index_name: str, trained_on: int = 0) -> None:
+    """Keep the model of an index under its name; an older one of that name is replaced."""
+    rows = centroids.select("cluster_id", "centroid", F.lit(trained_on).cast("long").alias("trained_on"))
+    materialize(rows, "model").write.mode("overwrite").parquet(f"{root}/index_name={index_name}")
+
+
+def load_model(spark, root: str, index_name: str | None = None) -> DataFrame:
+    """``(cluster_id, centroid, trained_on)`` of one index, or of all with their ``index_name``."""
+    return spark.read.parquet(root) if index_name is None else spark.read.parquet(f"{root}/index_name={index_name}")
+
+
+def centroid_of(centroids: DataFrame, cluster_id: int) -> DataFrame:
+    """The centroid of one cluster, or no row."""
+    return centroids.where(F.col("cluster_id") == cluster_id).select("cluster_id", "centroid")
+
+
+def write_back(table: DataFrame, assigned: DataFrame, id_col: str = "vec_id") -> DataFrame:
+    """``table`` with ``cluster_id`` and ``cluster_distance`` of the assigned rows; others keep theirs, or null."""
+    new = assigned.select(id_col, F.col("cluster_id").alias("_c"), F.col("cluster_distance").alias("_d"))
+    old = {c: F.col(c) if c in table.columns else F.lit(None) for c in ("cluster_id", "cluster_distance")}
+    rest = [c for c in table.columns if c not in old]
+    out = table.join(new, id_col, "left")
+    return out.select(*rest, F.coalesce("_c", old["cluster_id"]).cast("int").alias("cluster_id"), F.when(F.col("_c").isNotNull(), F.col("_d")).otherwise(old["cluster_distance"]).cast("double").alias("cluster_distance"))
+
+
+def retrain(table: DataFrame, n_clusters: int | None = None, id_col: str = "vec_id", vec: str = "embedding", **options) -> tuple[DataFrame, DataFrame]:
+    """Train on a table, assign all of its rows anew and write that back: ``(table, centroids)``. A rebalance is this, run again."""
+    centroids = train(table, n_clusters, vec=vec, **options)
+    return write_back(table, assign(table, centroids, id_col, vec), id_col), centroids

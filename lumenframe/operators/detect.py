@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenframe.functions.geometry import iou
+from lumenframe.functions.geometry import distance_to_points, iou
 
 
 def greedy_nms(boxes: np.ndarray, scores: np.ndarray, threshold: float, order: np.ndarray | None = None) -> list[int]:
@@ -61,6 +61,11 @@ def nms(detections: DataFrame, threshold: float = 0.4, min_score: float = 0.0, p
     return kept.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= cap).drop("_r")
 
 
+def _centre_gap(a: str, b: str):
+    centre = lambda p, c: (F.col(f"{p}_{c}1") + F.col(f"{p}_{c}2")) / 2
+    return F.sqrt(F.pow(centre(a, "x") - centre(b, "x"), 2) + F.pow(centre(a, "y") - centre(b, "y"), 2))
+
+
 def match_detections(reference: DataFrame, test: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Greedy one-to-one matching in reference order: each takes the unused test box of its class with the largest overlap (first wins).
 
@@ -69,7 +74,7 @@ def match_detections(reference: DataFrame, test: DataFrame, threshold: float = 0
     a = reference.select("image_id", "class_id", F.col("box_index").alias("ref"), *(F.col(c).alias(f"r_{c}") for c in ("x1", "y1", "x2", "y2", "confidence")))
     b = test.select("image_id", "class_id", F.col("box_index").alias("test"), *(F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2", "confidence")))
     box = lambda p: tuple(F.col(f"{p}_{c}") for c in ("x1", "y1", "x2", "y2"))
-    pairs = a.join(b, ["image_id", "class_id"]).withColumn("iou", iou(box("r"), box("t"))).where(F.col("iou") >= threshold).select("image_id", "ref", "test", "iou", F.abs(F.col("r_confidence") - F.col("t_confidence")).alias("gap"))
+    pairs = a.join(b, ["image_id", "class_id"]).withColumn("iou", iou(box("r"), box("t"))).where(F.col("iou") >= threshold).select("image_id", "ref", "test", "iou", F.abs(F.col("r_confidence") - F.col("t_confidence")).alias("gap"), _centre_gap("r", "t").alias("shift"))
 
     def pick(group: list[dict]) -> list[int]:
         seen, used, out = set(), set(), []
@@ -84,8 +89,8 @@ def match_detections(reference: DataFrame, test: DataFrame, threshold: float = 0
 
 
 def comparison_metrics(matches: DataFrame, n_reference: int, n_test: int) -> DataFrame:
-    """precision, recall, f1, mean IoU and mean confidence gap, zero-guarded."""
-    m = matches.agg(F.count("*").alias("matched"), F.coalesce(F.avg("iou"), F.lit(0.0)).alias("mean_iou"), F.coalesce(F.avg("gap"), F.lit(0.0)).alias("mean_gap"))
+    """precision, recall, f1, mean IoU, mean confidence gap and mean distance of the centres, zero-guarded."""
+    m = matches.agg(F.count("*").alias("matched"), F.coalesce(F.avg("iou"), F.lit(0.0)).alias("mean_iou"), F.coalesce(F.avg("gap"), F.lit(0.0)).alias("mean_gap"), F.coalesce(F.avg("shift"), F.lit(0.0)).alias("mean_shift"))
     p, r = F.col("matched") / float(max(1, n_test)), F.col("matched") / float(max(1, n_reference))
     return m.withColumn("precision", p).withColumn("recall", r).withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0))
 
@@ -127,3 +132,35 @@ def similarity_transform(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     rotation = (u * flip) @ vt
     scale = float((d * flip).sum() / max(s.var(axis=0).sum(), 1e-12))
     return np.column_stack([scale * rotation, mt - scale * rotation @ ms])
+
+
+def unmatched(reference: DataFrame, test: DataFrame, matches: DataFrame) -> DataFrame:
+    """Boxes of either side without a match: ``side, image_id, box_index, class_id``."""
+    left = lambda rows, side, name: rows.join(matches.select("image_id", F.col(name).alias("box_index")), ["image_id", "box_index"], "left_anti").select(F.lit(side).alias("side"), "image_id", "box_index", "class_id")
+    return left(reference, "reference", "ref").unionByName(left(test, "test", "test"))
+
+
+def explode_fused(images: DataFrame, column: str = "output", min_score: float = 0.25, cap: int = 300) -> DataFrame:
+    """Detections of fused rows ``[x1, y1, x2, y2, score, class]``: ``image_id, box_index, x1 ... confidence, class_id``, at most ``cap`` an image."""
+    rows = images.select("image_id", F.posexplode(F.slice(column, 1, cap)).alias("box_index", "d")).where(F.get("d", F.lit(4)) >= min_score)
+    return rows.select("image_id", "box_index", *(F.get("d", F.lit(i)).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2", "confidence"))), F.get("d", F.lit(5)).cast("int").alias("class_id"))
+
+
+def detector_layout(columns: list[str]) -> str:
+    """Which adapter reads a detector's outputs: ``four`` arrays, or one ``fused`` array; others raise."""
+    if {"num_dets", "det_boxes", "det_scores", "det_classes"} <= set(columns):
+        return "four"
+    if "output" in columns:
+        return "fused"
+    raise ValueError(f"no adapter reads the outputs {sorted(columns)}")
+
+
+def decode_faces(outputs: DataFrame, scale: float = 1.0, size: int = 640, min_score: float = 0.5, threshold: float = 0.4, cap: int = 128) -> DataFrame:
+    """Faces from anchor outputs with ten key point offsets in ``kps``: decoded, suppressed per image, the best ``cap`` kept."""
+    boxes = decode_anchors(outputs, scale, size, min_score)
+    width, cell = F.lit(size) / F.col("stride"), F.floor(F.col("idx") / 2)
+    cx, cy = (cell % width) * F.col("stride"), F.floor(cell / width) * F.col("stride")
+    points = distance_to_points(cx, cy, [F.get("kps", F.lit(i)) * F.col("stride") for i in range(10)])
+    marks = outputs.select("image_id", "stride", "idx", F.array(*(F.array(x / scale, y / scale) for x, y in points)).alias("landmarks"))
+    rows = boxes.join(marks, ["image_id", "stride", "idx"]).withColumn("class_id", F.lit(0)).withColumn("box_index", (F.col("stride") * 1_000_000 + F.col("idx")).cast("long"))
+    return nms(rows, threshold, min_score, per_class=False, cap=cap)

@@ -72,3 +72,16 @@ def delete_person(faces: DataFrame, person_id: str, dissolve: bool = False) -> D
     if not dissolve:
         return faces.where(~hit)
     return faces.withColumn("person_name", F.when(~hit, F.col("person_name"))).withColumn("person_id", F.when(hit, F.concat(F.lit("person_"), F.col("face_id"))).otherwise(F.col("person_id")))
+
+
+def identify(faces: DataFrame, known: DataFrame, top_k: int = 5, threshold: float = 0.6, id_col: str = "vec_id", vec: str = "embedding", **options) -> DataFrame:
+    """1:N identification: ``query_id, person_id, score`` of each face's best match among the ``top_k`` nearest known faces; nulls below the threshold.
+
+    ``known`` carries ``person_id``; faces without one are not candidates, as the filter comes before the top-k.
+    """
+    from lumenframe.operators.search import knn_blocks
+
+    wanted = faces.select(F.col(id_col).alias("query_id"), F.col(vec).alias("query_vec"))
+    near = knn_blocks(wanted, known, top_k, min_score=threshold, pre_filter=F.col("person_id").isNotNull(), item_id=id_col, item_vec=vec, **options)
+    best = near.groupBy("query_id").agg(F.min_by(F.struct("person_id", "score"), "rank").alias("b"))
+    return wanted.select("query_id").join(best, "query_id", "left").select("query_id", F.col("b.person_id").alias("person_id"), F.col("b.score").alias("score"))

@@ -123,3 +123,62 @@ def table_stats(tables: dict[str, DataFrame]) -> DataFrame:
         part = df.agg(F.count("*").alias("total_documents")).select(F.lit(name).alias("table"), "total_documents")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def ratio_of_rates(samples: DataFrame, over: str, under: str, seconds: int = 300, series: str = "series", name: str = "name") -> DataFrame:
+    """Per series and window the rate of counter ``over`` by that of ``under``: ``series, window_start, ratio``; 0 where nothing grew."""
+    rows = samples.where(F.col(name).isin(over, under)).withColumn("_s", F.struct(series, name))
+    rates = rate(rows, seconds, "_s").select(F.col(f"_s.{series}").alias(series), F.col(f"_s.{name}").alias("_name"), "window_start", "rate")
+    wide = rates.groupBy(series, "window_start").agg(F.sum(F.when(F.col("_name") == over, F.col("rate"))).alias("_o"), F.sum(F.when(F.col("_name") == under, F.col("rate"))).alias("_u"))
+    return wide.select(series, "window_start", ratio(F.coalesce("_o", F.lit(0.0)), F.coalesce("_u", F.lit(0.0))).alias("ratio"))
+
+
+def idle_share(samples: DataFrame, busy: Column, keys: list[str]) -> DataFrame:
+    """1 - mean share of idle per key: ``keys, busy_share``."""
+    return samples.groupBy(*keys).agg((1 - F.avg(F.when(busy, 0.0).otherwise(1.0))).alias("busy_share"))
+
+
+def count_of_groups(samples: DataFrame, outer: list[str], inner: list[str]) -> DataFrame:
+    """How many different ``inner`` groups each ``outer`` one has: ``count(count by (inner))``."""
+    return samples.groupBy(*outer, *inner).agg(F.count("*").alias("_n")).groupBy(*outer).agg(F.count("*").alias("n_groups"))
+
+
+def label_match(column: str, op: str, value: str) -> Column:
+    """Label matchers ``=``, ``!=``, ``=~`` and ``!~``; patterns match whole labels, and a missing label is empty."""
+    label = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    whole = label.rlike(f"^(?:{value})$") if op in ("=~", "!~") else label == value
+    if op not in ("=", "!=", "=~", "!~"):
+        raise ValueError(f"no label matcher {op}")
+    return whole if op in ("=", "=~") else ~whole
+
+
+def line_filter(line: Column, op: str, value: str) -> Column:
+    """Log line filters ``|=``, ``!=``, ``|~`` and ``!~``: contains, or has a match of a pattern."""
+    if op not in ("|=", "!=", "|~", "!~"):
+        raise ValueError(f"no line filter {op}")
+    found = line.contains(value) if op in ("|=", "!=") else line.rlike(value)
+    return found if op in ("|=", "|~") else ~found
+
+
+def progress(ticks: DataFrame, total: int, ts: str = "ts", processed: str = "processed", series: str = "series") -> DataFrame:
+    """``percent``, overall ``rate`` since a series' first tick, and ``eta_seconds`` (null before there is a rate)."""
+    w = W.partitionBy(series).orderBy(ts).rowsBetween(W.unboundedPreceding, 0)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    seconds = (micros - F.min(micros).over(w)) / 1e6
+    speed = ratio(F.col(processed).cast("double"), seconds)
+    left = F.greatest(F.lit(total) - F.col(processed), F.lit(0))
+    return ticks.withColumn("percent", 100.0 * F.col(processed) / max(1, total)).withColumn("rate", speed).withColumn("eta_seconds", F.when(speed > 0, left / speed))
+
+
+def pool_stats(requests: DataFrame, channel: str, latency: str, ok: Column) -> DataFrame:
+    """Per channel: requests, mean latency, success rate."""
+    return requests.groupBy(channel).agg(F.count("*").alias("requests"), F.avg(latency).alias("avg_latency"), F.avg(ok.cast("double")).alias("success_rate"))
+
+
+def peak_concurrency(requests: DataFrame, start: str, end: str, keys: list[str]) -> DataFrame:
+    """Most requests that ran at once, by key: +1 at a start, -1 at an end, ends first at equal times."""
+    keyed = [F.col(k) for k in keys]
+    steps = requests.select(*keyed, F.col(start).alias("t"), F.lit(1).alias("step")).unionByName(requests.select(*keyed, F.col(end).alias("t"), F.lit(-1).alias("step")))
+    steps = steps.groupBy(*keys, "t", "step").agg(F.sum("step").alias("by"))
+    w = W.partitionBy(*keys).orderBy("t", "step").rowsBetween(W.unboundedPreceding, 0)
+    return steps.withColumn("running", F.sum("by").over(w)).groupBy(*keys).agg(F.max("running").alias("peak"))

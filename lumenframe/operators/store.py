@@ -36,3 +36,62 @@ def delete(old: DataFrame, where: Column) -> DataFrame:
 def cascade_delete(tables: dict[str, DataFrame], image_id: str) -> dict[str, DataFrame]:
     """Remove an image from every table, text rows included."""
     return {name: delete(df, F.col("image_id") == image_id) for name, df in tables.items()}
+
+
+def project(rows: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """The columns that are included (default: all) and not excluded; unknown names are ignored."""
+    return rows.select(*(c for c in rows.columns if (include is None or c in include) and c not in (exclude or [])))
+
+
+def point_get(rows: DataFrame, key: str, value, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """The row of one id, or none; the equality reaches the Parquet scan."""
+    return project(rows.where(F.col(key) == F.lit(value)), include, exclude)
+
+
+def keyset_page(rows: DataFrame, key: str, after=None, size: int = 1000) -> DataFrame:
+    """The next ``size`` rows in order of a unique key after the last one seen; a page costs a filter, not an offset."""
+    return (rows if after is None else rows.where(F.col(key) > F.lit(after))).orderBy(key).limit(size)
+
+
+def vectors(rows: DataFrame, key: str, vec: str = "embedding", most: int | None = None) -> DataFrame:
+    """``(key, vec)`` of all rows with a vector; ``most`` takes the first by key."""
+    out = rows.where(F.col(vec).isNotNull()).select(key, vec)
+    return out if most is None else out.orderBy(key).limit(most)
+
+
+def with_metadata(rows: DataFrame, wanted: dict[str, str], column: str = "metadata") -> DataFrame:
+    """Rows whose JSON metadata has every wanted value; missing fields don't match."""
+    for name, value in wanted.items():
+        rows = rows.where(F.get_json_object(column, f"$.{name}") == F.lit(value))
+    return rows
+
+
+def commit(rows: DataFrame, root: str) -> int:
+    """Write ``rows`` as the table's next snapshot and make it the one that readers see; returns its number.
+
+    A snapshot becomes visible when its marker file is created, which is one atomic step: a reader sees all of it or none,
+    and a writer that dies leaves the last snapshot in place. The number is taken by creating the marker, never by
+    overwriting one, so of two writers of the same number one fails.
+    """
+    spark = rows.sparkSession
+    number = (current(spark, root) or 0) + 1
+    rows.write.mode("overwrite").parquet(f"{root}/snapshot={number}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_visible/{number}")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(path):
+        raise RuntimeError(f"snapshot {number} was committed by another writer")
+    return number
+
+
+def current(spark, root: str) -> int | None:
+    """Number of the visible snapshot; none before the first commit."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_visible")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return max((int(s.getPath().getName()) for s in fs.listStatus(path)), default=None) if fs.exists(path) else None
+
+
+def snapshot(spark, root: str, number: int | None = None) -> DataFrame:
+    """The table as of a snapshot, by default the visible one; later commits don't change what it reads."""
+    number = current(spark, root) if number is None else number
+    if number is None:
+        raise ValueError(f"nothing is committed at {root}")
+    return spark.read.parquet(f"{root}/snapshot={number}")
