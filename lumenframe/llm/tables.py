@@ -27,8 +27,13 @@ def small_batches(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
     return again
 
 
+def range_count(spark: SparkSession, size: int | None) -> int:
+    """Ranges for ``size`` bytes of text, each with about ``RANGE_BYTES``: one a shuffle partition at least."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(MAX_RANGES, max(least, -(-(size or 0) // RANGE_BYTES)))
+
+
 def ranges(docs: DataFrame, text_col: str) -> tuple[int, int]:
-    """(rows, ranges to shuffle ``docs`` to): as many as give each about ``RANGE_BYTES`` of text, and one a shuffle partition at least."""
+    """(rows, ranges to shuffle ``docs`` to)."""
     total = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(text_col)).alias("bytes")).first()
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return total.n, min(MAX_RANGES, max(least, -(-(total.bytes or 0) // RANGE_BYTES)))
+    return total.n, range_count(docs.sparkSession, total.bytes)

@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm.tokens import shared_encoder
-from lumenframe.llm.tables import ranges, small_batches
+from lumenframe.llm.tables import range_count, small_batches
 from lumenframe.plans.storage import materialize, scratch_path
 
 END_ID = 2
 MAGIC = b"LFV1"
 #: A block is closed once it holds so many ids.
 BLOCK_IDS = 1 << 18
+#: Quantiles of doc_id that the pass over the texts' sizes takes along; more ranges need a pass of their own.
+FINE = 1000
 
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
@@ -161,8 +163,13 @@ def write_token_file(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    _, n = ranges(rows, "text")
-    borders = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
+    quantiles = lambda n: F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)
+    total = rows.agg(quantiles(FINE).alias("fine"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n, fine = range_count(spark, total.bytes), total.fine or []
+    if n <= FINE:
+        borders = [fine[i * FINE // n - 1] for i in range(1, n)] if fine else []
+    else:
+        borders = rows.agg(quantiles(n)).first()[0] or []
     encoder = shared_encoder(tokenizer)
     width = encoder.dtype.itemsize
     tokens = rows.mapInArrow(small_batches(_tokenise(tokenizer, sorted(set(borders)))), "bucket int, doc_id long, ids binary")
