@@ -14,7 +14,19 @@ ARROW_ROWS = 1000
 RANGE_BYTES, MAX_RANGES = 24 << 20, 100_000
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets the session send ``ARROW_ROWS`` rows of whole texts to Python at once, unless it has a setting of its own.
+
+    Queries and pipeline stages call this; operators set nothing and are right with batches of any size, but the memory
+    of an executor is smaller with small ones.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, ARROW_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
