@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenframe.llm import decontam, langid, linededup, packing, simhash
-from lumenframe.llm.tables import table
+from lumenframe.llm.tables import bounded_batches, table
 from lumenframe.plans.storage import materialize
 
 ORACLE_SQL = None
@@ -22,6 +22,7 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no learnt language: without a letter, or predicted to be unlike all of them. A null ``lang`` becomes the predicted one."""
+    bounded_batches(spark)
     return langid.known_language(docs)
 
 
@@ -36,6 +37,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each near-duplicate group."""
+    bounded_batches(spark)
     return simhash.one_per_group(docs)
 
 
@@ -46,6 +48,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
+    bounded_batches(spark)
     return packing.pack(docs)
 
 
