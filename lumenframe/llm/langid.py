@@ -158,6 +158,7 @@ def _predict(names: list[str], matrix: np.ndarray):
                 sizes.append(len(grams[0]))
             new = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(cosines, pa.float64()), pa.array(sizes, pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*batch.schema.names[:-1], "lang_pred", "score", "cosine", "trigrams"])
+        encoder.clear()  # the worker lives on for other stages
 
     return run
 

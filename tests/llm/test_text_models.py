@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumenframe.llm import langid, toxicity
@@ -219,3 +221,9 @@ def test_held_out_auc_is_over_a_lexicons(spark):
     ranks, n = got.score.rank(), got.y.sum()
     assert (ranks[got.y == 1].sum() - n * (n + 1) / 2) / (n * (len(got) - n)) > 0.97
     assert got.predicted[got.y == 1].mean() > 0.85 and got.predicted[got.y == 0].mean() < 0.01
+
+
+def test_prediction_keeps_no_trigram_vectors_after_a_task():
+    names, batch = ["a"], pa.RecordBatch.from_arrays([pa.array(["some words of a text"])], ["the_text"])
+    out = list(langid._predict(names, np.ones((1, langid.DIM), np.float32))(iter([batch])))
+    assert out[0].num_rows == 1 and not langid.shared_encoder().rows
