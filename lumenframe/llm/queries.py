@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import decontam, langid, linededup, orderminhash, packing, pagetext, pii, simhash, tokenfile, toxicity
+from lumenframe.llm import decontam, fillmiddle, langid, linededup, orderminhash, packing, pagetext, piecebpe, pii, simhash, tokenfile, toxicity
 from lumenframe.llm.tables import table
 
 
@@ -58,6 +58,14 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecebpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fillmiddle.fill_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op1_line_dedup_passages": op1_line_dedup_passages,
@@ -70,9 +78,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_page_text": op8_page_text,
     "op9_simhash": op9_simhash,
     "op10_token_file": op10_token_file,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": linededup.SQL,
     "op2_decontamination": decontam.SQL,
+    "op12_fill_in_middle": fillmiddle.SQL,
 }
