@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import decontam, fillmiddle, langid, linededup, orderminhash, packing, pagetext, piecebpe, pii, simhash, tokenfile, toxicity
+from lumenframe.llm import decontam, divergence, fillmiddle, langid, linededup, orderminhash, packing, pagetext, piecebpe, pii, simhash, tokenfile, toxicity
 from lumenframe.llm.tables import table
 
 
@@ -66,6 +66,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fillmiddle.fill_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op1_line_dedup_passages": op1_line_dedup_passages,
@@ -80,10 +84,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_file": op10_token_file,
     "op11_sentencepiece": op11_sentencepiece,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": linededup.SQL,
     "op2_decontamination": decontam.SQL,
     "op12_fill_in_middle": fillmiddle.SQL,
+    "op13_source_divergence": divergence.SQL,
 }
