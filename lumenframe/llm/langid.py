@@ -31,6 +31,8 @@ UNKNOWN = "und"
 #: A text of at least so many different trigrams whose best cosine is below this is in none of the learnt languages. Shorter
 #: texts can't be told from chance: the cosine of unrelated texts has spread 1 / 32.
 MIN_COSINE, MIN_TRIGRAMS = 0.1, 60
+#: A prediction with at least this score replaces another label.
+RELABEL = 0.95
 #: Trigram vectors a worker keeps (4 KB each).
 CACHE_TRIGRAMS = 20_000
 TRAIN_TASKS = 24
@@ -193,6 +195,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: list[str] | None = None) -> DataFrame:
     """``docs`` in one of the learnt languages (of ``languages``, if given); a null ``lang`` becomes the predicted one.
 
+    A ``lang`` that contradicts a confident prediction becomes the predicted one too: of a text of ``MIN_TRIGRAMS`` and more,
+    with a score of at least ``RELABEL``. The document itself stays.
+
     Dropped are texts without a letter, texts predicted to be in another language, and texts of ``MIN_TRIGRAMS`` and more
     whose cosine with every prototype is below ``MIN_COSINE``. Without a labelled row to train on no language can be told,
     and only the letters decide.
@@ -207,5 +212,7 @@ def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if languages is not None:
         named = named.where(F.col("lang_pred").isin(languages))
     kept = {c: F.col(f"k{i}") for i, c in enumerate(docs.columns)}
-    kept[lang_col] = F.coalesce(kept[lang_col], F.col("lang_pred").cast(docs.schema[lang_col].dataType))
+    predicted = F.col("lang_pred").cast(docs.schema[lang_col].dataType)
+    sure = (F.col("trigrams") >= MIN_TRIGRAMS) & (F.col("score") >= RELABEL)
+    kept[lang_col] = F.when(kept[lang_col].isNull() | sure, predicted).otherwise(kept[lang_col])
     return named.select(*(x.alias(c) for c, x in kept.items()))

@@ -10,8 +10,10 @@ pages.
 
 Defined results: null text stays null (0 lines); blank lines are never counted nor dropped; a line is compared without
 its outer spaces; a null host is a site of its own; each row is a page, so repeated rows count again; a page whose every
-line is boilerplate is a repeated page, not a page with boilerplate, and keeps its text (near-duplicate removal is for
-those); an empty table gives an empty table; further columns pass through untouched.
+line is boilerplate loses them all, unless ``keep_repeated`` is set: it is then taken for a repeated page, which near-
+duplicate removal is for, and keeps its text; on a site with fewer than ``min_pages`` pages no line is boilerplate; an
+empty table gives an empty table; further columns pass through untouched, but for columns named like the counts, which
+:func:`site_line_dedup` replaces.
 """
 
 from __future__ import annotations
@@ -107,10 +109,10 @@ def _with_passages(rows: DataFrame, docs: DataFrame, text_col: str, min_pages: i
     return rows.join(sets.withColumn("cut", salts), ["page", "cut"], "left"), lambda x: F.coalesce(F.array_contains("passages", _key(x)), F.lit(False))
 
 
-def site_line_dedup(
-    docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, passages: bool = False
+def cleaned_rows(
+    docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, passages: bool = False, keep_repeated: bool = False
 ) -> DataFrame:
-    """``docs`` with boilerplate lines removed from ``text_col``, plus ``n_lines`` and ``n_dropped`` (long).
+    """Every row of ``docs`` as ``row`` (a struct of all its columns), with ``cleaned`` (its text without boilerplate), ``n_lines`` and ``n_dropped`` (long).
 
     The pages themselves are not shuffled while the boilerplate table is below the broadcast limit; beyond it the join
     is salted, so that a site with a third of all pages spreads over 32 tasks.
@@ -127,13 +129,19 @@ def site_line_dedup(
     listed = lambda x: F.coalesce(F.array_contains(F.get("bad", F.pmod(_key(x)["h1"], F.lit(HOST_BUCKETS)).cast("int")), _key(x)), F.lit(False))
     kept = F.filter("lines", lambda x: (F.trim(x) == "") | ~(listed(x) | repeated(x)))
     rows = rows.withColumn("kept", kept)
-    rows = rows.withColumn("whole", ~F.exists("kept", lambda x: F.trim(x) != ""))
+    rows = rows.withColumn("whole", ~F.exists("kept", lambda x: F.trim(x) != "") if keep_repeated else F.lit(False))
     text = F.when(F.col("whole"), F.col("body")).otherwise(F.array_join("kept", "\n"))
     n_lines = F.coalesce(F.size(F.filter("lines", lambda x: F.trim(x) != "")), F.lit(0))
     dropped = F.when(F.col("whole") | F.col("lines").isNull(), 0).otherwise(F.size("lines") - F.size("kept"))
-    out = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
     n_lines = F.when(F.col("lines").isNull(), 0).otherwise(n_lines)
-    return rows.select(*out, n_lines.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
+    return rows.select("row", text.alias("cleaned"), n_lines.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
+
+
+def site_line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with boilerplate lines removed from ``text_col``, plus ``n_lines`` and ``n_dropped``; ``options`` are those of :func:`cleaned_rows`."""
+    rows = cleaned_rows(docs, host_col, text_col, **options)
+    out = [F.col("cleaned").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return rows.select(*out, "n_lines", "n_dropped")
 
 
 #: The query's result in DuckDB.
@@ -144,8 +152,8 @@ bad as (select l.hk, list(l.ln) bad from (select hk, ln, count(*) df from lines
   join (select hk, count(*) n from pages group by hk) t using (hk) where df >= {MIN_PAGES} and df > {MAX_RATIO} * n group by l.hk),
 cut as (select p.*, string_split(text, chr(10)) ls, b.bad,
   list_filter(string_split(text, chr(10)), lambda x: trim(x) = '' or not list_contains(coalesce(b.bad, []), trim(x))) kept from pages p left join bad b using (hk)),
-done as (select *, bad is null or coalesce(len(list_filter(kept, lambda x: trim(x) <> '')), 0) = 0 whole from cut)
+done as (select *, len(kept) = len(ls) whole from cut)
 select doc_id, source, case when whole then text else array_to_string(kept, chr(10)) end as text,
   cast(coalesce(len(list_filter(ls, lambda x: trim(x) <> '')), 0) as bigint) as n_lines,
-  cast(case when whole or ls is null then 0 else len(ls) - len(kept) end as bigint) as n_dropped from done
+  cast(coalesce(len(ls) - len(kept), 0) as bigint) as n_dropped from done
 """

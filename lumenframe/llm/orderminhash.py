@@ -11,7 +11,7 @@ n log n time, and no row leaves its partition.
 
 Defined results: null is the empty text, whose fingerprint is all zeros; a text of fewer than K tokens is one k-mer;
 equal texts have equal fingerprints; rows with a null doc_id come first in the order of documents; repeated ids are
-ordered by text; the document after the last is the first; further columns are ignored; an empty table stays empty.
+ordered by text; ids are numbers or text that reads as one (others raise); the document after the last is the first; further columns are ignored; an empty table stays empty.
 """
 
 from __future__ import annotations

@@ -237,7 +237,8 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``docs`` with one document of each near-duplicate group: the one with the smallest id. Repeated rows fall to one; null ids stay."""
     names = materialize(simhash_components(docs, id_col, text_col, threshold), "simhash-names")
     gone = names.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(broadcast_if_small(materialize(gone, "simhash-gone")), F.col(id_col) == F.col("gone_id"), "left_anti")
-    if names.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("own_id"))  # own columns may be named like the result's
+    kept = rows.join(broadcast_if_small(materialize(gone, "simhash-gone")), F.col("own_id") == F.col("gone_id"), "left_anti")
+    if not names.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.where(F.col("own_id").isNotNull()).dropDuplicates(["own_id"]).unionByName(kept.where(F.col("own_id").isNull()))
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))

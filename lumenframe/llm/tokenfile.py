@@ -11,7 +11,8 @@ up a control byte's four lengths in a 256 x 4 table and gathers the bytes with n
 Blocks are written by Spark's committer into a Parquet container (one binary column), so a retried task leaves no half
 file and any store that Spark writes will do. ``dictionary`` beside it maps ranks to ids.
 
-Defined results: null or empty text is the end id alone; null ids come first; repeated rows are kept, ordered by their
+Defined results: null or empty text is the end id alone; ids are numbers or text that reads as one (others raise), null
+ones come first; repeated rows are kept, ordered by their
 ids' bytes; an empty table gives an empty container; further columns are ignored.
 """
 

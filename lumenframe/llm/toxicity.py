@@ -325,9 +325,13 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50
     return w
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", docs: int = FIT_DOCS, tokens: int = FIT_TOKENS) -> Model:
-    """Fit on at most ``docs`` documents of ``labelled`` with at most ``tokens`` tokens each."""
-    rows = labelled.select(F.col(label_col).cast("int").alias("toxic"), F.col(text_col).cast("string").alias("text")).where("toxic in (0, 1) and text is not null")
+def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", docs: int = FIT_DOCS, tokens: int = FIT_TOKENS, id_col: str = "doc_id") -> Model:
+    """Fit on at most ``docs`` documents of ``labelled`` with at most ``tokens`` tokens each.
+
+    Documents are drawn and ordered by a hash of their id and text, so that the model depends on the rows alone, not on
+    their order or files; rows with the same id and text are equal, whichever comes first.
+    """
+    rows = labelled.select(F.col(label_col).cast("int").alias("toxic"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("string").alias("id")).where("toxic in (0, 1) and text is not null")
     rows = rows.where(F.size(F.split("text", r"\s+")) <= tokens)
     sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -335,12 +339,12 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
         return Model(np.zeros(0), 0.0, np.zeros((2, 2)), np.zeros(5))
     take1 = min(n1, docs // 2)
     take0 = min(n0, docs - take1)
-    drawn = rows.withColumn("draw", F.xxhash64("text", F.monotonically_increasing_id(), F.lit(3)))  # copies are drawn one by one
+    drawn = rows.withColumn("draw", F.xxhash64("id", "text", F.lit(3)))  # copies have ids of their own: they are drawn one by one
     picked = []
     for label, k, n in ((1, take1, n1), (0, take0, n0)):
         share = min(1.0, (1.2 * k + 50) / n)  # a few more than wanted reach the driver, whatever the table's size
         some = drawn.where((F.col("toxic") == label) & (F.pmod("draw", F.lit(1 << 30)) < int(share * (1 << 30))))
-        picked += sorted((r.toxic, r.draw, r.text) for r in some.collect())[:k]
+        picked += sorted((r.toxic, r.draw, r.text) for r in some.select("toxic", "draw", "text").collect())[:k]
     take1, take0 = sum(r[0] == 1 for r in picked), sum(r[0] == 0 for r in picked)
     labels = np.array([r[0] for r in picked], float)
     documents = [r[2].split() for r in picked]
@@ -365,7 +369,7 @@ def _score(model: Model):
         for batch in batches:
             got = tagger.score_all(batch.column(2).to_pylist())
             spans = [",".join(f"{a}:{b}" for a, b in s) for _, s in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p for p, _ in got], pa.float64()), pa.array(spans, pa.string())], ["doc_id", "held_out", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([round(p, 9) for p, _ in got], pa.float64()), pa.array(spans, pa.string())], ["doc_id", "held_out", "score", "spans"])
 
     return run
 
@@ -377,7 +381,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     marks = marks.groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
     marks = broadcast_if_small(materialize(marks, "labels"))
-    labelled = rows.where(~F.col("held_out")).join(marks, F.col("doc_id") == F.col("label_id")).select("toxic", "text")
+    labelled = rows.where(~F.col("held_out")).join(marks, F.col("doc_id") == F.col("label_id")).select("toxic", "text", "doc_id")
     model = train(materialize(labelled, "labelled"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     out = rows.mapInArrow(small_batches(_score(model), 500), f"doc_id {kind}, held_out boolean, score double, spans string")

@@ -3,7 +3,7 @@ from collections import defaultdict
 from lumenframe.llm import linededup
 
 
-def brute(rows, ratio, least):
+def brute(rows, ratio, least, keep_repeated=False):
     pages, df = defaultdict(int), defaultdict(int)
     for _, text, host in rows:
         pages[host] += 1
@@ -17,7 +17,7 @@ def brute(rows, ratio, least):
         lines = text.split("\n")
         bad = [x.strip(" ") != "" and df[host, x.strip(" ")] >= least and df[host, x.strip(" ")] > ratio * pages[host] for x in lines]
         kept = [x for x, b in zip(lines, bad) if not b]
-        out.append((i, "\n".join(kept) if any(x.strip(" ") for x in kept) else text))
+        out.append((i, text if keep_repeated and not any(x.strip(" ") for x in kept) else "\n".join(kept)))
     return out
 
 
@@ -27,10 +27,17 @@ def test_drops_lines_over_the_ratio_only_on_that_site(spark):
     rows += [(200, None, "a"), (201, "", None), (202, "x\nx\nx", None), (203, "menu\nbody", None), (204, "menu", "a"), (204, "menu", "a"), (205, "line\n" * 30_000, "a")]
     df = spark.createDataFrame([(i, t, s, 0) for i, t, s in rows], "doc_id long, text string, source string, bad int")
     for ratio, least in ((0.5, 2), (0.1, 3), (0.15, 5)):
-        got = linededup.site_line_dedup(df, max_ratio=ratio, min_pages=least)
-        assert got.columns == ["doc_id", "text", "source", "bad", "n_lines", "n_dropped"]
-        key = lambda r: (r[0], r[1] or "")
-        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted(brute(rows, ratio, least), key=key)
+        for keep in (False, True):
+            got = linededup.site_line_dedup(df, max_ratio=ratio, min_pages=least, keep_repeated=keep)
+            assert got.columns == ["doc_id", "text", "source", "bad", "n_lines", "n_dropped"]
+            key = lambda r: (r[0], r[1] or "")
+            assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted(brute(rows, ratio, least, keep), key=key)
+
+
+def test_columns_named_like_the_counts_are_replaced(spark):
+    df = spark.createDataFrame([(1, "a\nb", "s", "x", "y")], "doc_id long, text string, source string, n_lines string, n_dropped string")
+    assert linededup.site_line_dedup(df).collect() == [(1, "a\nb", "s", 2, 0)]
+    assert linededup.site_line_dedup(df).columns == ["doc_id", "text", "source", "n_lines", "n_dropped"]
 
 
 def test_salted_join_beyond_the_broadcast_limit_gives_the_same(spark, monkeypatch):
@@ -59,6 +66,6 @@ def test_long_passages_go_across_sites_but_copies_stay(spark, monkeypatch):
     want = {i: t if i == 71 or t is None else "\n".join(x for x in t.split("\n") if x not in planted) for i, t, _ in rows}
     for limit in (linededup.BROADCAST_BYTES, 0):
         monkeypatch.setattr(linededup, "BROADCAST_BYTES", limit)
-        got = linededup.site_line_dedup(df, passages=True).collect()
+        got = linededup.site_line_dedup(df, passages=True, keep_repeated=True).collect()
         assert len(got) == len(rows) and {r.doc_id: r.text for r in got} == want
         assert {r.n_dropped for r in got if r.doc_id < 8} == {3}

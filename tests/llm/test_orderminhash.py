@@ -1,5 +1,9 @@
 import hashlib
 import random
+import re
+import struct
+
+import xxhash
 
 from lumenframe.llm import orderminhash as omh
 
@@ -80,3 +84,49 @@ def test_repeated_ids_null_ids_and_long_text(spark):
     edit = {r.n_chars: r.edited_sha256 for r in got}
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert edit[5] == sha("fir" + "a") and edit[250_000] == sha(("long " * 50_000)[:125_000] + "first")
+
+
+def signed(n):
+    return n - (1 << 64) if n >= 1 << 63 else n
+
+
+def longs(*values):
+    """Spark's xxhash64 of longs in turn: each hash seeds the next."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(struct.pack("<q", v), seed=seed)
+    return signed(seed)
+
+
+def plain_sketch(text):
+    """The fingerprint by loops: k-mers, occurrence numbers, two minimal of each bin, in their text order."""
+    low, pos = (1 << 27) - 1, 27
+    tokens = [signed(xxhash.xxh64_intdigest(t.encode(), seed=42)) for t in re.findall(r"[^ \t\n\x0b\f\r]{1,16}", text)]
+    if not tokens:
+        return "0" * 256
+    grams = [tokens[i : i + omh.K] for i in range(len(tokens) - omh.K + 1)] or [tokens]
+    seen, numbered = {}, []
+    for at, gram in enumerate(grams):
+        h = longs(*gram) >> pos
+        seen[h] = seen.get(h, 0) + 1
+        mixed = signed(xxhash.xxh64_intdigest(struct.pack("<i", seen[h]), seed=xxhash.xxh64_intdigest(struct.pack("<q", h), seed=42)))
+        numbered.append((mixed & ~low | at))
+    numbered.sort()
+    bins = {}
+    for x in numbered:
+        bins.setdefault(x >> 59, []).append(x)
+    chosen = [x for b in sorted(bins) for x in bins[b][:2]]
+    out = []
+    for b in range(-16, 16):
+        at = next((i for i, x in enumerate(chosen) if x >> 59 >= b), 0)
+        x, y = sorted((chosen[at], chosen[(at + 1) % len(chosen)]), key=lambda v: v & low)
+        out.append(longs(x >> pos, y >> pos) & 0xFFFFFFFF)
+    return "".join(f"{v:08x}" for v in out)
+
+
+def test_sketch_equals_plain_loops(spark):
+    rng = random.Random(11)
+    texts = ["", "one", "one two", "a b c", "a b c d", "x " * 300, "tok " * 3 + "y" * 50]
+    texts += [" ".join(rng.choices(["a", "b", "cc", "dédé", "日本語", f"w{rng.randrange(500)}", "z" * 40], k=rng.randrange(1, 200))) for _ in range(120)]
+    got = run(spark, list(enumerate(texts)))
+    assert {i: got[i].fingerprint for i in got} == {i: plain_sketch(t) for i, t in enumerate(texts)}

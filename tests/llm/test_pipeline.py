@@ -1,8 +1,9 @@
 import functools
 import re
+from pathlib import Path
 
 import corpus_pipeline
-from lumenframe.llm import simhash
+from lumenframe.llm import linededup, simhash
 from lumenframe.llm.tokens import shared_encoder
 
 SF = "/root/testdata/sf0.001"
@@ -65,15 +66,26 @@ def test_stages_keep_columns_and_decisions_take_effect(spark):
     assert sum(r.length for r in pieces) == total and {r.doc_id for r in pieces} == after.keys()
 
 
-CLASHES = ["row", "own_id", "cand_id", "w", "host_key", "body", "bad", "kept", "lang_pred", "score", "fp", "component_id", "start", "bucket", "ids"]
+def made_columns():
+    """Every name that a module of the subpackage gives to a column."""
+    names = set()
+    for file in Path(linededup.__file__).parent.glob("*.py"):
+        code = file.read_text()
+        names |= {x for found in re.findall(r'(?:alias|withColumn|withColumnRenamed)\("(\w+)"|, "(\w+)"\)', code) for x in found if x}
+        names |= set(re.findall(r"\b(\w+) (?:string|long|double|int|boolean|binary)\b", code))
+    return sorted(names - {"doc_id", "text", "lang", "source", "n_chars"})
+
+
+CLASHES = made_columns()
 
 
 def test_stages_handle_odd_rows(spark):
     """Null ids, texts and sources, empty and repeated rows, clashing columns: only letterless texts and copies go."""
+    assert {"n_lines", "n_dropped", "gone_id", "row", "lang_pred"} <= set(CLASHES)
     words = [f"alpha{i} beta gamma delta number{i} words go on here and end{i}" for i in range(12)]
     rows = [(i, t, "en", "s") for i, t in enumerate(words)] + [(20, None, "en", "s"), (21, "", None, None), (22, "  \n ", "en", "s"), (23, "123 !", "en", None)]
     rows += [(None, "a text of no id at all, but with words", "en", None), (3, words[3], "en", "s"), (30, words[4], None, None)]
-    docs = spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), *["c"] * len(CLASHES)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES))
+    docs = spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), *["c"] * len(CLASHES)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES))
     seen = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         seen = stage(spark, seen, SF)

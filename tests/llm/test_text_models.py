@@ -227,3 +227,23 @@ def test_prediction_keeps_no_trigram_vectors_after_a_task():
     names, batch = ["a"], pa.RecordBatch.from_arrays([pa.array(["some words of a text"])], ["the_text"])
     out = list(langid._predict(names, np.ones((1, langid.DIM), np.float32))(iter([batch])))
     assert out[0].num_rows == 1 and not langid.shared_encoder().rows
+
+
+def test_a_confident_prediction_replaces_a_wrong_label(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    wrong = F.when(F.col("doc_id") % 50 == 0, F.when(F.col("lang") == "en", "de").otherwise("en")).otherwise(F.col("lang"))
+    kept = langid.known_language(docs.select("doc_id", "text", wrong.alias("lang"), F.col("lang").alias("right"), F.length("text").alias("n"))).toPandas()
+    swapped = kept[kept.doc_id % 50 == 0]
+    long = swapped[swapped.n > 600]
+    assert len(long) > 5 and (long.lang == long.right).mean() > 0.9
+    assert (kept[kept.doc_id % 50 != 0].lang == kept[kept.doc_id % 50 != 0].right).all()
+
+
+def test_toxicity_does_not_depend_on_the_files(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.unionByName(docs.where("doc_id < 40"))  # repeated rows too
+    one = toxicity.toxicity(docs.coalesce(1).sortWithinPartitions("text"), labels)
+    two = toxicity.toxicity(docs.repartition(7), labels.repartition(3))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
