@@ -30,9 +30,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes boilerplate lines of each source and passages that repeat over all sources; all documents stay. ``n_chars`` follows the text where it was right before."""
     from pyspark.sql import functions as F
 
-    cleaned = linededup.site_line_dedup(docs, passages=True)
-    count = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cleaned.select(*(count.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    rows = linededup.cleaned_rows(docs, passages=True, keep_repeated=True)
+    count = F.when(F.col("n_dropped") > 0, F.char_length("cleaned").cast("long")).otherwise(F.col("row")["n_chars"])
+    changed = {"text": F.col("cleaned"), "n_chars": count}
+    return rows.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
