@@ -4,16 +4,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenframe.functions.vectors import dot, l2_normalize
+from lumenframe.operators import manifest
+from lumenframe.schema import CLUSTER_DEFAULTS
 from lumenframe.plans.storage import materialize
 
+#: Key and vector of the tables that have clusters, and their default numbers of clusters.
+CLUSTERED = {"global": ("image_id", "global_embedding"), "vehicles": ("detection_id", "embedding"), "people": ("detection_id", "embedding"), "faces": ("face_id", "embedding")}
+DEFAULTS = {name: default for name, (default, _) in CLUSTER_DEFAULTS.items()}
 #: Centroids that one broadcast may hold; the trainer never makes more.
 MAX_CENTROIDS = 8192
 
@@ -84,6 +91,32 @@ def assign(vectors: DataFrame, centroids: DataFrame, id_col: str = "vec_id", vec
     return rows.mapInArrow(run, schema)
 
 
+def nearest(centroids: DataFrame, vec: Column) -> Column:
+    """``struct<cluster_id, cluster_distance>`` of a vector column, where the row stands; null without a vector or a model."""
+    found = sorted((r.cluster_id, r.centroid) for r in centroids.select("cluster_id", "centroid").limit(MAX_CENTROIDS + 1).collect())
+    if len(found) > MAX_CENTROIDS:
+        raise ValueError(f"more than {MAX_CENTROIDS} centroids")
+    if not found:
+        return F.lit(None).cast("struct<cluster_id: int, cluster_distance: double>")
+    names, matrix = np.array([c for c, _ in found], np.int32), np.array([v for _, v in found])
+
+    @F.pandas_udf("struct<cluster_id: int, cluster_distance: double>")
+    def pick(vectors: pd.Series) -> pd.DataFrame:
+        there = vectors.notna().to_numpy()
+        out = pd.DataFrame({"cluster_id": pd.array([None] * len(vectors), "Int32"), "cluster_distance": np.full(len(vectors), np.nan)})
+        if there.any():
+            x = np.stack(vectors[there].to_numpy()).astype(float)
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            scores = (x / np.where(norm == 0, 1.0, norm)) @ matrix.T
+            best = scores.argmax(axis=1)
+            out.loc[there, "cluster_id"] = names[best]
+            out.loc[there, "cluster_distance"] = 1 - scores[np.arange(len(best)), best]
+        return out
+
+    got = pick(vec.cast("array<double>"))
+    return F.when(vec.isNotNull(), got)
+
+
 def assign_unclustered(table: DataFrame, centroids: DataFrame, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """Assignments of the rows that have no cluster yet."""
     return assign(table.where(F.col("cluster_id").isNull()), centroids, id_col, vec)
@@ -144,14 +177,20 @@ def maintenance(rows: DataFrame, centroids: DataFrame, trained_on: int, pattern:
 
 
 def save_model(centroids: DataFrame, root: str, index_name: str, trained_on: int = 0) -> None:
-    """Keep the model of an index under its name; an older one of that name is replaced."""
+    """Keep the model of an index under its name; readers see the older one of that name until the new one is whole."""
     rows = centroids.select("cluster_id", "centroid", F.lit(trained_on).cast("long").alias("trained_on"))
-    materialize(rows, "model").write.mode("overwrite").parquet(f"{root}/index_name={index_name}")
+    manifest.publish(centroids.sparkSession, root, replace={index_name: rows})
 
 
 def load_model(spark, root: str, index_name: str | None = None) -> DataFrame:
     """``(cluster_id, centroid, trained_on)`` of one index, or of all with their ``index_name``."""
-    return spark.read.parquet(root) if index_name is None else spark.read.parquet(f"{root}/index_name={index_name}")
+    now = manifest.read(spark, root)
+    if index_name is not None:
+        return manifest.table(spark, root, index_name, now)
+    parts = [manifest.table(spark, root, name, now).withColumn("index_name", F.lit(name)) for name in sorted(now.folders)]
+    if not parts:
+        raise ValueError(f"no model is kept at {root}")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def centroid_of(centroids: DataFrame, cluster_id: int) -> DataFrame:

@@ -35,9 +35,11 @@ def to_process(incoming: DataFrame, indexed: DataFrame, hash_col: str = "imohash
     return incoming.join(indexed.select(hash_col), hash_col, "left_anti")
 
 
-def similarity_edges(items: DataFrame, threshold: float, id_col: str = "vec_id", vec: str = "embedding", block: int = 128) -> DataFrame:
+def similarity_edges(items: DataFrame, threshold: float, id_col: str = "vec_id", vec: str = "embedding", block: int = 128, fresh: str | None = None) -> DataFrame:
     """``(a, b, score)`` with a < b and raw cosine >= threshold, exactly.
 
+    ``fresh`` names a boolean column: then only pairs with a fresh row are sought, and blocks of other rows never meet.
+
     Unit vectors within a threshold differ little along any direction: |x.r - y.r| <= |x - y| = sqrt(2 - 2 threshold) for
     a unit direction r. Vectors are put in cells of that width along ``DIRECTIONS`` orthogonal directions; only equal or
     adjacent cells can hold a pair, so high thresholds leave a small share of all pairs. A cell is dealt to blocks of
@@ -49,7 +51,8 @@ def similarity_edges(items: DataFrame, threshold: float, id_col: str = "vec_id",
     Zero vectors have no cosine and no pairs.
     """
     width = max(math.sqrt(max(0.0, 2 - 2 * threshold)), 1e-6) * (1 + 1e-9)
-    base = items.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), l2_normalize(F.col(vec)).alias("v"))
+    flag = F.coalesce(F.col(fresh), F.lit(False)) if fresh else F.lit(True)
+    base = items.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), l2_normalize(F.col(vec)).alias("v"), flag.cast("int").alias("fresh"))
     # Direction d is the normalised sum of every DIRECTIONS-th coordinate, with pseudo-random signs.
     sums = F.aggregate(
         F.transform("v", lambda x, i: F.struct(F.when(F.pmod(F.xxhash64(i), F.lit(2)) == 0, x).otherwise(-x).alias("x"), F.pmod(i, F.lit(DIRECTIONS)).alias("d"))),
@@ -58,16 +61,18 @@ def similarity_edges(items: DataFrame, threshold: float, id_col: str = "vec_id",
     shares = F.transform(F.sequence(F.lit(0), F.lit(DIRECTIONS - 1)), lambda d: F.sqrt(F.greatest(F.floor((F.size("v") - 1 - d) / DIRECTIONS) + 1, F.lit(1)).cast("double")))
     cell = F.zip_with(sums, shares, lambda x, n: F.floor(x / n / width).cast("int"))
     base = materialize(base.withColumn("cell", cell), "vectors")
+    # Odd parts of a cell are those of the fresh rows.
     counts = materialize(base.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")), "cells")
-    dealt = base.join(broadcast_if_small(counts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = base.join(broadcast_if_small(counts), "cell").withColumn("part", (2 * F.pmod(F.xxhash64("id"), F.col("parts")) + F.col("fresh")).cast("int"))
     blocks = materialize(dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("id", "v")).alias("rows")), "blocks")
     steps = [s for s in itertools.product((-1, 0, 1), repeat=DIRECTIONS) if s >= (0,) * DIRECTIONS]  # each pair of cells once
     near = counts.select("cell", "parts", F.explode(F.array(*(F.array(*map(F.lit, s)) for s in steps))).alias("step"))
     near = near.select("cell", "parts", F.zip_with("cell", "step", lambda c, d: c + d).alias("other"))
     met = near.join(counts.select(F.col("cell").alias("other"), F.col("parts").alias("others")), "other")
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    first, step = (0, 1) if fresh else (1, 2)
+    numbers = lambda n: F.explode(F.sequence(F.lit(first), 2 * F.col(n) - 1, F.lit(step)))
     listed = met.select("cell", "other", numbers("parts").alias("lp"), "others").select("cell", "other", "lp", numbers("others").alias("rp"))
-    listed = listed.where((F.col("cell") != F.col("other")) | (F.col("lp") <= F.col("rp")))
+    listed = listed.where((F.col("cell") != F.col("other")) | (F.col("lp") <= F.col("rp"))).where((F.col("lp") % 2 == 1) | (F.col("rp") % 2 == 1))
     right = blocks.select(F.col("cell").alias("other"), F.col("part").alias("rp"), F.col("rows").alias("right"))
     pairs = listed.join(blocks.withColumnsRenamed({"part": "lp", "rows": "left"}), ["cell", "lp"]).join(right, ["other", "rp"])
     one = (F.col("cell") == F.col("other")) & (F.col("lp") == F.col("rp"))

@@ -15,14 +15,15 @@ def zip_shortest(*arrays: Column) -> Column:
     return F.slice(F.arrays_zip(*arrays), F.lit(1), F.greatest(n, F.lit(0)))
 
 
-def explode_detections(images: DataFrame) -> DataFrame:
+def explode_detections(images: DataFrame, vectors: str | None = None) -> DataFrame:
     """``image_id, box_index, category, detection_id, class_name`` and the box of each detection of padded arrays.
 
     ``images(image_id, num_dets, boxes, scores, classes)``: the first ``num_dets`` count, rows without score are padding.
+    ``vectors`` names a column of the boxes' vectors, given as ``embedding``.
     """
-    zipped = F.slice(F.arrays_zip("boxes", "scores", "classes"), F.lit(1), F.col("num_dets"))
+    zipped = F.slice(F.arrays_zip("boxes", "scores", "classes", *([vectors] if vectors else [])), F.lit(1), F.col("num_dets"))
     flat = images.select("image_id", F.posexplode(zipped).alias("box_index", "d")).where("d.scores > 0")
-    out = flat.select("image_id", "box_index", F.col("d.boxes").alias("box"), F.col("d.scores").alias("confidence"), F.col("d.classes").alias("class_id"))
+    out = flat.select("image_id", "box_index", F.col("d.boxes").alias("box"), F.col("d.scores").alias("confidence"), F.col("d.classes").alias("class_id"), *([F.col(f"d.{vectors}").alias("embedding")] if vectors else []))
     return out.withColumn("category", category(F.col("class_id"))).withColumn("class_name", class_name(F.col("class_id"))).withColumn("detection_id", ordinal_id(F.col("image_id"), "box", F.col("box_index")))
 
 

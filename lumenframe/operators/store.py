@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.operators import manifest
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of ``new`` replace rows of ``old`` with the same key, whole."""
@@ -69,29 +71,17 @@ def with_metadata(rows: DataFrame, wanted: dict[str, str], column: str = "metada
 def commit(rows: DataFrame, root: str) -> int:
     """Write ``rows`` as the table's next snapshot and make it the one that readers see; returns its number.
 
-    A snapshot becomes visible when its marker file is created, which is one atomic step: a reader sees all of it or none,
-    and a writer that dies leaves the last snapshot in place. The number is taken by creating the marker, never by
-    overwriting one, so of two writers of the same number one fails.
+    One table of :mod:`manifest`: a reader sees all of a snapshot or none, a writer that dies or comes second leaves the
+    last one as it is.
     """
-    spark = rows.sparkSession
-    number = (current(spark, root) or 0) + 1
-    rows.write.mode("overwrite").parquet(f"{root}/snapshot={number}")
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_visible/{number}")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(path):
-        raise RuntimeError(f"snapshot {number} was committed by another writer")
-    return number
+    return manifest.publish(rows.sparkSession, root, replace={"rows": rows}).number
 
 
 def current(spark, root: str) -> int | None:
     """Number of the visible snapshot; none before the first commit."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_visible")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return max((int(s.getPath().getName()) for s in fs.listStatus(path)), default=None) if fs.exists(path) else None
+    return manifest.read(spark, root).number or None
 
 
 def snapshot(spark, root: str, number: int | None = None) -> DataFrame:
     """The table as of a snapshot, by default the visible one; later commits don't change what it reads."""
-    number = current(spark, root) if number is None else number
-    if number is None:
-        raise ValueError(f"nothing is committed at {root}")
-    return spark.read.parquet(f"{root}/snapshot={number}")
+    return manifest.table(spark, root, "rows", manifest.read(spark, root, number))

@@ -28,7 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/lumenframe/{tag}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """Of this application, so that dropping its tables leaves those of others."""
+    return f"{shared_dir(spark)}/lumenframe/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
@@ -84,6 +89,6 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete every table that :func:`materialize` wrote for this application folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lumenframe")
+    """Delete every table that :func:`materialize` and :func:`scratch_path` gave this application; for its end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

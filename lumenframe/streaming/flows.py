@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lumenframe.plans.storage import scratch_path
@@ -52,7 +53,7 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str =
 
     query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).queryName(name).start()
     query.awaitTermination()
-    found = spark.read.schema(stream.schema.add("epoch", "long")).parquet(f"{path}/rows")
+    found = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("epoch", T.LongType())])).parquet(f"{path}/rows")
     if mode == "complete":
         found = found.where(F.col("epoch") == found.agg(F.max("epoch")).first()[0])
     return found.drop("epoch")
