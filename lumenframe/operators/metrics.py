@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenframe.functions.scalars import hours_between
+from lumenframe.plans import scan
+
 # Upper bounds of the request-duration histogram, in seconds.
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
 
 def increases(samples: DataFrame, series: str = "series", ts: str = "ts", value: str = "value") -> DataFrame:
     """``samples`` with ``delta``: growth of a counter since its last sample; a fall is a reset, and counts from zero."""
-    before = F.lag(value).over(W.partitionBy(series).orderBy(ts))
-    step = F.col(value) - before
-    return samples.withColumn("delta", F.when(before.isNull(), F.lit(0.0)).when(step < 0, F.col(value)).otherwise(step))
+    stored = scan.ranged(samples, [series], [ts])
+    rows = scan.previous(stored, [series], [ts], {value: "_before"})
+    step = F.col(value) - F.col("_before")
+    return rows.select(*samples.columns, F.when(F.col("_before").isNull(), F.lit(0.0)).when(step < 0, F.col(value)).otherwise(step).alias("delta"))
 
 
 def rate(samples: DataFrame, seconds: int = 300, series: str = "series", ts: str = "ts", value: str = "value") -> DataFrame:
@@ -49,7 +53,7 @@ def histogram_quantile(buckets: DataFrame, q: float, keys: list[str]) -> DataFra
 
 
 def index_percentile(p: float, column: str) -> Column:
-    """The element at floor(n p) of the sorted values (the last for p = 1); no interpolation. Exact, so it holds a group's values."""
+    """The element at floor(n p) of the sorted values (the last for p = 1); no interpolation. Exact, so it holds a group's values: for groups of bounded size; :func:`latency_summary` is for any."""
     values = F.array_sort(F.collect_list(column))
     at = F.least(F.floor(F.size(values) * p) + 1, F.size(values)).cast("int")
     return F.when(F.size(values) > 0, F.element_at(values, F.greatest(at, F.lit(1))))
@@ -58,16 +62,16 @@ def index_percentile(p: float, column: str) -> Column:
 def latency_summary(samples: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """mean, min, max, sample deviation (0 for one value) and index percentiles.
 
-    Percentiles come from row numbers over (key, value), so no group is gathered in one array; a hot key is one sort.
+    Percentiles are exact and picked from running counts of (key, value) over ranges, so no key is sorted or gathered in one task.
     """
-    w = W.partitionBy(*keys)
     rows = samples.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    rows = rows.withColumn("_i", F.row_number().over(w.orderBy("_v")) - 1).withColumn("_n", F.count("*").over(w))
-    at = lambda p: F.max(F.when(F.col("_i") == F.least(F.floor(F.col("_n") * p), F.col("_n") - 1), F.col("_v")))
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg("_v").alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.coalesce(F.stddev_samp("_v"), F.lit(0.0)).alias("stdev"),
-        at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.95).alias("p95"), at(0.99).alias("p99"),
-    )
+    plain = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.coalesce(F.stddev_samp("_v"), F.lit(0.0)).alias("stdev"))
+    at = lambda p: F.least(F.floor(F.col("_total") * p), F.col("_total") - 1)
+    found = scan.picked(rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n")), keys, "_v", "_n", {"p50": at(0.5), "p90": at(0.9), "p95": at(0.95), "p99": at(0.99)})
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return plain.alias("a").join(found.alias("b"), same).select("a.*", "b.p50", "b.p90", "b.p95", "b.p99")
 
 
 def firing(samples: DataFrame, condition: Column, hold_seconds: float, series: str = "series", ts: str = "ts") -> DataFrame:
@@ -82,16 +86,15 @@ def firing(samples: DataFrame, condition: Column, hold_seconds: float, series: s
 
 def interval_rates(ticks: DataFrame, ts: str = "ts", processed: str = "processed", series: str = "series") -> DataFrame:
     """Items per second since the last tick."""
-    w = W.partitionBy(series).orderBy(ts)
-    seconds = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp"))) / 1e6
-    return ticks.withColumn("interval_rate", ratio(F.col(processed) - F.lag(processed).over(w), seconds))
+    rows = scan.previous(scan.ranged(ticks, [series], [ts]), [series], [ts], {ts: "_ts", processed: "_done"})
+    seconds = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_ts").cast("timestamp"))) / 1e6
+    return rows.select(*ticks.columns, ratio(F.col(processed) - F.col("_done"), seconds).alias("interval_rate"))
 
 
 def cooled_down(runs: DataFrame, min_hours: float, key: str = "index_name", ts: str = "ts") -> DataFrame:
     """Runs that come at least ``min_hours`` after the one before (the first always does)."""
-    before = F.lag(ts).over(W.partitionBy(key).orderBy(ts))
-    hours = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / 3.6e9
-    return runs.withColumn("hours_since", hours).where(F.col("hours_since").isNull() | (F.col("hours_since") >= min_hours))
+    rows = scan.previous(scan.ranged(runs, [key], [ts]), [key], [ts], {ts: "_ts"})
+    return rows.select(*runs.columns, hours_between(F.col(ts), F.col("_ts")).alias("hours_since")).where(F.col("hours_since").isNull() | (F.col("hours_since") >= min_hours))
 
 
 def cache_replay(requests: DataFrame, ttl_seconds: float, key: str = "key", ts: str = "ts") -> DataFrame:
@@ -162,12 +165,13 @@ def line_filter(line: Column, op: str, value: str) -> Column:
 
 def progress(ticks: DataFrame, total: int, ts: str = "ts", processed: str = "processed", series: str = "series") -> DataFrame:
     """``percent``, overall ``rate`` since a series' first tick, and ``eta_seconds`` (null before there is a rate)."""
-    w = W.partitionBy(series).orderBy(ts).rowsBetween(W.unboundedPreceding, 0)
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    seconds = (micros - F.min(micros).over(w)) / 1e6
+    rows = scan.first_of_series(scan.ranged(ticks, [series], [ts]), [series], [ts], {ts: "_first"})
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    seconds = (micros(ts) - micros("_first")) / 1e6
     speed = ratio(F.col(processed).cast("double"), seconds)
     left = F.greatest(F.lit(total) - F.col(processed), F.lit(0))
-    return ticks.withColumn("percent", 100.0 * F.col(processed) / max(1, total)).withColumn("rate", speed).withColumn("eta_seconds", F.when(speed > 0, left / speed))
+    out = (100.0 * F.col(processed) / max(1, total)).alias("percent"), speed.alias("rate"), F.when(speed > 0, left / speed).alias("eta_seconds")
+    return rows.select(*ticks.columns, *out)
 
 
 def pool_stats(requests: DataFrame, channel: str, latency: str, ok: Column) -> DataFrame:
@@ -180,5 +184,5 @@ def peak_concurrency(requests: DataFrame, start: str, end: str, keys: list[str])
     keyed = [F.col(k) for k in keys]
     steps = requests.select(*keyed, F.col(start).alias("t"), F.lit(1).alias("step")).unionByName(requests.select(*keyed, F.col(end).alias("t"), F.lit(-1).alias("step")))
     steps = steps.groupBy(*keys, "t", "step").agg(F.sum("step").alias("by"))
-    w = W.partitionBy(*keys).orderBy("t", "step").rowsBetween(W.unboundedPreceding, 0)
-    return steps.withColumn("running", F.sum("by").over(w)).groupBy(*keys).agg(F.max("running").alias("peak"))
+    running = scan.running_sum(scan.ranged(steps, keys, ["t", "step"]), keys, ["t", "step"], "by", "running")
+    return running.groupBy(*keys).agg(F.max("running").alias("peak"))
