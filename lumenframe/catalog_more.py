@@ -342,10 +342,10 @@ def ivf_search(spark, d):
 
 
 @query(f"""select query_id, tbl as "table", vec_id, round(score, 6) score, cast(r as int) rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) r from (
-  select *, case when query_id = 0 then 'people' when query_id in (2, 3) then 'vehicles' else 'global' end tbl from ({_KNN})) where tbl = 'global' or tbl = 'people' and label = 0 or tbl = 'vehicles' and label in (2, 3, 5, 7, 8)) where r <= 4""")
+  select *, case when query_id % 200 = 0 then 'people' when query_id % 200 = 100 then 'vehicles' else 'global' end tbl from ({_KNN})) where tbl = 'global' or tbl = 'people' and label = 0 or tbl = 'vehicles' and label in (2, 3, 5, 7, 8)) where r <= 4""")
 def routed_search(spark, d):
     e = _read(spark, d, "embeddings")
-    queries = _queries_of(spark, d).withColumn("category", S.category(F.when(F.col("query_id") == 0, 0).when(F.col("query_id").isin(2, 3), 2).otherwise(9)))
+    queries = _queries_of(spark, d).withColumn("category", S.category(F.when(F.col("query_id") % 200 == 0, 0).when(F.col("query_id") % 200 == 100, 2).otherwise(9)))
     tables = {"people": e.where("label = 0"), "vehicles": e.where(F.col("label").isin(2, 3, 5, 7, 8)), "global": e}
     return search.routed_search(queries, tables, 4, exclude_self=True).withColumn("score", F.round("score", 6))
 
@@ -415,51 +415,55 @@ def detection_comparison(spark, d):
 WHOLE_PROBES = 9
 
 
-def _each50(name: str) -> str:
-    """The SQL of a search, for the ids divisible by 50."""
-    return ORACLES[name].replace("vec_id < 5", "vec_id % 50 = 0")
-
-
 def _queries50(spark, d):
     return _read(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
 
 
-@query(_each50("knn_search"))
+@query(ORACLES["knn_search"])
 def knn_search_each50(spark, d):
+    """By blocks of queries, as for a query set of any size."""
     out = search.knn_blocks(_queries50(spark, d), _read(spark, d, "embeddings"), 10, exclude_self=True)
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(_each50("knn_prefilter"))
+@query(ORACLES["knn_prefilter"])
 def knn_prefilter_each50(spark, d):
     out = search.knn_blocks(_queries50(spark, d), _read(spark, d, "embeddings"), 5, exclude_self=True, pre_filter=F.col("label").isin(1, 2, 3))
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(_each50("knn_postfilter"))
+@query(ORACLES["knn_postfilter"])
 def knn_postfilter_each50(spark, d):
     out = search.knn_blocks(_queries50(spark, d), _read(spark, d, "embeddings"), 20, exclude_self=True, post_filter=F.col("label").isin(1, 2, 3), min_score=0.55)
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"select query_id, vec_id, round(score, 6) score from (select *, row_number() over (partition by query_id order by score desc, vec_id) r from ({_KNN.replace('vec_id < 5', 'vec_id % 50 = 0')})) where r <= 10 and score >= 0.6")
+@query(f"select query_id, vec_id, round(score, 6) score from (select *, row_number() over (partition by query_id order by score desc, vec_id) r from ({_KNN})) where r <= 10 and score >= 0.6")
 def find_duplicates_each50(spark, d):
     return search.knn_blocks(_queries50(spark, d), _read(spark, d, "embeddings"), 10, exclude_self=True, min_score=0.6).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
-@query(_each50("cluster_probe"))
+@query(ORACLES["cluster_probe"])
 def cluster_probe_each50(spark, d):
     return cluster.probe(_queries50(spark, d), _centroids(spark, d), 3).select("query_id", F.col("cluster_id").cast("int").alias("cluster_id"), "rank")
 
 
-@query(_each50("ivf_search").replace("pr.r <= 3", f"pr.r <= {WHOLE_PROBES}"))
+@query(ORACLES["ivf_search"])
 def ivf_search_each50(spark, d):
     items = _read(spark, d, "embeddings").join(_assigned(spark, d).select("vec_id", "cluster_id"), "vec_id")
     probes = cluster.probe(_queries50(spark, d), _centroids(spark, d), WHOLE_PROBES).select("query_id", F.col("cluster_id").cast("int").alias("cluster_id"))
     return search.ivf_search(_queries50(spark, d), items, probes, 5).withColumn("score", F.round("score", 6))
 
 
-@query(_each50("routed_search").replace("when query_id = 0 then", "when query_id % 3 = 0 then").replace("when query_id in (2, 3) then", "when query_id % 3 = 1 then"))
+@query(f"select query_id, vec_id, round(score, 6) score, cast(r as int) rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) r from ({_KNN})) where r <= 5")
+def ivf_exact(spark, d):
+    """Probing until the clusters' bounds end it: the result of a full search."""
+    items = _read(spark, d, "embeddings").join(_assigned(spark, d).select("vec_id", "cluster_id"), "vec_id")
+    found, _ = search.exact_ivf(_queries50(spark, d), items, _centroids(spark, d), 5)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(ORACLES["routed_search"].replace("query_id % 200 = 0 ", "query_id % 3 = 0 ").replace("query_id % 200 = 100", "query_id % 3 = 1"))
 def routed_search_each50(spark, d):
     e = _read(spark, d, "embeddings")
     queries = _queries50(spark, d).withColumn("category", S.category(F.when(F.col("query_id") % 3 == 0, 0).when(F.col("query_id") % 3 == 1, 2).otherwise(9)))
@@ -467,7 +471,7 @@ def routed_search_each50(spark, d):
     return search.routed_search(queries, tables, 4, exclude_self=True).withColumn("score", F.round("score", 6))
 
 
-@query(ORACLES["verify_faces"].replace(" where a.vec_id < 50", ""))
+@query(ORACLES["verify_faces"])
 def verify_faces_all(spark, d):
     e = _read(spark, d, "embeddings")
     a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))

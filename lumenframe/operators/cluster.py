@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenframe.functions.vectors import dot, l2_normalize
+from lumenframe.functions.vectors import l2_normalize
 from lumenframe.operators import manifest
 from lumenframe.schema import CLUSTER_DEFAULTS
 from lumenframe.plans.storage import materialize
@@ -55,14 +55,6 @@ def train(vectors: DataFrame, n_clusters: int | None = None, default: int = 1024
     return materialize(found.select("cluster_id", l2_normalize(F.col("centroid")).alias("centroid")), "centroids")
 
 
-def _with_scores(vectors: DataFrame, centroids: DataFrame, vec: str) -> DataFrame:
-    centroids = materialize(centroids.select("cluster_id", "centroid"), "centroids")  # so that counting them trains nothing twice
-    if centroids.count() > MAX_CENTROIDS:
-        raise ValueError(f"more than {MAX_CENTROIDS} centroids")
-    unit = vectors.withColumn("_unit", l2_normalize(F.col(vec)))
-    return unit.join(F.broadcast(centroids.select("cluster_id", "centroid"))).withColumn("ip", dot(F.col("_unit"), F.col("centroid")))
-
-
 def assign(vectors: DataFrame, centroids: DataFrame, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """``(id, cluster_id, cluster_distance)``: nearest centroid by inner product, ties to the smaller cluster.
 
@@ -124,9 +116,28 @@ def assign_unclustered(table: DataFrame, centroids: DataFrame, id_col: str = "ve
 
 def probe(queries: DataFrame, centroids: DataFrame, nprobe: int = 16) -> DataFrame:
     """``(query_id, cluster_id, rank)``: the nprobe nearest clusters of each query vector."""
-    scored = _with_scores(queries, centroids, "query_vec")
-    order = W.partitionBy("query_id").orderBy(F.desc("ip"), "cluster_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nprobe).select("query_id", "cluster_id", "rank")
+    found = sorted((r.cluster_id, r.centroid) for r in centroids.select("cluster_id", "centroid").limit(MAX_CENTROIDS + 1).collect())
+    if len(found) > MAX_CENTROIDS:
+        raise ValueError(f"more than {MAX_CENTROIDS} centroids")
+    rows = queries.where(F.col("query_vec").isNotNull()).select("query_id", F.col("query_vec").cast("array<double>").alias("_vec"))
+    names, matrix = np.array([c for c, _ in found], np.int64), np.array([v for _, v in found], float)
+    kind = rows.schema["query_id"].dataType.simpleString()
+    if not found:
+        return rows.limit(0).select("query_id", F.lit(0).cast("long").alias("cluster_id"), F.lit(0).alias("rank"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = min(nprobe, len(names))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                norm = np.linalg.norm(x, axis=1, keepdims=True)
+                scores = np.round((x / np.where(norm == 0, 1.0, norm)) @ matrix.T, 12)
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :n]  # names ascend: ties go to the smaller cluster
+                ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(x)), n)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(names[best].ravel()), pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), len(x)))], ["query_id", "cluster_id", "rank"])
+
+    return rows.mapInArrow(run, f"query_id {kind}, cluster_id long, rank int")
 
 
 def cluster_stats(rows: DataFrame, limit: int = 10_000) -> DataFrame:

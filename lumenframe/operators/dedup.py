@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ def to_process(incoming: DataFrame, indexed: DataFrame, hash_col: str = "imohash
     return incoming.join(indexed.select(hash_col), hash_col, "left_anti")
 
 
-def similarity_edges(items: DataFrame, threshold: float, id_col: str = "vec_id", vec: str = "embedding", block: int = 128, fresh: str | None = None) -> DataFrame:
+def similarity_edges(items: DataFrame, threshold: float, id_col: str = "vec_id", vec: str = "embedding", block: int = 128, most: int = 2048, fresh: str | None = None) -> DataFrame:
     """``(a, b, score)`` with a < b and raw cosine >= threshold, exactly.
 
     ``fresh`` names a boolean column: then only pairs with a fresh row are sought, and blocks of other rows never meet.
@@ -43,7 +44,7 @@ def similarity_edges(items: DataFrame, threshold: float, id_col: str = "vec_id",
     Unit vectors within a threshold differ little along any direction: |x.r - y.r| <= |x - y| = sqrt(2 - 2 threshold) for
     a unit direction r. Vectors are put in cells of that width along ``DIRECTIONS`` orthogonal directions; only equal or
     adjacent cells can hold a pair, so high thresholds leave a small share of all pairs. A cell is dealt to blocks of
-    about ``block`` vectors. Pairs of blocks are listed by their numbers alone and spread over the cluster one by one, then
+    about ``block`` vectors, dense cells to larger ones (up to ``most``), as a cell's vectors travel once for each of its blocks. Pairs of blocks are listed by their numbers alone and spread over the cluster one by one, then
     meet their vectors by joins on the block; a dense cell is many small tasks. A matrix product scores two blocks, and
     only pairs over the threshold come out. Low thresholds on vectors without structure remain quadratic: that is what an
     exact join of such vectors costs; ``cluster.assign`` with :func:`search.ivf_search` is the lossy way.
@@ -62,7 +63,8 @@ def similarity_edges(items: DataFrame, threshold: float, id_col: str = "vec_id",
     cell = F.zip_with(sums, shares, lambda x, n: F.floor(x / n / width).cast("int"))
     base = materialize(base.withColumn("cell", cell), "vectors")
     # Odd parts of a cell are those of the fresh rows.
-    counts = materialize(base.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")), "cells")
+    held = F.least(F.greatest(4 * F.sqrt(F.count("*")), F.lit(block)), F.lit(most))
+    counts = materialize(base.groupBy("cell").agg(F.ceil(F.count("*") / held).cast("int").alias("parts")), "cells")
     dealt = base.join(broadcast_if_small(counts), "cell").withColumn("part", (2 * F.pmod(F.xxhash64("id"), F.col("parts")) + F.col("fresh")).cast("int"))
     blocks = materialize(dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("id", "v")).alias("rows")), "blocks")
     steps = [s for s in itertools.product((-1, 0, 1), repeat=DIRECTIONS) if s >= (0,) * DIRECTIONS]  # each pair of cells once
@@ -89,16 +91,12 @@ def similarity_edges(items: DataFrame, threshold: float, id_col: str = "vec_id",
                 x = vs.values.flatten().to_numpy().reshape(len(ids), -1)
                 y = rvs.values.flatten().to_numpy().reshape(len(rids), -1)
                 scores = x @ y.T
-                out_a, out_b, out_s = [], [], []
-                for i, j in zip(*np.nonzero(scores >= threshold)):
-                    a, b = ids[i], rids[j]
-                    if a == b or one.as_py() and a > b:  # one block against itself
-                        continue
-                    out_a.append(min(a, b))
-                    out_b.append(max(a, b))
-                    out_s.append(float(scores[i, j]))
                 kind_ = to_arrow_type(id_type)
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, kind_), pa.array(out_b, kind_), pa.array(out_s, pa.float64())], ["a", "b", "score"])
+                i, j = np.nonzero(scores >= threshold)
+                a, b, s = pa.array(ids, kind_).take(pa.array(i)), pa.array(rids, kind_).take(pa.array(j)), pa.array(scores[i, j])
+                less, equal = pc.less(a, b), pc.equal(a, b)
+                kept = pc.and_(less, pc.invert(equal)) if one.as_py() else pc.invert(equal)  # one block against itself: each pair once
+                yield pa.RecordBatch.from_arrays([pc.if_else(less, a, b).filter(kept), pc.if_else(less, b, a).filter(kept), s.filter(kept)], ["a", "b", "score"])
 
     return pairs.mapInArrow(run, f"a {kind}, b {kind}, score double")
 
