@@ -10,6 +10,7 @@ from lumenframe.functions import geometry as G
 from lumenframe.functions import scalars as S
 from lumenframe.functions.vectors import l2_normalize
 from lumenframe.operators import cluster, dedup, detect, identity, ingest, metrics, search, store
+from lumenframe.plans import scan
 from lumenframe.plans.storage import scratch_path
 
 # ---- reads ----
@@ -76,13 +77,16 @@ def base64_thumbnail(spark, d):
     return _read(spark, d, "pages").select("page_id", F.md5(F.translate(F.base64(F.encode("html", "UTF-8")), "\r\n", "")).alias("thumb"))
 
 
-@query("select conv_id image_id, row_number() over (partition by conv_id order by turn) - 1 as text_index, text, s as confidence from (select *, (turn * 37 % 100) / 100 s, (turn * 53 % 100) / 100 r from conversations where text is not null) where s >= 0.3 and r >= 0.4")
+@query("select conv_id image_id, row_number() over (partition by conv_id order by turn) - 1 as text_index, text, s as confidence from (select *, (turn * 37 % 100) / 100 s, (turn * 53 % 100) / 100 r from conversations where trim(text) <> '') where s >= 0.3 and r >= 0.4")
 def ocr_rows_confident(spark, d):
     """Text rows over both thresholds, numbered anew."""
     rows = _read(spark, d, "conversations").where("text is not null").withColumn("s", F.expr("(turn * 37 % 100) / 100")).withColumn("r", F.expr("(turn * 53 % 100) / 100"))
     packed = rows.groupBy(F.col("conv_id").alias("image_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "text", "s", "r"))).alias("t"))
-    flat = packed.select("image_id", F.inline("t")).where((F.col("s") >= 0.3) & (F.col("r") >= 0.4))
-    return flat.select("image_id", (F.row_number().over(W.partitionBy("image_id").orderBy("turn")) - 1).cast("long").alias("text_index"), "text", F.col("s").alias("confidence"))
+    images = packed.select("image_id", F.col("t.text").alias("texts"), F.transform("t", lambda t: F.array(F.lit(0.0))).alias("boxes"), F.col("t.s").alias("det_scores"), F.col("t.r").alias("rec_scores"))
+    flat = ingest.explode_ocr(images.withColumn("image_id", F.col("image_id").cast("string")), 0.3, 0.4)
+    place = F.element_at(F.split("ocr_id", "_"), -1).cast("int")
+    kept = flat.select(F.col("image_id").cast("long").alias("image_id"), (F.row_number().over(W.partitionBy("image_id").orderBy(place)) - 1).cast("long").alias("text_index"), "text", F.col("det_score").alias("confidence"))
+    return kept
 
 
 @query("select count(*) n_regions, count(distinct case when n > 0 then conv_id end) images_with_text, cast(sum(n) as bigint) n_chars from (select conv_id, coalesce(length(text), 0) n from conversations)")
@@ -246,9 +250,15 @@ def unmatched_boxes(spark, d):
 
 @query("select event_type, h, round(case when u = 0 then 0 else o / u end, 6) ratio from (select event_type, strftime(ts, '%Y-%m-%d %H') h, count(*) filter (where user_id % 20 = 0) o, count(*) u from events group by 1, 2)")
 def failure_ratio(spark, d):
-    """Rate of failed requests by the rate of all, an hour and series; each event is a step of one."""
-    e = _read(spark, d, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd HH").alias("h")).agg(F.count_if(F.col("user_id") % 20 == 0).alias("o"), F.count("*").alias("u"))
-    return e.select("event_type", "h", F.round(metrics.ratio(F.col("o"), F.col("u")), 6).alias("ratio"))
+    """Rate of failed requests by the rate of all, an hour and series, from two counters that each event moves on."""
+    e = _read(spark, d, "events").select("event_type", "ts", "event_id", (F.col("user_id") % 20 == 0).cast("int").alias("bad"))
+    stored = scan.ranged(e.withColumn("one", F.lit(1)), ["event_type"], ["ts", "event_id"])
+    counted = scan.running_sum(scan.running_sum(stored, ["event_type"], ["ts", "event_id"], "bad", "failed"), ["event_type"], ["ts", "event_id"], "one", "all")
+    begun = e.groupBy("event_type").agg(F.min("ts").alias("ts")).select("event_type", "ts", F.lit(-1).alias("event_id"), F.lit(0).alias("failed"), F.lit(0).alias("all"))
+    both = counted.select(*begun.columns).unionByName(begun)
+    samples = both.select("event_type", F.col("ts").cast("timestamp").alias("time"), F.struct("ts", "event_id").alias("ts"), F.explode(F.create_map(F.lit("failed"), F.col("failed"), F.lit("all"), F.col("all"))).alias("name", "value"))
+    out = metrics.ratio_of_rates(samples, "failed", "all", 3600, "event_type", time="time")
+    return out.select("event_type", F.date_format("window_start", "yyyy-MM-dd HH").alias("h"), F.round("ratio", 6).alias("ratio"))
 
 
 @query("select event_type, round(1 - avg(case when value > 20 then 0.0 else 1.0 end), 6) busy_share from events group by event_type")

@@ -84,13 +84,14 @@ def letterbox_params(spark, d):
     return _images(spark, d).select("image_id", F.round(p["scale"], 6).alias("scale"), p["pad_x"].alias("pad_x"), p["pad_y"].alias("pad_y"))
 
 
-@query(f"""with {_DET}, {_IMG}, m as (select *, max(greatest(x1, y1, x2, y2)) over (partition by image_id) > 1 px from det), s as (select m.*, width, least(640.0::double / greatest(width, height), 1.0::double) scale from m join img using (image_id))
-  select image_id, box_index, round(least(greatest(((case when px then x1 else x1 * 640 end) - (640 - round_even(width * scale, 0)) / 2) / scale / width, 0), 1), 9) nx1 from s""")
+@query(f"""with {_DET}, {_IMG}, m as (select *, max(greatest(x1, y1, x2, y2)) over (partition by image_id) > 1 px from det), s as (select m.*, width, height, least(640.0::double / greatest(width, height), 1.0::double) scale from m join img using (image_id))
+  select image_id, box_index, """ + ", ".join(f"round(least(greatest(((case when px then {c} else {c} * 640 end) - (640 - round_even({side} * scale, 0)) / 2) / scale / {side}, 0), 1), 9) n{c}" for c, side in (("x1", "width"), ("y1", "height"), ("x2", "width"), ("y2", "height"))) + " from s")
 def inverse_letterbox(spark, d):
     det = _detections(spark, d).withColumn("px", F.max(F.greatest("x1", "y1", "x2", "y2")).over(W.partitionBy("image_id")) > 1)
     rows = det.join(_images(spark, d), "image_id")
     p = G.letterbox(F.col("width"), F.col("height"))
-    return rows.select("image_id", "box_index", F.round(G.inverse_letterbox(F.col("x1"), p["pad_x"], p["scale"], F.col("width"), F.col("px")), 9).alias("nx1"))
+    back = lambda c, axis, side: F.round(G.inverse_letterbox(F.col(c), p[f"pad_{axis}"], p["scale"], F.col(side), F.col("px")), 9).alias(f"n{c}")
+    return rows.select("image_id", "box_index", back("x1", "x", "width"), back("y1", "y", "height"), back("x2", "x", "width"), back("y2", "y", "height"))
 
 
 @query(f"""with {_DET}, p as (select a.image_id, a.box_index a, b.box_index b, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) i,
@@ -211,12 +212,9 @@ def interpolated_percentile(spark, d):
   z as (select user_id, g, count(*) samples, min(ts) a, max(ts) b from s where on_ group by 1, 2) select user_id, samples, epoch_us(a) // 1000000 since from z where epoch_us(b) - epoch_us(a) >= 3600000000""")
 def firing_alerts(spark, d):
     e = _read(spark, d, "events").select("user_id", "value", "ts", "event_id")
-    order = F.struct("ts", "event_id")
-    rows = e.withColumn("at", order)
-    w = W.partitionBy("user_id").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-    spells = rows.withColumn("on", F.col("value") > 20).withColumn("g", F.sum(F.when(F.col("on"), 0).otherwise(1)).over(w)).where("on").groupBy("user_id", "g").agg(F.count("*").alias("samples"), F.min("ts").alias("a"), F.max("ts").alias("b"))
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return spells.where(micros("b") - micros("a") >= 3600 * 1_000_000).select("user_id", "samples", F.floor(micros("a") / 1_000_000).alias("since"))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    spells = metrics.firing(e.withColumn("at", F.struct("ts", "event_id")), F.col("value") > 20, 3600, "user_id", "at", lambda at: at["ts"])
+    return spells.select("user_id", "samples", F.floor(micros(F.col("since.ts")) / 1_000_000).alias("since"))
 
 
 @query("select user_id, count(*) n from events group by user_id order by n desc, user_id limit 5")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,10 +23,13 @@ def increases(samples: DataFrame, series: str = "series", ts: str = "ts", value:
     return rows.select(*samples.columns, F.when(F.col("_before").isNull(), F.lit(0.0)).when(step < 0, F.col(value)).otherwise(step).alias("delta"))
 
 
-def rate(samples: DataFrame, seconds: int = 300, series: str = "series", ts: str = "ts", value: str = "value") -> DataFrame:
-    """Per-second increase by series and tumbling window of ``seconds``: ``series, window_start, rate``."""
+def rate(samples: DataFrame, seconds: int = 300, series: str = "series", ts: str = "ts", value: str = "value", time: str | None = None) -> DataFrame:
+    """Per-second increase by series and tumbling window of ``seconds``: ``series, window_start, rate``.
+
+    Samples are ordered by ``ts``; if that is a struct that breaks ties, ``time`` names the column of their time.
+    """
     rows = increases(samples, series, ts, value)
-    start = F.window(ts, f"{seconds} seconds").start
+    start = F.window(time or ts, f"{seconds} seconds").start
     return rows.groupBy(series, start.alias("window_start")).agg((F.sum("delta") / seconds).alias("rate"))
 
 
@@ -74,13 +79,17 @@ def latency_summary(samples: DataFrame, keys: list[str], value: str = "value") -
     return plain.alias("a").join(found.alias("b"), same).select("a.*", "b.p50", "b.p90", "b.p95", "b.p99")
 
 
-def firing(samples: DataFrame, condition: Column, hold_seconds: float, series: str = "series", ts: str = "ts") -> DataFrame:
-    """Spells in which ``condition`` held at every sample, of at least ``hold_seconds``: ``series, since, until, samples``."""
-    w = W.partitionBy(series).orderBy(ts)
+def firing(samples: DataFrame, condition: Column, hold_seconds: float, series: str = "series", ts: str = "ts", time: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """Spells in which ``condition`` held at every sample, of at least ``hold_seconds``: ``series, since, until, samples``.
+
+    Samples are ordered by ``ts``, which may be a struct that breaks ties; ``time`` takes the time out of it.
+    """
     rows = samples.select(series, ts, F.coalesce(condition, F.lit(False)).alias("_on"))
-    rows = rows.withColumn("_spell", F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0))).where("_on")
+    rows = rows.withColumn("_off", F.when(F.col("_on"), 0).otherwise(1))
+    rows = scan.running_sum(scan.ranged(rows, [series], [ts]), [series], [ts], "_off", "_spell").where("_on")
     spells = rows.groupBy(series, "_spell").agg(F.min(ts).alias("since"), F.max(ts).alias("until"), F.count("*").alias("samples"))
-    long = (F.unix_micros(F.col("until").cast("timestamp")) - F.unix_micros(F.col("since").cast("timestamp"))) >= hold_seconds * 1e6
+    micros = lambda c: F.unix_micros(time(F.col(c)).cast("timestamp"))
+    long = micros("until") - micros("since") >= hold_seconds * 1e6
     return spells.where(long).drop("_spell")
 
 
@@ -128,10 +137,10 @@ def table_stats(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def ratio_of_rates(samples: DataFrame, over: str, under: str, seconds: int = 300, series: str = "series", name: str = "name") -> DataFrame:
+def ratio_of_rates(samples: DataFrame, over: str, under: str, seconds: int = 300, series: str = "series", name: str = "name", time: str | None = None) -> DataFrame:
     """Per series and window the rate of counter ``over`` by that of ``under``: ``series, window_start, ratio``; 0 where nothing grew."""
     rows = samples.where(F.col(name).isin(over, under)).withColumn("_s", F.struct(series, name))
-    rates = rate(rows, seconds, "_s").select(F.col(f"_s.{series}").alias(series), F.col(f"_s.{name}").alias("_name"), "window_start", "rate")
+    rates = rate(rows, seconds, "_s", time=time).select(F.col(f"_s.{series}").alias(series), F.col(f"_s.{name}").alias("_name"), "window_start", "rate")
     wide = rates.groupBy(series, "window_start").agg(F.sum(F.when(F.col("_name") == over, F.col("rate"))).alias("_o"), F.sum(F.when(F.col("_name") == under, F.col("rate"))).alias("_u"))
     return wide.select(series, "window_start", ratio(F.coalesce("_o", F.lit(0.0)), F.coalesce("_u", F.lit(0.0))).alias("ratio"))
 
