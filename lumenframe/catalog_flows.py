@@ -59,11 +59,11 @@ def class_names(spark, d):
     return det.groupBy("class_name").agg(F.count("*").alias("n"))
 
 
-@query("select conv_id, substr(string_agg(text, ' ' order by turn, role, text), 1, 200) full_text from conversations group by conv_id")
+@query("select conv_id, string_agg(text, ' ' order by turn, role, text) full_text from conversations group by conv_id")
 def full_text(spark, d):
-    """Texts of an image in reading order, cut to 200 characters as a response shows them."""
+    """Texts of an image in reading order."""
     rows = _read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    return rows.select("conv_id", F.substring(S.full_text(F.col("t.text")), 1, 200).alias("full_text"))
+    return rows.select("conv_id", S.full_text(F.col("t.text")).alias("full_text"))
 
 
 @query("select page_id, case when strlen(html) < 131072 then sha256(html) end content_key from pages")
@@ -98,13 +98,13 @@ def ocr_totals(spark, d):
 # ---- composed searches ----
 
 
-@query(f"""with {_DET}, b as (select image_id, vec_id, row_number() over (partition by image_id order by box_index) n from (select *, {_CAT} cat from det where cast(substr(image_id, 5) as int) % 1000 = 0) where cat = 'vehicle'),
+@query(f"""with {_DET}, b as (select image_id, vec_id, row_number() over (partition by image_id order by box_index) n from (select *, {_CAT} cat from det where cast(substr(image_id, 5) as int) % 50 = 0) where cat = 'vehicle'),
   q as (select b.image_id, e.embedding from b join embeddings e using (vec_id) where b.n = 2),
   s as (select q.image_id, e.vec_id, (1 + list_cosine_similarity(q.embedding::double[], e.embedding::double[])) / 2 score from q, embeddings e)
   select image_id query_id, vec_id, round(score, 6) score, cast(r as int) rank from (select *, row_number() over (partition by image_id order by score desc, vec_id) r from s) where r <= 5""")
 def nth_vehicle_search(spark, d):
-    """Search by the second vehicle of the images whose number is divisible by 1000."""
-    det = _detections(spark, d).where(F.substring("image_id", 5, 20).cast("int") % 1000 == 0).withColumn("category", S.category(F.col("class_id")))
+    """Search by the second vehicle of the images whose number is divisible by 50."""
+    det = _detections(spark, d).where(F.substring("image_id", 5, 20).cast("int") % 50 == 0).withColumn("category", S.category(F.col("class_id")))
     e = _read(spark, d, "embeddings").select("vec_id", "embedding")
     out = search.nth_box_search(det, e, e, 1, 5, "vehicle")
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
@@ -212,19 +212,19 @@ _QSQL = "q as (select image_id, box_index, x1 * 20 x1, y1 * 20 y1, x2 * 20 x2, y
 _EDGES = "greatest(sqrt(pow(x1 - (x2 + 3), 2) + pow(y1 - (y1 + 1), 2)), sqrt(pow(x2 - (x1 - 2), 2) + pow(y2 + 2 - y2, 2)))", "greatest(sqrt(pow(x1 - (x1 - 2), 2) + pow(y1 - y2, 2)), sqrt(pow(x2 + 3 - x2, 2) + pow(y1 + 1 - (y2 + 2), 2)))"
 
 
-@query(f"with {_DET}, {_QSQL} select image_id, box_index, round(least(x1, x2 + 3, x2, x1 - 2) / 640, 9) x_low, round(greatest(y1, y1 + 1, y2 + 2, y2) / 480, 9) y_high, w crop_width, h crop_height, w >= 3 and h >= 3 kept, w >= 3 and h >= 3 and h >= 1.5 * w turned from (select *, cast(floor({_EDGES[0]}) as bigint) w, cast(floor({_EDGES[1]}) as bigint) h from q)")
+@query(f"with {_DET}, {_QSQL} select image_id, box_index, round(least(x1, x2 + 3, x2, x1 - 2) / 640, 9) x_low, round(least(y1, y1 + 1, y2 + 2, y2) / 480, 9) y_low, round(greatest(x1, x2 + 3, x2, x1 - 2) / 640, 9) x_high, round(greatest(y1, y1 + 1, y2 + 2, y2) / 480, 9) y_high, w crop_width, h crop_height, w >= 3 and h >= 3 kept, w >= 3 and h >= 3 and h >= 1.5 * w turned from (select *, cast(floor({_EDGES[0]}) as bigint) w, cast(floor({_EDGES[1]}) as bigint) h from q)")
 def quad_crops(spark, d):
     """Boxes and crop sizes of quadrilaterals around text."""
     det, xs, ys = _quads(spark, d)
     box, crop = G.quad_box(xs, ys, F.lit(640.0), F.lit(480.0)), G.quad_crop(xs, ys)
-    return det.select("image_id", "box_index", F.round(box[0], 9).alias("x_low"), F.round(box[3], 9).alias("y_high"), *(c.alias(n) for n, c in crop.items()))
+    return det.select("image_id", "box_index", *(F.round(b, 9).alias(n) for b, n in zip(box, ("x_low", "y_low", "x_high", "y_high"))), *(c.alias(n) for n, c in crop.items()))
 
 
-@query(f"with {_DET}, {_QSQL}, g as (select *, x2 - x1 w, y2 - y1 h, coalesce((x2 - x1) * (y2 - y1) * 1.5 / nullif(2 * ((x2 - x1) + (y2 - y1)), 0), 0) g from q) select image_id, box_index, round((x1 - g) * 2, 6) + 0.0 x1, round((y2 + g) * 3, 6) y2 from g where least(w, h) >= 3 and least(w, h) + 2 * g >= 5")
+@query(f"with {_DET}, {_QSQL}, g as (select *, x2 - x1 w, y2 - y1 h, coalesce((x2 - x1) * (y2 - y1) * 1.5 / nullif(2 * ((x2 - x1) + (y2 - y1)), 0), 0) g from q) select image_id, box_index, round((x1 - g) * 2, 4) + 0.0 x1, round((y1 - g) * 3, 4) + 0.0 y1, round((x2 + g) * 2, 4) x2, round((y2 + g) * 3, 4) y2 from g where least(w, h) >= 3 and least(w, h) + 2 * g >= 5")
 def unclipped_boxes(spark, d):
     det, _, _ = _quads(spark, d)
     grown = G.unclip_box(*(F.col(c) for c in ("x1", "y1", "x2", "y2")), F.lit(2.0), F.lit(3.0))
-    return det.where(grown["kept"]).select("image_id", "box_index", (F.round(grown["x1"], 6) + 0.0).alias("x1"), F.round(grown["y2"], 6).alias("y2"))
+    return det.where(grown["kept"]).select("image_id", "box_index", *((F.round(grown[c], 4) + 0.0).alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
 @query(f"with {_DET} select image_id, cast(r - 1 as int) box_index, x2, confidence, class_id from (select *, row_number() over (partition by image_id order by box_index) r from det) where confidence >= 0.5 and r <= 4")

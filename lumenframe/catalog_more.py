@@ -146,13 +146,38 @@ def match_detections(spark, d):
     return detect.match_detections(det, shifted)
 
 
-@query("""select 'img' image_id, cast(stride as int) stride, i idx, round(((i // 2) % (640 // stride)) * stride - 2.5::double * stride, 6) x1, round(((i // 2) // (640 // stride)) * stride + 1.5::double * stride, 6) y2
-  from (select unnest([8, 16, 32]) stride), lateral (select unnest(range(0, (640 // stride) * (640 // stride) * 2)) i) where (i * 7919) % 1000 >= 990""")
+_ANCHORS = f"""{_DET}, a as (select image_id, box_index, 8 << (box_index % 3) stride, confidence, class_id, vec_id, x1, y1, x2, y2 from det),
+  k as (select *, (vec_id * 7919 + box_index * 104729) % (2 * (640 // stride) * (640 // stride)) idx from a)"""
+
+
+def _anchors(spark, d):
+    """Outputs of a face detector, one anchor for each detection: its cell from the numbers, its distances from the box."""
+    det = _detections(spark, d).withColumn("stride", F.expr("cast(shiftleft(8, cast(box_index % 3 as int)) as int)"))
+    det = det.withColumn("idx", F.expr("(vec_id * 7919 + box_index * 104729) % (2 * (640 div stride) * (640 div stride))"))
+    far = [F.col(c).alias(n) for c, n in (("x1", "left"), ("y1", "top"), ("x2", "right"), ("y2", "bottom"))]
+    return det.select("image_id", "stride", "idx", F.col("confidence").alias("score"), *far, F.array(*(F.col(c) * k for c in ("x1", "y1", "x2", "y2", "confidence") for k in (1.0, -0.5))).alias("kps"))
+
+
+_CELL = "((idx // 2) % (640 // stride)) * stride", "((idx // 2) // (640 // stride)) * stride"
+
+
+@query(f"""with {_ANCHORS} select image_id, cast(stride as int) stride, idx, round(({_CELL[0]} - x1 * stride) / 0.5, 6) x1, round(({_CELL[1]} - y1 * stride) / 0.5, 6) y1, round(({_CELL[0]} + x2 * stride) / 0.5, 6) x2, round(({_CELL[1]} + y2 * stride) / 0.5, 6) y2
+  from k where confidence >= 0.5""")
 def decode_anchors(spark, d):
-    levels = spark.createDataFrame([(8,), (16,), (32,)], "stride int")
-    out = levels.select("stride", F.explode(F.expr("sequence(0L, (640 div stride) * (640 div stride) * 2 - 1)")).alias("idx"))
-    out = out.select(F.lit("img").alias("image_id"), "stride", "idx", ((F.col("idx") * 7919) % 1000 / 1000).alias("score"), F.lit(2.5).alias("left"), F.lit(1.0).alias("top"), F.lit(1.0).alias("right"), F.lit(1.5).alias("bottom"))
-    return detect.decode_anchors(out, min_score=0.99).select("image_id", "stride", "idx", F.round("x1", 6).alias("x1"), F.round("y2", 6).alias("y2"))
+    boxes = detect.decode_anchors(_anchors(spark, d), scale=0.5)
+    return boxes.select("image_id", "stride", "idx", *(F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+@query(f"""with {_ANCHORS}, f as (select distinct image_id, stride, idx, confidence, {_CELL[0]} cx, {_CELL[1]} cy, x1, y1, x2, y2 from k where confidence >= 0.98)
+  select image_id, cast(stride as int) stride, idx, round(cx + x1 * stride, 6) p0, round(cy - x1 * 0.5 * stride, 6) p1, round(cx + confidence * stride, 6) p8, round(cy - confidence * 0.5 * stride, 6) p9 from f where not exists (
+    select 1 from f g where g.image_id = f.image_id and (g.stride, g.idx) <> (f.stride, f.idx))""")
+def decoded_faces(spark, d):
+    """Faces with their points, of the images with one that is sure enough; suppression leaves a face alone."""
+    rows = _anchors(spark, d).where("score >= 0.98").dropDuplicates()
+    lone = rows.groupBy("image_id").agg(F.count_distinct("stride", "idx").alias("n")).where("n = 1").select("image_id")
+    faces = detect.decode_faces(rows.join(lone, "image_id", "left_semi"), min_score=0.98)
+    at = lambda i, j: F.round(F.get(F.get("landmarks", F.lit(i)), F.lit(j)), 6)
+    return faces.select("image_id", "stride", "idx", at(0, 0).alias("p0"), at(0, 1).alias("p1"), at(4, 0).alias("p8"), at(4, 1).alias("p9"))
 
 
 # ---- metrics ----
@@ -273,10 +298,14 @@ def delete_keeps_unknown(spark, d):
     return store.delete(rows, F.col("toxic") == 1)
 
 
-@query(f"with {_DET}, {_IMG} select 'global' tbl, count(*) n from img where image_id <> 'img_1' union all select 'vehicles', count(*) from det where class_id in (2, 3, 5, 7, 8) and image_id <> 'img_1' union all select 'people', count(*) from det where class_id = 0 and image_id <> 'img_1'")
+@query(f"""with {_DET}, {_IMG} select 'global' tbl, count(*) n from img where image_id <> 'img_1' union all select 'vehicles', count(*) from det where class_id in (2, 3, 5, 7, 8) and image_id <> 'img_1'
+  union all select 'people', count(*) from det where class_id = 0 and image_id <> 'img_1' union all select 'faces', count(*) from det where class_id = 0 and confidence > 0.5 and image_id <> 'img_1'
+  union all select 'ocr', count(*) from conversations where conv_id <> 1""")
 def cascade_delete(spark, d):
     det = _detections(spark, d)
-    tables = {"global": _images(spark, d), "vehicles": det.where(S.category(F.col("class_id")) == "vehicle"), "people": det.where(S.category(F.col("class_id")) == "person")}
+    people = det.where(S.category(F.col("class_id")) == "person")
+    ocr = _read(spark, d, "conversations").select(F.concat(F.lit("img_"), F.col("conv_id").cast("string")).alias("image_id"), "text")
+    tables = {"global": _images(spark, d), "vehicles": det.where(S.category(F.col("class_id")) == "vehicle"), "people": people, "faces": people.where("confidence > 0.5"), "ocr": ocr}
     out = None
     for name, df in store.cascade_delete(tables, "img_1").items():
         one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("tbl"), "n")

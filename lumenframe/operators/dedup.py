@@ -224,24 +224,40 @@ def ingest_in_order(incoming: DataFrame, indexed: DataFrame, threshold: float =
     """Group changes as if the items of a batch were ingested one by one by id: ``id, duplicate_group_id, is_duplicate_primary, duplicate_score``.
 
     An item sees the indexed items and the smaller ids of its batch, with the groups they have by then: it joins the
-    group of the first of its k best neighbours that has one, else it makes a group with the best. Only items that are
-    linked depend on each other, so the fold runs per component, over at most k links (ids and scores) an item.
+    group of the first of its k best neighbours (search score of at least ``threshold``, ties by id) that has one, else it makes a
+    group with the best. Only linked items depend on each other, so the fold runs per component. Every item of a batch
+    with the same vector as a smaller one follows it: copies beyond the first k + 1 of a vector see k copies before them, of which the
+    first has a group, so they are settled by a join and never enter a fold. A component of more than
+    ``FOLD_EDGES`` links raises.
     """
     from lumenframe.operators.search import knn_blocks
     from lumenframe.plans.components import connected_components
 
     kind = incoming.schema[id_col].dataType.simpleString()
-    wanted = incoming.select(F.col(id_col).alias("query_id"), F.col(vec).alias("query_vec"))
+    unit = F.transform(l2_normalize(F.col(vec)), lambda x: F.round(x, 12) + 0.0)
+    alike = W.partitionBy("_h").orderBy(id_col)
+    rows = incoming.where(F.col(vec).isNotNull()).withColumn("_h", F.xxhash64(unit)).withColumn("_copy", F.row_number().over(alike)).withColumn("_first", F.first(id_col).over(alike))
+    rows = materialize(rows.select(id_col, vec, "_copy", "_first", "_h"), "ingest-batch")
+    if not rows.where(F.col("_copy") > 1).isEmpty() and threshold > 1 - 1e-9:
+        raise ValueError("a threshold of 1 leaves equal vectors to rounding")
+    most = max(k, 2) + 1
+    batch = rows.where(F.col("_copy") <= most)
+    wanted = batch.select(F.col(id_col).alias("query_id"), F.col(vec).alias("query_vec"))
     known = indexed.select(id_col, vec, GROUP)
-    fresh = incoming.select(id_col, vec, F.lit(None).cast("string").alias(GROUP))
-    options = {"min_score": threshold, "item_id": id_col, "item_vec": vec}
-    links = knn_blocks(wanted, known, k, exclude_self=True, **options).unionByName(knn_blocks(wanted, fresh, k, earlier=True, **options))
+    old = knn_blocks(wanted, known, k, exclude_self=True, min_score=threshold, item_id=id_col, item_vec=vec).select("query_id", id_col, "score", GROUP)
+    # Links inside the batch: pairs of blocks, not every pair of the batch in one task's reach.
+    raw = similarity_edges(batch.select(id_col, vec), max(-1.0, 2 * threshold - 1 - 1e-9), id_col, vec)
+    score = F.round((1 + F.col("score")) / 2, 12)
+    fresh = raw.select(F.col("b").alias("query_id"), F.col("a").alias(id_col), score.alias("score"), F.lit(None).cast("string").alias(GROUP)).where(F.col("score") >= threshold)
+    links = old.unionByName(fresh)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     links = links.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     links = materialize(links.select(F.col("query_id").alias("a"), F.col(id_col).alias("b"), "score", "rank", F.col(GROUP).alias("had")), "ingest-links")
-    parts = connected_components(links.select("a", "b"))
+    parts = materialize(connected_components(links.select("a", "b")), "ingest-parts")
     node, part = parts.columns[:2]
     dealt = links.join(parts.select(F.col(node).alias("a"), F.col(part).alias("part")), "a")
+    if not dealt.groupBy("part").count().where(F.col("count") > FOLD_EDGES).isEmpty():
+        raise RuntimeError(f"a component of the batch has more than {FOLD_EDGES} links; ingest it in smaller batches")
 
     def fold(pdf):
         import pandas as pd
@@ -264,4 +280,8 @@ def ingest_in_order(incoming: DataFrame, indexed: DataFrame, threshold: float =
         return pd.DataFrame(out, columns=["id", "had", "maker", PRIMARY, SCORE], dtype=object)
 
     done = dealt.groupBy("part").applyInPandas(fold, f"id {kind}, had string, maker {kind}, {PRIMARY} boolean, {SCORE} double")
-    return done.select("id", F.coalesce("had", stable_id("dup_", F.col("maker"))).alias(GROUP), PRIMARY, SCORE)
+    done = materialize(done.select("id", F.coalesce("had", stable_id("dup_", F.col("maker"))).alias(GROUP), PRIMARY, SCORE), "ingested")
+    # Copies of higher number do what copy k + 1 did, whose neighbours are the copies before it.
+    last = batch.where(F.col("_copy") == most).select("_h", F.col(id_col).alias("id")).join(done, "id").select("_h", GROUP, SCORE)
+    rest = rows.where(F.col("_copy") > most).join(last, "_h").select(F.col(id_col).alias("id"), GROUP, F.lit(False).alias(PRIMARY), SCORE)
+    return done.unionByName(rest)
