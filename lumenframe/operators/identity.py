@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.functions.scalars import stable_id
+from lumenframe.functions.scalars import landmarks, ordinal_id, stable_id
 from lumenframe.functions.vectors import cosine
 from lumenframe.operators.dedup import similarity_edges
 from lumenframe.plans.components import connected_components
@@ -85,3 +85,26 @@ def identify(faces: DataFrame, known: DataFrame, top_k: int = 5, threshold: floa
     near = knn_blocks(wanted, known, top_k, min_score=threshold, pre_filter=F.col("person_id").isNotNull(), item_id=id_col, item_vec=vec, **options)
     best = near.groupBy("query_id").agg(F.min_by(F.struct("person_id", "score"), "rank").alias("b"))
     return wanted.select("query_id").join(best, "query_id", "left").select("query_id", F.col("b.person_id").alias("person_id"), F.col("b.score").alias("score"))
+
+
+def ingest_faces(images: DataFrame, pad: float = 0.1, cap: int = 128) -> DataFrame:
+    """Face rows of ``images(image_id, width, height, face_boxes, face_embeddings, face_landmarks, face_scores, person_id)`` with their person.
+
+    All faces of an image get its ``person_id``, or share a new person named by the image; the first face of a new person is the
+    reference. Boxes are shares of the image; ``crop`` is the box in whole pixels, grown by ``pad`` on each side and
+    clipped to the image. At most ``cap`` faces of an image count, those with a box and a vector.
+    """
+    n = F.least(F.size("face_boxes"), F.size("face_embeddings"), F.lit(cap))
+    lists = [F.coalesce(F.col(c), F.array().cast(images.schema[c].dataType.simpleString())).alias(c) for c in ("face_boxes", "face_embeddings", "face_landmarks", "face_scores")]
+    known = F.nullif(F.col("person_id"), F.lit(""))
+    rows = images.select("image_id", "width", "height", known.alias("given"), *lists)
+    zipped = F.slice(F.arrays_zip("face_boxes", "face_embeddings", "face_landmarks", "face_scores"), F.lit(1), n)
+    rows = rows.select("image_id", "width", "height", "given", F.posexplode(zipped).alias("i", "f"))
+    side = lambda k, of: (F.get("f.face_boxes", F.lit(k)) * F.col(of)).cast("int")
+    rows = rows.select("*", side(0, "width").alias("x1"), side(1, "height").alias("y1"), side(2, "width").alias("x2"), side(3, "height").alias("y2"))
+    wide, high = ((F.col("x2") - F.col("x1")) * pad).cast("int"), ((F.col("y2") - F.col("y1")) * pad).cast("int")
+    crop = F.array(F.greatest(F.col("x1") - wide, F.lit(0)), F.greatest(F.col("y1") - high, F.lit(0)), F.least(F.col("x2") + wide, F.col("width")), F.least(F.col("y2") + high, F.col("height")))
+    return rows.select(
+        ordinal_id(F.col("image_id"), "face", F.col("i")).alias("face_id"), "image_id", F.col("f.face_embeddings").alias("embedding"), F.col("f.face_boxes").alias("box"), landmarks(F.col("f.face_landmarks")).alias("landmarks"),
+        F.coalesce("f.face_scores", F.lit(0.0)).alias("confidence"), F.coalesce("given", stable_id("person_", F.col("image_id"))).alias("person_id"), ((F.col("i") == 0) & F.col("given").isNull()).alias("is_reference"), crop.alias("crop"),
+    )

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenframe.functions.scalars import category, class_name, landmarks, ordinal_id
+from lumenframe.functions.geometry import inverse_letterbox, letterbox
+from lumenframe.functions.scalars import category, class_name, detector_class, landmarks, ordinal_id
 
 
 def zip_shortest(*arrays: Column) -> Column:
@@ -76,3 +77,38 @@ def image_summary(images: DataFrame, children: dict[str, DataFrame]) -> DataFram
     present = F.filter(F.array(F.lit("global"), *(F.when(F.col(n) > 0, n) for n in children)), lambda x: x.isNotNull())
     total = F.col("vehicles") + F.col("people") if {"vehicles", "people"} <= children.keys() else F.lit(0)
     return out.withColumn("num_detections", total).withColumn("indexed_in", present)
+
+
+def bulk(rows: DataFrame, key: str, faults: Column, most: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(written, quarantine, report)``: rows without a fault, the others with ``reason``, and one row of counts with the first ``most`` errors by key."""
+    judged = rows.withColumn("reason", faults)
+    bad = judged.where(F.col("reason").isNotNull())
+    first = bad.orderBy(key).limit(most).agg(F.array_sort(F.collect_list(F.concat_ws(": ", F.coalesce(F.col(key).cast("string"), F.lit("null")), "reason"))).alias("errors"))
+    report = judged.agg(F.count_if(F.col("reason").isNull()).alias("written"), F.count("reason").alias("failed")).join(F.broadcast(first))  # one row
+    return judged.where(F.col("reason").isNull()).drop("reason"), bad, report
+
+
+def formatted_detections(detections: DataFrame, images: DataFrame, size: int = 640) -> DataFrame:
+    """``image_id, box_index, detection``: a struct with the box as shares of the original image, confidence, class id and name.
+
+    ``detections`` are in the letterboxed image, as shares or, if any of an image's is over 1, in pixels.
+    """
+    pixels = F.max(F.greatest("x1", "y1", "x2", "y2")).over(W.partitionBy("image_id")) > 1
+    rows = detections.withColumn("_px", pixels).join(images.select("image_id", "width", "height"), "image_id")
+    p = letterbox(F.col("width"), F.col("height"), size)
+    back = lambda c, axis, side: inverse_letterbox(F.col(c), p[f"pad_{axis}"], p["scale"], F.col(side), F.col("_px"), size).alias(c)
+    box = back("x1", "x", "width"), back("y1", "y", "height"), back("x2", "x", "width"), back("y2", "y", "height")
+    return rows.select("image_id", "box_index", F.struct(*box, "confidence", "class_id", detector_class(F.col("class_id")).alias("class_name")).alias("detection"))
+
+
+def image_texts(ocr: DataFrame, image_id: str, most: int = 1000) -> DataFrame:
+    """Text rows of an image, surest detection first (missing last), at most ``most``."""
+    return ocr.where(F.col("image_id") == image_id).orderBy(F.desc_nulls_last("det_score"), "ocr_id").limit(most)
+
+
+def with_results(batch: DataFrame, results: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """A batch's rows with the results of those that were processed, matched by their place in the batch; others have nulls.
+
+    Filters in between may drop and reorder rows: the ordinal, not the position, says whose result it is.
+    """
+    return batch.join(results, ordinal, "left")
