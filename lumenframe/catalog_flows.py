@@ -220,11 +220,11 @@ def quad_crops(spark, d):
     return det.select("image_id", "box_index", *(F.round(b, 9).alias(n) for b, n in zip(box, ("x_low", "y_low", "x_high", "y_high"))), *(c.alias(n) for n, c in crop.items()))
 
 
-@query(f"with {_DET}, {_QSQL}, g as (select *, x2 - x1 w, y2 - y1 h, coalesce((x2 - x1) * (y2 - y1) * 1.5 / nullif(2 * ((x2 - x1) + (y2 - y1)), 0), 0) g from q) select image_id, box_index, round((x1 - g) * 2, 4) + 0.0 x1, round((y1 - g) * 3, 4) + 0.0 y1, round((x2 + g) * 2, 4) x2, round((y2 + g) * 3, 4) y2 from g where least(w, h) >= 3 and least(w, h) + 2 * g >= 5")
+@query(f"with {_DET}, {_QSQL}, g as (select *, x2 - x1 w, y2 - y1 h, coalesce((x2 - x1) * (y2 - y1) * 1.5 / nullif(2 * ((x2 - x1) + (y2 - y1)), 0), 0) g from q) select image_id, box_index, round((x1 - g) * 2, 9) + 0.0 x1, round((y1 - g) * 3, 9) + 0.0 y1, round((x2 + g) * 2, 9) x2, round((y2 + g) * 3, 9) y2 from g where least(w, h) >= 3 and least(w, h) + 2 * g >= 5")
 def unclipped_boxes(spark, d):
     det, _, _ = _quads(spark, d)
     grown = G.unclip_box(*(F.col(c) for c in ("x1", "y1", "x2", "y2")), F.lit(2.0), F.lit(3.0))
-    return det.where(grown["kept"]).select("image_id", "box_index", *((F.round(grown[c], 4) + 0.0).alias(c) for c in ("x1", "y1", "x2", "y2")))
+    return det.where(grown["kept"]).select("image_id", "box_index", *((F.round(grown[c], 9) + 0.0).alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
 @query(f"with {_DET} select image_id, cast(r - 1 as int) box_index, x2, confidence, class_id from (select *, row_number() over (partition by image_id order by box_index) r from det) where confidence >= 0.5 and r <= 4")
