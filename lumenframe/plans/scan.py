@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenframe.plans.storage import broadcast_if_small, materialize
+from lumenframe.plans.storage import materialize
 
 PART = "_part"
 
@@ -32,7 +32,8 @@ def _same(keys: list[str]) -> Column:
 def _handed(stored: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
     """``stored`` with the columns of its (keys, range) in ``carried``."""
     new = [c for c in carried.columns if c not in (*keys, PART)]
-    joined = stored.alias("a").join(broadcast_if_small(materialize(carried, "carries")).alias("b"), _same(keys), "left")
+    # Spark broadcasts the carries if they turn out small when they are there, else both sides shuffle on (keys, range).
+    joined = stored.alias("a").join(carried.alias("b"), _same(keys), "left")
     return joined.select("a.*", *(F.col(f"b.{c}") for c in new))
 
 
