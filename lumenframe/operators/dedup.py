@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenframe.functions.scalars import stable_id
 from lumenframe.functions.vectors import cosine, l2_normalize
+from lumenframe.plans.scan import PART, ranged
 from lumenframe.plans.storage import broadcast_if_small, materialize
 
 #: Directions whose bands prune pairs of vectors.
 DIRECTIONS = 3
+#: Bytes of one of the groups of vectors whose pairs a task scores, what a row takes besides its values, and rows multiplied at once.
+GROUP_BYTES, ROW_BYTES, STRIPE = 64 << 20, 64, 1024
 #: Rounds of a greedy grouping before small rests are folded one by one, and the largest rest that one task folds, in edges.
 ROUNDS, FOLD_EDGES = 6, 200_000
 
@@ -36,69 +38,113 @@ def to_process(incoming: DataFrame, indexed: DataFrame, hash_col: str = "imohash
     return incoming.join(indexed.select(hash_col), hash_col, "left_anti")
 
 
-def similarity_edges(items: DataFrame, threshold: float, id_col: str = "vec_id", vec: str = "embedding", block: int = 128, most: int = 2048, fresh: str | None = None) -> DataFrame:
+def _unit_vectors(base: DataFrame) -> DataFrame:
+    """``(id, v, fresh)`` with unit vectors and ``p0, p1, ...``: their positions along ``DIRECTIONS`` orthogonal unit directions.
+
+    Direction d is the normalised sum of every DIRECTIONS-th coordinate, with pseudo-random signs. Vectors of zero length
+    stay zero; vectors of unlike numbers of coordinates raise.
+    """
+    names = [f"p{d}" for d in range(DIRECTIONS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = batch.column("v")
+            if pc.count_distinct(pc.list_value_length(v)).as_py() > 1:
+                raise ValueError("vectors have unlike numbers of coordinates")
+            x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            norms = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            x = x / np.where(norms == 0, 1.0, norms)
+            signs = np.random.default_rng(7).choice([-1.0, 1.0], x.shape[1])  # the same in every task
+            along = [x[:, d::DIRECTIONS] @ signs[d::DIRECTIONS] / math.sqrt(max(1, len(signs[d::DIRECTIONS]))) for d in range(DIRECTIONS)]
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, max(1, x.shape[1]), dtype=np.int32) if x.size else np.zeros(len(x) + 1, np.int32)), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), vectors, batch.column("fresh"), *map(pa.array, along)], ["id", "v", "fresh", *names])
+
+    kind = base.schema["id"].dataType.simpleString()
+    return base.mapInArrow(run, f"id {kind}, v array<double>, fresh boolean, " + ", ".join(f"{n} double" for n in names))
+
+
+def similarity_edges(items: DataFrame, threshold: float, id_col: str = "vec_id", vec: str = "embedding", block: int = 128, group_bytes: int = GROUP_BYTES, fresh: str | None = None) -> DataFrame:
     """``(a, b, score)`` with a < b and raw cosine >= threshold, exactly.
 
-    ``fresh`` names a boolean column: then only pairs with a fresh row are sought, and blocks of other rows never meet.
+    ``fresh`` names a boolean column: then only pairs with a fresh row are sought, and groups of other rows never meet.
+
+    Fragments and replicas: vectors are dealt to G even groups of at most about ``group_bytes``, and a task multiplies the
+    matrices of two groups. A vector travels once for every group that its own meets, G times at most, in one shuffle; so G
+    is as small as tasks' memory allows, but not so small that a cluster's tasks are idle or groups have under ``block`` rows.
 
     Unit vectors within a threshold differ little along any direction: |x.r - y.r| <= |x - y| = sqrt(2 - 2 threshold) for
-    a unit direction r. Vectors are put in cells of that width along ``DIRECTIONS`` orthogonal directions; only equal or
-    adjacent cells can hold a pair, so high thresholds leave a small share of all pairs. A cell is dealt to blocks of
-    about ``block`` vectors, dense cells to larger ones (up to ``most``), as a cell's vectors travel once for each of its blocks. Pairs of blocks are listed by their numbers alone and spread over the cluster one by one, then
-    meet their vectors by joins on the block; a dense cell is many small tasks. A matrix product scores two blocks, and
-    only pairs over the threshold come out. Low thresholds on vectors without structure remain quadratic: that is what an
-    exact join of such vectors costs; ``cluster.assign`` with :func:`search.ivf_search` is the lossy way.
+    a unit direction r. Groups are ranges of cells of that width along ``DIRECTIONS`` orthogonal directions (a dense cell is
+    split by a hash of ids), and only groups whose boxes come that near meet; inside a task, slices along the first
+    direction. High thresholds leave a small share of all pairs. Low thresholds on vectors without structure remain
+    quadratic: that is what an exact join of such vectors costs; ``cluster.assign`` with :func:`search.ivf_search` is the
+    lossy way.
 
     Zero vectors have no cosine and no pairs.
     """
     width = max(math.sqrt(max(0.0, 2 - 2 * threshold)), 1e-6) * (1 + 1e-9)
+    spark = items.sparkSession
     flag = F.coalesce(F.col(fresh), F.lit(False)) if fresh else F.lit(True)
-    base = items.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), l2_normalize(F.col(vec)).alias("v"), flag.cast("int").alias("fresh"))
-    # Direction d is the normalised sum of every DIRECTIONS-th coordinate, with pseudo-random signs.
-    sums = F.aggregate(
-        F.transform("v", lambda x, i: F.struct(F.when(F.pmod(F.xxhash64(i), F.lit(2)) == 0, x).otherwise(-x).alias("x"), F.pmod(i, F.lit(DIRECTIONS)).alias("d"))),
-        F.array_repeat(F.lit(0.0), DIRECTIONS), lambda acc, x: F.transform(acc, lambda y, d: y + F.when(d == x["d"], x["x"]).otherwise(0.0)),
-    )
-    shares = F.transform(F.sequence(F.lit(0), F.lit(DIRECTIONS - 1)), lambda d: F.sqrt(F.greatest(F.floor((F.size("v") - 1 - d) / DIRECTIONS) + 1, F.lit(1)).cast("double")))
-    cell = F.zip_with(sums, shares, lambda x, n: F.floor(x / n / width).cast("int"))
-    base = materialize(base.withColumn("cell", cell), "vectors")
-    # Odd parts of a cell are those of the fresh rows.
-    held = F.least(F.greatest(4 * F.sqrt(F.count("*")), F.lit(block)), F.lit(most))
-    counts = materialize(base.groupBy("cell").agg(F.ceil(F.count("*") / held).cast("int").alias("parts")), "cells")
-    dealt = base.join(broadcast_if_small(counts), "cell").withColumn("part", (2 * F.pmod(F.xxhash64("id"), F.col("parts")) + F.col("fresh")).cast("int"))
-    blocks = materialize(dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("id", "v")).alias("rows")), "blocks")
-    steps = [s for s in itertools.product((-1, 0, 1), repeat=DIRECTIONS) if s >= (0,) * DIRECTIONS]  # each pair of cells once
-    near = counts.select("cell", "parts", F.explode(F.array(*(F.array(*map(F.lit, s)) for s in steps))).alias("step"))
-    near = near.select("cell", "parts", F.zip_with("cell", "step", lambda c, d: c + d).alias("other"))
-    met = near.join(counts.select(F.col("cell").alias("other"), F.col("parts").alias("others")), "other")
-    first, step = (0, 1) if fresh else (1, 2)
-    numbers = lambda n: F.explode(F.sequence(F.lit(first), 2 * F.col(n) - 1, F.lit(step)))
-    listed = met.select("cell", "other", numbers("parts").alias("lp"), "others").select("cell", "other", "lp", numbers("others").alias("rp"))
-    listed = listed.where((F.col("cell") != F.col("other")) | (F.col("lp") <= F.col("rp"))).where((F.col("lp") % 2 == 1) | (F.col("rp") % 2 == 1))
-    right = blocks.select(F.col("cell").alias("other"), F.col("part").alias("rp"), F.col("rows").alias("right"))
-    pairs = listed.join(blocks.withColumnsRenamed({"part": "lp", "rows": "left"}), ["cell", "lp"]).join(right, ["other", "rp"])
-    one = (F.col("cell") == F.col("other")) & (F.col("lp") == F.col("rp"))
-    pairs = pairs.select("left.id", "left.v", F.col("right.id").alias("rid"), F.col("right.v").alias("rv"), one.alias("one"))
+    base = items.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).alias("v"), flag.alias("fresh"))
+    size = base.agg(F.count("*").alias("n"), F.sum(F.size("v").cast("long") * 8 + ROW_BYTES).alias("bytes")).first()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = min(math.ceil(math.sqrt(2 * tasks)), -(-size.n // block))
+    groups = max(1, least, -(-(size.bytes or 0) // group_bytes))
+    base = _unit_vectors(base).withColumn("_h", F.xxhash64("id"))
+    base = base.withColumns({f"_c{d}": F.floor(F.col(f"p{d}") / width) for d in range(DIRECTIONS)})
+    stored = ranged(base, ["fresh", *(f"_c{d}" for d in range(DIRECTIONS))], ["_h"], parts=groups)
+    sides = [f(f"p{d}").alias(f"{name}{d}") for d in range(DIRECTIONS) for f, name in ((F.min, "lo"), (F.max, "hi"))]
+    boxes = stored.groupBy(PART).agg(F.max("fresh").alias("any"), *sides)
+    # One row of G boxes, so that each group filters those it meets; a group's size bounds G.
+    every = F.broadcast(boxes.agg(F.collect_list(F.struct("*")).alias("boxes")))
+
+    def meets(o: Column) -> Column:
+        near = (o[PART] >= F.col(PART)) & (o["any"] | F.col("any"))
+        for d in range(DIRECTIONS):
+            near &= (o[f"lo{d}"] - F.col(f"hi{d}") <= width) & (F.col(f"lo{d}") - o[f"hi{d}"] <= width)
+        return near
+
+    met = boxes.join(every).select(F.col(PART).alias("l"), F.explode(F.filter("boxes", meets)).alias("o")).select("l", F.col(f"o.{PART}").alias("r"))
+    ends = F.array(F.struct(F.col("l").alias(PART), F.lit(0).alias("side")), F.struct(F.col("r").alias(PART), F.lit(1).alias("side")))
+    copies = met.select("l", "r", F.explode(ends).alias("end")).select("l", "r", "end.*").where("l <> r or side = 0")
+    targets = copies.groupBy(PART).agg(F.collect_list(F.struct("l", "r", "side")).alias("to"))
+    rows = stored.join(broadcast_if_small(materialize(targets, "group-targets")), PART)
+    rows = rows.select(F.explode("to").alias("to"), "id", "v", "fresh", "p0").select("to.*", "id", "v", "fresh", "p0")
     kind = base.schema["id"].dataType.simpleString()
-    id_type = base.schema["id"].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        for batch in batches:
-            for ids, vs, rids, rvs, one in zip(*(batch.column(i) for i in range(5))):
-                ids, rids = ids.as_py(), rids.as_py()
-                x = vs.values.flatten().to_numpy().reshape(len(ids), -1)
-                y = rvs.values.flatten().to_numpy().reshape(len(rids), -1)
-                scores = x @ y.T
-                kind_ = to_arrow_type(id_type)
-                i, j = np.nonzero(scores >= threshold)
-                a, b, s = pa.array(ids, kind_).take(pa.array(i)), pa.array(rids, kind_).take(pa.array(j)), pa.array(scores[i, j])
-                less, equal = pc.less(a, b), pc.equal(a, b)
-                kept = pc.and_(less, pc.invert(equal)) if one.as_py() else pc.invert(equal)  # one block against itself: each pair once
-                yield pa.RecordBatch.from_arrays([pc.if_else(less, a, b).filter(kept), pc.if_else(less, b, a).filter(kept), s.filter(kept)], ["a", "b", "score"])
 
-    return pairs.mapInArrow(run, f"a {kind}, b {kind}, score double")
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("side", "ascending"), ("p0", "ascending")]).combine_chunks()
+        right = table.filter(pc.equal(table["side"], 1))
+        left = table.filter(pc.equal(table["side"], 0)) if right.num_rows else table
+        one = right.num_rows == 0  # a group against itself: each pair once
+        right = left if one else right
+        (ids, x, xf, xp), (rids, y, yf, yp) = _matrix(left), _matrix(right)
+        found = []
+        for at in range(0, len(xp), STRIPE):
+            end = min(at + STRIPE, len(xp))
+            lo, hi = np.searchsorted(yp, xp[at] - width), np.searchsorted(yp, xp[end - 1] + width, side="right")
+            for at2 in range(max(lo, at) if one else lo, hi, STRIPE):
+                end2 = min(at2 + STRIPE, hi)
+                scores = x[at:end] @ y[at2:end2].T
+                i, j = np.nonzero((scores >= threshold) & (xf[at:end, None] | yf[None, at2:end2]))
+                s = scores[i, j]
+                if one:
+                    once = i + at < j + at2
+                    i, j, s = i[once], j[once], s[once]
+                a, b = ids.take(pa.array(i + at)), rids.take(pa.array(j + at2))
+                less, unlike = pc.less(a, b), pc.not_equal(a, b)
+                found.append(pa.table([pc.if_else(less, a, b).filter(unlike), pc.if_else(less, b, a).filter(unlike), pa.array(s).filter(unlike)], ["a", "b", "score"]))
+        return pa.concat_tables(found) if found else pa.table([ids.slice(0, 0), ids.slice(0, 0), pa.array([], pa.float64())], ["a", "b", "score"])
+
+    return rows.groupBy("l", "r").applyInArrow(run, f"a {kind}, b {kind}, score double")
+
+
+def _matrix(rows: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, vectors, marks of fresh rows and positions along the first direction of a group's rows."""
+    ids, v = (rows[c].chunk(0) if rows[c].num_chunks else pa.array([], rows.schema.field(c).type) for c in ("id", "v"))
+    x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
+    return ids, x, rows["fresh"].to_numpy(), rows["p0"].to_numpy()
 
 
 def find_duplicates(query_id, items: DataFrame, threshold: float, k: int = 10, id_col: str = "vec_id", vec: str = "embedding", self_slot: bool = False) -> DataFrame:
@@ -111,12 +157,12 @@ def find_duplicates(query_id, items: DataFrame, threshold: float, k: int = 10, i
 
 def _fold_rest(state: DataFrame, smaller: DataFrame) -> DataFrame:
     """Decides the undecided items of every component of at most ``FOLD_EDGES`` edges, each in one task, by scanning ids in order."""
-    from lumenframe.plans.components import connected_components
+    from lumenframe.plans.components import components_of
 
     open_ = state.where("leads is null").select("id")
     rest = smaller.join(open_, smaller.a == open_.id, "left_semi").join(open_.withColumnRenamed("id", "o"), smaller.b == F.col("o"), "left_semi")
     rest = materialize(rest, "greedy")
-    parts = connected_components(rest).select(F.col("node").alias("a"), "component")
+    parts = components_of(rest).select(F.col("node").alias("a"), "component")
     dealt = rest.join(parts, "a")
     few = dealt.groupBy("component").count().where(F.col("count") <= FOLD_EDGES).select("component")
     led = smaller.join(state.where("leads").select(F.col("id").alias("b")), "b", "left_semi").select("a").distinct().withColumn("led", F.lit(True))
@@ -231,7 +277,7 @@ def ingest_in_order(incoming: DataFrame, indexed: DataFrame, threshold: float =
     ``FOLD_EDGES`` links raises.
     """
     from lumenframe.operators.search import knn_blocks
-    from lumenframe.plans.components import connected_components
+    from lumenframe.plans.components import components_of
 
     kind = incoming.schema[id_col].dataType.simpleString()
     unit = F.transform(l2_normalize(F.col(vec)), lambda x: F.round(x, 12) + 0.0)
@@ -253,7 +299,7 @@ def ingest_in_order(incoming: DataFrame, indexed: DataFrame, threshold: float =
     order = W.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     links = links.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     links = materialize(links.select(F.col("query_id").alias("a"), F.col(id_col).alias("b"), "score", "rank", F.col(GROUP).alias("had")), "ingest-links")
-    parts = materialize(connected_components(links.select("a", "b")), "ingest-parts")
+    parts = materialize(components_of(links.select("a", "b")), "ingest-parts")
     node, part = parts.columns[:2]
     dealt = links.join(parts.select(F.col(node).alias("a"), F.col(part).alias("part")), "a")
     if not dealt.groupBy("part").count().where(F.col("count") > FOLD_EDGES).isEmpty():

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions.scalars import landmarks, ordinal_id, stable_id
 from lumenframe.functions.vectors import cosine
 from lumenframe.operators.dedup import similarity_edges
-from lumenframe.plans.components import connected_components
+from lumenframe.plans.components import components_of
 
 
 def cluster_faces(faces: DataFrame, threshold: float = 0.7, min_faces: int = 2, max_persons: int | None = None, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -16,7 +16,7 @@ def cluster_faces(faces: DataFrame, threshold: float = 0.7, min_faces: int = 2,
 
     ``max_persons`` keeps the largest components (ties by smallest member).
     """
-    comps = connected_components(similarity_edges(faces, threshold, id_col, vec)).withColumnRenamed("node", "face")
+    comps = components_of(similarity_edges(faces, threshold, id_col, vec)).withColumnRenamed("node", "face")
     out = faces.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("face")).join(comps, "face", "left").withColumn("component", F.coalesce("component", "face"))
     sizes = out.groupBy("component").agg(F.count("*").alias("size"))
     big = sizes.where(F.col("size") >= min_faces)

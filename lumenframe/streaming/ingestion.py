@@ -23,7 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lumenframe.functions.scalars import default_path, landmarks, ordinal_id, stable_id
 from lumenframe.operators import cluster, ingest, manifest
 from lumenframe.operators.dedup import similarity_edges
-from lumenframe.plans.components import connected_components
+from lumenframe.plans.components import components_of
 from lumenframe.plans.storage import broadcast_if_small, materialize
 from lumenframe.schema import TABLES
 
@@ -172,7 +172,7 @@ def group_new(spark: SparkSession, root: str, threshold: float = 0.99, query: st
     at = materialize(ends.join(known, "image_id", "left").select("image_id", F.col("at").alias("had"), F.coalesce("at", "image_id").alias("at")), "link-ends")
     side = lambda c: at.select(F.col("image_id").alias(c), F.col("at").alias(f"{c}_at"))
     contracted = links.join(side("a"), "a").join(side("b"), "b").select(F.col("a_at").alias("a"), F.col("b_at").alias("b"))
-    merged = materialize(connected_components(contracted).select(F.col("node").alias("label"), F.col("component").alias("root")), "merged")
+    merged = materialize(components_of(contracted).select(F.col("node").alias("label"), F.col("component").alias("root")), "merged")
     entered = at.where("had is null").join(merged, F.col("at") == F.col("label")).select("image_id", F.col("root").alias("label"))
     onward = merged.select(F.col("label").alias("root"), F.col("root").alias("to"))
     moved = roots.join(onward, "root", "left").select("label", F.coalesce("to", "root").alias("root"))
