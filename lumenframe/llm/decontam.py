@@ -13,7 +13,7 @@ there only if the candidates exceed the broadcast limit.
 
 Defined results: null or wordless text has no words, no hits and isn't contaminated; items without words have no
 window; repeated items count by their distinct item_ids; rows with a null or repeated doc_id are judged each by
-its own text; an empty benchmark marks nothing; further columns are kept by ``contamination``.
+its own text, and their candidates are kept apart; an empty benchmark marks nothing; further columns are kept by ``contamination``.
 """
 
 from __future__ import annotations
@@ -60,9 +60,17 @@ def rarest_terms(docs: DataFrame, windows: DataFrame, text_col: str = "text") ->
     return ranked.withColumn("rank", F.row_number().over(order)).where("rank <= 2").select("wid", "term", "offset", "rank")
 
 
+def _key(id_col: str, text_col: str) -> Column:
+    """What the index calls a document: a hash of its id and text, so rows without an id or with one id aren't gathered.
+
+    Rows alike in both share their candidates. Unlike rows of one hash would too, which the check against the words undoes.
+    """
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
 def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index of ``terms``: stored ``(term, doc_id, pos)`` over whole texts."""
-    tokens = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(words(F.col(text_col))).alias("pos", "term"))
+    """The index of ``terms``: stored ``(term, doc_id, pos)`` over whole texts; ``doc_id`` is the hash of :func:`_key`."""
+    tokens = docs.select(_key(id_col, text_col).alias("doc_id"), F.posexplode(words(F.col(text_col))).alias("pos", "term"))
     return materialize(tokens.join(broadcast_if_small(terms), "term").select("term", "doc_id", "pos"), "postings")
 
 
@@ -76,7 +84,7 @@ def candidates(index: DataFrame, anchors: DataFrame, slop: int = 0) -> DataFrame
 
     single = anchors.groupBy("wid").agg(F.max("rank").alias("ranks")).where("ranks = 1").select("wid")
     first, second = starts(1), starts(2)
-    near = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.wid") == F.col("b.wid"))
+    near = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.wid") == F.col("b.wid"))
     if slop:
         near &= F.abs(F.col("a.start") - F.col("b.start")) <= slop
     else:
@@ -115,8 +123,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     told = [F.col("terms")] if slop else [c.alias(f"h{i}") for i, c in enumerate(_hash(F.col("phrase")))]
     entry = F.struct(F.col("start").cast("int").alias("start"), F.size("terms").alias("len"), "item_ids", *told)
     per_doc = materialize(found.groupBy("doc_id").agg(F.collect_list(entry).alias("cands")).withColumnRenamed("doc_id", "cand_id"), "candidates")
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), F.col(text_col).alias("body"))
-    rows = rows.join(broadcast_if_small(per_doc), F.col("own_id").eqNullSafe(F.col("cand_id")), "left").withColumn("w", words(F.col("body")))
+    rows = docs.select(F.struct("*").alias("row"), _key(id_col, text_col).alias("own_id"), F.col(text_col).alias("body"))
+    rows = rows.join(broadcast_if_small(per_doc), F.col("own_id") == F.col("cand_id"), "left").withColumn("w", words(F.col("body")))
 
     def stands(c: Column) -> Column:
         if slop:

@@ -70,3 +70,13 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta gamma"), (2, "alpha x x x x beta gamma"), (3, "beta alpha gamma")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     assert {r.row.doc_id for r in decontam.contamination(docs, items, slop=2).where("n_hit > 0").collect()} == {1, 3}
+
+
+def test_rows_without_id_keep_their_candidates_apart(spark):
+    docs = spark.createDataFrame([(None, f"alpha beta gamma n{i}", i) for i in range(40)] + [(7, f"x{i} alpha beta gamma", i) for i in range(40)], "doc_id long, text string, own_id int")
+    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    windows = decontam.item_windows(items)
+    anchors = decontam.rarest_terms(docs, windows)
+    found = decontam.candidates(decontam.postings(docs, anchors.select("term").distinct()), anchors)
+    assert max(r["count"] for r in found.groupBy("doc_id").count().collect()) == 1
+    assert all(r.n_hit == 3 for r in decontam.contamination(docs, items).collect())
