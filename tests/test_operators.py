@@ -215,3 +215,45 @@ def test_store(spark):
     assert rows_of(store.set_fields(old, F.col("q") == "x", p=None).fillna("-")) == [(1, "-", "x"), (2, "b", "-")]
     assert rows_of(store.delete(old, F.col("q") == "x").select("id")) == [(2,)]
     assert rows_of(store.upsert(old, spark.createDataFrame([(2, "n", "m"), (3, "o", "o")], old.schema), "id").select("id", "p")) == [(1, "a"), (2, "n"), (3, "o")]
+
+
+def test_formatted_keeps_gigabytes_of_large_keys_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    from lumenframe import catalog, catalog_more  # noqa: F401
+
+    keys = [0, 1, 5, 150, 5000, 172388, 172389, 900000, 2**31]
+    spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = sorted(tuple(r) for r in catalog.QUERIES["formatted"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    assert got == sorted(con.execute(catalog.ORACLES["formatted"]).fetchall()) and got[7][1].endswith(" GB")
+    sizes = spark.createDataFrame([(2.0**45,), (2.0**52,), (None,)], "b double").select(S.format_bytes(F.col("b")).alias("s"))
+    assert [r.s for r in sizes.collect()] == ["32.0 TB", "4.0 PB", spark.sql("select format_string('%.1f PB', cast(null as double)) s").first().s]
+
+
+def test_outputs_of_one_anchor_keep_their_own_points(spark, tmp_path):
+    import duckdb
+
+    from lumenframe import catalog, catalog_more  # noqa: F401
+
+    # Lines 2 and 5 of an order share the stride 32; these parts put them on one cell, both sure enough.
+    sure = lambda p, s: (25 + (p * 7 + s * 13) % 75) >= 98
+    at = lambda p, i: (p % 500 * 7919 + i * 104729) % 800
+    pairs = [(p, q) for p in range(500) for q in range(500) if at(p, 2) == at(q, 5)][:6]
+    supplier = lambda p: next(s for s in range(75) if sure(p, s))
+    unsure = lambda p: next(s for s in range(75) if not sure(p, s))
+    lines = []
+    for order, (p, q) in enumerate(pairs):
+        parts = [(1, unsure(1))] * 2 + [(p, supplier(p))] + [(1, unsure(1))] * 2 + [(q, supplier(q))]
+        lines += [(order, a, s, i + 1, 10.0, 1.0, 0) for i, (a, s) in enumerate(parts)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = rows_of(catalog.QUERIES["decoded_faces"](spark, str(tmp_path)))
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(con.execute(catalog.ORACLES["decoded_faces"]).fetchall())
+    assert len(want) == 2 * len(pairs) > 0 and got == want
+    mark = lambda x: [float(x)] * 10
+    two = spark.createDataFrame([("a", 8, 2000, 0.9, 1.0, 1.0, 1.0, 1.0, mark(1)), ("a", 8, 2000, 0.8, -5.0, 1.0, 9.0, 1.0, mark(2))], "image_id string, stride int, idx long, score double, left double, top double, right double, bottom double, kps array<double>")
+    faces = {r.confidence: r.landmarks[0][0] for r in detect.decode_faces(two).collect()}
+    assert len(faces) == 2 and faces[0.8] - faces[0.9] == 8.0
