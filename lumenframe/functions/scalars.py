@@ -39,15 +39,15 @@ def clamp(x: Column, low, high) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
-def format_bytes(size: Column) -> Column:
-    """``12.3 MB``: steps of 1024, one decimal, PB beyond TB."""
-    out, scale = None, 1.0
-    for unit in ("B", "KB", "MB", "GB", "TB"):
-        text = F.format_string(f"%.1f {unit}", size / F.lit(scale))
-        fits = size / F.lit(scale) < 1024
-        out = F.when(fits, text) if out is None else out.when(fits, text)
-        scale *= 1024
-    return out.otherwise(F.format_string("%.1f PB", size / F.lit(scale)))
+def format_bytes(size: Column, largest: str = "PB") -> Column:
+    """``12.3 MB``: steps of 1024, one decimal, no unit beyond ``largest``."""
+    units = ("B", "KB", "MB", "GB", "TB", "PB")
+    units = units[: units.index(largest) + 1]
+    text = [F.format_string(f"%.1f {unit}", size / F.lit(1024.0**i)) for i, unit in enumerate(units)]
+    out = text[-1]
+    for i in reversed(range(len(units) - 1)):
+        out = F.when(size / F.lit(1024.0**i) < 1024, text[i]).otherwise(out)
+    return out
 
 
 def format_duration(seconds: Column) -> Column:
