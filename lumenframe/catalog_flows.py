@@ -106,7 +106,7 @@ def nth_vehicle_search(spark, d):
     """Search by the second vehicle of the images whose number is divisible by 50."""
     det = _detections(spark, d).where(F.substring("image_id", 5, 20).cast("int") % 50 == 0).withColumn("category", S.category(F.col("class_id")))
     e = _read(spark, d, "embeddings").select("vec_id", "embedding")
-    out = search.nth_box_search(det, e, e, 1, 5, "vehicle")
+    out = search.nth_box_search(det, e, e, 1, 5, "vehicle", columns=["vec_id"])
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -129,7 +129,7 @@ def content_search(spark, d):
 
     pages = _read(spark, d, "pages").select("page_id", "html")
     items = materialize(encode(pages, "page_id", "html", HashEncoder), "encoded").withColumnRenamed("page_id", "vec_id")
-    out = search.content_search(pages.where("page_id % 50 = 0"), items, HashEncoder, 5, id_col="page_id", content_col="html")
+    out = search.content_search(pages.where("page_id % 50 = 0"), items, HashEncoder, 5, id_col="page_id", content_col="html", columns=["vec_id"])
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -140,7 +140,7 @@ _NEAR = """n as (select q.vec_id query_id, d.vec_id, (1 + list_cosine_similarity
 def neighbours_left(spark, d):
     """Neighbours that are neither processed (ids divisible by 3) nor in a group (label 1)."""
     e = _read(spark, d, "embeddings")
-    near = search.knn_join(_queries_of(spark, d), e.select("vec_id", "embedding"), 10, exclude_self=True)
+    near = search.knn_blocks(_queries_of(spark, d), e.select("vec_id", "embedding"), 10, exclude_self=True, columns=["vec_id"])
     done = e.where("vec_id % 3 = 0 or label = 1").select("vec_id")
     return near.join(done, "vec_id", "left_anti").select("query_id", "vec_id", F.round("score", 6).alias("score"))
 

@@ -290,7 +290,7 @@ def ingest_in_order(incoming: DataFrame, indexed: DataFrame, threshold: float =
     batch = rows.where(F.col("_copy") <= most)
     wanted = batch.select(F.col(id_col).alias("query_id"), F.col(vec).alias("query_vec"))
     known = indexed.select(id_col, vec, GROUP)
-    old = knn_blocks(wanted, known, k, exclude_self=True, min_score=threshold, item_id=id_col, item_vec=vec).select("query_id", id_col, "score", GROUP)
+    old = knn_blocks(wanted, known, k, exclude_self=True, min_score=threshold, item_id=id_col, item_vec=vec, columns=[id_col, GROUP]).select("query_id", id_col, "score", GROUP)
     # Links inside the batch: pairs of blocks, not every pair of the batch in one task's reach.
     raw = similarity_edges(batch.select(id_col, vec), max(-1.0, 2 * threshold - 1 - 1e-9), id_col, vec)
     score = F.round((1 + F.col("score")) / 2, 12)

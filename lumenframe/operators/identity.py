@@ -82,7 +82,7 @@ def identify(faces: DataFrame, known: DataFrame, top_k: int = 5, threshold: floa
     from lumenframe.operators.search import knn_blocks
 
     wanted = faces.select(F.col(id_col).alias("query_id"), F.col(vec).alias("query_vec"))
-    near = knn_blocks(wanted, known, top_k, min_score=threshold, pre_filter=F.col("person_id").isNotNull(), item_id=id_col, item_vec=vec, **options)
+    near = knn_blocks(wanted, known, top_k, min_score=threshold, pre_filter=F.col("person_id").isNotNull(), item_id=id_col, item_vec=vec, columns=[id_col, "person_id"], **options)
     best = near.groupBy("query_id").agg(F.min_by(F.struct("person_id", "score"), "rank").alias("b"))
     return wanted.select("query_id").join(best, "query_id", "left").select("query_id", F.col("b.person_id").alias("person_id"), F.col("b.score").alias("score"))
 
