@@ -24,7 +24,7 @@ from lumenframe.functions.scalars import default_path, landmarks, ordinal_id, st
 from lumenframe.operators import cluster, ingest, manifest
 from lumenframe.operators.dedup import similarity_edges
 from lumenframe.plans.components import components_of
-from lumenframe.plans.storage import broadcast_if_small, materialize
+from lumenframe.plans.storage import broadcast_if_small, drop_table, materialize
 from lumenframe.schema import TABLES
 
 _VEC = "array<float>"
@@ -125,19 +125,23 @@ def ingest_batch(batch: DataFrame, root: str, query: str, epoch: int, tries: int
         models = {name: manifest.table(spark, root, f"model_{name}", now) for name in cluster.CLUSTERED if f"model_{name}" in now.folders}
         parts = routed(rows.where("fate = 'new'").drop("fate"), models)
         skipped = parts.pop("skipped").count()
-        parts = {name: materialize(r, f"new-{name}") for name, r in parts.items()}
         fates = rows.agg(F.count("*").alias("total"), F.count_if(F.col("fate") == "new").alias("processed"), F.count_if(F.col("fate") == "duplicate").alias("duplicates")).first()
-        sizes = {name: df.count() for name, df in parts.items()}
         counts = {"query": query, "epoch": epoch, **fates.asDict(), "rejected": fates.total - fates.processed - fates.duplicates}
-        counts |= {"vehicles": sizes["vehicles"], "people": sizes["people"], "skipped": skipped, "faces": sizes["faces"], "texts": sizes["ocr"]}
         rejected = rows.where("fate not in ('new', 'duplicate')").select("image_id", "image_path", F.col("fate").alias("reason"))
-        log = spark.createDataFrame([tuple(counts.values())], COUNTS)
-        try:
-            manifest.publish(spark, root, add={**parts, "quarantine": rejected, "log": log}, base=now, writer=(query, epoch))
+
+        def logged(written: dict[str, DataFrame]) -> dict[str, DataFrame]:
+            sizes = {name: df.count() for name, df in written.items()}
+            counts.update(vehicles=sizes["vehicles"], people=sizes["people"], skipped=skipped, faces=sizes["faces"], texts=sizes["ocr"])
+            return {"log": spark.createDataFrame([tuple(counts.values())], COUNTS)}
+
+        try:  # rows are written once, to the folders that the commit names
+            manifest.publish(spark, root, add={**parts, "quarantine": rejected}, base=now, writer=(query, epoch), then=logged)
             return counts
         except manifest.Conflict:
             if turn == tries - 1:
                 raise
+        finally:
+            drop_table(rows)
 
 
 def run_ingest(stream: DataFrame, root: str, checkpoint: str, query: str = "ingest") -> StreamingQuery:

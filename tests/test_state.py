@@ -200,3 +200,18 @@ def test_due_tables_are_retrained_in_one_commit(spark, tmp_path):
     for r in manifest.table(spark, root, "global").collect():
         v = np.array(r.global_embedding, float)
         assert abs((v @ model[r.cluster_id]) / np.linalg.norm(v) - max(v @ c / np.linalg.norm(v) for c in model.values())) < 1e-6
+
+
+def test_a_batch_leaves_nothing_beside_its_tables(spark, tmp_path):
+    from pathlib import Path
+
+    from lumenframe.plans.storage import scratch_path
+
+    own = Path(scratch_path(spark, "x")).parent
+    before = set(own.glob("*")) if own.exists() else set()
+    batch = spark.createDataFrame([("a", "h1", [1.0, 0.0]), ("b", "h1", [1.0, 0.0]), ("c", "h2", None)], "image_id string, imohash string, global_embedding array<float>")
+    counts = ingestion.ingest_batch(batch, str(tmp_path / "t"), "q", 0)
+    assert (counts["total"], counts["processed"], counts["duplicates"], counts["rejected"]) == (3, 1, 1, 1)
+    assert [tuple(r)[1:6] for r in manifest.table(spark, str(tmp_path / "t"), "log").collect()] == [(0, 3, 1, 1, 1)]
+    assert [r.image_id for r in manifest.table(spark, str(tmp_path / "t"), "global").collect()] == ["a"]
+    assert set(own.glob("*")) == before
