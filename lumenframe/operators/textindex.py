@@ -1,6 +1,7 @@
 """A stored positional index of texts, searched by batches of queries.
 
-Documents are dealt to ranges of about ``RANGE_DOCS`` by a hash of their id. A block holds the postings of one term in one
+Documents are dealt to ranges of about ``RANGE_DOCS``, or of ``RANGE_WORDS`` words, by a hash of their id, and a range is
+inverted, scored and searched for phrases as a whole, in one task. A block holds the postings of one term in one
 range, documents ascending, each with its positions and its share of a BM25 score, and beside them the largest share. So a
 term that stands in every document is many blocks, and a block is bounded by a range.
 
@@ -14,15 +15,25 @@ as documents without terms; a query without terms finds nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenframe.operators import manifest
 from lumenframe.operators.text import K1, B, auto_fuzziness, tokens
-from lumenframe.plans.storage import broadcast_if_small, materialize
+from lumenframe.plans.storage import DEAL_BYTES, broadcast_if_small, materialize, stored_bytes
 
 RANGE_DOCS = 4096
+#: Words of a range, about; longer texts make more ranges.
+RANGE_WORDS = 2_000_000
+#: Places of an Arrow batch of blocks, and queries that are scored at once in a range.
+POSTINGS_BATCH, QUERY_BLOCK = 200_000, 256
 #: Query terms of one search; more raise.
 MAX_TERMS = 100_000
 
@@ -30,21 +41,87 @@ MAX_TERMS = 100_000
 def build(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "text", range_docs: int = RANGE_DOCS) -> None:
     """Index ``docs`` under ``root``: tables ``blocks``, ``terms`` and ``stats`` in one commit, which replaces an index that stands there."""
     spark = docs.sparkSession
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("toks"))
-    rows = materialize(rows.select("doc_id", "toks", F.size("toks").alias("dl")), "index-tokens")
-    stats = rows.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).first()
-    ranges = max(1, -(-stats.n_docs // range_docs))
-    flat = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int").alias("range"), "doc_id", "dl", F.posexplode("toks").alias("pos", "term"))
-    # One exchange by (term, range) serves both groupings.
-    flat = flat.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "term", "range")
-    one = flat.groupBy("term", "range", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.max("dl").alias("dl"))
-    tf = F.size("positions")
-    share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(stats.avgdl or 1.0) or 1.0)))
-    blocks = one.groupBy("term", "range").agg(F.max(share).alias("top"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("doc_id", share.alias("share"), "positions"))).alias("docs"))
-    blocks = materialize(blocks.sortWithinPartitions("term", "range"), "index-blocks")
-    terms = blocks.groupBy("term").agg(F.sum("n").alias("df"))
+    words = tokens(F.col(text_col))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.array_join(words, " ").alias("words"), F.size(words).alias("dl"))
+    rows = materialize(rows, "index-tokens")
+    stats = rows.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), F.sum("dl").alias("n_words")).first()
+    ranges = max(1, -(-stats.n_docs // range_docs), -(-(stats.n_words or 0) // RANGE_WORDS))
+    dealt = rows.withColumn("range", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int"))
+    # Texts are shuffled, not words: a range is inverted where it lies.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(ranges, -(-stored_bytes(rows) // DEAL_BYTES)))
+    dealt = dealt.repartition(parts, "range").sortWithinPartitions("range", "doc_id")
+    kind = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("share", T.DoubleType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("range", T.IntegerType()), T.StructField("top", T.DoubleType()), T.StructField("n", T.LongType()), T.StructField("docs", T.ArrayType(kind))])
+    blocks = dealt.mapInArrow(_inverter(float(stats.avgdl or 1.0) or 1.0), schema)
     summary = spark.createDataFrame([(stats.n_docs, float(stats.avgdl or 0.0), ranges)], "n_docs long, avgdl double, ranges int")
-    manifest.publish(spark, root, replace={"blocks": blocks, "terms": terms, "stats": summary})
+    manifest.publish(spark, root, replace={"blocks": blocks, "terms": lambda t: t["blocks"].groupBy("term").agg(F.sum("n").alias("df")), "stats": summary})
+
+
+def _inverter(avgdl: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of the texts of a partition, which is ordered by range and document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            number = batch.column("range").to_numpy()
+            ends = [*(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
+            begin = 0
+            for end in ends:
+                if end > begin:
+                    if held and held[0].column("range")[0].as_py() != number[begin]:
+                        yield from _inverted(held, avgdl)
+                        held = []
+                    held.append(batch.slice(begin, end - begin))
+                begin = end
+        if held:
+            yield from _inverted(held, avgdl)
+
+    return run
+
+
+def _inverted(parts: list[pa.RecordBatch], avgdl: float) -> Iterator[pa.RecordBatch]:
+    """The blocks of one range, terms ascending."""
+    rows = pa.concat_batches(parts)
+    rows = rows.filter(pc.greater(rows.column("dl"), 0))
+    if not rows.num_rows:
+        return
+    ids, dl = rows.column("doc_id"), rows.column("dl").to_numpy().astype(np.int64)
+    code = ids.dictionary_encode().indices.to_numpy()
+    new = np.concatenate([[True], code[1:] != code[:-1]])
+    length, doc = np.maximum.reduceat(dl, np.flatnonzero(new)), np.cumsum(new) - 1  # rows of one id are one document
+    ids = ids.take(pa.array(np.flatnonzero(new)))
+    flat = pc.split_pattern(rows.column("words").cast(pa.large_string()), " ").flatten().dictionary_encode()
+    names = flat.dictionary
+    by_name = pc.sort_indices(names).to_numpy()
+    rank = np.empty(len(names), np.int64)
+    rank[by_name] = np.arange(len(names))
+    term = rank[flat.indices.to_numpy()]
+    del flat
+    doc, place = np.repeat(doc, dl), np.arange(dl.sum()) - np.repeat(np.cumsum(dl) - dl, dl)
+    order = np.argsort(term, kind="stable") if new.all() else np.lexsort((place, doc, term))
+    term, doc, place = term[order], doc[order], place[order].astype(np.int32)
+    begins = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])]))  # of a document's places
+    tf = np.diff(np.append(begins, len(term)))
+    term, doc = term[begins], doc[begins]
+    share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / avgdl))
+    heads = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))  # of a term's documents
+    top, bounds, places = np.maximum.reduceat(share, heads), np.append(heads, len(term)), np.append(begins, len(place))
+    number, i = rows.column("range")[0].as_py(), 0
+    while i < len(heads):  # about POSTINGS_BATCH places a batch
+        j = max(i + 1, int(np.searchsorted(places[bounds], places[bounds[i]] + POSTINGS_BATCH, "right")) - 1)
+        lo, hi = bounds[i], bounds[j]
+        at = pa.ListArray.from_arrays(pa.array((places[lo : hi + 1] - places[lo]).astype(np.int32)), pa.array(place[places[lo] : places[hi]]))
+        docs = pa.StructArray.from_arrays([ids.take(pa.array(doc[lo:hi])), pa.array(share[lo:hi]), at], ["doc_id", "share", "positions"])
+        docs = pa.ListArray.from_arrays(pa.array((bounds[i : j + 1] - lo).astype(np.int32)), docs)
+        words = names.take(pa.array(by_name[i:j])).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([words, pa.array(np.full(j - i, number, np.int32)), pa.array(top[i:j]), pa.array(np.diff(bounds[i : j + 1]).astype(np.int64)), docs], ["term", "range", "top", "n", "docs"])
+        i = j
+
+
+def _postings(left: pa.Table, *columns: str) -> tuple[list[str], np.ndarray, list[pa.Array]]:
+    """The blocks of a range: their terms, where the postings of each begin, and the ``columns`` of all postings."""
+    lists = [left.column(c).combine_chunks() for c in columns]
+    return left.column("term").to_pylist(), np.append(0, np.cumsum(pc.list_value_length(lists[0]).to_numpy())), [x.flatten() for x in lists]
 
 
 class Index:
@@ -92,16 +169,42 @@ class Index:
     def phrases(self, queries: DataFrame) -> DataFrame:
         """``(query_id, doc_id, n)``: documents in which the terms of a query follow each other, and how often."""
         words = queries.select("query_id", tokens(F.col("query")).alias("w")).where(F.size("w") > 0)
-        size = words.select("query_id", F.size("w").alias("size"))
         asked = materialize(words.select("query_id", F.posexplode("w").alias("offset", "term")), "phrase-terms")
         if asked.limit(MAX_TERMS + 1).count() > MAX_TERMS:
             raise ValueError(f"more than {MAX_TERMS} query terms; search in several calls")
-        hits = self.blocks.select("term", "range", "docs").join(F.broadcast(asked), "term").select("query_id", "offset", F.explode("docs").alias("d"))
-        begins = F.transform("d.positions", lambda p: p - F.col("offset"))
-        # A start is a hit once for each place of the phrase that fits it.
-        starts = hits.select("query_id", F.col("d.doc_id").alias("doc_id"), F.explode(begins).alias("start")).where("start >= 0")
-        whole = starts.groupBy("query_id", "doc_id", "start").agg(F.count("*").alias("places")).join(broadcast_if_small(materialize(size, "phrase-sizes")), "query_id").where("places = size")
-        return whole.groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
+        table = asked.orderBy("query_id", "offset").toArrow()
+        coded = table.column("query_id").combine_chunks().dictionary_encode()
+        names, phrases = coded.dictionary, {}
+        for q, t in zip(coded.indices.to_pylist(), table.column("term").to_pylist()):
+            phrases.setdefault(q, []).append(t)
+        kind = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("doc_id", self.blocks.schema["docs"].dataType.elementType["doc_id"].dataType), T.StructField("n", T.LongType())])
+
+        def found(left: pa.Table) -> pa.Table:
+            terms, begins, (docs, lists) = _postings(left, "doc_id", "positions")
+            doc = docs.dictionary_encode()
+            # A place as one number: its document, then its position.
+            count = pc.list_value_length(lists).to_numpy()
+            place = np.repeat(doc.indices.to_numpy().astype(np.int64), count) << 32 | lists.flatten().to_numpy()
+            ends = np.append(0, np.cumsum(count))
+            at = {t: np.sort(place[ends[a] : ends[b]]) for t, a, b in zip(terms, begins[:-1], begins[1:])}
+            out_q, out_d, out_n = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, int)]
+            for q, w in phrases.items():
+                if all(t in at for t in w):
+                    by_size = sorted(range(len(w)), key=lambda i: len(at[w[i]]))
+                    starts = at[w[by_size[0]]] - by_size[0]  # a start before its text falls into the document before, where no place is so high
+                    for i in by_size[1:]:
+                        there = at[w[i]]
+                        starts = starts[there[np.minimum(np.searchsorted(there, starts + i), len(there) - 1)] == starts + i]
+                    docs, n = np.unique(starts >> 32, return_counts=True)
+                    out_q.append(np.full(len(docs), q))
+                    out_d.append(docs)
+                    out_n.append(n)
+            return pa.table({"query_id": names.take(pa.array(np.concatenate(out_q))), "doc_id": doc.dictionary.take(pa.array(np.concatenate(out_d))), "n": pa.array(np.concatenate(out_n), pa.int64())})
+
+        if not len(names):
+            return self.spark.createDataFrame([], kind)
+        blocks = self.blocks.select("term", "range", "docs.doc_id", "docs.positions").join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+        return blocks.groupBy("range").applyInArrow(found, kind)
 
     def fuzzy(self, queries: DataFrame) -> DataFrame:
         """``(query_id, doc_id, matched)``: how many of a query's terms stand in a document within their edit distance.

@@ -83,3 +83,21 @@ def test_an_empty_index(spark, docs, tmp_path):
     textindex.build(docs.limit(0), str(tmp_path / "i"))
     index = textindex.Index(spark, str(tmp_path / "i"))
     assert index.search(asked(spark, "the"))[0].collect() == [] and index.phrases(asked(spark, "the")).collect() == []
+
+
+def test_words_are_not_shuffled_one_by_one(spark, docs, tmp_path, monkeypatch):
+    """Phrases with frequent words: texts go to their ranges whole, and a range is searched where its postings lie."""
+    monkeypatch.setattr(textindex, "RANGE_WORDS", 500)
+    monkeypatch.setattr(textindex, "POSTINGS_BATCH", 50)
+    root = str(tmp_path / "i")
+    textindex.build(docs, root)
+    index = textindex.Index(spark, root)
+    assert index.stats.ranges > 4  # by words: there are fewer documents than one range takes
+    blocks = index.blocks.collect()
+    assert len(blocks) == len({(b.term, b.range) for b in blocks}) and all(b.n == len(b.docs) and b.top == max(x.share for x in b.docs) for b in blocks)
+    w = {r.doc_id: re.findall(r"[^\W_]+", (r.text or "").lower()) for r in docs.where("doc_id is not null").collect()}
+    assert {(b.term, x.doc_id): x.positions for b in blocks for x in b.docs} == {(t, i): [k for k, y in enumerate(words) if y == t] for i, words in w.items() for t in words}
+    phrases = index.phrases(asked(spark, "the of", "the the the", "nothing"))
+    plan = phrases._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Generate" not in plan
+    assert {r.doc_id: r.n for r in phrases.where("query_id = 1").collect()} == {i: n for i, x in w.items() if (n := sum(x[k : k + 3] == ["the"] * 3 for k in range(len(x))))}
