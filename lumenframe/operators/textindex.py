@@ -143,11 +143,52 @@ class Index:
         return materialize(self.terms.join(F.broadcast(asked), "term").select("query_id", "term", idf.alias("idf")), "query-idf")
 
     def _scored(self, asked: DataFrame, places: DataFrame, k: int) -> DataFrame:
-        """The k best documents of each query in its ``places(query_id, range)``."""
-        wanted = asked.join(places, "query_id")
-        hits = self.blocks.select("term", "range", "docs").join(broadcast_if_small(materialize(wanted, "places")), ["term", "range"])
-        rows = hits.select("query_id", "idf", F.explode("docs").alias("d")).groupBy("query_id", F.col("d.doc_id").alias("doc_id"))
-        rows = rows.agg(F.round(F.sum(F.col("idf") * F.col("d.share")), 9).alias("score"))
+        """The k best documents of each query in its ``places(query_id, range)``.
+
+        A range's blocks are added up in one table of scores, query by document; what can be among a query's k best goes on.
+        """
+        terms = asked.select("term").distinct()  # as many as a search may ask
+        blocks = self.blocks.select("term", "range", "docs.doc_id", "docs.share").join(F.broadcast(terms), "term", "left_semi")
+        table = asked.toArrow()  # bounded by MAX_TERMS
+        coded = table.column("query_id").combine_chunks().dictionary_encode()
+        of, names = coded.indices, coded.dictionary
+        wanted: dict[str, list[tuple[int, float]]] = {}
+        for q, t, w in zip(of.to_pylist(), table.column("term").to_pylist(), table.column("idf").to_pylist()):
+            wanted.setdefault(t, []).append((q, w))
+        wanted = {t: (np.array([q for q, _ in x]), np.array([w for _, w in x])) for t, x in wanted.items()}
+        kind = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("doc_id", self.blocks.schema["docs"].dataType.elementType["doc_id"].dataType), T.StructField("score", T.DoubleType())])
+        known = {v: i for i, v in enumerate(names.to_pylist())}
+
+        def best(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            terms, begins, (docs, share) = _postings(left, "doc_id", "share")
+            coded = docs.dictionary_encode()
+            doc, share = coded.indices.to_numpy(), share.to_numpy()
+            here = np.sort([known[v] for v in right.column("query_id").to_pylist()])
+            out_q, out_d, out_s = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+            for lo in range(0, len(here), QUERY_BLOCK):
+                part = here[lo : lo + QUERY_BLOCK]
+                row = np.full(len(names), -1)
+                row[part] = np.arange(len(part))
+                scores, hit = np.zeros((len(part), len(coded.dictionary))), np.zeros((len(part), len(coded.dictionary)), bool)
+                for t, a, b in zip(terms, begins[:-1], begins[1:]):
+                    q, w = wanted[t]
+                    q, w = row[q], w[row[q] >= 0]
+                    for i, x in zip(q[q >= 0].tolist(), w.tolist()):
+                        scores[i, doc[a:b]] += x * share[a:b]
+                        hit[i, doc[a:b]] = True
+                for i, q in enumerate(part):
+                    found = np.flatnonzero(hit[i])
+                    if len(found) > k:  # equal scores are told apart by id, after rounding
+                        found = found[scores[i, found] >= np.partition(scores[i, found], len(found) - k)[len(found) - k] - 1e-8]
+                    out_q.append(np.full(len(found), q))
+                    out_d.append(found)
+                    out_s.append(scores[i, found])
+            return pa.table({"query_id": names.take(pa.array(np.concatenate(out_q))), "doc_id": coded.dictionary.take(pa.array(np.concatenate(out_d))), "score": pa.array(np.concatenate(out_s))})
+
+        if not len(names):
+            return self.spark.createDataFrame([], kind).withColumn("rank", F.lit(1))
+        rows = blocks.groupBy("range").cogroup(places.groupBy("range")).applyInArrow(best, kind)
+        rows = rows.withColumn("score", F.round("score", 9))
         order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
         return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

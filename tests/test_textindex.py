@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.operators import text, textindex
+from lumenframe.plans import storage
 
 WORDS = ["the", "of", "idiot", "worthless", "é", "日本", "ab", "abc", "abd", "xyz", "1", "22"] + [f"w{i}" for i in range(40)]
 
@@ -101,3 +102,18 @@ def test_words_are_not_shuffled_one_by_one(spark, docs, tmp_path, monkeypatch):
     plan = phrases._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "Generate" not in plan
     assert {r.doc_id: r.n for r in phrases.where("query_id = 1").collect()} == {i: n for i, x in w.items() if (n := sum(x[k : k + 3] == ["the"] * 3 for k in range(len(x))))}
+
+
+def test_scores_are_added_up_by_range(spark, docs, index, monkeypatch):
+    """Only what can be among the k best leaves a range; equal scores are told apart by id; blocks of queries don't change a thing."""
+    monkeypatch.setattr(textindex, "QUERY_BLOCK", 2)
+    queries = ["the of", "the", "w3 w4 the", "of of", "idiot"]
+    found, _ = index.search(asked(spark, *queries), 3, first=1)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    for i, q in enumerate(queries):
+        want = sorted(((r.doc_id, round(r.score, 9)) for r in text.bm25(docs.where("doc_id is not null"), q).collect()), key=lambda x: (-x[1], x[0]))[:3]
+        assert [(r.doc_id, r.score) for r in sorted(found.where(F.col("query_id") == i).collect(), key=lambda r: r["rank"])] == want
+    copies = spark.createDataFrame([(n, "the same text") for n in range(40)], "doc_id long, text string")
+    root = storage.scratch_path(spark, "copies")
+    textindex.build(copies, root, range_docs=16)
+    assert [(r.doc_id, r["rank"]) for r in textindex.Index(spark, root).search(asked(spark, "same"), 4)[0].orderBy("rank").collect()] == [(0, 1), (1, 2), (2, 3), (3, 4)]
