@@ -5,33 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.catalog import _CAT, _DET, _detections, _read, query
+from lumenframe.catalog import _CAT, _DET, _detections, _pointed, _read, query
 from lumenframe.operators import manifest
-from lumenframe.plans.storage import materialize, scratch_path
+from lumenframe.plans.storage import DEAL_BYTES, broadcast_if_small, scratch_path, stored_bytes
 from lumenframe.streaming import flows, ingestion, maintenance
 
 #: Deliveries that the ingestion queries take one after the other.
 ARRIVALS = 3
 
 
-def _records(spark, d) -> DataFrame:
-    """What an analysis of the derived images would give, with ``arrival``: an order is an image, its lines are detections, the conversation of its number is its text.
+def _records(spark, d, arrival: int) -> DataFrame:
+    """What an analysis of the derived images of one delivery would give: an order is an image, its lines are detections, the conversation of its number is its text.
 
-    Orders of one customer and month have one content; every 97th vector is missing.
+    Orders of one customer and month have one content; every 97th vector is missing. What goes by image is shuffled as it lies in
+    the tables; vectors come to it when it has arrived.
     """
-    e = _read(spark, d, "embeddings").select("vec_id", "embedding")
-    n, top = e.count(), _read(spark, d, "orders").agg(F.max("o_orderkey")).first()[0] or 0
-    o = _read(spark, d, "orders").select("o_orderkey", F.concat(F.lit("img_"), F.col("o_orderkey").cast("string")).alias("image_id"), F.md5(F.concat_ws("/", F.col("o_custkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM"))).alias("imohash"),
-        F.expr("cast(320 + o_custkey % 1600 as int)").alias("width"), F.expr("cast(240 + o_orderkey % 1200 as int)").alias("height"), F.col("o_orderdate").cast("timestamp").alias("indexed_at"))
-    o = o.withColumn("arrival", F.floor(F.col("o_orderkey") * ARRIVALS / (top + 1)).cast("int"))
-    o = o.join(e.withColumnRenamed("embedding", "v"), F.col("vec_id") == F.col("o_orderkey") % n, "left").withColumn("global_embedding", F.when(F.col("o_orderkey") % 97 != 0, F.col("v")))
+    e, lines, orders = _read(spark, d, "embeddings").select("vec_id", "embedding"), _read(spark, d, "lineitem"), _read(spark, d, "orders")
+    n, top = e.count(), orders.agg(F.max("o_orderkey")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored_bytes(lines) // (ARRIVALS * DEAL_BYTES)))
+    image = lambda key: F.concat(F.lit("img_"), F.col(key).cast("string"))
+    arrived = lambda rows, key: rows.where(F.floor(F.col(key) * ARRIVALS / (top + 1)).cast("int") == arrival).repartition(parts, image(key))
+    o = arrived(orders.select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey")
+    o = o.select(image("o_orderkey").alias("image_id"), F.md5(F.concat_ws("/", F.col("o_custkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM"))).alias("imohash"), F.expr("cast(320 + o_custkey % 1600 as int)").alias("width"),
+        F.expr("cast(240 + o_orderkey % 1200 as int)").alias("height"), F.col("o_orderdate").cast("timestamp").alias("indexed_at"), (F.col("o_orderkey") % n).alias("vec_id"), (F.col("o_orderkey") % 97 != 0).alias("whole"))
+    o = o.join(broadcast_if_small(e), "vec_id", "left").withColumn("global_embedding", F.when(F.col("whole"), F.col("embedding"))).drop("vec_id", "whole", "embedding")
     box = F.array(*(F.col(c).cast("float") for c in ("x1", "y1", "x2", "y2")))
-    det = _detections(spark, d).join(e, "vec_id").select("image_id", F.struct("box_index", box.alias("box"), F.col("confidence").cast("float").alias("s"), "class_id", F.col("embedding").alias("v")).alias("t"))
+    slim = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
+    det = _detections(spark, d, lines=arrived(slim, "l_orderkey")).join(_pointed(spark, d).select("vec_id", "embedding"), "vec_id")
+    det = det.select("image_id", F.struct("box_index", box.alias("box"), F.col("confidence").cast("float").alias("s"), "class_id", F.col("embedding").alias("v")).alias("t"))
     det = det.groupBy("image_id").agg(F.array_sort(F.collect_list("t"), lambda a, b: a["box_index"] - b["box_index"]).alias("t"))
     people = F.filter("t", lambda t: t["class_id"] == 0)
     det = det.select("image_id", F.size("t").alias("num_dets"), F.col("t.box").alias("boxes"), F.col("t.s").alias("scores"), F.col("t.class_id").alias("classes"), F.col("t.v").alias("box_embeddings"),
         F.transform(people, lambda t: t["box"]).alias("face_boxes"), F.transform(people, lambda t: t["v"]).alias("face_embeddings"), F.transform(people, lambda t: t["s"]).alias("face_scores"))
-    talk = _read(spark, d, "conversations").groupBy(F.concat(F.lit("img_"), F.col("conv_id").cast("string")).alias("image_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    talk = arrived(_read(spark, d, "conversations"), "conv_id").groupBy(image("conv_id").alias("image_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     zeros = lambda x: F.transform("t", lambda t: x)
     talk = talk.select("image_id", F.transform("t", lambda t: F.coalesce(t["text"], F.lit(""))).alias("texts"), zeros(F.array(F.lit(0.0).cast("float"))).alias("text_boxes"), zeros(F.lit(0.5).cast("float")).alias("det_scores"), zeros(F.lit(0.5).cast("float")).alias("rec_scores"))
     return o.join(det, "image_id", "left").join(talk, "image_id", "left")
@@ -54,11 +60,11 @@ _ARRIVE = f"""{_DET}, o as (select 'img_' || cast(o_orderkey as varchar) image_i
 def ingest_tables(spark, d):
     """All rows of the five tables and the quarantine after three deliveries of a stream of images, the second of which is sent again."""
     root, inbox = scratch_path(spark, "tables"), scratch_path(spark, "inbox")
-    rows = materialize(_records(spark, d), "records")
     for k in range(ARRIVALS):
-        rows.where(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(inbox)
+        rows = _records(spark, d, k)
+        rows.write.mode("append").option("compression", "zstd").parquet(inbox)
         for again in range(2 if k == 1 else 1):  # a second run whose own memory is lost: the same files, the same epochs
-            stream = spark.readStream.schema(rows.drop("arrival").schema).parquet(inbox)
+            stream = spark.readStream.schema(rows.schema).parquet(inbox)
             ingestion.run_ingest(stream, root, f"{root}-state" if not again else f"{root}-again").awaitTermination()
     t = {name: manifest.table(spark, root, name) for name in ("global", "vehicles", "people", "faces", "ocr", "quarantine")}
     two = lambda c: F.format_string("%.2f", c)
@@ -76,9 +82,8 @@ def ingest_tables(spark, d):
 def ingest_log(spark, d):
     """Counts of each batch, as committed with its rows."""
     root = scratch_path(spark, "tables")
-    rows = materialize(_records(spark, d), "records")
     for k in range(ARRIVALS):
-        ingestion.ingest_batch(rows.where(F.col("arrival") == k), root, "log", k)
+        ingestion.ingest_batch(_records(spark, d, k), root, "log", k)
     return manifest.table(spark, root, "log").select("epoch", "total", "processed", "duplicates", "rejected", "vehicles", "people", "skipped")
 
 

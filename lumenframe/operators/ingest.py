@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,15 +18,15 @@ def zip_shortest(*arrays: Column) -> Column:
     return F.slice(F.arrays_zip(*arrays), F.lit(1), F.greatest(n, F.lit(0)))
 
 
-def explode_detections(images: DataFrame, vectors: str | None = None) -> DataFrame:
+def explode_detections(images: DataFrame, vectors: str | None = None, beside: Sequence[str] = ()) -> DataFrame:
     """``image_id, box_index, category, detection_id, class_name`` and the box of each detection of padded arrays.
 
     ``images(image_id, num_dets, boxes, scores, classes)``: the first ``num_dets`` count, rows without score are padding.
-    ``vectors`` names a column of the boxes' vectors, given as ``embedding``.
+    ``vectors`` names a column of the boxes' vectors, given as ``embedding``; ``beside`` columns of the image that its rows keep.
     """
     zipped = F.slice(F.arrays_zip("boxes", "scores", "classes", *([vectors] if vectors else [])), F.lit(1), F.col("num_dets"))
-    flat = images.select("image_id", F.posexplode(zipped).alias("box_index", "d")).where("d.scores > 0")
-    out = flat.select("image_id", "box_index", F.col("d.boxes").alias("box"), F.col("d.scores").alias("confidence"), F.col("d.classes").alias("class_id"), *([F.col(f"d.{vectors}").alias("embedding")] if vectors else []))
+    flat = images.select("image_id", *beside, F.posexplode(zipped).alias("box_index", "d")).where("d.scores > 0")
+    out = flat.select("image_id", *beside, "box_index", F.col("d.boxes").alias("box"), F.col("d.scores").alias("confidence"), F.col("d.classes").alias("class_id"), *([F.col(f"d.{vectors}").alias("embedding")] if vectors else []))
     return out.withColumn("category", category(F.col("class_id"))).withColumn("class_name", class_name(F.col("class_id"))).withColumn("detection_id", ordinal_id(F.col("image_id"), "box", F.col("box_index")))
 
 
@@ -41,11 +43,11 @@ def nth_of_category(detections: DataFrame, kind: str, n: int) -> DataFrame:
     return d.withColumn("_n", F.row_number().over(order) - 1).where(F.col("_n") == n).drop("_n")
 
 
-def explode_ocr(images: DataFrame, min_det: float | None = None, min_rec: float | None = None) -> DataFrame:
-    """Text rows: arrays are zipped to the shortest, blank text is left out but keeps its ordinal in the id."""
+def explode_ocr(images: DataFrame, min_det: float | None = None, min_rec: float | None = None, beside: Sequence[str] = ()) -> DataFrame:
+    """Text rows: arrays are zipped to the shortest, blank text is left out but keeps its ordinal in the id; ``beside`` as in :func:`explode_detections`."""
     z = zip_shortest(F.col("texts"), F.col("boxes"), F.col("det_scores"), F.col("rec_scores"))
-    flat = images.select("image_id", F.posexplode(z).alias("i", "t")).where(F.trim("t.texts") != "")
-    out = flat.select(ordinal_id(F.col("image_id"), "ocr", F.col("i")).alias("ocr_id"), "image_id", F.col("t.texts").alias("text"), F.col("t.boxes").alias("box"), F.col("t.det_scores").alias("det_score"), F.col("t.rec_scores").alias("rec_score"))
+    flat = images.select("image_id", *beside, F.posexplode(z).alias("i", "t")).where(F.trim("t.texts") != "")
+    out = flat.select(ordinal_id(F.col("image_id"), "ocr", F.col("i")).alias("ocr_id"), "image_id", *beside, F.col("t.texts").alias("text"), F.col("t.boxes").alias("box"), F.col("t.det_scores").alias("det_score"), F.col("t.rec_scores").alias("rec_score"))
     if min_det is not None:
         out = out.where(F.col("det_score") >= min_det)
     return out if min_rec is None else out.where(F.col("rec_score") >= min_rec)

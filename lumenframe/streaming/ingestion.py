@@ -37,6 +37,8 @@ RECORD = {
 }
 COUNTS = "query string, epoch long, total long, processed long, duplicates long, rejected long, vehicles long, people long, skipped long, faces long, texts long"
 QUARANTINE = "image_id string, image_path string, reason string"
+#: Rows that one entry of :func:`marks` stands for.
+BLOCK = 512
 
 
 def records(images: DataFrame) -> DataFrame:
@@ -52,6 +54,11 @@ def _fault() -> Column:
     )
 
 
+def _place() -> list[Column]:
+    """Where a row of a staged table lies: its file, whose name none of the table's others has, and its number there."""
+    return [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")]
+
+
 def _shaped(rows: DataFrame, name: str, model: DataFrame | None) -> DataFrame:
     """``rows`` as a table's columns, with their clusters."""
     if name in cluster.CLUSTERED:
@@ -69,79 +76,121 @@ def routed(images: DataFrame, models: dict[str, DataFrame] | None = None) -> dic
     lists = [c for c, kind in RECORD.items() if kind.startswith("array") and c != "global_embedding"]
     images = images.select(*(F.coalesce(F.col(c), F.array().cast(RECORD[c])).alias(c) if c in lists else F.col(c) for c in images.columns))
     images = images.withColumn("image_path", default_path(F.col("image_path"), F.col("image_id")))
-    shared = images.select("image_id", "image_path", "metadata", "indexed_at")
-    beside = lambda rows: rows.join(shared, "image_id")
-    found = ingest.explode_detections(images.where("num_dets > 0"), "box_embeddings").withColumn("has_face", F.lit(False))
+    shared = ["image_path", "metadata", "indexed_at"]  # they come along when an image is exploded
+    found = ingest.explode_detections(images.where("num_dets > 0"), "box_embeddings", shared).withColumn("has_face", F.lit(False))
     kinds = ingest.route(found)
     both = F.slice(F.arrays_zip("face_embeddings", "face_boxes", "face_landmarks", "face_scores", "face_quality"), F.lit(1), F.least(F.size("face_embeddings"), F.size("face_boxes")))
-    faces = images.select("image_id", F.posexplode(both).alias("i", "f")).where(F.size("f.face_embeddings") > 0)
+    faces = images.select("image_id", *shared, F.posexplode(both).alias("i", "f")).where(F.size("f.face_embeddings") > 0)
     faces = faces.select(
-        "image_id", ordinal_id(F.col("image_id"), "face", F.col("i")).alias("face_id"), F.col("f.face_embeddings").alias("embedding"), F.col("f.face_boxes").alias("box"), landmarks(F.col("f.face_landmarks")).alias("landmarks"),
+        "image_id", *shared, ordinal_id(F.col("image_id"), "face", F.col("i")).alias("face_id"), F.col("f.face_embeddings").alias("embedding"), F.col("f.face_boxes").alias("box"), landmarks(F.col("f.face_landmarks")).alias("landmarks"),
         F.coalesce("f.face_scores", F.lit(0.0)).alias("confidence"), F.coalesce("f.face_quality", F.lit(0.0)).alias("quality_score"),
     )
-    text = images.select("image_id", "texts", F.col("text_boxes").alias("boxes"), "det_scores", "rec_scores")
-    whole = images.select("image_id", F.array_join(F.filter("texts", lambda t: F.trim(t) != ""), " ").alias("full_text"))
-    rows = {
-        "global": images, "vehicles": beside(kinds["vehicles"]), "people": beside(kinds["people"]), "faces": beside(faces),
-        "ocr": beside(ingest.explode_ocr(text).join(whole, "image_id").withColumn("text_raw", F.col("text"))),
-    }
+    text = images.select("image_id", *shared, "texts", F.col("text_boxes").alias("boxes"), "det_scores", "rec_scores", F.array_join(F.filter("texts", lambda t: F.trim(t) != ""), " ").alias("full_text"))
+    ocr = ingest.explode_ocr(text, beside=[*shared, "full_text"]).withColumn("text_raw", F.col("text"))
+    rows = {"global": images, "vehicles": kinds["vehicles"], "people": kinds["people"], "faces": faces, "ocr": ocr}
     return {name: _shaped(r, name, models.get(name)) for name, r in rows.items()} | {"skipped": kinds["skipped"]}
 
 
-def split_batch(batch: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Records with ``fate``: ``new``, ``duplicate``, or the reason why they are rejected.
+def judged(staged: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``image_id, image_path, file, row, fate`` of each record of a staged table: ``new``, ``duplicate``, or the reason why it is rejected.
 
     ``known`` has ``image_id`` and ``imohash`` of what is indexed. Of equal contents in a batch the smallest id is taken;
-    of equal ids the one with the smallest hash. An unknown content (null hash) duplicates nothing.
+    of equal ids the one with the smallest hash. An unknown content (null hash) duplicates nothing. A record's vectors are
+    looked at where it lies; what is shuffled is its id, its hash and its place.
     """
-    rows = records(batch).withColumn("fate", _fault())
+    rows = staged.select("image_id", "image_path", "imohash", _fault().alias("fate"), F.xxhash64("global_embedding").alias("_v"), *_place())
     good = F.col("fate").isNull()
-    one = W.partitionBy("image_id").orderBy(good.desc(), F.asc_nulls_last("imohash"), F.xxhash64("global_embedding"))
-    rows = rows.withColumn("fate", F.when(good & (F.row_number().over(one) > 1), "a repeated id").otherwise(F.col("fate")))
-    if known is not None:
-        hashes = known.where("imohash is not null").select("imohash").distinct().withColumn("_seen", F.lit(True))
-        ids = known.select("image_id").distinct().withColumn("_known", F.lit(True))
-        rows = rows.join(ids, "image_id", "left").join(hashes, "imohash", "left")
-        rows = rows.withColumn("fate", F.when(good & F.col("_seen"), "duplicate").when(good & F.col("_known"), "a known id").otherwise(F.col("fate"))).drop("_seen", "_known")
+    one = W.partitionBy("image_id").orderBy(good.desc(), F.asc_nulls_last("imohash"), "_v")
+    rows = rows.withColumn("fate", F.when(good & (F.row_number().over(one) > 1), "a repeated id").otherwise(F.col("fate"))).drop("_v")
     # A content is ranked among the rows that are still good; the others are keyed apart, so that no key gathers them.
-    alone = F.when(good & F.col("imohash").isNotNull(), F.concat(F.lit("h:"), "imohash")).otherwise(F.concat(F.lit("r:"), F.xxhash64("image_id", "image_path", "imohash").cast("string")))
-    first = F.row_number().over(W.partitionBy(alone).orderBy(F.asc_nulls_last("image_id")))
-    return rows.withColumn("fate", F.when(good & F.col("imohash").isNotNull() & (first > 1), "duplicate").when(good, "new").otherwise(F.col("fate")))
+    content = lambda h: F.concat(F.lit("h:"), h)
+    apart = F.concat_ws(":", F.lit("r"), "file", F.col("row").cast("string"))
+    seen = known_id = F.lit(False)
+    if known is not None:
+        rows = rows.join(known.select("image_id").distinct().withColumn("_known", F.lit(True)), "image_id", "left")
+        known_id = F.col("_known").isNotNull()
+    rows = rows.withColumn("_key", F.when(good & F.col("imohash").isNotNull(), content(F.col("imohash"))).otherwise(apart)).drop("imohash")
+    if known is not None:
+        hashes = known.where("imohash is not null").select(content(F.col("imohash")).alias("_key")).distinct().withColumn("_seen", F.lit(True))
+        rows = rows.join(hashes, "_key", "left")
+        seen = F.col("_seen").isNotNull()
+    first = F.row_number().over(W.partitionBy("_key").orderBy(known_id, F.asc_nulls_last("image_id")))
+    fate = F.when(~good, F.col("fate")).when(seen, "duplicate").when(known_id, "a known id").when(first > 1, "duplicate").otherwise("new")
+    return rows.select("image_id", "image_path", "file", "row", fate.alias("fate"))
+
+
+def marks(places: DataFrame) -> DataFrame:
+    """Rows of files as bits: ``file, block, bits``, one entry for each :data:`BLOCK` rows that hold any."""
+    word, bit = F.expr(f"cast(row % {BLOCK} div 64 as int)"), F.expr("shiftleft(1L, cast(row % 64 as int))")
+    words = (F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))) for i in range(BLOCK // 64))
+    return places.groupBy("file", F.expr(f"row div {BLOCK}").alias("block")).agg(F.array(*words).alias("bits"))
+
+
+def marked(staged: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of a staged table that ``found`` (see :func:`marks`) marks, read where they lie: a bit a row is all that travels."""
+    rows = staged.select("*", *_place()).withColumn("block", F.expr(f"row div {BLOCK}")).join(broadcast_if_small(found), ["file", "block"])
+    own = F.expr(f"shiftright(element_at(bits, cast(row % {BLOCK} div 64 as int) + 1), cast(row % 64 as int)) & 1L = 1L")
+    return rows.where(own).select(*staged.columns)
 
 
 def ingest_batch(batch: DataFrame, root: str, query: str, epoch: int, tries: int = 3) -> dict | None:
     """Take one batch; returns its counts, or None where the epoch was committed before.
 
-    All that is written hangs on one commit after the state that was read. If another writer commits between, the batch is
-    judged again by the new state.
+    The batch is written once as it comes, and whole records stay there: they are judged by their ids and hashes, and those
+    that are new are routed from where they lie. All that is written hangs on one commit after the state that was read. If
+    another writer commits between, the batch is judged again by the new state.
     """
     spark = batch.sparkSession
-    for turn in range(tries):
-        now = manifest.read(spark, root)
-        if now.has(query, epoch):
-            return None
+    if manifest.read(spark, root).has(query, epoch):
+        return None
+    staged = materialize(records(batch), "batch")
+    try:
+        for turn in range(tries):
+            counts = _take(staged, root, query, epoch, last=turn == tries - 1)
+            if counts is not False:
+                return counts
+    finally:
+        drop_table(staged)
+
+
+def _take(staged: DataFrame, root: str, query: str, epoch: int, last: bool) -> dict | None | bool:
+    """One try at a staged batch; False where another writer has committed meanwhile, and this isn't the ``last``."""
+    spark, scratch = staged.sparkSession, []
+
+    def kept(rows: DataFrame, tag: str) -> DataFrame:
+        scratch.append(materialize(rows, tag))
+        return scratch[-1]
+
+    now = manifest.read(spark, root)
+    if now.has(query, epoch):
+        return None
+    try:
         known = manifest.table(spark, root, "global", now).select("image_id", "imohash") if "global" in now.schemas else None
-        rows = materialize(split_batch(batch, known), "batch")
+        said = ~F.col("fate").isin("new", "duplicate")
+        rows = kept(judged(staged, known).select("file", "row", "fate", *(F.when(said, F.col(c)).alias(c) for c in ("image_id", "image_path"))), "fates")
+        found = kept(marks(rows.where("fate = 'new'")), "marks")
         models = {name: manifest.table(spark, root, f"model_{name}", now) for name in cluster.CLUSTERED if f"model_{name}" in now.folders}
-        parts = routed(rows.where("fate = 'new'").drop("fate"), models)
+        parts = routed(marked(staged, found), models)
         skipped = parts.pop("skipped").count()
         fates = rows.agg(F.count("*").alias("total"), F.count_if(F.col("fate") == "new").alias("processed"), F.count_if(F.col("fate") == "duplicate").alias("duplicates")).first()
         counts = {"query": query, "epoch": epoch, **fates.asDict(), "rejected": fates.total - fates.processed - fates.duplicates}
-        rejected = rows.where("fate not in ('new', 'duplicate')").select("image_id", "image_path", F.col("fate").alias("reason"))
+        rejected = rows.where(said).select("image_id", "image_path", F.col("fate").alias("reason"))
 
         def logged(written: dict[str, DataFrame]) -> dict[str, DataFrame]:
             sizes = {name: df.count() for name, df in written.items()}
             counts.update(vehicles=sizes["vehicles"], people=sizes["people"], skipped=skipped, faces=sizes["faces"], texts=sizes["ocr"])
             return {"log": spark.createDataFrame([tuple(counts.values())], COUNTS)}
 
-        try:  # rows are written once, to the folders that the commit names
-            manifest.publish(spark, root, add={**parts, "quarantine": rejected}, base=now, writer=(query, epoch), then=logged)
-            return counts
-        except manifest.Conflict:
-            if turn == tries - 1:
-                raise
-        finally:
-            drop_table(rows)
+        # rows are written once, to the folders that the commit names
+        manifest.publish(spark, root, add={**parts, "quarantine": rejected}, base=now, writer=(query, epoch), then=logged)
+        return counts
+    except manifest.Conflict:
+        if last:
+            raise
+        return False
+    finally:
+        for table in scratch:
+            drop_table(table)
 
 
 def run_ingest(stream: DataFrame, root: str, checkpoint: str, query: str = "ingest") -> StreamingQuery:
