@@ -33,7 +33,7 @@ def _records(spark, d, arrival: int) -> DataFrame:
     slim = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
     det = _detections(spark, d, lines=arrived(slim, "l_orderkey")).join(_pointed(spark, d).select("vec_id", "embedding"), "vec_id")
     det = det.select("image_id", F.struct("box_index", box.alias("box"), F.col("confidence").cast("float").alias("s"), "class_id", F.col("embedding").alias("v")).alias("t"))
-    det = det.groupBy("image_id").agg(F.array_sort(F.collect_list("t"), lambda a, b: a["box_index"] - b["box_index"]).alias("t"))
+    det = det.groupBy("image_id").agg(F.sort_array(F.collect_list("t")).alias("t"))  # by box_index
     people = F.filter("t", lambda t: t["class_id"] == 0)
     det = det.select("image_id", F.size("t").alias("num_dets"), F.col("t.box").alias("boxes"), F.col("t.s").alias("scores"), F.col("t.class_id").alias("classes"), F.col("t.v").alias("box_embeddings"),
         F.transform(people, lambda t: t["box"]).alias("face_boxes"), F.transform(people, lambda t: t["v"]).alias("face_embeddings"), F.transform(people, lambda t: t["s"]).alias("face_scores"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from lumenframe.functions.scalars import default_path, landmarks, ordinal_id, stable_id
+from lumenframe.functions.scalars import category, default_path, landmarks, ordinal_id, stable_id
 from lumenframe.operators import cluster, ingest, manifest
 from lumenframe.operators.dedup import similarity_edges
 from lumenframe.plans.components import components_of
@@ -45,6 +45,11 @@ def records(images: DataFrame) -> DataFrame:
     return images.select(*((F.col(c) if c in images.columns else F.lit(None)).cast(kind).alias(c) for c, kind in RECORD.items()))
 
 
+def kept_vectors(rows: DataFrame) -> DataFrame:
+    """Records without the vectors of detections of no kept class: these are counted, and go to no table."""
+    return rows.withColumn("box_embeddings", F.zip_with("box_embeddings", "classes", lambda v, c: F.when(category(c) != "other", v)))
+
+
 def _fault() -> Column:
     """Why an image can't be taken; null if it can."""
     v = F.col("global_embedding")
@@ -77,8 +82,9 @@ def routed(images: DataFrame, models: dict[str, DataFrame] | None = None) -> dic
     images = images.select(*(F.coalesce(F.col(c), F.array().cast(RECORD[c])).alias(c) if c in lists else F.col(c) for c in images.columns))
     images = images.withColumn("image_path", default_path(F.col("image_path"), F.col("image_id")))
     shared = ["image_path", "metadata", "indexed_at"]  # they come along when an image is exploded
-    found = ingest.explode_detections(images.where("num_dets > 0"), "box_embeddings", shared).withColumn("has_face", F.lit(False))
-    kinds = ingest.route(found)
+    some = images.where("num_dets > 0")
+    kinds = ingest.route(ingest.explode_detections(some, "box_embeddings", shared).withColumn("has_face", F.lit(False)))
+    skipped = ingest.route(ingest.explode_detections(some))["skipped"]  # counted without their vectors
     both = F.slice(F.arrays_zip("face_embeddings", "face_boxes", "face_landmarks", "face_scores", "face_quality"), F.lit(1), F.least(F.size("face_embeddings"), F.size("face_boxes")))
     faces = images.select("image_id", *shared, F.posexplode(both).alias("i", "f")).where(F.size("f.face_embeddings") > 0)
     faces = faces.select(
@@ -88,7 +94,7 @@ def routed(images: DataFrame, models: dict[str, DataFrame] | None = None) -> dic
     text = images.select("image_id", *shared, "texts", F.col("text_boxes").alias("boxes"), "det_scores", "rec_scores", F.array_join(F.filter("texts", lambda t: F.trim(t) != ""), " ").alias("full_text"))
     ocr = ingest.explode_ocr(text, beside=[*shared, "full_text"]).withColumn("text_raw", F.col("text"))
     rows = {"global": images, "vehicles": kinds["vehicles"], "people": kinds["people"], "faces": faces, "ocr": ocr}
-    return {name: _shaped(r, name, models.get(name)) for name, r in rows.items()} | {"skipped": kinds["skipped"]}
+    return {name: _shaped(r, name, models.get(name)) for name, r in rows.items()} | {"skipped": skipped}
 
 
 def judged(staged: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -136,14 +142,14 @@ def marked(staged: DataFrame, found: DataFrame) -> DataFrame:
 def ingest_batch(batch: DataFrame, root: str, query: str, epoch: int, tries: int = 3) -> dict | None:
     """Take one batch; returns its counts, or None where the epoch was committed before.
 
-    The batch is written once as it comes, and whole records stay there: they are judged by their ids and hashes, and those
+    The batch is written once as it comes (:func:`kept_vectors`), and whole records stay there: they are judged by their ids and hashes, and those
     that are new are routed from where they lie. All that is written hangs on one commit after the state that was read. If
     another writer commits between, the batch is judged again by the new state.
     """
     spark = batch.sparkSession
     if manifest.read(spark, root).has(query, epoch):
         return None
-    staged = materialize(records(batch), "batch")
+    staged = materialize(kept_vectors(records(batch)), "batch")
     try:
         for turn in range(tries):
             counts = _take(staged, root, query, epoch, last=turn == tries - 1)

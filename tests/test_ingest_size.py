@@ -70,3 +70,14 @@ def test_a_known_hash_goes_before_a_known_id_and_neither_hides_a_new_image(spark
     assert [counts[c] for c in ("total", "processed", "duplicates", "rejected")] == [8, 3, 3, 2]
     assert sorted(r.image_id for r in manifest.table(spark, root, "global").where(F.col("imohash").isNull() | F.col("imohash").isin("h8", "h9")).collect()) == ["c", "f", "g"]
     assert {(r.image_id, r.reason) for r in manifest.table(spark, root, "quarantine").collect()} == {("b", "a known id"), ("e", "no vector")}
+
+
+def test_what_goes_to_no_table_is_not_written(spark, tmp_path, monkeypatch):
+    rows, staged = [("a", 3, [[0.1] * 4] * 3, [0.9] * 3, [0, 9, 2], [[1.0], [2.0], [3.0]], [1.0]), ("b", 2, [[0.1] * 4] * 2, [0.9] * 2, [None, 2], [[4.0]], [2.0]), ("c", 1, [[0.1] * 4], [0.9], None, [[5.0]], [3.0]), ("d", 1, [[0.1] * 4], [0.9], [2], None, [4.0])], []
+    right = ingestion.materialize
+    monkeypatch.setattr(ingestion, "materialize", lambda df, tag: (staged.extend(df.select("image_id", "box_embeddings").collect() if tag == "batch" else []), right(df, tag))[1])
+    batch = spark.createDataFrame(rows, "image_id string, num_dets int, boxes array<array<float>>, scores array<float>, classes array<int>, box_embeddings array<array<float>>, global_embedding array<float>")
+    counts = ingestion.ingest_batch(batch, str(tmp_path / "t"), "q", 0)
+    assert [counts[c] for c in ("total", "processed", "vehicles", "people", "skipped")] == [4, 4, 3, 1, 3]
+    assert {r.image_id: r.box_embeddings for r in staged} == {"a": [[1.0], None, [3.0]], "b": [None, None], "c": None, "d": None}
+    assert {(r.detection_id, r.embedding and r.embedding[0]) for r in manifest.table(spark, str(tmp_path / "t"), "vehicles").collect()} == {("a_box_2", 3.0), ("b_box_1", None), ("d_box_0", None)}
